@@ -16,17 +16,20 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from .common import whole_text
 
 #: A slice of texts that is encoded at once, in characters; longer texts are cut at white space.
-SLICE = 1 << 20
+SLICE = 1 << 21
 #: Encoded words that a task keeps at most; beyond this it starts anew.
-KEPT_WORDS = 200_000
-LONG_WORD = 64
+KEPT_WORDS = 400_000
+LONG_WORD = 48
+NO_PAIR = 1 << 30
 
 
 def byte_symbols() -> list[str]:
@@ -53,10 +56,13 @@ class Vocabulary:
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         #: White space as the file's pattern has it, and what str.split() takes for white space besides.
         self.space, self.odd = regex.compile(r"\s+"), re.compile("[\x1c-\x1f]")
+        #: Beyond these, Unicode versions differ in letters and cases; such texts are normalised and split (not encoded)
+        #: by the library.
+        self.rare, self.library = re.compile("[^\0-\u024f]"), Tokenizer.from_file(path)
         self.specials = re.compile("|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True)))
         symbols = byte_symbols()
-        self.inner = [vocab[c] for c in symbols]
-        self.last = [vocab[c + end] for c in symbols]
+        self.inner = np.array([vocab[c] for c in symbols], np.int64)
+        self.last = np.array([vocab[c + end] for c in symbols], np.int64)
         self.size = max(self.token) + 1
         #: (left id * size + right id) -> rank; rank -> left, right and merged id.
         self.rank: dict[int, int] = {}
@@ -64,26 +70,87 @@ class Vocabulary:
         for n, (a, b) in enumerate(tuple(x.split(" ")) if isinstance(x, str) else x for x in model["merges"]):
             self.rank[vocab[a] * self.size + vocab[b]] = n
             self.merges.append((vocab[a], vocab[b], vocab[a + b]))
+        keys = np.array(list(self.rank), np.int64)
+        order = np.argsort(keys)
+        self.keys, self.ranks = keys[order], np.array(list(self.rank.values()), np.int64)[order]
+        self.merged = np.array([x[2] for x in self.merges], np.int64)
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """The ids of each word; words aren't empty."""
-        if not words:
-            return []
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, four bytes each; words aren't empty.
+
+        The index of pair occurrences is an array over all symbols of all words: the rank of the pair that starts
+        there, or NO_PAIR. Words are independent, so in each step every word applies its lowest active rank, at the
+        leftmost place; a merge changes the entries on its two sides only, and words without an active rank leave.
+        Long words, which would take many steps, go by lists of positions.
+        """
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        out: list[bytes] = [b""] * len(raw)
+        at = np.array([i for i, r in enumerate(raw) if len(r) <= LONG_WORD], np.int64)
+        for i, r in enumerate(raw):
+            if len(r) > LONG_WORD:
+                out[i] = self.encode_long(r)
+        size = np.array([len(raw[i]) for i in at], np.int64)
+        data = np.frombuffer(b"".join([raw[i] for i in at]), np.uint8)
+        end = np.cumsum(size)
+        symbol = self.inner[data]
+        symbol[end - 1] = self.last[data[end - 1]]
+        rank = np.full(len(data), NO_PAIR, np.int64)
+        rank[:-1] = self.find(symbol[:-1], symbol[1:])
+        rank[end - 1] = NO_PAIR
+        while len(at):
+            low = np.minimum.reduceat((rank << 32) | np.arange(len(rank)), np.cumsum(size) - size)
+            live = low < NO_PAIR << 32
+            if not live.all():
+                stays = np.repeat(live, size)
+                done, ends = symbol[~stays].astype("<u4").tobytes(), np.cumsum(size[~live]) * 4
+                begin = 0
+                for i, e in zip(at[~live].tolist(), ends.tolist(), strict=True):
+                    out[i] = done[begin:e]
+                    begin = e
+                moved = np.cumsum(stays) - 1
+                place = moved[low[live] & 0xFFFFFFFF]
+                symbol, rank, at, size = symbol[stays], rank[stays], at[live], size[live]
+            else:
+                place = low & 0xFFFFFFFF
+            if not len(at):
+                break
+            symbol[place] = self.merged[rank[place]]
+            stays = np.ones(len(symbol), bool)
+            stays[place + 1] = False
+            symbol, rank = symbol[stays], rank[stays]
+            place -= np.arange(len(place))  # each word before lost one symbol
+            size = size - 1
+            end = np.cumsum(size)
+            left = place[place > end - size]
+            rank[left - 1] = self.find(symbol[left - 1], symbol[left])
+            rank[place] = NO_PAIR
+            right = place[place < end - 1]
+            rank[right] = self.find(symbol[right], symbol[right + 1])
+        return out
+
+    def split(self, chunk: str) -> list[str]:
+        if not self.rare.search(chunk):
+            return self.pattern.findall(chunk)
+        return [chunk[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(chunk)]
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ranks of pairs."""
+        key = left * self.size + right
+        i = np.searchsorted(self.keys, key)
+        i[i == len(self.keys)] = 0
+        return np.where(self.keys[i] == key, self.ranks[i], NO_PAIR)
+
+    def encode_long(self, raw: bytes) -> bytes:
+        """The same for one long word: each pair has a list of positions, and a heap has the active ranks."""
         size, rank_of, merges = self.size, self.rank, self.merges
-        symbol: list[int] = []
-        first: list[int] = []
-        for w in words:
-            first.append(len(symbol))
-            raw = w.encode("utf-8", "surrogatepass")
-            symbol += [self.inner[b] for b in raw]
-            symbol[-1] = self.last[raw[-1]]
-            symbol.append(-1)  # no pair crosses a word's end
+        symbol: list[int] = self.inner[np.frombuffer(raw, np.uint8)].tolist()
+        symbol[-1] = int(self.last[raw[-1]])
+        symbol.append(-1)  # no pair crosses the word's end
         n = len(symbol)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         index: dict[int, list[int]] = {}
-        for i in range(n - 1):
-            a, b = symbol[i], symbol[i + 1]
-            if a >= 0 and b >= 0 and (r := rank_of.get(a * size + b)) is not None:
+        for i in range(n - 2):
+            if (r := rank_of.get(symbol[i] * size + symbol[i + 1])) is not None:
                 index.setdefault(r, []).append(i)
         active = list(index)
         heapq.heapify(active)
@@ -107,14 +174,15 @@ class Vocabulary:
                             heapq.heappush(active, s)
                         else:
                             found.append(at)
-        ends = [*first[1:], n]
-        return [[s for s in symbol[a:b] if s >= 0] for a, b in zip(first, ends, strict=True)]
+        return np.array([x for x in symbol if x >= 0], "<u4").tobytes()
 
     def chunks(self, text: str) -> list[str]:
         """Runs without white space, normalised. No token crosses white space."""
-        if not unicodedata.is_normalized("NFC", text):
+        if self.rare.search(text):
+            text = self.library.normalizer.normalize_str(text)
+        elif not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
-        text = text.replace("Σ", "σ").lower()  # letter by letter: no final sigma
+        text = text.lower()
         return [c for c in self.space.split(text) if c] if self.odd.search(text) else text.split()
 
 
@@ -124,30 +192,36 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 class Encoder:
-    """Encodes texts to whatever `render` makes of the ids of a run without white space."""
+    """Encodes texts to whatever `render` makes of the ids (four bytes each) of a run without white space."""
 
-    def __init__(self, path: str, render: Callable[[list[int]], object]):
+    def __init__(self, path: str, render: Callable[[bytes], object] = bytes):
         self.v, self.render, self.kept = vocabulary(path), render, {}
 
-    def _learn(self, chunks: set[str]) -> dict:
-        """What render makes of each of chunks, which aren't kept yet."""
-        parts = {c: self.v.pattern.findall(c) for c in chunks}
-        words = list({w for p in parts.values() for w in p})
+    def learn(self, chunks: list[str]) -> dict:
+        parts = list(map(self.v.split, chunks))
+        words = list({w for p in parts for w in p})
         ids = dict(zip(words, self.v.encode_words(words), strict=True))
-        return {c: self.render([i for w in p for i in ids[w]]) for c, p in parts.items()}
+        find, render = ids.__getitem__, self.render
+        return {
+            c: render(ids[p[0]] if len(p) == 1 else b"".join(map(find, p))) for c, p in zip(chunks, parts, strict=True)
+        }
 
     def encode(self, texts: list[list[str | int]]) -> list[list]:
         """texts: each a list of texts without special tokens, and of special ids. Gives the rendered runs of each."""
         split = [[self.v.chunks(x) if isinstance(x, str) else x for x in t] for t in texts]
-        wanted = {c for t in split for x in t if not isinstance(x, int) for c in x}
+        wanted: set[str] = set()
+        for t in split:
+            for x in t:
+                if not isinstance(x, int):
+                    wanted.update(x)
         kept = self.kept
-        kept.update(new := self._learn(wanted - kept.keys()))
+        kept.update(new := self.learn(list(wanted.difference(kept))))
         out = []
         for t in split:
             rendered: list = []
             for x in t:
                 if isinstance(x, int):
-                    rendered.append(self.render([x]))
+                    rendered.append(self.render(x.to_bytes(4, "little")))
                 else:
                     rendered.extend(map(kept.__getitem__, x))
             out.append(rendered)
@@ -203,8 +277,14 @@ def encode_decode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_co
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        token = vocabulary(path).token
-        enc = Encoder(path, lambda ids: (" ".join(map(str, ids)), " ".join([token[i] for i in ids])))
+        v = vocabulary(path)
+        number, token = {i: str(i) for i in v.token}.__getitem__, v.token.__getitem__
+
+        def render(ids: bytes) -> tuple[str, str]:
+            ids = memoryview(ids).cast("I")
+            return " ".join(map(number, ids)), " ".join(map(token, ids))
+
+        enc = Encoder(path, render)
         for b in batches:
             texts = b["text"].tolist()
             n = [0] * len(texts)

@@ -103,7 +103,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str,
     """doc_id, piece, start, length, ids_crc32, and the piece's number among those of its length in its task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = Encoder(path, lambda ids: np.array(ids, "<u4").tobytes())
+        enc = Encoder(path)
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         end, wide = np.array([end_id], "<u4").tobytes(), 4 * capacity
         for b in batches:

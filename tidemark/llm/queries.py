@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import encode_decode
 from .common import table, tokenizer_path
 from .packing import pack
+from .pii import find_personal_data
 from .quality_rules import quality_rules
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
@@ -34,12 +35,17 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"), with_text=False).drop("redacted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op7_bpe": op7_bpe,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_personal_data": op10_personal_data,
 }
 
 #: No operator here has a form in SQL that runs over whole tables; tests/llm holds each against brute force.
