@@ -15,6 +15,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -192,19 +193,26 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 class Encoder:
-    """Encodes texts to whatever `render` makes of the ids (four bytes each) of a run without white space."""
+    """Encodes texts to the ids (four bytes each) of runs without white space, or to what `render` makes of these."""
 
-    def __init__(self, path: str, render: Callable[[bytes], object] = bytes):
-        self.v, self.render, self.kept = vocabulary(path), render, {}
+    def __init__(self, path: str, render: Callable[[bytes], object] | None = None):
+        self.v, self.render, self.ids = vocabulary(path), render, {}
+        self.kept: dict = self.ids if render is None else {}
 
     def learn(self, chunks: list[str]) -> dict:
-        parts = list(map(self.v.split, chunks))
-        words = list({w for p in parts for w in p})
-        ids = dict(zip(words, self.v.encode_words(words), strict=True))
-        find, render = ids.__getitem__, self.render
-        return {
-            c: render(ids[p[0]] if len(p) == 1 else b"".join(map(find, p))) for c, p in zip(chunks, parts, strict=True)
-        }
+        """What render makes of each chunk; the words in them that are new are encoded together."""
+        ids, split, render = self.ids, self.v.split, self.render
+        parts = {c: split(c) for c in chunks if not c.isalpha() or self.v.rare.search(c)}
+        whole = [c for c in chunks if c not in parts] if parts else chunks
+        words = set(chain.from_iterable(parts.values()))
+        words.update(whole)
+        words = list(words.difference(ids))
+        ids.update(zip(words, self.v.encode_words(words), strict=True))
+        find = ids.__getitem__
+        out = {c: b"".join(map(find, p)) for c, p in parts.items()}
+        if render is None:
+            return out
+        return {c: render(find(c)) for c in whole} | {c: render(x) for c, x in out.items()}
 
     def encode(self, texts: list[list[str | int]]) -> list[list]:
         """texts: each a list of texts without special tokens, and of special ids. Gives the rendered runs of each."""
@@ -221,16 +229,17 @@ class Encoder:
             rendered: list = []
             for x in t:
                 if isinstance(x, int):
-                    rendered.append(self.render(x.to_bytes(4, "little")))
+                    one = x.to_bytes(4, "little")
+                    rendered.append(self.render(one) if self.render else one)
                 else:
                     rendered.extend(map(kept.__getitem__, x))
             out.append(rendered)
         if len(kept) > KEPT_WORDS:
             kept.clear()
-        else:
-            for c in new:
-                if len(c) > LONG_WORD:
-                    del kept[c]
+            self.ids.clear()
+        elif long := [c for c in new if len(c) > LONG_WORD]:
+            for c in long:
+                del kept[c]
         return out
 
     def parts(self, text: str) -> Iterator[list[str | int]]:
