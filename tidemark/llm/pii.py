@@ -13,6 +13,8 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import whole_text
 
@@ -261,6 +263,15 @@ def redact(text: str, spans: list[list[Span]]) -> str:
     return "".join([*out, text[at:]])
 
 
+@F.pandas_udf(StringType())
+def redacted(texts: pd.Series) -> pd.Series:
+    """The text with every span, base or added, replaced by its kind's tag; null stays null."""
+    out = []
+    for t in texts:
+        out.append(None if t is None else redact(t, [x + y for x, y in zip(*find(t), strict=True)]))
+    return pd.Series(out, dtype=object)
+
+
 def find_personal_data(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True
 ) -> DataFrame:

@@ -21,11 +21,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(table(spark, sf_dir, "documents"), keep_text=False).drop("kept")
+    return substring_dedup(table(spark, sf_dir, "documents"), keep_text=False).drop("kept", "tag")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup(table(spark, sf_dir, "documents"), keep_text=False).drop("kept")
+    return suffix_dedup(table(spark, sf_dir, "documents"), keep_text=False).drop("kept", "tag")
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

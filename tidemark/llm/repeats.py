@@ -276,7 +276,8 @@ def repeated_ranges(
 ) -> DataFrame:
     """docs: keyed(). Gives doc, tag, found: all ranges of units that repeated windows cover, as start and end."""
     rows = written(find_segments(docs.select("doc", "tag", "text"), units, length, q))
-    often = rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    # Written, so that the join below deals both sides afresh and Spark can split a frequent anchor.
+    often = written(rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
     rows = written(rows.join(often, "anchor"))
     alike = written(
         rows.groupBy("anchor", "digest").agg(

@@ -62,11 +62,12 @@ def substring_dedup(
     keep_text: bool = True,
     max_bucket: int = 1 << 17,
 ) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, n_removed, kept_sha256, kept (the words left, joined by one space).
+    """One row per row of docs: doc_id, n_words, n_removed, kept_sha256, kept (the words left, joined by one space), tag
+    (hash() of the text, to join rows back).
 
     Removes each word covered by a window of `window` words whose sequence of words also starts anywhere else.
-    k: words of the minimiser. keep_text: else kept is null. max_bucket: words of unlike segments beyond which a bucket's windows are counted as
-    rows instead of in one task; the result is the same.
+    k: words of the minimiser. keep_text: else kept is null. max_bucket: words of unlike segments beyond which a
+    bucket's windows are counted as rows instead of in one task; the result is the same.
 
     Null text: no words. Repeated rows repeat each other's windows, and each gives a row; a null doc_id is kept.
     Texts under `window` words stay. Other columns are ignored; an empty table gives no rows.
@@ -79,7 +80,7 @@ def substring_dedup(
     def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for doc, data, ranges in zip(b["doc_id"], b["text"], b["found"], strict=True):
+            for doc, tag, data, ranges in zip(b["doc_id"], b["tag"], b["text"], b["found"], strict=True):
                 words = repeats.unpacked(data).split()
                 n, kept = len(words), words
                 if ranges is not None:
@@ -89,9 +90,9 @@ def substring_dedup(
                         at = e
                     kept += words[at:]
                 left = b" ".join(kept)
-                out.append((doc, n, n - len(kept), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "replace") if keep_text else None))
-            made = pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+                out.append((doc, n, n - len(kept), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "replace") if keep_text else None, tag))
+            made = pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "tag"])
             yield made.astype({"doc_id": "Int64"})
 
-    texts = repeats.packed_texts(base).join(found, ["doc", "tag"], "left").select("doc_id", "text", "found")
-    return texts.mapInPandas(strip, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    texts = repeats.packed_texts(base).join(found, ["doc", "tag"], "left").select("doc_id", "tag", "text", "found")
+    return texts.mapInPandas(strip, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, tag int")

@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import repeats
 
@@ -66,6 +68,12 @@ def refine(length: int) -> repeats.Method:
     return method
 
 
+@F.pandas_udf(StringType())
+def whole_characters(raw: pd.Series) -> pd.Series:
+    """UTF-8 bytes as text, without the characters that a cut went through."""
+    return pd.Series([None if x is None else x.decode("utf-8", "ignore") for x in raw], dtype=object)
+
+
 def suffix_dedup(
     docs: DataFrame,
     *,
@@ -76,11 +84,12 @@ def suffix_dedup(
     keep_text: bool = True,
     max_bucket: int = 1 << 20,
 ) -> DataFrame:
-    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary, the bytes left).
+    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary, the bytes left), tag
+    (hash() of the text, to join rows back).
 
     Removes each byte of the UTF-8 text covered by a string of `window` bytes that also starts anywhere else.
-    q: bytes of the anchors. keep_text: else kept is null. max_bucket: bytes of unlike segments beyond which a bucket's windows are counted as rows
-    instead of in one task; the result is the same.
+    q: bytes of the anchors. keep_text: else kept is null. max_bucket: bytes of unlike segments beyond which a bucket's
+    windows are counted as rows instead of in one task; the result is the same.
 
     Null text: no bytes. Repeated rows repeat each other's strings, and each gives a row; a null doc_id is kept.
     Texts under `window` bytes stay. Other columns are ignored; an empty table gives no rows.
@@ -93,7 +102,7 @@ def suffix_dedup(
     def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for doc, data, ranges in zip(b["doc_id"], b["text"], b["found"], strict=True):
+            for doc, tag, data, ranges in zip(b["doc_id"], b["tag"], b["text"], b["found"], strict=True):
                 raw = repeats.unpacked(data)
                 left, spans = raw, 0
                 if ranges is not None:
@@ -103,11 +112,11 @@ def suffix_dedup(
                         parts.append(raw[at:s])
                         at = e
                     left = b"".join([*parts, raw[at:]])
-                out.append((doc, len(raw), len(raw) - len(left), spans, hashlib.sha256(left).hexdigest(), left if keep_text else None))
-            made = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                out.append((doc, len(raw), len(raw) - len(left), spans, hashlib.sha256(left).hexdigest(), left if keep_text else None, tag))
+            made = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "tag"])
             yield made.astype({"doc_id": "Int64"})
 
-    texts = repeats.packed_texts(base).join(found, ["doc", "tag"], "left").select("doc_id", "text", "found")
+    texts = repeats.packed_texts(base).join(found, ["doc", "tag"], "left").select("doc_id", "tag", "text", "found")
     return texts.mapInPandas(
-        strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+        strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, tag int"
     )
