@@ -37,7 +37,7 @@ def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: it is computed once, and a lost executor takes nothing with it."""
     spark = df.sparkSession
     at = f"{shared_dir(spark).rstrip('/')}/tidemark-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    df.write.option("compression", "zstd").parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 

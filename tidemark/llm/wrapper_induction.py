@@ -11,6 +11,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -142,12 +143,12 @@ def extract_main_text(
     ).withColumn("host", host_of(F.col("url")))
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        host, before = None, None
+        host, before, press = None, None, zstandard.ZstdDecompressor()
         for b in batches:
             out: dict[tuple[str, str], list[int]] = {}
             parsed = []
             for h, html in zip(b["host"].tolist(), b["html"].tolist(), strict=True):
-                tree = parse(html)
+                tree = parse(press.decompress(html).decode("utf-8", "surrogatepass"))
                 shape = Shape("", [tree])
                 if h == host:
                     for path, same in votes(before, shape):
@@ -173,7 +174,13 @@ def extract_main_text(
                     page_id=pd.array([None] * len(made), "Int64"), url=None, paths=None, texts=None
                 )
 
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        press = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            yield b.assign(html=[press.compress(x.encode("utf-8", "surrogatepass")) for x in b["html"]])
+
     # Rows with a path are votes, the others pages; one pass over the pages makes both.
+    rows = rows.mapInPandas(packed, "page_id long, url string, html binary, host string")
     dealt = rows.repartitionByRange("host", "page_id").sortWithinPartitions("host", "page_id")
     both = written(
         dealt.mapInPandas(
