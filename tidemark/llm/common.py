@@ -51,5 +51,9 @@ def forget(df: DataFrame) -> None:
 
 
 def whole_text(docs: DataFrame, text: str = "text") -> F.Column:
-    """The text as a string; null counts as empty."""
+    """The text as a string; null counts as empty.
+
+    Python workers then take rows in smaller batches than the default, so that memory stays bounded for long texts.
+    """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     return F.coalesce(docs[text].cast("string"), F.lit(""))

@@ -177,7 +177,9 @@ def near_duplicates(
         "part", F.ceil(F.greatest(F.col("texts") / block_texts, F.col("grams") / block_ngrams)).cast("int").alias("blocks")
     )
     dealt = groups.join(sizes, "part").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    texts = packed_texts(base.select("doc", "text")).withColumnRenamed("doc", "rep").join(dealt, "rep").dropDuplicates(["rep"])
+    # A merge join at every size: the texts are dealt the same way whether there are few candidates or many.
+    texts = packed_texts(base.select("doc", "text")).withColumnRenamed("doc", "rep")
+    texts = texts.hint("merge").join(dealt, "rep").dropDuplicates(["rep"])
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
