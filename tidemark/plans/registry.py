@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.plans import compliance, corpus, evaluation, logs, retrieval, streams
+
 Query = Callable[[SparkSession, str], DataFrame]
+MODULES = (retrieval, evaluation, corpus, logs, compliance, streams)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").count()
+    """The twenty best documents for every question, by BM25."""
+    return retrieval.bm25_topk(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for m in MODULES for k, v in m.SQL.items()}
