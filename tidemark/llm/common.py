@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A word is a run of anything but these seven ASCII characters.
-SPACES = " \t\n\x0b\x0c\r"
+from tidemark.sources.storage import forget, written
+from tidemark.sources.tables import table
 
+__all__ = ["SPACES", "forget", "table", "tokenizer_path", "whole_text", "written"]
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: A word is a run of anything but these six ASCII characters.
+SPACES = " \t\n\x0b\x0c\r"
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -24,33 +21,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("tidemark.shared.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("tidemark.shared.dir", at)
-    return at
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: it is computed once, and a lost executor takes nothing with it."""
-    spark = df.sparkSession
-    at = f"{shared_dir(spark).rstrip('/')}/tidemark-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
-
-
-def forget(df: DataFrame) -> None:
-    """Deletes a table that written() made."""
-    spark = df.sparkSession
-    for at in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if re.search(r"/tidemark-[0-9a-f]{32}$", at):
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def whole_text(docs: DataFrame, text: str = "text") -> F.Column:
+def whole_text(docs: DataFrame, text: str = "text") -> Column:
     """The text as a string; null counts as empty.
 
     Python workers then take rows in smaller batches than the default, so that memory stays bounded for long texts.

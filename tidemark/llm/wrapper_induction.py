@@ -15,8 +15,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.sources.html import Node, blocks, parse
+
 from .common import written
-from .html_tree import Node, blocks, parse
 
 # Elements, and words in class, id or role, that say a part isn't the article.
 ASIDE_TAGS = frozenset("nav footer aside form button select dialog menu svg object audio video canvas".split())
