@@ -25,7 +25,7 @@ INLINE = frozenset(
 # Fixed values of HTML: what an opening element closes, and where that search ends.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
-    "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}),
+    "tr": ({"tr", "td", "th"}, {"table", "tbody"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}),
     "option": ({"option"}, {"select"}),
 }
 CLOSE_P = frozenset(
@@ -98,12 +98,14 @@ def parse(html: str) -> Node:
                     break
         if tag in CLOSES:
             own, scope = CLOSES[tag]
+            outermost = 0
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in scope:
                     break
                 if stack[i].tag in own:
-                    del stack[i:]
-                    break
+                    outermost = i
+            if outermost:
+                del stack[outermost:]
         node = Node(tag, marks_of(m[3].strip()) if m[3] else "")
         stack[-1].children.append(node)
         if tag not in VOID and not m[3].endswith("/"):

@@ -58,7 +58,7 @@ def records(fragments: DataFrame) -> DataFrame:
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         buffer = state.get[0] if state.exists else ""
-        rows = pd.concat(list(batches)).sort_values("seq")
+        rows = pd.concat([b for b in batches if len(b)]).sort_values("seq")
         out = []
         for text, last in zip(rows["fragment"], rows["last"], strict=True):
             *whole, buffer = (buffer + text).split("\n")
@@ -85,7 +85,7 @@ def breaker(calls: DataFrame, limit: int = 5, cool: float = 60.0) -> DataFrame:
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, since = state.get if state.exists else (0, -1.0)
-        rows = pd.concat(list(batches)).sort_values("t")
+        rows = pd.concat([b for b in batches if len(b)]).sort_values("t")
         out = []
         for t, bad in zip(rows["t"], rows["bad"], strict=True):
             if since >= 0 and t - since < cool:
