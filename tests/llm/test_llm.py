@@ -440,7 +440,8 @@ def test_personal_data(spark, docs, texts):
     assert got[1].redacted == "x <EMAIL> <IP> and <CARD> or <PHONE>"
     assert got[1].base_sha256 == hashlib.sha256(got[1].spans.encode()).hexdigest()
     assert got[2].spans == "" and got[2].redacted is None and got[2].base_sha256 == hashlib.sha256(b"").hexdigest()
-    assert got[3].spans == "email:0:11,email:3:11" and got[3].n_added == 1 and got[3].redacted == "<EMAIL>"
+    # The source has 12 code points, the hidden one at 2.
+    assert got[3].spans == "email:0:12,email:3:12" and got[3].n_added == 1 and got[3].redacted == "<EMAIL>"
     assert pii.find_personal_data(docs).count() == len(texts)
 
 
