@@ -445,6 +445,42 @@ def test_personal_data(spark, docs, texts):
     assert pii.find_personal_data(docs).count() == len(texts)
 
 
+def test_pipeline(spark, texts, tokenizer, tmp_path):
+    """run() against the stages as a plain program: without labels only the base rules decide in the first."""
+    import corpus_pipeline
+
+    rows = [*texts, (1500, "mail me: a@b.co " + " ".join(f"w{i}" for i in range(80)), "en", "s0", 1)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    counts = [brute_counts(r[1]) for r in rows]
+    docs = [r[:2] for r, (n, *_, rep) in zip(rows, counts, strict=True) if n >= 50 and 100 * rep <= 50 * n]
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in (words_of(t) for _, t in docs)]
+    group = list(range(len(docs)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b) and group[i] != group[j]:
+                group = [group[j] if g == group[i] else g for g in group]
+    least = {}
+    for (i, _), g in zip(docs, group, strict=True):
+        if i is not None:
+            least[g] = min(i, least.get(g, i))
+    first = {i: t for (i, t), g in zip(docs, group, strict=True) if i is not None and least[g] == i}
+    docs = [*first.items(), *((i, t) for i, t in docs if i is None)]
+    seqs = [t.encode() for _, t in docs]
+    left = [bytes(c for c, x in zip(s, on, strict=True) if not x).decode("utf-8", "ignore") for s, on in zip(seqs, covered(seqs, 200), strict=True)]
+    want = Counter()
+    for (i, _), t in zip(docs, left, strict=True):
+        t = pii.redact(t, [x + y for x, y in zip(*pii.find(t), strict=True)])
+        ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 0]
+        assert len(ids) <= 2048
+        want[i, 0, 0, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    assert len({r.sequence_id for r in got}) == brute_best_fit([r.length for r in got], 2048)
+    assert 1500 in {r.doc_id for r in got} and len(got) < len(rows)
+
+
 def test_empty_tables(spark, none):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     path = common.tokenizer_path()
