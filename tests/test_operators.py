@@ -153,3 +153,18 @@ def test_html_tables_and_paragraphs(spark):
     df = spark.createDataFrame([(1, page), (2, None)], "page_id long, html string")
     assert [r.text for r in html.paragraphs(df).orderBy("n").collect()] == ["T & t", "one two", "three", "a", "b", "c"]
     assert [r.cells for r in html.tables(df).orderBy("row_no").collect()] == [["a", "b"], ["c"]]
+
+
+def test_rules_in_blocks(spark):
+    texts = spark.createDataFrame([(1, "late fee due"), (2, "no words"), (3, None), (4, "fee 12 x")], "id long, text string")
+    rules = spark.createDataFrame([(f"r{i}", "low", k, r"\d\d") for i, k in enumerate(["fee", "late", "zz", "", "fee"])], "rule string, severity string, keyword string, pattern string")
+    got = lambda **x: sorted(map(tuple, cp.rule_hits(texts, rules, **x).collect()))
+    assert len(cp.broadcast_blocks(rules, 100)) > 1
+    assert len(cp.broadcast_blocks(rules)) == 1 == len(cp.broadcast_blocks(rules.limit(0)))
+    want = [(1, "r0"), (1, "r1"), (1, "r3"), (1, "r4"), (2, "r3"), *((4, f"r{i}") for i in range(5))]
+    assert got() == got(most=100) == [(i, r, "low") for i, r in want]
+    words = spark.createDataFrame([("a", 0, "fee"), ("b", 1, "late"), ("a", 0, "x")], "category string, cat_pos int, keyword string")
+    scored = lambda **x: sorted(map(tuple, cp.classify(texts, words, "id", "text", "text", **x).collect()))
+    assert scored() == scored(most=80) == [(1, "b", 12.0), (4, "a", 12.0)]
+    with pytest.raises(ValueError, match="blocks"):
+        cp.broadcast_blocks(rules, 10)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,9 @@ from pyspark.sql import functions as F
 WEIGHTS = {"high": 20, "medium": 10, "low": 5}
 GRADES = ((90, "A"), (75, "B"), (60, "C"))
 
+#: The largest part of a table of rules or keywords that is broadcast at once.
+BROADCAST_BYTES = 8 << 20
+
 
 def clauses(text: Column, marker: str = r"(?m)^(\d+(?:\.\d+)+)\s") -> Column:
     """Clause numbers in a text, in order."""
@@ -20,24 +25,42 @@ def number_key(number: Column) -> Column:
     return F.transform(F.split(number, r"\."), lambda x: x.cast("int"))
 
 
-def classify(docs: DataFrame, keywords: DataFrame, id_col: str, name: str, body: str, head: int = 2000) -> DataFrame:
+def broadcast_blocks(rows: DataFrame, most: int = BROADCAST_BYTES) -> list[DataFrame]:
+    """rows, measured and cut by hash into blocks to broadcast, none over `most` bytes.
+
+    Raises ValueError where 4096 blocks don't suffice, as for a single row over that size.
+    """
+    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in rows.columns), F.lit(64))
+    n = 1
+    while n <= 4096:
+        block = F.pmod(F.xxhash64(*rows.columns), F.lit(n))
+        largest = rows.groupBy(block.alias("b")).agg(F.sum(size).alias("s")).agg(F.max("s")).first()[0] or 0
+        if largest <= most:
+            return [F.broadcast(rows.where(block == i) if n > 1 else rows) for i in range(n)]
+        n *= 2
+    raise ValueError(f"4096 blocks of {most} bytes don't hold the rows")
+
+
+def classify(docs: DataFrame, keywords: DataFrame, id_col: str, name: str, body: str, head: int = 2000, most: int = BROADCAST_BYTES) -> DataFrame:
     """id, category, score: half a keyword's length, five times in the name, once in the first characters of the body.
 
-    keywords: category, cat_pos, keyword; a small fixed dictionary. Ties go to the first category.
+    keywords: category, cat_pos, keyword; a dictionary that meets the documents in blocks of `most` bytes. Ties go to
+    the first category.
     """
-    hit = docs.select(F.col(id_col).alias("id"), F.lower(name).alias("n"), F.lower(F.substring(body, 1, head)).alias("b")).join(
-        F.broadcast(keywords), F.contains("n", "keyword") | F.contains("b", "keyword")
-    )
+    texts = docs.select(F.col(id_col).alias("id"), F.lower(name).alias("n"), F.lower(F.substring(body, 1, head)).alias("b"))
+    found = F.contains("n", "keyword") | F.contains("b", "keyword")
+    hit = reduce(DataFrame.unionByName, [texts.join(k, found) for k in broadcast_blocks(keywords, most)])
     part = F.length("keyword") / 2 * (F.when(F.contains("n", "keyword"), 5).otherwise(0) + F.when(F.contains("b", "keyword"), 1).otherwise(0))
     scored = hit.groupBy("id", "category", "cat_pos").agg(F.sum(part).alias("score"))
     best = Window.partitionBy("id").orderBy(F.desc("score"), "cat_pos")
     return scored.withColumn("_n", F.row_number().over(best)).where("_n = 1").select("id", "category", "score")
 
 
-def rule_hits(texts: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rows of texts (id, text) that a rule (rule, severity, keyword, pattern) matches; rules are a small fixed table."""
+def rule_hits(texts: DataFrame, rules: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Rows of texts (id, text) that a rule (rule, severity, keyword, pattern) matches; rules come in blocks of `most` bytes."""
     hit = F.contains(F.col("text"), F.col("keyword")) | F.expr("text rlike pattern")
-    return texts.join(F.broadcast(rules), hit).select("id", "rule", "severity")
+    found = reduce(DataFrame.unionByName, [texts.join(r, hit) for r in broadcast_blocks(rules, most)])
+    return found.select("id", "rule", "severity")
 
 
 def rule_score(hits: DataFrame, ids: DataFrame) -> DataFrame:
