@@ -414,6 +414,31 @@ def test_disguises():
         assert pii.disguised(text) == [[], [], [], []]
 
 
+def test_disguises_in_plain_words():
+    """Any last label, dots of the local part, dot words between numerals, numerals among digit words."""
+    for text, want in {
+        "ask anna at example dot pl today": "email:anna at example dot pl",
+        "ask anna at example dot dev, today": "email:anna at example dot dev",
+        "ask anna at mail dot example.com today": "email:anna at mail dot example.com",
+        "ask anna at example dot co dot uk today": "email:anna at example dot co dot uk",
+        "ask anna dot berg at example dot com today": "email:anna dot berg at example dot com",
+        "ask anna dot m dot berg@example dot com": "email:anna dot m dot berg@example dot com",
+        "ask anna dot berg at example.com": "email:anna dot berg at example.com",
+        "host 192 dot 168 dot 1 dot 1 down": "ip:192 dot 168 dot 1 dot 1",
+        "host 192 dot one six eight dot 1 dot one down": "ip:192 dot one six eight dot 1 dot one",
+        "call +49 one five one 2345678 now": "phone:+49 one five one 2345678",
+        "pay 4111 1111 one one one one 1111 now": "card:4111 1111 one one one one 1111",
+    }.items():
+        base, added = pii.find(text)
+        found = [f"{k}:{text[a:b]}" for k, own in zip(pii.KINDS, added, strict=True) for a, b in own]
+        assert found == [want] and not any(base), text
+        assert pii.redact(text, added) == text.replace(want.split(":", 1)[1], f"<{want.split(':')[0].upper()}>")
+    for text in ("we arrived at this point the rain fell", "look at example.com", "he looked at each dot and left", "at 3 point 5 and one of 2"):
+        assert pii.disguised(text) == [[], [], [], []], text
+    text = "+49 30 1234567 one day"
+    assert [text[a:b] for x in pii.find(text) for own in x for a, b in own] == ["+49 30 1234567"]
+
+
 def test_base_patterns():
     import re
 

@@ -60,8 +60,14 @@ ONE_TO_ONE = _one_to_one()
 #: Signs without width, which only part the characters around them.
 HIDDEN = "\u00ad\u200b\u200c\u200d\u200e\u2060\ufeff"
 ODD = frozenset(HIDDEN) | {chr(c) for c in ONE_TO_ONE}
-# The last labels that plain words may end with.
-LAST_LABELS = ("com", "org", "net", "edu", "gov", "info", "biz", "int", "mil", "io", "co", "me", "eu", "us", "uk", "de", "fr", "es", "it", "nl", "ch", "at", "be", "ca", "au", "mx", "ar", "br", "in", "jp", "cn", "ru")
+# Last labels that need no more evidence.
+LAST_LABELS = frozenset(("com", "org", "net", "edu", "gov", "info", "biz", "int", "mil", "io", "co", "me", "eu", "us", "uk", "de", "fr", "es", "it", "nl", "ch", "at", "be", "ca", "au", "mx", "ar", "br", "in", "jp", "cn", "ru"))
+# Words of the four languages, none of them a top-level domain, that go on a sentence after "dot".
+NO_LABELS = frozenset(
+    "the and or of on if an that this these those with when then which what where who was were are has had have will would can could they you she he we "
+    "his her our their there but not from into und der das den dem die ein eine ist nicht mit wir ich sie auf le les une des que qui pour dans sur nous "
+    "vous il el los las del una por para con".split()
+)
 
 
 def odd(text: str) -> bool:
@@ -80,19 +86,19 @@ _digit = rf"(?:{_any(DIGIT_WORDS)})"
 _open, _close, _label = r"[\[({<]", r"[\])}>]", r"[A-Za-z0-9-]+"
 BRACKETED_AT = re.compile(rf"\s*{_open}\s*(?:{_any(AT_WORDS)}|@)\s*{_close}\s*", re.I)
 BRACKETED_DOT = re.compile(rf"\s*{_open}\s*(?:{_any(DOT_WORDS)}|\.)\s*{_close}\s*", re.I)
-#: "name at host dot tld", in plain words: at least one dot must be a word, or any sentence with "at" would do.
-PLAIN = re.compile(
-    rf"(?<=[A-Za-z0-9._%+-])(?P<at>\s+(?:{_any(AT_WORDS)})\s+|@){_label}(?:(?:\s+(?:{_any(DOT_WORDS)})\s+|\.){_label})*?"
-    rf"(?:\s+(?:{_any(DOT_WORDS)})\s+)(?:{_any(LAST_LABELS)})(?![A-Za-z0-9-])",
-    re.I,
-)
-DOT_IN = re.compile(rf"\s+(?:{_any(DOT_WORDS)})\s+", re.I)
-#: At least four digit words in a row, with "plus" before and "dot" between.
-SPELLED = re.compile(
-    rf"(?<!\w)(?:(?:{_any(PLUS_WORDS)})[\s,-]+)?{_digit}(?:[\s,-]+(?:(?:{_any(DOT_WORDS)})[\s,-]+)?{_digit}){{3,}}(?!\w)", re.I
+_dot = rf"(?:\s+(?:{_any(DOT_WORDS)})\s+|\.)"
+#: "name at host dot tld", in plain words; _address() tells how far it goes, and whether it is one.
+PLAIN = re.compile(rf"(?<=[A-Za-z0-9._%+-])(?P<at>\s+(?P<word>{_any(AT_WORDS)})\s+|@){_label}(?:{_dot}{_label})+", re.I)
+STEP = re.compile(rf"(?P<dot>\s+(?P<word>{_any(DOT_WORDS)})\s+|\.)(?P<label>{_label})", re.I)
+#: A dot word between numerals.
+NUMERAL_DOT = re.compile(rf"(?<=[0-9])\s+(?:{_any(DOT_WORDS)})\s+(?=[0-9])", re.I)
+_item, _between = rf"(?:{_digit}|[0-9]++)", rf"(?:[\s,-]++(?:(?:{_any(DOT_WORDS)})[\s,-]++)?|\.)"
+#: Digit words in a row, also among numerals, with "plus" before and "dot" between.
+SPELLED = re.compile(rf"(?<!\w)(?:(?:{_any(PLUS_WORDS)})[\s,-]+)?{_item}(?:{_between}{_item})+(?!\w)", re.I)
+SPELLED_PART = re.compile(
+    rf"(?P<digit>{_digit})|(?P<numeral>[0-9]+)|(?P<dot>[\s,-]*(?:{_any(DOT_WORDS)})[\s,-]*|\.)|(?P<plus>{_any(PLUS_WORDS)})|[\s,-]+", re.I
 )
-SPELLED_PART = re.compile(rf"(?P<digit>{_digit})|(?P<dot>{_any(DOT_WORDS)})|(?P<plus>{_any(PLUS_WORDS)})|[\s,-]+", re.I)
-SPELLED_HINT = re.compile(rf"(?<!\w){_digit}[\s,-]+(?:\w+[\s,-]+)?{_digit}(?!\w)", re.I)
+SPELLED_HINT = re.compile(rf"(?<!\w)(?:{_digit}|[0-9]++)(?:[\s,-]++(?:\w+[\s,-]+)?|\.){_digit}(?!\w)|(?<!\w){_digit}\.[0-9]", re.I)
 PLAIN_HINT = re.compile(rf"\s(?:{_any(DOT_WORDS)})\s", re.I)
 BRACKET_HINT = re.compile(rf"{_open}\s*(?:{_any(AT_WORDS)}|@|{_any(DOT_WORDS)}|\.)\s*{_close}", re.I)
 
@@ -191,24 +197,104 @@ def _brackets(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _dots_before(text: str, at: int, floor: int) -> list[tuple[int, int, str]]:
+    """Dot words of the local part that ends at `at`: start, end, word, the last first."""
+    found = []
+    while True:
+        while at > floor and text[at - 1] in LOCAL:
+            at -= 1
+        end = at
+        while at > floor and text[at - 1].isspace():
+            at -= 1
+        stop = at
+        while at > floor and text[at - 1].isalpha():
+            at -= 1
+        word, start = text[at:stop].lower(), at
+        while start > floor and text[start - 1].isspace():
+            start -= 1
+        if end == stop or start == at or start == floor or text[start - 1] not in LOCAL or word not in DOT_WORDS:
+            return found
+        found.append((start, end, word))
+        at = start
+
+
+def _address(text: str, m: re.Match, floor: int) -> tuple[int, list[tuple[int, int, str]]] | None:
+    """The end and the edits of an address in plain words, or None if the match is none.
+
+    It needs a dot word, in the host or the local part. The host goes on as far as its dot word stays the same, and ends
+    with letters that no sentence goes on with. As "at this point" is usual, "at" with "point" needs a known last label.
+    """
+    steps, used = [], None
+    for step in STEP.finditer(text, m.end("at"), m.end()):
+        word = step["word"] and step["word"].lower()
+        if word and used and word != used:
+            break
+        used = used or word
+        steps.append(step)
+    before = _dots_before(text, m.start("at"), floor)
+    plain_point = used == "point" and m["word"] and m["word"].lower() == "at"
+    while steps:
+        last = steps[-1]["label"].lower()
+        if last in LAST_LABELS or not plain_point and len(last) > 1 and last.isalpha() and last not in NO_LABELS:
+            break
+        steps.pop()
+    # Words alike in host and local part; by itself, only "dot" can't be part of a sentence.
+    worded = any(step["word"] for step in steps)
+    own = 0
+    while own < len(before) and before[own][2] == (used if worded else "dot"):
+        own += 1
+    if not steps or not (worded or own):
+        return None
+    edits = [(a, b, ".") for a, b, _ in reversed(before[:own])]
+    if m["word"]:
+        edits.append((*m.span("at"), "@"))
+    return steps[-1].end(), edits + [(*step.span("dot"), ".") for step in steps if step["word"]]
+
+
 def _plain(text: str) -> list[tuple[int, int, str]]:
-    out = []
-    for m in PLAIN.finditer(text):
-        if m["at"] != "@":
-            out.append((*m.span("at"), "@"))
-        out += [(*d.span(), ".") for d in DOT_IN.finditer(text, m.end("at"), m.end())]
+    out, floor = [], 0
+    m = PLAIN.search(text)
+    while m:
+        if found := _address(text, m, floor):
+            floor, edits = found
+            out += edits
+        m = PLAIN.search(text, floor if found else m.end("at"))
     return out
 
 
 def _spelled(text: str) -> list[tuple[int, int, str]]:
+    """Digit words as digits, without the space around them; numerals and what is between them stay.
+
+    One word at the edge of numerals may belong to the sentence ("+49 30 1234567 one day"), unless a dot joins it to them.
+    """
     out = []
     for run in SPELLED.finditer(text):
-        for m in SPELLED_PART.finditer(text, *run.span()):
-            new = DIGIT_WORDS[m["digit"].lower()] if m["digit"] else "." if m["dot"] else "+" if m["plus"] else ""
-            out.append((*m.span(), new))
+        parts = list(SPELLED_PART.finditer(text, *run.span()))
+        items = [i for i, m in enumerate(parts) if m["digit"] or m["numeral"]]
+        words = [i for i in items if parts[i]["digit"]]
+        if not words or sum(len(parts[i]["numeral"] or "1") for i in items) < 4:
+            continue
+        if len(words) == 1:
+            i = words[0]
+            joined = any(parts[j]["dot"] for j in (i - 1, i + 1) if 0 <= j < len(parts))
+            if i in (items[0], items[-1]) and not joined:
+                continue
+        for i, m in enumerate(parts):
+            if m["digit"]:
+                out.append((*m.span(), DIGIT_WORDS[m["digit"].lower()]))
+            elif m["dot"]:
+                out.append((*m.span(), "."))
+            elif m["plus"]:
+                out.append((*m.span(), "+"))
+            elif not m["numeral"] and any(parts[j]["digit"] or parts[j]["plus"] for j in (i - 1, i + 1)):
+                out.append((*m.span(), ""))
     return out
 
 
+def _numeral_dots(text: str) -> list[tuple[int, int, str]]:
+    return [(*m.span(), ".") for m in NUMERAL_DOT.finditer(text)]
+
+
 def disguised(text: str) -> list[list[Span]]:
     """Spans of the source, per kind, that the detectors find once the disguises are undone."""
     strange = odd(text)
@@ -217,7 +303,7 @@ def disguised(text: str) -> list[list[Span]]:
         return [[] for _ in KINDS]
     now = text.translate(ONE_TO_ONE) if strange else text  # character by character: places stay
     layers = []
-    for rewrite in (_hidden, _brackets, _plain, _spelled):
+    for rewrite in (_hidden, _brackets, _plain, _spelled, _numeral_dots):
         if edits := rewrite(now):
             layers.append(Rewritten(now, edits))
             now = layers[-1].text
