@@ -390,6 +390,19 @@ def test_html_extraction(spark):
     assert wrapper_induction.extract_main_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("tag", ["article", "div class='c'", "main"])
+def test_html_extraction_of_near_copies(spark, tag):
+    """Only a text that was voted constant goes, never another one on its path; an article element keeps all."""
+    end, rows, want = tag.split()[0], [], {}
+    for i in range(40):
+        body = "The same body" if i % 20 else f"A body of its own {i}"
+        rows.append((i, f"https://a.example/{i}", page(f"<{tag}><h1>Title {i}</h1><p>{body}</p><h2>Line {i % 2}</h2></{end}>", i)))
+        want[i] = f"Title {i}\n" + (f"{body}\n" if tag == "article" or not i % 20 else "") + f"Line {i % 2}"
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    got = {r.page_id: r.text for r in wrapper_induction.extract_main_text(df).collect()}
+    assert got == want
+
+
 # 10
 
 

@@ -1,18 +1,21 @@
 """HTML extraction by wrapper induction.
 
 Pages of a host are sorted together, and each is aligned with the one before it by simple tree matching: the largest
-set of matched nodes that keeps parents and order. A matched node with the same text votes for template, one with other
-text for slot. Votes are counted per host and path; a page's content is the text of slots in its article.
+set of matched nodes that keeps parents and order. A block of text that both pages have on a matched path votes for
+itself as a constant. Votes are counted per host, path and text, so that a path may hold constants and content side by
+side; a page's content is its article element, and of any other part the blocks that aren't constants.
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import re
 from collections.abc import Iterator
 
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.sources.html import Node, blocks, parse
@@ -30,8 +33,11 @@ ASIDE_WORDS = re.compile(
 )
 HEADER = re.compile(r"/(?:header(?:\.[^/]*)?|[^/.]+\.(?:[^/]*[\s_-])?(?:header|masthead|topbar|site-title)(?:[\s_-][^/]*)?)(?=/|$)")
 ARTICLE = re.compile(r"/(?:article|main)(?=[./]|$)|/[^/.]+\.(?:[^/]*\s)?(?:articlebody|main|article|post-content|entry-content|article-body)(?=[\s/]|$)")
+#: What holds only the article, so that none of its blocks is taken for template; main may also hold what is around it.
+WHOLE = re.compile(r"/article(?=[./]|$)|/[^/.]+\.(?:[^/]*\s)?(?:articlebody|article|post-content|entry-content|article-body)(?=[\s/]|$)")
 
 
+@functools.lru_cache(1 << 14)
 def is_aside(path: str) -> bool:
     """Whether an element on the path is a menu, footer, advert, form, comment or the like."""
     for part in path.split("/"):
@@ -93,9 +99,20 @@ def match(a: Shape, b: Shape) -> tuple[int, list[tuple[Shape, Shape]]]:
     return size[m][n] + 1, pairs
 
 
-def votes(a: Shape, b: Shape) -> list[tuple[str, bool]]:
-    """(path, same text) of the matched nodes with text; nothing from pages that differ nowhere."""
+def lines_of(found: list[tuple[str, str]]) -> dict[str, set[str]]:
+    """The texts of a page's blocks, per path that may hold template."""
+    lines: dict[str, set[str]] = {}
+    for path, text in found:
+        if not is_aside(path) and not WHOLE.search(path):
+            lines.setdefault(path, set()).add(text)
+    return lines
+
+
+def votes(a: Shape, b: Shape, ours: dict[str, set[str]], theirs: dict[str, set[str]]) -> list[tuple[str, set[str]]]:
+    """(path, texts that both have) of the matched paths with text; nothing from pages that differ nowhere."""
     pairs = match(a, b)[1]
+    if all(x.text == y.text for x, y in pairs):
+        return []
     paths: dict[int, str] = {}
 
     def name(x: Shape, at: str) -> None:
@@ -104,8 +121,13 @@ def votes(a: Shape, b: Shape) -> list[tuple[str, bool]]:
             name(c, f"{at}/{c.label}")
 
     name(a, "")
-    found = [(paths[id(x)], x.text == y.text) for x, y in pairs if x.text or y.text]
-    return found if any(not same for _, same in found) else []
+    matched = dict.fromkeys(paths[id(x)] for x, _ in pairs)
+    return [(p, ours.get(p, set()) & theirs.get(p, set())) for p in matched if p in ours or p in theirs]
+
+
+def line_key(path: str, text: str) -> str:
+    """A path and a text on it."""
+    return path + hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
 
 
 def content(found: list[tuple[str, str]], template: set[str]) -> str:
@@ -114,7 +136,7 @@ def content(found: list[tuple[str, str]], template: set[str]) -> str:
     article = [x for x in kept if ARTICLE.search(x[0])]
     if not article:
         article = [x for x in kept if not HEADER.search(x[0])]
-    slots = [x for x in article if x[0] not in template]
+    slots = [x for x in article if not template or WHOLE.search(x[0]) or line_key(*x) not in template]
     return "\n".join(t for _, t in slots or article)
 
 
@@ -129,9 +151,11 @@ def extract_main_text(
 ) -> DataFrame:
     """One row per row of pages: page_id, url, text, n_chars.
 
-    text: the blocks of the article in page order, joined by a line feed. A path is template for a host if at least
-    `share` of at least `least_votes` aligned pairs of its pages have the same text there. Where a page's whole article
-    is template (a host that serves one page over and over), the article stays.
+    text: the blocks of the article in page order, joined by a line feed. A text on a path is template for a host if at
+    least `share` of at least `least_votes` aligned pairs of its pages both have it there; other texts on the path stay,
+    and so does all in an article element. Where a page's whole article is template (a host that serves one page over
+    and over), the article stays. On a host without article elements whose pages are mostly near copies, what these have
+    in common can't be told from template and goes from the copies.
 
     Null html: an empty text. A null or odd url: such pages share one host. Repeated pages align without votes, as they
     differ nowhere. Other columns are ignored; an empty table gives no rows. Pages are dealt by host and page, so that a
@@ -144,19 +168,20 @@ def extract_main_text(
     ).withColumn("host", host_of(F.col("url")))
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        host, before, press = None, None, zstandard.ZstdDecompressor()
+        host, before, had, press = None, None, {}, zstandard.ZstdDecompressor()
         for b in batches:
-            out: dict[tuple[str, str], list[int]] = {}
+            out: dict[tuple[str, str, str | None], int] = {}
             parsed = []
             for h, html in zip(b["host"].tolist(), b["html"].tolist(), strict=True):
                 tree = parse(press.decompress(html).decode("utf-8", "surrogatepass"))
-                shape = Shape("", [tree])
+                shape, found = Shape("", [tree]), blocks(tree)
+                lines = lines_of(found)
                 if h == host:
-                    for path, same in votes(before, shape):
-                        n = out.setdefault((h, path), [0, 0])
-                        n[same] += 1
-                host, before = h, shape
-                parsed.append(blocks(tree))
+                    for path, same in votes(before, shape, had, lines):
+                        for key in (None, *(line_key(path, t) for t in same)):
+                            out[h, path, key] = out.get((h, path, key), 0) + 1
+                host, before, had = h, shape, lines
+                parsed.append(found)
             yield pd.DataFrame(
                 {
                     "page_id": b["page_id"].astype("Int64"),
@@ -165,13 +190,13 @@ def extract_main_text(
                     "paths": [[p for p, _ in x] for x in parsed],
                     "texts": [[t for _, t in x] for x in parsed],
                     "path": None,
-                    "slot": 0,
-                    "same": 0,
+                    "line": None,
+                    "n": 0,
                 }
             )
             if out:
-                made = [(h, path, slot, same) for (h, path), (slot, same) in out.items()]
-                yield pd.DataFrame(made, columns=["host", "path", "slot", "same"]).assign(
+                made = [(*key, n) for key, n in out.items()]
+                yield pd.DataFrame(made, columns=["host", "path", "line", "n"]).assign(
                     page_id=pd.array([None] * len(made), "Int64"), url=None, paths=None, texts=None
                 )
 
@@ -180,18 +205,19 @@ def extract_main_text(
         for b in batches:
             yield b.assign(html=[press.compress(x.encode("utf-8", "surrogatepass")) for x in b["html"]])
 
-    # Rows with a path are votes, the others pages; one pass over the pages makes both.
+    # Rows with a path are votes (without a line, the pairs aligned there), the others pages; one pass over the pages makes both.
     rows = rows.mapInPandas(packed, "page_id long, url string, html binary, host string")
     dealt = rows.repartitionByRange("host", "page_id").sortWithinPartitions("host", "page_id")
     both = written(
         dealt.mapInPandas(
             learn,
-            "page_id long, url string, host string, paths array<string>, texts array<string>, path string, slot long, same long",
+            "page_id long, url string, host string, paths array<string>, texts array<string>, path string, line string, n long",
         )
     )
-    counted = both.where("path is not null").groupBy("host", "path").agg(F.sum("slot").alias("slot"), F.sum("same").alias("same"))
-    fixed = counted.where((F.col("slot") + F.col("same") >= least_votes) & (F.col("same") >= share * (F.col("slot") + F.col("same"))))
-    template = written(fixed.groupBy("host").agg(F.collect_list("path").alias("template")))
+    counted = both.where("path is not null").groupBy("host", "path", "line").agg(F.sum("n").alias("n"))
+    pairs = F.max(F.when(F.col("line").isNull(), F.col("n"))).over(Window.partitionBy("host", "path"))
+    fixed = counted.withColumn("pairs", pairs).where(F.col("line").isNotNull() & (F.col("pairs") >= least_votes) & (F.col("n") >= share * F.col("pairs")))
+    template = written(fixed.groupBy("host").agg(F.collect_list("line").alias("template")))
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
