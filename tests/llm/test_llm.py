@@ -150,6 +150,23 @@ def test_exact_top_k(spark):
     assert pivot_index.top_k(few, "vec_id % 2 = 0").count() == 6
 
 
+def test_exact_top_k_of_repeated_queries_and_lengths(spark):
+    """Copies of a query are one query with k results, another vector under its id is one more, each length has its own."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(300, 8)).astype(np.float32)
+    rows = [(i, x) for i, x in enumerate(v)]
+    rows += [(0, v[0])] * 2 + [(50, v[51])] + [(7, v[7])]  # two copies of a query's row, another vector under a query's id, a copy of a result
+    rows += [(i, x) for i, x in enumerate(rng.normal(size=(40, 5)).astype(np.float32), 1000)]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in rows], "vec_id long, embedding array<float>")
+    got = pivot_index.top_k(df, "vec_id % 50 = 0", block=16, group=4, pivots=8).collect()
+    scaled = [(i, np.floor(1024 * x.astype(np.float64)).astype(np.int64)) for i, x in rows]
+    want = []
+    for i, q in {(i, tuple(x)) for i, x in scaled if i % 50 == 0}:
+        scores = sorted((-int(x @ np.array(q)), j) for j, x in scaled if j != i and len(x) == len(q))[:10]
+        want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scores)]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
 # 3 and 4
 
 

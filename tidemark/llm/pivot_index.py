@@ -8,6 +8,7 @@ promising annuli; the k-th scores found there then stop all annuli whose bound l
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,7 @@ from .common import written
 
 #: Larger components would let scores leave 64 bits; such vectors take no part.
 LARGEST = 1 << 26
+OUT_SCHEMA = "query_id long, rank int, vec_id long, score long"
 
 
 def scaled(x: np.ndarray | None, dim: int, scale: int) -> np.ndarray | None:
@@ -117,15 +119,25 @@ def top_k(
     exact integers, ties go to smaller ids. The pivots come from the `sample` vectors with the smallest hash of their id
     (they only steer the search, every vector is indexed). Nothing is dropped or capped.
 
-    Vectors take no part if they are null, empty, hold null, non-finite or huge components (2^26 and more, scaled), have
-    no id, or not the most common number of components (of equally common ones the smallest). A row that repeats a
-    query's id isn't among its results; other repeated rows each are. Other columns are ignored; an empty table gives
-    no rows.
+    Vectors take no part if they are null, empty, hold null, non-finite or huge components (2^26 and more, scaled: their
+    scores may leave 64 bits), or have no id. A query meets the vectors with as many components as its own; each number of
+    components that queries have is a search of its own. A query's row that is repeated is one query; rows with its id and
+    another vector are queries of their own, each with its own ranks. A row that repeats a query's id isn't among its
+    results; other repeated rows each are. Other columns are ignored; an empty table gives no rows.
     """
-    spark = vectors.sparkSession
     rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vector_col].alias("x")).where("vec_id is not null")
-    sizes = rows.where("size(x) > 0").groupBy(F.size("x").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    dim = sizes.dim if sizes else 0
+    asked = rows.where("size(x) > 0").where(queries).select(F.size("x").alias("dim")).distinct().orderBy("dim").collect()
+    if not asked:
+        return vectors.sparkSession.createDataFrame([], OUT_SCHEMA)
+    parts = [_top_k(rows, r.dim, queries, k, scale, pivots, sample, block, group, first_blocks) for r in asked]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _top_k(
+    rows: DataFrame, dim: int, queries: str, k: int, scale: int, pivots: int, sample: int, block: int, group: int, first_blocks: int
+) -> DataFrame:
+    """top_k among the vectors of `dim` components. rows: vec_id, x."""
+    spark = rows.sparkSession
 
     def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -135,9 +147,8 @@ def top_k(
 
     rows = rows.mapInPandas(clean, "vec_id long, v binary")
     picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
-    out_schema = "query_id long, rank int, vec_id long, score long"
     if not picked:
-        return spark.createDataFrame([], out_schema)
+        return spark.createDataFrame([], OUT_SCHEMA)
     points = choose_pivots(np.array([np.frombuffer(r.v, np.int32) for r in picked], np.float64), pivots)
     shared = spark.sparkContext.broadcast(points)
 
@@ -151,7 +162,8 @@ def top_k(
 
     keyed = written(rows.mapInPandas(assign, "vec_id long, v binary, pivot int, r double"))
     index = written(_blocks(keyed, block))
-    asked = written(_blocks(keyed.where(queries), group).select(F.col("block").alias("q"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")))
+    # A query's place in the blocks, q and row, tells queries with the same id apart.
+    asked = written(_blocks(keyed.where(queries).distinct(), group).select(F.col("block").alias("q"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")))
 
     def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """For each block of queries and pivot: the range of distances, the highest product and norm."""
@@ -186,7 +198,7 @@ def top_k(
             out = []
             for row, (ids, scores) in enumerate(held):
                 i = best(ids, scores, k)
-                out.append(pd.DataFrame({"query_id": q_ids[row], "vec_id": ids[i], "score": scores[i]}))
+                out.append(pd.DataFrame({"q": now, "row": row, "query_id": q_ids[row], "vec_id": ids[i], "score": scores[i]}))
             return pd.concat(out)
 
         now, q_ids, held = None, np.empty(0, np.int64), []
@@ -210,20 +222,20 @@ def top_k(
 
     def search(pairs: DataFrame) -> DataFrame:
         full = pairs.select("q", "block").join(index.select("block", "ids", "vectors"), "block").join(asked, "q")
-        return full.sortWithinPartitions("q").mapInPandas(score, "query_id long, vec_id long, score long")
+        return full.sortWithinPartitions("q").mapInPandas(score, "q long, row int, query_id long, vec_id long, score long")
 
     start = written(search(ranked.where(F.col("n") <= first_blocks)))
-    by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    kth = start.withColumn("n", F.row_number().over(by_query)).where(F.col("n") == k).select("query_id", F.col("score").alias("kth"))
+    by_query = Window.partitionBy("q", "row").orderBy(F.desc("score"), "vec_id")
+    kth = start.withColumn("n", F.row_number().over(by_query)).where(F.col("n") == k).select("q", "row", F.col("score").alias("kth"))
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            ids = [np.frombuffer(x, np.int64) for x in b["q_ids"]]
-            yield pd.DataFrame({"q": np.repeat(b["q"].to_numpy(), [len(x) for x in ids]), "query_id": np.concatenate(ids)})
+            sizes = [len(x) // 8 for x in b["q_ids"]]
+            yield pd.DataFrame({"q": np.repeat(b["q"].to_numpy(), sizes), "row": np.concatenate([np.arange(n) for n in sizes])})
 
-    member = asked.select("q", "q_ids").mapInPandas(members, "q long, query_id long")
+    member = asked.select("q", "q_ids").mapInPandas(members, "q long, row int")
     # A block of queries stops where all its queries do; one with fewer than k results so far never does.
-    stop = member.join(kth, "query_id", "left").groupBy("q").agg(F.min(F.coalesce("kth", F.lit(-(1 << 62)))).alias("stop"))
+    stop = member.join(kth, ["q", "row"], "left").groupBy("q").agg(F.min(F.coalesce("kth", F.lit(-(1 << 62)))).alias("stop"))
     rest = ranked.where(F.col("n") > first_blocks).join(stop, "q").where("bound >= stop")
     found = start.unionByName(search(rest)).withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
