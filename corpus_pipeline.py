@@ -6,7 +6,7 @@ documents, but the last, which returns packed pieces.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import common, lsh_forest, packing, pii, quality_rules, suffix_dedup
@@ -15,10 +15,11 @@ from tidemark.llm import common, lsh_forest, packing, pii, quality_rules, suffix
 ORACLE_SQL = None
 
 
-def _with_text(docs: DataFrame, text: F.Column) -> DataFrame:
-    """docs with another text, and n_chars to match."""
-    out = docs.withColumn("text", text)
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in out.columns else out
+def _replaced(docs: DataFrame, name: str, text: Column) -> Column:
+    """A column of the struct row, with another text, and n_chars to match."""
+    if name == "text":
+        return text
+    return F.length(text).cast("long") if name == "n_chars" else F.col("row").getField(name)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,25 +36,21 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = lsh_forest.near_duplicates(docs)
     first = found.where("doc_id = class_id").select("doc_id").distinct()
     named = docs.join(first, "doc_id", "left_semi")
-    again = Window.partitionBy("doc_id").orderBy(F.length("text").desc(), "text")
-    named = named.withColumn("_n", F.row_number().over(again)).where("_n = 1").drop("_n")
-    return named.unionByName(docs.where("doc_id is null"))
+    again = Window.partitionBy("row.doc_id").orderBy(F.length("row.text").desc(), "row.text")
+    named = named.select(F.struct(*(named[c] for c in named.columns)).alias("row")).withColumn("n", F.row_number().over(again))
+    return named.where("n = 1").select("row.*").unionByName(docs.where("doc_id is null"))
 
 
 def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings of 200 bytes that also start elsewhere; a document may be left with an empty text."""
-    found = suffix_dedup.suffix_dedup(docs)
-    # Rows alike in id and text get the same result, so one of each is enough to join every row back.
-    left = found.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "kept").dropDuplicates(["_id", "_tag"])
-    rows = docs.withColumn("_tag_", F.hash(common.whole_text(docs)))
-    joined = rows.drop("text").join(left, rows["doc_id"].eqNullSafe(left["_id"]) & (rows["_tag_"] == left["_tag"]))
-    out = _with_text(joined, suffix_dedup.whole_characters(F.col("kept")))
-    return out.select(*docs.columns)
+    rows = suffix_dedup.suffix_dedup(docs, with_row=True).select("row", suffix_dedup.whole_characters(F.col("kept")).alias("left"))
+    return rows.select(*(_replaced(docs, c, F.col("left")).alias(c) for c in docs.columns))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with personal data, plain or disguised, replaced by the name of its kind."""
-    return _with_text(docs, pii.redacted(F.col("text")))
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), pii.redacted(docs["text"]).alias("clean"))
+    return rows.select(*(_replaced(docs, c, F.col("clean")).alias(c) for c in docs.columns))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

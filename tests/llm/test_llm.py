@@ -193,18 +193,37 @@ def test_suffix_dedup(texts, docs, max_bucket):
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in got) == want
 
 
-def test_dedup_of_long_texts_in_parts(spark, monkeypatch):
-    rng = random.Random(2)
-    body = "".join(rng.choice("abcd ") for _ in range(3000))
-    df = spark.createDataFrame([(1, body, "", "", 0), (2, "x" + body[500:2600] + "y", "", "", 0)], SCHEMA)
-    from tidemark.llm import repeats
-
-    seqs = [body.encode(), ("x" + body[500:2600] + "y").encode()]
-    x = [repeats.BYTES.numbers(s) for s in seqs]
-    whole = {(int(a), int(s)) for a, _, s, w in zip(*repeats.segments(x[0], np.full(len(x[0]), len(x[0])), 200, 20), strict=True)}
-    assert whole
-    got = {r.doc_id: r.n_removed for r in suffix_dedup.suffix_dedup(df).collect()}
-    assert got == {1: 2100, 2: 2100}
+@pytest.mark.parametrize("max_bucket", [1 << 20, 50])
+def test_dedup_of_long_texts_in_parts(texts, docs, max_bucket):
+    """Parts of 300 units, far below the length of many texts, give what whole texts give."""
+    seqs = [words_of(t) for _, t, *_ in texts]
+    want = Counter((i, sum(on)) for (i, *_), on in zip(texts, covered(seqs, 35), strict=True))
+    got = substring_dedup.substring_dedup(docs, part=60, max_bucket=max_bucket, keep_text=False).collect()
+    assert Counter((r.doc_id, r.n_removed) for r in got) == want
+    seqs = [(t or "").encode() for _, t, *_ in texts]
+    want = Counter((i, sum(on)) for (i, *_), on in zip(texts, covered(seqs, 200), strict=True))
+    got = suffix_dedup.suffix_dedup(docs, part=300, max_bucket=max_bucket, keep_text=False).collect()
+    assert Counter((r.doc_id, r.n_removed) for r in got) == want
+
+
+def test_dedup_of_texts_with_equal_hashes(spark):
+    """Two texts without an id that hash() can't tell apart keep their own ranges."""
+    words = spark.range(300_000).select(F.concat(F.lit("t"), "id", F.repeat(F.lit(" filling"), 40)).alias("text")).withColumn("h", F.hash("text"))
+    pair = [r.text for r in words.join(words.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "h").orderBy("h").limit(2).collect()]
+    assert len(pair) == 2 and len(set(pair)) == 2
+    body = "".join(random.Random(1).choice("abc ") for _ in range(700))
+    rows = [(None, pair[0], "", "", 0), (None, pair[1] + body, "", "", 0), (None, body[:400], "", "", 0), (None, pair[1], "", "", 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for got, seqs, length in (
+        (substring_dedup.substring_dedup(df), [words_of(r[1]) for r in rows], 35),
+        (suffix_dedup.suffix_dedup(df), [r[1].encode() for r in rows], 200),
+    ):
+        assert sorted(r.n_removed for r in got.collect()) == sorted(map(sum, covered(seqs, length)))
+
+
+def test_dedup_carries_rows(docs, texts):
+    got = suffix_dedup.suffix_dedup(docs, with_row=True).select("doc_id", "kept", "row.*").collect()
+    assert Counter((r[0], r[4], r.tag, r.words) for r in got) == Counter((i, lang, "x", 1) for i, _, lang, *_ in texts)
 
 
 # 5

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.sources.storage import forget, written
 from tidemark.sources.tables import table
 
-__all__ = ["SPACES", "forget", "table", "tokenizer_path", "whole_text", "written"]
+__all__ = ["SPACES", "forget", "table", "text_keys", "tokenizer_path", "whole_text", "written"]
 
 #: A word is a run of anything but these six ASCII characters.
 SPACES = " \t\n\x0b\x0c\r"
@@ -22,9 +22,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def whole_text(docs: DataFrame, text: str = "text") -> Column:
-    """The text as a string; null counts as empty.
-
-    Python workers then take rows in smaller batches than the default, so that memory stays bounded for long texts.
-    """
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    """The text as a string; null counts as empty. Spark bounds the bytes of what a Python worker gets at once."""
     return F.coalesce(docs[text].cast("string"), F.lit(""))
+
+
+def text_keys(text: Column) -> list[Column]:
+    """k1, k2: the first 128 bits of the text's SHA-256. Rows alike in both hold the same text."""
+    sha = F.sha2(text, 256)
+    return [F.conv(F.substring(sha, at, 16), 16, -10).cast("long").alias(name) for at, name in ((1, "k1"), (17, "k2"))]

@@ -4,17 +4,19 @@ A text is a row of units (words or bytes). Each window of `length` units takes t
 anchor, so equal windows have equal anchors. A segment is a run of consecutive windows whose anchor lies in the
 same place, so no two windows of a segment are equal unless another segment has the same anchor.
 
-1. Segments become rows of numbers: anchor, digest, document, place. No text moves.
+1. Segments become rows of numbers: anchor, key of the text, place. No text moves, but compressed beside them.
 2. Anchors that occur once can't hold a repeated window; their segments go.
-3. Segments that are alike (anchor and digest: 128 bits) are counted before anything else. Where all segments of an
-   anchor are alike, all their windows are repeated. Of the others one representative each is cut from its text and
-   travels to its anchor's bucket, where an operator's own method finds the repeated windows.
-4. Buckets beyond `max_bucket` units aren't collected: their windows become rows that are counted and joined back.
+3. The other segments are cut from one copy of each text and grouped by anchor and string, which compares the strings
+   themselves, so that copies are counted before they travel on.
+4. A bucket is all strings of an anchor. An operator's own method numbers their windows, equal ones alike, and those
+   counted twice or more are repeated. The strings of a bucket beyond `max_bucket` bytes are dealt in blocks: each block
+   goes through the same method, and the windows of all blocks, one of each per block, are then counted by their text.
 5. The ranges found go back to every occurrence by joins, which Spark can split where a key is frequent.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -24,12 +26,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text, written
+from .common import text_keys, whole_text, written
 
 U = np.uint64
 #: Units that are hashed at once; longer texts are cut into overlapping parts.
 PART = 1 << 19
-NONE = -(1 << 63)
 
 _random = np.random.default_rng(20240229)
 #: A random number per byte, and odd factors for rolling hashes with their inverses modulo 2^64.
@@ -100,11 +101,11 @@ class Units:
         return np.concatenate(out)
 
     def cut(self, data: bytes, ranges: list[tuple[int, int]]) -> list[bytes]:
-        """The bytes of each range of units."""
+        """Each range of units; words are joined by one space."""
         if self.split is None:
             return [data[a:b] for a, b in ranges]
-        start, end = self.split(data)
-        return [data[start[a] : end[b - 1]] for a, b in ranges]
+        words = data.split()
+        return [b" ".join(words[a:b]) for a, b in ranges]
 
 
 BYTES = Units()
@@ -113,11 +114,11 @@ BYTES = Units()
 def segments(x: np.ndarray, owner_end: np.ndarray, length: int, q: int) -> tuple[np.ndarray, ...]:
     """x: numbers of units, of several texts in a row; owner_end: where each unit's text ends.
 
-    Gives anchor, digest, start and number of windows of each segment.
+    Gives anchor, start and number of windows of each segment.
     """
     n = len(x)
     if n < length:
-        return (np.empty(0, U),) * 2 + (np.empty(0, np.int64),) * 2
+        return np.empty(0, U), *(np.empty(0, np.int64),) * 2
     at = np.arange(n - q + 1)
     grams = Rolling(x, FACTORS[1])(at, at + q)
     anchor = sliding_min(grams, length - q + 1)
@@ -130,50 +131,49 @@ def segments(x: np.ndarray, owner_end: np.ndarray, length: int, q: int) -> tuple
     # A segment ends at the next change, or where its text has no more windows.
     edge = np.flatnonzero(change | ~inside)
     end = np.append(edge, len(anchor))[np.searchsorted(edge, start, "right")]
-    digest = Rolling(x, FACTORS[2])(start, end + length - 1)
-    return anchor[start], digest, start, end - start
+    return anchor[start], start, end - start
 
 
-def find_segments(docs: DataFrame, units: Units, length: int, q: int) -> DataFrame:
-    """docs: doc, tag, text. Gives anchor, digest, doc, tag, start, windows."""
+def find_segments(docs: DataFrame, units: Units, length: int, q: int, part: int) -> DataFrame:
+    """docs: k1, k2, text. Two kinds of rows: k1, k2, packed (the compressed text) for each row of docs with a window, and
+    anchor, k1, k2, start, windows for each segment.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        press = zstandard.ZstdCompressor(level=1)
+
         def flush(rows: list[tuple]) -> pd.DataFrame:
-            """rows: (doc, tag, first unit, numbers of units)."""
+            """rows: (k1, k2, first unit, numbers of units)."""
             sizes = np.array([len(r[3]) for r in rows])
             ends = np.cumsum(sizes)
-            anchor, digest, start, windows = segments(
-                np.concatenate([r[3] for r in rows]), np.repeat(ends, sizes), length, q
-            )
+            anchor, start, windows = segments(np.concatenate([r[3] for r in rows]), np.repeat(ends, sizes), length, q)
             row = np.searchsorted(ends, start, "right")
             first = np.array([r[2] for r in rows]) - (ends - sizes)
-            return pd.DataFrame(
-                {
-                    "anchor": anchor.view(np.int64),
-                    "digest": digest.view(np.int64),
-                    "doc": np.array([r[0] for r in rows], np.int64)[row],
-                    "tag": np.array([r[1] for r in rows], np.int32)[row],
-                    "start": start + first[row],
-                    "windows": windows.astype(np.int32),
-                }
-            )
+            keys = np.array([r[:2] for r in rows], np.int64)[row]
+            made = pd.DataFrame({"anchor": anchor.view(np.int64), "k1": keys[:, 0], "k2": keys[:, 1], "start": start + first[row], "windows": windows})
+            return made.assign(packed=None)
 
         rows: list[tuple] = []
         size = 0
         for b in batches:
-            for doc, tag, text in zip(b["doc"].tolist(), b["tag"].tolist(), b["text"].tolist(), strict=True):
-                x = units.numbers(text.encode("utf-8", "surrogatepass"))
-                for at in range(0, max(0, len(x) - length + 1), PART - length + 1):
-                    part = x[at : at + PART]
-                    if size + len(part) > PART and rows:
+            texts = []
+            for k1, k2, text in zip(b["k1"].tolist(), b["k2"].tolist(), b["text"].tolist(), strict=True):
+                raw = text.encode("utf-8", "surrogatepass")
+                x = units.numbers(raw)
+                if len(x) >= length:
+                    texts.append((k1, k2, press.compress(raw)))
+                for at in range(0, max(0, len(x) - length + 1), part - length + 1):
+                    piece = x[at : at + part]
+                    if size + len(piece) > part and rows:
                         yield flush(rows)
                         rows, size = [], 0
-                    rows.append((doc, tag, at, part))
-                    size += len(part)
+                    rows.append((k1, k2, at, piece))
+                    size += len(piece)
+            yield pd.DataFrame(texts, columns=["k1", "k2", "packed"]).assign(anchor=None, start=None, windows=None)
         if rows:
             yield flush(rows)
 
-    return docs.mapInPandas(run, "anchor long, digest long, doc long, tag int, start long, windows int")
+    return docs.mapInPandas(run, "k1 long, k2 long, packed binary, anchor long, start long, windows long")
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
@@ -205,23 +205,41 @@ def flags_to_ranges(flags: np.ndarray, length: int) -> list[int]:
     return out.tolist()
 
 
-#: A bucket's strings and how often each occurs -> flags of the windows of each that occur twice or more.
-Method = Callable[[list[bytes], list[int]], list[np.ndarray]]
+#: A bucket's strings -> a number for each of their windows; two windows have the same one just if they are equal.
+Method = Callable[[list[bytes]], list[np.ndarray]]
+
+
+def _repeated(method: Method, strings: list[bytes], often: list[int]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The number of each window of each string (small and without gaps), and how often each number occurs."""
+    numbers = method(strings)
+    sizes = [len(x) for x in numbers]
+    _, number = np.unique(np.concatenate(numbers), return_inverse=True)
+    count = np.bincount(number, weights=np.repeat(np.asarray(often, np.float64), sizes))
+    return np.split(number, np.cumsum(sizes)[:-1]), count
 
 
 def _in_buckets(strings: DataFrame, method: Method, length: int, at_once: int) -> DataFrame:
-    """strings: anchor, digest, n, part. Whole buckets are handed to method, several at once."""
+    """strings: anchor, digest, n, part. Whole buckets are handed to method, several at once. Gives anchor, digest, ranges."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def flush(rows: list[tuple]) -> pd.DataFrame:
-            flags = method([r[3] for r in rows], [r[2] for r in rows])
-            out = [(r[0], r[1], x) for r, f in zip(rows, flags, strict=True) if (x := flags_to_ranges(f, length))]
+            out = []
+            alone = [i == 0 or rows[i - 1][0] != r[0] for i, r in enumerate(rows)]
+            alone = [a and (i + 1 == len(rows) or alone[i + 1]) for i, a in enumerate(alone)]
+            # The only string of a bucket: all its windows are repeated if there are several of it, else none.
+            for r, a in zip(rows, alone, strict=True):
+                if a and r[2] > 1:
+                    out.append((r[0], r[1], [0, r[4]]))
+            rows = [r for r, a in zip(rows, alone, strict=True) if not a]
+            if rows:
+                numbers, count = _repeated(method, [r[3] for r in rows], [r[2] for r in rows])
+                out += [(r[0], r[1], x) for r, k in zip(rows, numbers, strict=True) if (x := flags_to_ranges(count[k] > 1, length))]
             return pd.DataFrame(out, columns=["anchor", "digest", "ranges"])
 
         rows: list[tuple] = []
         size = 0
         for b in batches:
-            for r in zip(*(b[c].tolist() for c in ("anchor", "digest", "n", "part")), strict=True):
+            for r in zip(*(b[c].tolist() for c in ("anchor", "digest", "n", "part", "units")), strict=True):
                 if size > at_once and r[0] != rows[-1][0]:
                     yield flush(rows)
                     rows, size = [], 0
@@ -231,25 +249,47 @@ def _in_buckets(strings: DataFrame, method: Method, length: int, at_once: int) -
             yield flush(rows)
 
     dealt = strings.repartition(F.col("anchor")).sortWithinPartitions("anchor")
-    return dealt.mapInPandas(run, "anchor long, digest long, ranges array<long>")
+    return dealt.mapInPandas(run, "anchor long, digest binary, ranges array<long>")
 
 
-def _as_rows(strings: DataFrame, units: Units, length: int) -> DataFrame:
-    """The same for buckets that are too large for one task: a row per window, counted and joined back."""
+def _in_blocks(strings: DataFrame, method: Method, units: Units, length: int, max_bucket: int) -> DataFrame:
+    """The same for buckets that are too large for one task. strings has also size, that of the bucket."""
+    blocks = F.ceil(F.col("size") / max(1, max_bucket)).cast("long")
+    dealt = strings.withColumn("block", F.pmod(F.xxhash64("digest"), blocks))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def flush(rows: list[tuple]) -> pd.DataFrame:
+            """rows: of one block. Each window once, as text, with its count and places."""
+            numbers, count = _repeated(method, [r[4] for r in rows], [r[3] for r in rows])
+            number = np.concatenate(numbers)
+            string = np.repeat(np.arange(len(rows)), [len(x) for x in numbers])
+            at = np.concatenate([np.arange(len(x)) for x in numbers])
+            order = np.argsort(number, kind="stable")
+            ends = np.cumsum(np.bincount(number))
+            out = []
+            for k, (a, b) in enumerate(zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True)):
+                places = [(rows[string[i]][2], int(at[i])) for i in order[a:b]]
+                i = order[a]
+                text = units.cut(rows[string[i]][4], [(int(at[i]), int(at[i]) + length)])[0]
+                out.append((rows[0][0], text, int(count[k]), [{"digest": d, "at": x} for d, x in places]))
+            return pd.DataFrame(out, columns=["anchor", "window", "n", "places"])
+
+        rows: list[tuple] = []
         for b in batches:
-            for a, d, n, part in zip(*(b[c].tolist() for c in ("anchor", "digest", "n", "part")), strict=True):
-                x = units.numbers(part)
-                for lo in range(0, max(0, len(x) - length + 1), PART - length + 1):
-                    p = x[lo : lo + PART]
-                    at = np.arange(len(p) - length + 1)
-                    one, two = (Rolling(p, f)(at, at + length).view(np.int64) for f in FACTORS[1:])
-                    yield pd.DataFrame({"anchor": a, "digest": d, "n": n, "w1": one, "w2": two, "at": at + lo})
-
-    rows = strings.mapInPandas(run, "anchor long, digest long, n long, w1 long, w2 long, at long")
-    often = rows.groupBy("anchor", "w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").drop("n")
-    found = rows.join(often, ["anchor", "w1", "w2"]).groupBy("anchor", "digest").agg(F.collect_list("at").alias("at"))
+            for r in zip(*(b[c].tolist() for c in ("anchor", "block", "digest", "n", "part")), strict=True):
+                if rows and r[:2] != rows[0][:2]:
+                    yield flush(rows)
+                    rows = []
+                rows.append(r)
+        if rows:
+            yield flush(rows)
+
+    dealt = dealt.repartition("anchor", "block").sortWithinPartitions("anchor", "block")
+    schema = "anchor long, window binary, n long, places array<struct<digest: binary, at: long>>"
+    rows = written(dealt.mapInPandas(run, schema))
+    often = rows.groupBy("anchor", "window").agg(F.sum("n").alias("n")).where("n > 1").drop("n")
+    found = rows.join(often, ["anchor", "window"]).select("anchor", F.explode("places").alias("p"))
+    found = found.groupBy("anchor", "p.digest").agg(F.collect_list("p.at").alias("at"))
 
     def ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -260,66 +300,66 @@ def _as_rows(strings: DataFrame, units: Units, length: int) -> DataFrame:
                 out.append(flags_to_ranges(flags, length))
             yield pd.DataFrame({"anchor": b["anchor"], "digest": b["digest"], "ranges": out})
 
-    return found.mapInPandas(ranges, "anchor long, digest long, ranges array<long>")
+    return found.mapInPandas(ranges, "anchor long, digest binary, ranges array<long>")
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text, and what tells rows apart in joins: doc, tag. Rows alike in both hold the same text."""
-    text = whole_text(docs, text_col)
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text")).select(
-        "doc_id", "text", F.coalesce("doc_id", F.lit(NONE)).alias("doc"), F.hash("text").alias("tag")
-    )
+def with_keys(docs: DataFrame, id_col: str, text_col: str, with_row: bool = False) -> DataFrame:
+    """doc_id, text, k1, k2, and row, the whole row, if with_row."""
+    row = [F.struct(*(docs[c] for c in docs.columns)).alias("row")] if with_row else []
+    base = docs.select(docs[id_col].cast("long").alias("doc_id"), whole_text(docs, text_col).alias("text"), *row)
+    return base.select("*", *text_keys(F.col("text")))
 
 
 def repeated_ranges(
-    docs: DataFrame, units: Units, method: Method, *, length: int, q: int, max_bucket: int, at_once: int
+    docs: DataFrame, units: Units, method: Method, *, length: int, q: int, max_bucket: int, at_once: int, part: int
 ) -> DataFrame:
-    """docs: keyed(). Gives doc, tag, found: all ranges of units that repeated windows cover, as start and end."""
-    rows = written(find_segments(docs.select("doc", "tag", "text"), units, length, q))
+    """docs: k1, k2, text. Gives k1, k2, packed, found for each text with repeated windows, once.
+
+    found: all ranges of units that these cover, as the start of a segment, and starts and ends within it.
+    """
+    both = written(find_segments(docs.select("k1", "k2", "text"), units, length, q, part))
+    whole = both.where("anchor is null").select("k1", "k2", "packed")
+    parts = both.where("anchor is not null").select("anchor", "k1", "k2", "start", "windows")
     # Written, so that the join below deals both sides afresh and Spark can split a frequent anchor.
-    often = written(rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
-    rows = written(rows.join(often, "anchor"))
-    alike = written(
-        rows.groupBy("anchor", "digest").agg(
-            F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("doc", "tag", "start", "windows"))
-        )
-    )
-    buckets = alike.groupBy("anchor").agg(
-        F.count("*").alias("kinds"), F.sum(F.col("windows") + F.lit(length - 1)).alias("size")
-    )
-    alike = alike.join(buckets, "anchor")
-    same = alike.where("kinds = 1").select(
-        "anchor",
-        "digest",
-        F.array(F.lit(0).cast("long"), (F.col("windows") + F.lit(length - 1)).cast("long")).alias("ranges"),
-    )
-    wanted = (
-        alike.where("kinds > 1")
-        .groupBy("doc", "tag")
-        .agg(F.collect_list(F.struct("anchor", "digest", "n", "start", "windows", "size")).alias("wanted"))
-    )
-    # Rows alike in doc and tag hold the same text; one of them is enough to cut from.
-    texts = packed_texts(docs.select("doc", "tag", "text")).join(wanted, ["doc", "tag"])
+    often = written(parts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    # A text's copies are counted here, so that one of them is enough from now on.
+    place = ["k1", "k2", "anchor", "start", "windows"]
+    wanted = parts.join(often, "anchor").groupBy(*place).agg(F.count("*").alias("n"))
+    wanted = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "start", "windows", "n")).alias("wanted"))
+    texts = whole.groupBy("k1", "k2").agg(F.first("packed").alias("packed")).join(wanted, ["k1", "k2"])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A row per segment, and one per text with the text itself."""
         for b in batches:
             out = []
-            for data, wanted in zip(b["text"], b["wanted"], strict=True):
-                parts = units.cut(unpacked(data), [(w["start"], w["start"] + w["windows"] + length - 1) for w in wanted])
-                out += [(w["anchor"], w["digest"], w["n"], w["size"], p) for w, p in zip(wanted, parts, strict=True)]
-            yield pd.DataFrame(out, columns=["anchor", "digest", "n", "size", "part"])
-
-    strings = texts.mapInPandas(cut, "anchor long, digest long, n long, size long, part binary")
-    strings = written(strings.dropDuplicates(["anchor", "digest"]))
-    cool = _in_buckets(strings.where(F.col("size") <= max_bucket), method, length, at_once)
-    hot = _as_rows(strings.where(F.col("size") > max_bucket), units, length)
-    ranges = written(same.unionByName(cool).unionByName(hot))
-    return (
-        rows.join(ranges, ["anchor", "digest"])
-        .select("doc", "tag", F.struct("start", "ranges").alias("x"))
-        .groupBy("doc", "tag")
-        .agg(F.collect_list("x").alias("found"))
+            for k1, k2, data, wanted in zip(b["k1"].tolist(), b["k2"].tolist(), b["packed"], b["wanted"], strict=True):
+                out.append((k1, k2, data, None, None, None, None, None, None))
+                ranges = [(w["start"], w["start"] + w["windows"] + length - 1) for w in wanted]
+                for w, (a, z), p in zip(wanted, ranges, units.cut(unpacked(data), ranges), strict=True):
+                    out.append((k1, k2, None, w["anchor"], a, w["n"], hashlib.blake2b(p, digest_size=16).digest(), p, z - a))
+            made = pd.DataFrame(out, columns=["k1", "k2", "packed", "anchor", "start", "n", "digest", "part", "units"])
+            yield made.astype({c: "Int64" for c in ("anchor", "start", "n", "units")})
+
+    cuts = written(
+        texts.mapInPandas(
+            cut, "k1 long, k2 long, packed binary, anchor long, start long, n long, digest binary, part binary, units long"
+        )
+    )
+    placed = cuts.where("anchor is not null")
+    # Grouped by the strings themselves; the digest only names them from here on.
+    strings = written(placed.groupBy("anchor", "part", "digest", "units").agg(F.sum("n").alias("n")))
+    sizes = strings.groupBy("anchor").agg(F.sum(F.length("part")).alias("size"))
+    hot = written(sizes.where(F.col("size") > max_bucket))
+    cool = _in_buckets(strings.join(hot, "anchor", "left_anti"), method, length, at_once)
+    spread = _in_blocks(strings.join(hot, "anchor"), method, units, length, max_bucket)
+    ranges = written(cool.unionByName(spread))
+    found = (
+        placed.select("anchor", "digest", "k1", "k2", "start")
+        .join(ranges, ["anchor", "digest"])
+        .groupBy("k1", "k2")
+        .agg(F.collect_list(F.struct("start", "ranges")).alias("found"))
     )
+    return cuts.where("anchor is null").select("k1", "k2", "packed").join(found, ["k1", "k2"])
 
 
 def merged(found: list, n: int) -> tuple[np.ndarray, np.ndarray]:
