@@ -6,8 +6,8 @@ same place, so no two windows of a segment are equal unless another segment has
 
 1. Segments become rows of numbers: anchor, key of the text, place. No text moves, but compressed beside them.
 2. Anchors that occur once can't hold a repeated window; their segments go.
-3. The other segments are cut from one copy of each text and grouped by anchor and string, which compares the strings
-   themselves, so that copies are counted before they travel on.
+3. The other segments are cut from one copy of each text, as strings that carry how many copies there are. Equal strings
+   become one where they are cut, and again in their bucket; strings are told apart by comparing them.
 4. A bucket is all strings of an anchor. An operator's own method numbers their windows, equal ones alike, and those
    counted twice or more are repeated. The strings of a bucket beyond `max_bucket` bytes are dealt in blocks: each block
    goes through the same method, and the windows of all blocks, one of each per block, are then counted by their text.
@@ -17,6 +17,7 @@ same place, so no two windows of a segment are equal unless another segment has
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -26,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_keys, whole_text, written
+from .common import forget, text_keys, whole_text, written
 
 U = np.uint64
 #: Units that are hashed at once; longer texts are cut into overlapping parts.
@@ -107,6 +108,10 @@ class Units:
         words = data.split()
         return [b" ".join(words[a:b]) for a, b in ranges]
 
+    def count(self, data: bytes) -> int:
+        """How many units there are in what cut() gave."""
+        return len(data) if self.split is None else data.count(b" ") + 1
+
 
 BYTES = Units()
 
@@ -209,6 +214,16 @@ def flags_to_ranges(flags: np.ndarray, length: int) -> list[int]:
 Method = Callable[[list[bytes]], list[np.ndarray]]
 
 
+def _united(rows: list[tuple]) -> tuple[list[int], list[bytes], list[bytes], list[int]]:
+    """rows: anchor, digest, n, part. Equal strings of an anchor as one: anchors, digests, strings, how often each occurs."""
+    often: dict[tuple[int, bytes], int] = {}
+    name: dict[tuple[int, bytes], bytes] = {}
+    for anchor, digest, n, part in rows:
+        often[anchor, part] = often.get((anchor, part), 0) + n
+        name[anchor, part] = digest
+    return [a for a, _ in often], list(name.values()), [p for _, p in often], list(often.values())
+
+
 def _repeated(method: Method, strings: list[bytes], often: list[int]) -> tuple[list[np.ndarray], np.ndarray]:
     """The number of each window of each string (small and without gaps), and how often each number occurs."""
     numbers = method(strings)
@@ -218,28 +233,29 @@ def _repeated(method: Method, strings: list[bytes], often: list[int]) -> tuple[l
     return np.split(number, np.cumsum(sizes)[:-1]), count
 
 
-def _in_buckets(strings: DataFrame, method: Method, length: int, at_once: int) -> DataFrame:
+def _in_buckets(strings: DataFrame, method: Method, units: Units, length: int, at_once: int) -> DataFrame:
     """strings: anchor, digest, n, part. Whole buckets are handed to method, several at once. Gives anchor, digest, ranges."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def flush(rows: list[tuple]) -> pd.DataFrame:
-            out = []
-            alone = [i == 0 or rows[i - 1][0] != r[0] for i, r in enumerate(rows)]
-            alone = [a and (i + 1 == len(rows) or alone[i + 1]) for i, a in enumerate(alone)]
+            anchors, digests, strings, often = _united(rows)
+            kinds = Counter(anchors)
             # The only string of a bucket: all its windows are repeated if there are several of it, else none.
-            for r, a in zip(rows, alone, strict=True):
-                if a and r[2] > 1:
-                    out.append((r[0], r[1], [0, r[4]]))
-            rows = [r for r, a in zip(rows, alone, strict=True) if not a]
-            if rows:
-                numbers, count = _repeated(method, [r[3] for r in rows], [r[2] for r in rows])
-                out += [(r[0], r[1], x) for r, k in zip(rows, numbers, strict=True) if (x := flags_to_ranges(count[k] > 1, length))]
+            several = [i for i, a in enumerate(anchors) if kinds[a] > 1]
+            out = [
+                (a, d, [0, units.count(p)])
+                for a, d, p, n in zip(anchors, digests, strings, often, strict=True)
+                if kinds[a] == 1 and n > 1
+            ]
+            if several:
+                numbers, count = _repeated(method, [strings[i] for i in several], [often[i] for i in several])
+                out += [(anchors[i], digests[i], x) for i, k in zip(several, numbers, strict=True) if (x := flags_to_ranges(count[k] > 1, length))]
             return pd.DataFrame(out, columns=["anchor", "digest", "ranges"])
 
         rows: list[tuple] = []
         size = 0
         for b in batches:
-            for r in zip(*(b[c].tolist() for c in ("anchor", "digest", "n", "part", "units")), strict=True):
+            for r in zip(*(b[c].tolist() for c in ("anchor", "digest", "n", "part")), strict=True):
                 if size > at_once and r[0] != rows[-1][0]:
                     yield flush(rows)
                     rows, size = [], 0
@@ -260,23 +276,24 @@ def _in_blocks(strings: DataFrame, method: Method, units: Units, length: int, ma
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def flush(rows: list[tuple]) -> pd.DataFrame:
             """rows: of one block. Each window once, as text, with its count and places."""
-            numbers, count = _repeated(method, [r[4] for r in rows], [r[3] for r in rows])
+            anchors, digests, strings, often = _united([r[1:] for r in rows])
+            numbers, count = _repeated(method, strings, often)
             number = np.concatenate(numbers)
-            string = np.repeat(np.arange(len(rows)), [len(x) for x in numbers])
+            string = np.repeat(np.arange(len(strings)), [len(x) for x in numbers])
             at = np.concatenate([np.arange(len(x)) for x in numbers])
             order = np.argsort(number, kind="stable")
             ends = np.cumsum(np.bincount(number))
             out = []
             for k, (a, b) in enumerate(zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True)):
-                places = [(rows[string[i]][2], int(at[i])) for i in order[a:b]]
+                places = [{"digest": digests[string[i]], "at": int(at[i])} for i in order[a:b]]
                 i = order[a]
-                text = units.cut(rows[string[i]][4], [(int(at[i]), int(at[i]) + length)])[0]
-                out.append((rows[0][0], text, int(count[k]), [{"digest": d, "at": x} for d, x in places]))
+                text = units.cut(strings[string[i]], [(int(at[i]), int(at[i]) + length)])[0]
+                out.append((anchors[0], text, int(count[k]), places))
             return pd.DataFrame(out, columns=["anchor", "window", "n", "places"])
 
         rows: list[tuple] = []
         for b in batches:
-            for r in zip(*(b[c].tolist() for c in ("anchor", "block", "digest", "n", "part")), strict=True):
+            for r in zip(*(b[c].tolist() for c in ("block", "anchor", "digest", "n", "part")), strict=True):
                 if rows and r[:2] != rows[0][:2]:
                     yield flush(rows)
                     rows = []
@@ -322,44 +339,44 @@ def repeated_ranges(
     parts = both.where("anchor is not null").select("anchor", "k1", "k2", "start", "windows")
     # Written, so that the join below deals both sides afresh and Spark can split a frequent anchor.
     often = written(parts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
-    # A text's copies are counted here, so that one of them is enough from now on.
-    place = ["k1", "k2", "anchor", "start", "windows"]
-    wanted = parts.join(often, "anchor").groupBy(*place).agg(F.count("*").alias("n"))
-    wanted = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "start", "windows", "n")).alias("wanted"))
-    texts = whole.groupBy("k1", "k2").agg(F.first("packed").alias("packed")).join(wanted, ["k1", "k2"])
+    # Copies of a text have the same segments; they are counted, and one of them is enough from now on.
+    wanted = parts.join(often, "anchor").groupBy("k1", "k2").agg(F.collect_set(F.struct("anchor", "start", "windows")).alias("wanted"))
+    texts = whole.groupBy("k1", "k2").agg(F.first("packed").alias("packed"), F.count("*").alias("n")).join(wanted, ["k1", "k2"])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A row per segment, and one per text with the text itself."""
+        """Rows of three kinds: each text; each segment, with its string's digest; each string, equal ones as one."""
+        names = ["k1", "k2", "packed", "anchor", "start", "digest", "part", "n"]
         for b in batches:
-            out = []
-            for k1, k2, data, wanted in zip(b["k1"].tolist(), b["k2"].tolist(), b["packed"], b["wanted"], strict=True):
-                out.append((k1, k2, data, None, None, None, None, None, None))
+            out, strings = [], []
+            for k1, k2, data, n, wanted in zip(b["k1"].tolist(), b["k2"].tolist(), b["packed"], b["n"].tolist(), b["wanted"], strict=True):
+                out.append((k1, k2, data, None, None, None, None, None))
                 ranges = [(w["start"], w["start"] + w["windows"] + length - 1) for w in wanted]
-                for w, (a, z), p in zip(wanted, ranges, units.cut(unpacked(data), ranges), strict=True):
-                    out.append((k1, k2, None, w["anchor"], a, w["n"], hashlib.blake2b(p, digest_size=16).digest(), p, z - a))
-            made = pd.DataFrame(out, columns=["k1", "k2", "packed", "anchor", "start", "n", "digest", "part", "units"])
-            yield made.astype({c: "Int64" for c in ("anchor", "start", "n", "units")})
+                for w, p in zip(wanted, units.cut(unpacked(data), ranges), strict=True):
+                    strings.append((w["anchor"], hashlib.blake2b(p, digest_size=16).digest(), n, p))
+                    out.append((k1, k2, None, w["anchor"], w["start"], strings[-1][1], None, None))
+            out += [(None, None, None, a, None, d, p, n) for a, d, p, n in zip(*_united(strings), strict=True)]
+            # Nullable from the start: 64 bits don't fit the floats that pandas takes for numbers with gaps.
+            columns = dict(zip(names, zip(*out, strict=True), strict=True)) if out else dict.fromkeys(names, ())
+            yield pd.DataFrame({c: x if c in ("packed", "digest", "part") else pd.array(x, "Int64") for c, x in columns.items()})
 
     cuts = written(
-        texts.mapInPandas(
-            cut, "k1 long, k2 long, packed binary, anchor long, start long, n long, digest binary, part binary, units long"
-        )
+        texts.mapInPandas(cut, "k1 long, k2 long, packed binary, anchor long, start long, digest binary, part binary, n long")
     )
-    placed = cuts.where("anchor is not null")
-    # Grouped by the strings themselves; the digest only names them from here on.
-    strings = written(placed.groupBy("anchor", "part", "digest", "units").agg(F.sum("n").alias("n")))
+    forget(both)
+    forget(often)
+    placed = cuts.where("start is not null").select("anchor", "digest", "k1", "k2", "start")
+    strings = cuts.where("part is not null").select("anchor", "digest", "part", "n")
     sizes = strings.groupBy("anchor").agg(F.sum(F.length("part")).alias("size"))
     hot = written(sizes.where(F.col("size") > max_bucket))
-    cool = _in_buckets(strings.join(hot, "anchor", "left_anti"), method, length, at_once)
+    cool = _in_buckets(strings.join(hot, "anchor", "left_anti"), method, units, length, at_once)
     spread = _in_blocks(strings.join(hot, "anchor"), method, units, length, max_bucket)
     ranges = written(cool.unionByName(spread))
     found = (
-        placed.select("anchor", "digest", "k1", "k2", "start")
-        .join(ranges, ["anchor", "digest"])
+        placed.join(ranges, ["anchor", "digest"])
         .groupBy("k1", "k2")
         .agg(F.collect_list(F.struct("start", "ranges")).alias("found"))
     )
-    return cuts.where("anchor is null").select("k1", "k2", "packed").join(found, ["k1", "k2"])
+    return cuts.where("packed is not null").select("k1", "k2", "packed").join(found, ["k1", "k2"])
 
 
 def merged(found: list, n: int) -> tuple[np.ndarray, np.ndarray]:
