@@ -1,14 +1,15 @@
 """N-gram Jaccard join: a MinHash LSH forest proposes, exact verification decides.
 
 1. Texts with the same set of word n-grams form a class; everything below works on one representative per class.
-2. Each representative has a signature of `trees` tries. Prefixes are matched from the full depth on, shortened until a
-   pair at the threshold is found with the target recall.
-3. Sharing a prefix in a tree links representatives to the least of that prefix: as many links as prefixes, never all
-   pairs. Their components hold every pair that shares a prefix anywhere.
-4. Within a component all pairs are verified on the n-grams themselves, block against block, so that a component of any
-   size is spread over tasks, and a pair is looked at once. A task returns counts and a spanning forest of the true links,
-   as many rows as texts.
-5. Components of the true links are the classes of near-duplicates.
+2. Each representative has a signature of `trees` labels of `depth` minima; sorted, the labels of a tree are a prefix trie.
+3. How far prefixes are shortened follows from the data: neighbours in the first sorted trie are compared by the minima of
+   the other trees, which gives how similar linked texts are here. From the full depth on, matched prefixes lose one
+   minimum after another until the links measured so would be found with the target recall.
+4. Texts that share a prefix in a tree form a group. A pair is looked at in the first tree in which it shares one, so each
+   pair once. Only texts with such a pair travel to a group; large groups are dealt block against block.
+5. There, pairs are verified on the n-grams themselves. A task returns counts and a spanning forest of the true links, as
+   many rows as texts; never a row per pair.
+6. Components of the true links are the classes of near-duplicates.
 """
 
 from __future__ import annotations
@@ -17,40 +18,56 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import whole_text, written
 from .components import connected_components
-from .repeats import FACTORS, PART, Rolling, mixed, packed_texts, unpacked
+from .repeats import FACTORS, PART, Rolling, mixed, unpacked
 from .substring_dedup import WORDS
 
 U = np.uint64
 
 
-def prefix_depth(trees: int, depth: int, threshold: float, recall: float) -> int:
-    """The longest prefix, from the full depth downwards, that finds a pair at the threshold with the target recall."""
+def recall_of(similarity: float | np.ndarray, trees: int, depth: int) -> float | np.ndarray:
+    """How likely a pair shares the prefix of `depth` minima in one tree at least."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
+def prefix_depth(
+    found: dict[float, float], trees: int, depth: int, threshold: float, recall: float, at_threshold: float = 0.0, enough: float = 100
+) -> int:
+    """The longest prefix, shortened from the full depth, that finds the links of `found` with the target recall, and a
+    pair at the threshold itself with at_threshold.
+
+    found: weight by similarity of links measured in the data; of too few of them, all count as lying at the threshold.
+    """
+    total = sum(found.values())
+    if total < enough:
+        found, total = {threshold: 1.0}, 1.0
     for d in range(depth, 0, -1):
-        if 1 - (1 - threshold**d) ** trees >= recall:
+        reached = sum(w * recall_of(s, trees, d) for s, w in found.items()) / total
+        if reached >= recall and recall_of(threshold, trees, d) >= at_threshold:
             return d
     raise ValueError("no prefix reaches the recall; take more trees")
 
 
-def ngram_hashes(x: np.ndarray, n: int) -> np.ndarray:
-    """x: numbers of the words. The sorted distinct hashes of the n-grams; a shorter text is one n-gram."""
+def ngram_hashes(x: np.ndarray, n: int, size: int = PART) -> np.ndarray:
+    """x: numbers of the words. The sorted distinct hashes of the n-grams; a shorter text is one n-gram. size: n-grams at a time."""
     if not len(x):
         return np.empty(0, U)
     n = min(n, len(x))
     out = []
-    for lo in range(0, len(x) - n + 1, PART):
-        part = x[lo : lo + PART + n - 1]
+    for lo in range(0, len(x) - n + 1, size):
+        part = x[lo : lo + size + n - 1]
         at = np.arange(len(part) - n + 1)
         out.append(Rolling(part, FACTORS[1])(at, at + n))
     return np.unique(np.concatenate(out))
 
 
-def prefixes(grams: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """A number per tree for the prefix of `depth` minima."""
+def signature(grams: np.ndarray, trees: int, depth: int) -> np.ndarray:
+    """`depth` minima for each of `trees` labels, 16 bits of each."""
     n = trees * depth
     rng = np.random.default_rng(91)
     flip = rng.integers(0, 1 << 32, n, dtype=np.uint32)
@@ -61,10 +78,25 @@ def prefixes(grams: np.ndarray, trees: int, depth: int) -> np.ndarray:
         h = (x[lo : lo + 512, None] ^ flip) * factor
         h ^= h >> np.uint32(15)
         np.minimum(low, (h * np.uint32(0x846CA68B)).min(axis=0), out=low)
-    key = np.zeros(trees, U)
-    for d in range(depth):
-        key = mixed(key * U(0x9E3779B97F4A7C15) + low[d::depth].astype(U) + U(1))
-    return key
+    return ((low * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype("<u2").reshape(trees, depth)
+
+
+def prefixes(labels: np.ndarray, length: int) -> np.ndarray:
+    """labels: texts x trees x depth. A number per text and tree for the prefix of `length` minima."""
+    key = np.zeros(labels.shape[:2], U)
+    for d in range(length):
+        key = mixed(key * U(0x9E3779B97F4A7C15) + labels[:, :, d].astype(U) + U(1))
+    return (key >> U(33)).astype(np.int32)
+
+
+def not_before(a: np.ndarray, b: np.ndarray, tree: int) -> np.ndarray:
+    """a, b: keys of texts x trees. Which of their pairs share a prefix in no tree before `tree`."""
+    out = np.ones((len(a), len(b)), bool)
+    if out.size * tree <= 1 << 16:
+        return ~(a[:, None, :tree] == b[None, :, :tree]).any(2)
+    for t in range(tree):
+        out &= a[:, t][:, None] != b[:, t]
+    return out
 
 
 def links_in_blocks(sets: list[np.ndarray], left: int, num: int, den: int) -> np.ndarray:
@@ -111,6 +143,59 @@ def _forest(linked: np.ndarray, rows: list[int], columns: list[int]) -> list[tup
     return out
 
 
+def _batched(groups: Iterator[list[tuple]], rows: int = 4096) -> Iterator[list[list[tuple]]]:
+    """Several groups at once, up to about so many rows."""
+    held, size = [], 0
+    for g in groups:
+        held.append(g)
+        size += len(g)
+        if size >= rows:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _groups(columns: tuple[str, ...], batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
+    """The rows of each group; the first four columns name it, and rows come sorted by it."""
+    rows: list[tuple] = []
+    for b in batches:
+        for r in zip(*(b[c].tolist() for c in columns), strict=True):
+            if rows and r[:4] != rows[0][:4]:
+                yield rows
+                rows = []
+            rows.append(r)
+    if rows:
+        yield rows
+
+
+def measured(reps: DataFrame, trees: int, depth: int, threshold: float) -> dict[float, float]:
+    """reps: labels. Weight by similarity of links, as neighbours in the sorted trie of the first tree show it.
+
+    The similarity is the share of equal minima of the other trees. A pair has the same first minimum, and so lies near
+    each other, as often as it is similar; it counts as often as that inverted. Pairs up to two standard deviations
+    below the threshold count too, which errs towards shorter prefixes.
+    """
+    n = (trees - 1) * depth
+    least = threshold - 2 * (threshold * (1 - threshold) / max(1, n)) ** 0.5
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        before = None
+        for b in batches:
+            x = np.frombuffer(b"".join(b["labels"]), "<u2").reshape(len(b), trees, depth)
+            x = x if before is None else np.concatenate([before, x])
+            before = x[-1:]
+            near = x[1:, 0, 0] == x[:-1, 0, 0]
+            same = (x[1:, 1:] == x[:-1, 1:]).sum((1, 2))[near]
+            equal, often = np.unique(same, return_counts=True)
+            yield pd.DataFrame({"equal": equal, "n": often})
+
+    trie = reps.select("labels", F.substring("labels", 1, 2 * depth).alias("label"))
+    trie = trie.repartitionByRange("label").sortWithinPartitions("label").select("labels")
+    rows = trie.mapInPandas(compare, "equal int, n long").groupBy("equal").agg(F.sum("n").alias("n")).collect()
+    return {r.equal / n: r.n * n / r.equal for r in rows if n and r.equal and r.equal / n >= least}
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -119,119 +204,128 @@ def near_duplicates(
     trees: int = 32,
     depth: int = 8,
     recall: float = 0.99999,
+    at_threshold: float = 0.9999,
     id_col: str = "doc_id",
     text_col: str = "text",
-    block_texts: int = 1024,
-    block_ngrams: int = 1 << 19,
+    block_texts: int = 512,
+    part: int = PART,
 ) -> DataFrame:
     """One row per row of docs: doc_id, class_id, copy_of, n_links, n_linked_texts.
 
     Two texts are linked if the Jaccard similarity of their sets of word n-grams is at least threshold (a fraction).
     class_id: the least doc_id reachable over links, the document's own if it has none. copy_of: the least doc_id with
     the same n-grams. n_links: other rows linked to this one, copies included; n_linked_texts: other classes of copies
-    linked to it. Links are verified exactly; a pair at the threshold is proposed with at least the target recall.
+    linked to it. Links are verified exactly; those of the data are proposed with at least the target recall, as
+    measured() finds them, and a pair at the threshold itself with at_threshold.
+    block_texts: texts of a group that meet in one task; part: words that are looked at together. Neither changes the result.
 
     Words are runs without ASCII white space, unchanged. Texts of 1 to n - 1 words are one n-gram. Null texts and texts
     without words are copies of each other and of nothing else. A null doc_id: such rows take part, but no class is
-    named after them unless all its rows are so; it is then null. Repeated rows are copies and each give a row. Other
-    columns are ignored; an empty table gives no rows. Ids are expected to be one per text.
+    named after them unless all its rows are so; it is then null. Repeated rows are copies and each give a row. Long texts
+    are read whole, in parts. Ties don't arise: the least id names a class. Other columns are ignored; an empty table
+    gives no rows.
     """
     num, den = threshold
-    d = prefix_depth(trees, depth, num / den, recall)
-    text = whole_text(docs, text_col)
-    # Rows without an id stand in under negative numbers far below any id.
-    base = docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text")).select(
-        "doc_id", "text", F.coalesce("doc_id", F.xxhash64("text").bitwiseAND((1 << 61) - 1) - (1 << 62)).alias("doc")
-    )
+    base = docs.select(docs[id_col].cast("long").alias("doc_id"), whole_text(docs, text_col).alias("text"))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        press = zstandard.ZstdCompressor(level=1)
         for b in batches:
             out = []
-            for doc, key, text in zip(b["doc_id"], b["doc"].tolist(), b["text"].tolist(), strict=True):
-                grams = ngram_hashes(WORDS.numbers(text.encode("utf-8", "surrogatepass")), n)
+            for text in b["text"].tolist():
+                raw = text.encode("utf-8", "surrogatepass")
+                grams = ngram_hashes(WORDS.numbers(raw), n, part)
                 with np.errstate(over="ignore"):
                     one, two = mixed(grams ^ U(FACTORS[0])).sum(dtype=U), mixed(grams + U(FACTORS[2])).sum(dtype=U)
                 same = one.tobytes() + two.tobytes() + len(grams).to_bytes(4, "little")
-                keys = prefixes(grams, trees, d).view(np.int64) if len(grams) else np.empty(0, np.int64)
-                out.append((doc, key, same, len(grams), keys))
-            yield pd.DataFrame(out, columns=["doc_id", "doc", "same", "size", "keys"]).astype({"doc_id": "Int64"})
+                out.append((same, len(grams), signature(grams, trees, depth).tobytes(), press.compress(raw)) if len(grams) else (same, 0, b"", b""))
+            made = pd.DataFrame(out, columns=["same", "size", "labels", "packed"])
+            yield made.assign(doc_id=b["doc_id"].astype("Int64"))
 
-    rows = written(base.mapInPandas(sign, "doc_id long, doc long, same binary, size int, keys array<long>"))
-    copies = written(
-        rows.groupBy("same").agg(F.min("doc").alias("rep"), F.min("doc_id").alias("copy_of"), F.count("*").alias("copies"))
+    rows = written(base.mapInPandas(sign, "doc_id long, same binary, size int, labels binary, packed binary"))
+    copies = rows.groupBy("same").agg(
+        F.min("doc_id").alias("copy_of"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("size", "labels", "packed"))
     )
-    reps = rows.dropDuplicates(["doc", "same"]).join(
-        copies.select("same", F.col("rep").alias("doc"), "copies"), ["same", "doc"]
-    )
-    reps = written(reps.select(F.col("doc").alias("rep"), "copies", "size", "keys"))
-
-    prefix = reps.select("rep", F.posexplode("keys").alias("tree", "key"))
-    least = prefix.groupBy("tree", "key").agg(F.min("rep").alias("first"), F.count("*").alias("n")).where("n > 1")
-    proposed = prefix.join(least, ["tree", "key"]).where("rep <> first")
-    groups = connected_components(proposed.select(F.col("rep").alias("a"), F.col("first").alias("b")))
-    groups = written(groups.select(F.col("node").alias("rep"), F.col("component").alias("part")).join(reps.drop("keys"), "rep"))
-
-    # Blocks of a component: enough that none holds too many texts or n-grams, in the mean.
-    sizes = groups.groupBy("part").agg(F.count("*").alias("texts"), F.sum("size").alias("grams"))
-    sizes = sizes.select(
-        "part", F.ceil(F.greatest(F.col("texts") / block_texts, F.col("grams") / block_ngrams)).cast("int").alias("blocks")
-    )
-    dealt = groups.join(sizes, "part").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    # A merge join at every size: the texts are dealt the same way whether there are few candidates or many.
-    texts = packed_texts(base.select("doc", "text")).withColumnRenamed("doc", "rep")
-    texts = texts.hint("merge").join(dealt, "rep").dropDuplicates(["rep"])
+    # Written, so that a class keeps the number it gets here.
+    copies = written(copies.withColumn("node", F.monotonically_increasing_id()))
+    reps = copies.where("size > 0")
+    length = prefix_depth(measured(reps, trees, depth, num / den), trees, depth, num / den, recall, at_threshold)
+
+    def key(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keys = prefixes(np.frombuffer(b"".join(b["labels"]), "<u2").reshape(len(b), trees, depth), length)
+            yield pd.DataFrame({"node": b["node"], "keys": list(keys)})
+
+    keyed = written(reps.select("node", "labels").mapInPandas(key, "node long, keys array<int>"))
+    prefix = keyed.select("node", F.posexplode("keys").alias("tree", "key"))
+    shared = prefix.groupBy("tree", "key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = shared.select("tree", "key", F.ceil(F.col("n") / block_texts).cast("int").alias("blocks"))
+    member = prefix.join(shared, ["tree", "key"]).join(keyed, "node")
+    member = member.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # Each text goes to every pair of blocks that its own is part of.
+    pairs = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    group = ("tree", "key", "i", "j")
+    pairs = pairs.select("tree", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "keys")
+
+    def sides(rows: list[tuple], at: int) -> tuple[int, slice, np.ndarray]:
+        """Sorts the rows of a group by block. How many are in the first block, where the others start, the pairs to look at."""
+        rows.sort(key=lambda r: r[4])
+        left = sum(r[4] == rows[0][2] for r in rows)
+        keys = np.stack([r[at] for r in rows])
+        other = slice(0 if rows[0][2] == rows[0][3] else left, None)
+        todo = not_before(keys[:left], keys[other], rows[0][0])
+        if other.start == 0:
+            np.fill_diagonal(todo, False)
+        return left, other, todo
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The texts that have a pair in this group that isn't looked at elsewhere."""
+        for b in _batched(_groups((*group, "block", "node", "keys"), batches)):
+            out = []
+            for rows in b:
+                left, other, todo = sides(rows, 6)
+                need = np.zeros(len(rows), bool)
+                need[:left] = todo.any(1)
+                need[other] |= todo.any(0)
+                out += [r for r, x in zip(rows, need.tolist(), strict=True) if x]
+            yield pd.DataFrame(out, columns=[*group, "block", "node", "keys"])
+
+    schema = "tree int, key int, i int, j int, block int, node long, keys array<int>"
+    chosen = pairs.repartition(*group).sortWithinPartitions(*group).mapInPandas(choose, schema)
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b["grams"] = [ngram_hashes(WORDS.numbers(unpacked(t)), n).tobytes() for t in b["text"]]
-            yield b.drop(columns="text")
+            b["grams"] = [ngram_hashes(WORDS.numbers(unpacked(t)), n, part).tobytes() for t in b["packed"]]
+            yield b.drop(columns="packed")
 
-    with_grams = texts.select("rep", "part", "copies", "block", "blocks", "text").mapInPandas(
-        grams, "rep long, part long, copies long, block int, blocks int, grams binary"
-    )
-    # Each text goes to every pair of blocks that its own is part of.
-    pairs = with_grams.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "part", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "copies", "grams"
-    )
+    # A merge join at every size: the texts are dealt the same way whether there are few candidates or many.
+    texts = reps.select("node", "copies", "packed").hint("merge").join(chosen, "node").select(*group, "block", "node", "copies", "keys", "packed")
+    dealt = texts.mapInPandas(grams, "tree int, key int, i int, j int, block int, node long, copies long, keys array<int>, grams binary")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def flush(rows: list[tuple]) -> pd.DataFrame:
-            """rows: of one pair of blocks. Counts of links and a spanning forest."""
-            i, j = rows[0][1:3]
-            rows.sort(key=lambda r: r[3])
-            left = sum(r[3] == i for r in rows)
-            if i != j and left in (0, len(rows)) or len(rows) < 2:
-                return pd.DataFrame({"rep": [], "other": [], "texts": [], "rows": []}).astype("int64")
-            found = links_in_blocks([np.frombuffer(r[6], U) for r in rows], left, num, den)
-            reps, copies = [r[4] for r in rows], np.array([r[5] for r in rows])
-            if i == j:
-                np.fill_diagonal(found, False)
-                out = [(r, r, t, c) for r, t, c in zip(reps, found.sum(1).tolist(), (found @ copies).tolist(), strict=True)]
-                out += [(a, b, 0, 0) for a, b in _forest(found, reps, reps)]
-            else:
-                a, b = slice(None, left), slice(left, None)
-                out = [(r, r, t, c) for r, t, c in zip(reps[a], found.sum(1).tolist(), (found @ copies[b]).tolist(), strict=True)]
-                out += [(r, r, t, c) for r, t, c in zip(reps[b], found.sum(0).tolist(), (copies[a] @ found).tolist(), strict=True)]
-                out += [(x, y, 0, 0) for x, y in _forest(found, reps[a], reps[b])]
-            return pd.DataFrame([r for r in out if r[2] or r[0] != r[1]], columns=["rep", "other", "texts", "rows"]).astype("int64")
-
-        rows: list[tuple] = []
-        for b in batches:
-            for r in zip(*(b[c].tolist() for c in ("part", "i", "j", "block", "rep", "copies", "grams")), strict=True):
-                if rows and r[:3] != rows[0][:3]:
-                    yield flush(rows)
-                    rows = []
-                rows.append(r)
-        if rows:
-            yield flush(rows)
-
-    dealt_pairs = pairs.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j")
-    found = written(dealt_pairs.mapInPandas(verify, "rep long, other long, texts long, rows long"))
-    links = found.groupBy("rep").agg(F.sum("texts").alias("texts"), F.sum("rows").alias("linked"))
-    classes = connected_components(found.select(F.col("rep").alias("a"), F.col("other").alias("b")))
-    named = copies.join(links, "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.withColumn("component", F.coalesce("component", "rep"))
-    # The least id of a class may belong to a row of any of its texts.
+        for b in _batched(_groups((*group, "block", "node", "copies", "keys", "grams"), batches)):
+            out = []
+            for rows in b:
+                left, other, todo = sides(rows, 7)
+                if not todo.any():
+                    continue
+                found = links_in_blocks([np.frombuffer(r[8], U) for r in rows], left, num, den) & todo
+                nodes, copies = [r[5] for r in rows], np.array([r[6] for r in rows])
+                texts, linked = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+                texts[:left], linked[:left] = found.sum(1), found @ copies[other]
+                if other.start:
+                    texts[other], linked[other] = found.sum(0), copies[:left] @ found
+                out += [(x, x, t, c) for x, t, c in zip(nodes, texts.tolist(), linked.tolist(), strict=True) if t]
+                out += [(x, y, 0, 0) for x, y in _forest(found, nodes[:left], nodes[other])]
+            yield pd.DataFrame(out, columns=["node", "other", "texts", "rows"]).astype("int64")
+
+    found = written(
+        dealt.repartition(*group).sortWithinPartitions(*group).mapInPandas(verify, "node long, other long, texts long, rows long")
+    )
+    links = found.groupBy("node").agg(F.sum("texts").alias("texts"), F.sum("rows").alias("linked"))
+    classes = connected_components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
+    named = copies.select("same", "copy_of", "copies", "node").join(links, "node", "left").join(classes, "node", "left")
+    named = named.withColumn("component", F.coalesce("component", "node"))
     names = named.groupBy("component").agg(F.min("copy_of").alias("class_id"))
     named = named.join(names, "component").select(
         "same",
