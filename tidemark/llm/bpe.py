@@ -1,9 +1,10 @@
 """Byte-pair encoding and decoding by a pair occurrence index.
 
-The distinct words of a slice of texts are laid out as one row of symbols. An index maps each pair that has a rank to
-all its positions; the active ranks are applied in ascending order, each to all its positions from left to right, and a
-merge only adds the pairs on its two sides to their lists. Words are independent of each other, so applying the lowest
-rank to all words at once gives what each word would get alone.
+The distinct words that a task meets for the first time are laid out as one row of symbols. An index maps each pair that
+has a rank to all its positions there; the active ranks are applied in ascending order, each to all its positions from
+left to right, and a merge only changes the lists of the pairs on its two sides. Words are independent of each other, so
+applying the lowest rank to all words at once gives what each word would get alone. What a word became is kept, so that
+further occurrences only look it up.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import heapq
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -29,8 +31,12 @@ from .common import whole_text
 SLICE = 1 << 21
 #: Encoded words that a task keeps at most; beyond this it starts anew.
 KEPT_WORDS = 400_000
-LONG_WORD = 48
-NO_PAIR = 1 << 30
+#: Longer runs without white space hardly come again and aren't kept.
+KEPT_LENGTH = 48
+#: Bytes of words that share one index, about.
+INDEXED = 1 << 20
+#: From so many positions on, a pair's are merged as arrays.
+MANY = 24
 
 
 def byte_symbols() -> list[str]:
@@ -74,108 +80,101 @@ class Vocabulary:
         keys = np.array(list(self.rank), np.int64)
         order = np.argsort(keys)
         self.keys, self.ranks = keys[order], np.array(list(self.rank.values()), np.int64)[order]
-        self.merged = np.array([x[2] for x in self.merges], np.int64)
 
     def encode_words(self, words: list[str]) -> list[bytes]:
-        """The ids of each word, four bytes each; words aren't empty.
-
-        The index of pair occurrences is an array over all symbols of all words: the rank of the pair that starts
-        there, or NO_PAIR. Words are independent, so in each step every word applies its lowest active rank, at the
-        leftmost place; a merge changes the entries on its two sides only, and words without an active rank leave.
-        Long words, which would take many steps, go by lists of positions.
-        """
-        raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        out: list[bytes] = [b""] * len(raw)
-        at = np.array([i for i, r in enumerate(raw) if len(r) <= LONG_WORD], np.int64)
-        for i, r in enumerate(raw):
-            if len(r) > LONG_WORD:
-                out[i] = self.encode_long(r)
-        size = np.array([len(raw[i]) for i in at], np.int64)
-        data = np.frombuffer(b"".join([raw[i] for i in at]), np.uint8)
-        end = np.cumsum(size)
-        symbol = self.inner[data]
-        symbol[end - 1] = self.last[data[end - 1]]
-        rank = np.full(len(data), NO_PAIR, np.int64)
-        rank[:-1] = self.find(symbol[:-1], symbol[1:])
-        rank[end - 1] = NO_PAIR
-        while len(at):
-            low = np.minimum.reduceat((rank << 32) | np.arange(len(rank)), np.cumsum(size) - size)
-            live = low < NO_PAIR << 32
-            if not live.all():
-                stays = np.repeat(live, size)
-                done, ends = symbol[~stays].astype("<u4").tobytes(), np.cumsum(size[~live]) * 4
-                begin = 0
-                for i, e in zip(at[~live].tolist(), ends.tolist(), strict=True):
-                    out[i] = done[begin:e]
-                    begin = e
-                moved = np.cumsum(stays) - 1
-                place = moved[low[live] & 0xFFFFFFFF]
-                symbol, rank, at, size = symbol[stays], rank[stays], at[live], size[live]
+        """The ids of each word, four bytes each; words aren't empty."""
+        out: list[bytes] = []
+        held: list[bytes] = []
+        size = 0
+        for w in words:
+            held.append(w.encode("utf-8", "surrogatepass"))
+            size += len(held[-1])
+            if size >= INDEXED:
+                out += self.encode_together(held)
+                held, size = [], 0
+        return out + self.encode_together(held) if held else out
+
+    def encode_together(self, raw: list[bytes]) -> list[bytes]:
+        """The same for words that share one index of pair occurrences."""
+        sizes = np.array([len(r) for r in raw], np.int64)
+        ends = np.cumsum(sizes)
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        place = np.arange(len(data)) + np.repeat(np.arange(len(raw)), sizes)  # a gap follows each word: no pair crosses it
+        row = np.full(len(data) + len(raw), -1, np.int64)
+        row[place] = self.inner[data]
+        row[place[ends - 1]] = self.last[data[ends - 1]]
+        ranks, places = self.find(row[:-1], row[1:])
+        order = np.argsort(ranks, kind="stable")
+        active, starts = np.unique(ranks[order], return_index=True)
+        places, starts = places[order].tolist(), [*starts.tolist(), len(places)]
+        active = active.tolist()
+        index = {r: places[starts[n] : starts[n + 1]] for n, r in enumerate(active)}  # ascending, hence a heap
+
+        size, rank_of, merges = self.size, self.rank.get, self.merges
+        symbol, after, before = array("q", row.tobytes()), array("q", range(1, len(row) + 1)), array("q", range(-1, len(row) - 1))
+        # The same numbers for numpy, where a pair has many positions at once.
+        symbols, afters, befores = (np.frombuffer(x, np.int64) for x in (symbol, after, before))
+
+        def add(rank: int, found: list[int]) -> None:
+            if rank in index:
+                index[rank] += found
             else:
-                place = low & 0xFFFFFFFF
-            if not len(at):
-                break
-            symbol[place] = self.merged[rank[place]]
-            stays = np.ones(len(symbol), bool)
-            stays[place + 1] = False
-            symbol, rank = symbol[stays], rank[stays]
-            place -= np.arange(len(place))  # each word before lost one symbol
-            size = size - 1
-            end = np.cumsum(size)
-            left = place[place > end - size]
-            rank[left - 1] = self.find(symbol[left - 1], symbol[left])
-            rank[place] = NO_PAIR
-            right = place[place < end - 1]
-            rank[right] = self.find(symbol[right], symbol[right + 1])
-        return out
+                index[rank] = found
+                heapq.heappush(active, rank)
 
-    def split(self, chunk: str) -> list[str]:
-        if not self.rare.search(chunk):
-            return self.pattern.findall(chunk)
-        return [chunk[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(chunk)]
-
-    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """The ranks of pairs."""
-        key = left * self.size + right
-        i = np.searchsorted(self.keys, key)
-        i[i == len(self.keys)] = 0
-        return np.where(self.keys[i] == key, self.ranks[i], NO_PAIR)
-
-    def encode_long(self, raw: bytes) -> bytes:
-        """The same for one long word: each pair has a list of positions, and a heap has the active ranks."""
-        size, rank_of, merges = self.size, self.rank, self.merges
-        symbol: list[int] = self.inner[np.frombuffer(raw, np.uint8)].tolist()
-        symbol[-1] = int(self.last[raw[-1]])
-        symbol.append(-1)  # no pair crosses the word's end
-        n = len(symbol)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        index: dict[int, list[int]] = {}
-        for i in range(n - 2):
-            if (r := rank_of.get(symbol[i] * size + symbol[i + 1])) is not None:
-                index.setdefault(r, []).append(i)
-        active = list(index)
-        heapq.heapify(active)
         while active:
             r = heapq.heappop(active)
             places = index.pop(r)
-            places.sort()
             left, right, merged = merges[r]
+            if len(places) >= MANY and left != right:  # no two of these positions overlap
+                i = np.unique(places)
+                i = i[symbols[i] == left]
+                i = i[symbols[afters[i]] == right]
+                j = afters[i]
+                symbols[i], symbols[j] = merged, -2
+                k = afters[i] = afters[j]
+                befores[k] = i
+                h = befores[i]
+                a, b = symbols[np.concatenate([h, i])], symbols[np.concatenate([i, k])]
+                ranks, which = self.find(a, b)
+                at = np.concatenate([h, i])[which]
+                order = np.argsort(ranks, kind="stable")
+                new, starts = np.unique(ranks[order], return_index=True)
+                at, starts = at[order].tolist(), [*starts.tolist(), len(at)]
+                for n, s in enumerate(new.tolist()):
+                    add(s, at[starts[n] : starts[n + 1]])
+                continue
+            places.sort()
+            key = merged * size
             for i in places:
                 if symbol[i] != left or symbol[j := after[i]] != right:
                     continue
                 symbol[i], symbol[j] = merged, -2
                 k = after[i] = after[j]
                 before[k] = i
-                for at in (before[i], i):
-                    if at < 0 or (a := symbol[at]) < 0 or (b := symbol[after[at]]) < 0:
-                        continue
-                    if (s := rank_of.get(a * size + b)) is not None:
-                        if (found := index.get(s)) is None:
-                            index[s] = [at]
-                            heapq.heappush(active, s)
-                        else:
-                            found.append(at)
-        return np.array([x for x in symbol if x >= 0], "<u4").tobytes()
+                h = before[i]
+                # A gap is -1; before the first word comes the last gap.
+                if (x := symbol[h]) >= 0 and (s := rank_of(x * size + merged)) is not None:
+                    add(s, [h])
+                if (x := symbol[k]) >= 0 and (s := rank_of(key + x)) is not None:
+                    add(s, [i])
+        stays = symbols >= 0
+        ids = symbols[stays].astype("<u4").tobytes()
+        count = np.cumsum(np.add.reduceat(stays, ends - sizes + np.arange(len(raw)))) * 4
+        return [ids[a:b] for a, b in zip([0, *count[:-1].tolist()], count.tolist(), strict=True)]
+
+    def split(self, chunk: str) -> list[str]:
+        if not self.rare.search(chunk):
+            return self.pattern.findall(chunk)
+        return [chunk[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(chunk)]
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ranks of those symbols that form a pair, and where they are in the arrays."""
+        key = left * self.size + right
+        i = np.searchsorted(self.keys, key)
+        i[i == len(self.keys)] = 0
+        at = np.flatnonzero((self.keys[i] == key) & (left >= 0) & (right >= 0))
+        return self.ranks[i[at]], at
 
     def chunks(self, text: str) -> list[str]:
         """Runs without white space, normalised. No token crosses white space."""
@@ -237,7 +236,7 @@ class Encoder:
         if len(kept) > KEPT_WORDS:
             kept.clear()
             self.ids.clear()
-        elif long := [c for c in new if len(c) > LONG_WORD]:
+        elif long := [c for c in new if len(c) > KEPT_LENGTH]:
             for c in long:
                 del kept[c]
         return out
