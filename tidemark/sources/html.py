@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -63,6 +64,13 @@ def parse(html: str) -> Node:
     """The tree of a page; children are nodes and strings. Raw elements are left out, mistakes are mended."""
     root = Node("html", "")
     stack, at, n = [root], 0, len(html)
+    # How many elements of a tag are open, so that the stack is only searched for what is there.
+    open_: Counter = Counter()
+
+    def close(i: int) -> None:
+        open_.subtract(x.tag for x in stack[i:])
+        del stack[i:]
+
     while at < n:
         m = TOKEN.match(html, at)
         if not m:
@@ -75,9 +83,9 @@ def parse(html: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if open_[tag] else ():
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    close(i)
                     break
             continue
         if tag in RAW:
@@ -87,29 +95,30 @@ def parse(html: str) -> Node:
             continue
         if tag in ("html", "head", "body"):
             if tag == "body" and len(stack) > 1:
-                stack = stack[:1]
+                close(1)
             continue
-        if tag in CLOSE_P:
+        if tag in CLOSE_P and open_["p"]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "p":
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in P_SCOPE:
                     break
         if tag in CLOSES:
             own, scope = CLOSES[tag]
             outermost = 0
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if any(open_[x] for x in own) else ():
                 if stack[i].tag in scope:
                     break
                 if stack[i].tag in own:
                     outermost = i
             if outermost:
-                del stack[outermost:]
+                close(outermost)
         node = Node(tag, marks_of(m[3].strip()) if m[3] else "")
         stack[-1].children.append(node)
         if tag not in VOID and not m[3].endswith("/"):
             stack.append(node)
+            open_[tag] += 1
     return root
 
 
@@ -134,7 +143,7 @@ def blocks(root: Node) -> list[tuple[str, str]]:
                 path = here
             elif child.tag == "br":
                 line.append(" ")
-            elif child.tag in INLINE and not child.marks:
+            elif child.tag in INLINE:
                 todo.append((child, here, iter(child.children)))
                 break
             else:
@@ -144,7 +153,7 @@ def blocks(root: Node) -> list[tuple[str, str]]:
                 break
         else:
             todo.pop()
-            if node.tag not in INLINE or node.marks:
+            if node.tag not in INLINE:
                 flush()
     flush()
     return out
@@ -165,21 +174,26 @@ def paragraphs(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
 def tables(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """id, table_no, row_no, cells: the cells of every table, as text."""
 
-    def found(node: Node, out: list[Node]) -> list[Node]:
-        for child in node.children:
-            if isinstance(child, Node):
-                if child.tag == "table":
-                    out.append(child)
-                found(child, out)
+    def inner(node: Node) -> list[Node]:
+        return [c for c in reversed(node.children) if isinstance(c, Node)]
+
+    def found(root: Node) -> list[Node]:
+        out, todo = [], inner(root)
+        while todo:
+            node = todo.pop()
+            if node.tag == "table":
+                out.append(node)
+            todo += inner(node)
         return out
 
-    def rows_of(node: Node, out: list[list[str]]) -> list[list[str]]:
-        for child in node.children:
-            if isinstance(child, Node):
-                if child.tag == "tr":
-                    out.append([" ".join(t for _, t in blocks(c)) for c in child.children if isinstance(c, Node) and c.tag in ("td", "th")])
-                elif child.tag != "table":
-                    rows_of(child, out)
+    def rows_of(table: Node) -> list[list[str]]:
+        out, todo = [], inner(table)
+        while todo:
+            node = todo.pop()
+            if node.tag == "tr":
+                out.append([" ".join(t for _, t in blocks(c)) for c in node.children if isinstance(c, Node) and c.tag in ("td", "th")])
+            elif node.tag != "table":
+                todo += inner(node)
         return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -187,8 +201,8 @@ def tables(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
             rows = [
                 (i, k, n, cells)
                 for i, h in zip(b["id"].tolist(), b["html"].tolist(), strict=True)
-                for k, t in enumerate(found(parse(h), []))
-                for n, cells in enumerate(rows_of(t, []))
+                for k, t in enumerate(found(parse(h)))
+                for n, cells in enumerate(rows_of(t))
             ]
             yield pd.DataFrame(rows, columns=["id", "table_no", "row_no", "cells"])
 
