@@ -477,6 +477,63 @@ def test_html_extraction_of_near_copies(spark, tag):
     assert got == want
 
 
+def test_html_region_from_pages(spark):
+    """Without article elements, what varies over the host's pages tells the article; names of text elements don't count there."""
+    rows, want = [], {}
+    rng = random.Random(12)
+    for i in range(30):
+        body = [" ".join(rng.choice(["share", "price", "rose", "fell", "today"]) + str(rng.randrange(1000)) for _ in range(30)) for _ in range(4)]
+        html = (
+            f"<body><div class=top>Brand</div><div class=x1><div class=x2><h1>Head {i}</h1><div class=x3><p class=share>{body[0]}<p id=search>{body[1]} <a class=ref>see</a> it"
+            f"<h2 class=skip-link>{body[2]}</h2><p>{body[3]}<p>Always the same</div></div><div class=x4><p>teaser {i}</div></div><div class=x5>Foot {i % 2}</div>"
+        )
+        rows.append((i, "http://a.example/x", html))
+        want[i] = "\n".join([f"Head {i}", body[0], f"{body[1]} see it", *body[2:]])
+    deep = "<div>" * 5000 + "deep" + "</div>" * 5000
+    rows += [(100 + i, "http://b.example/", deep.replace("deep", f"deep {i} inside")) for i in range(3)]
+    rows += [(200, "http://c.example", "<article><p>" + "main text " * 30 + "</article><article><p>teaser</article>"), (201, "http://d.example", "<p class=share>Share price rose</p><p id=search>About search engines</p>")]
+    want |= {100: "deep 0 inside", 101: "deep 1 inside", 102: "deep 2 inside", 200: ("main text " * 30).strip(), 201: "Share price rose\nAbout search engines"}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = [{r.page_id: (r.text, r.decided) for r in wrapper_induction.extract_main_text(df.repartition(n)).collect()} for n in (2, 50)]
+    assert found[0] == found[1]
+    assert {i: t for i, (t, _) in found[0].items()} == want
+    assert {d for i, (_, d) in found[0].items() if i < 30} == {"template"} and found[0][200][1] == "tags"
+
+
+def test_tree_matching():
+    """Against the plain recursion over all pairs of forests."""
+    rng = random.Random(13)
+
+    def tree(n):
+        x = wrapper_induction.Shape(rng.choice("ab"), "")
+        n -= 1
+        while n > 0:
+            k = rng.randint(1, n)
+            x.children.append(tree(k))
+            n -= k
+        x.form = hash((x.label, *(c.form for c in x.children)))
+        return x
+
+    def largest(a, b):
+        def forest(xs, ys):
+            if not xs or not ys:
+                return 0
+            both = largest(xs[-1], ys[-1]) + forest(xs[:-1], ys[:-1]) if xs[-1].label == ys[-1].label else 0
+            return max(both, forest(xs[:-1], ys), forest(xs, ys[:-1]))
+
+        return 1 + forest(a.children, b.children)
+
+    for _ in range(150):
+        a, b = tree(rng.randint(1, 12)), tree(rng.randint(1, 12))
+        b.label = a.label
+        for x in (a, b):
+            x.form = hash((x.label, *(c.form for c in x.children)))
+        size, pairs = wrapper_induction.match(a, b)
+        assert size == largest(a, b) == len(pairs) and all(x.label == y.label for x, y in pairs)
+    wide = "<div>" + "".join(f"<h2 class=c{i}>x</h2><p>y" for i in range(2000))
+    assert len(wrapper_induction.lines_of(wrapper_induction.parse(wide))) == 4000
+
+
 # 10
 
 
