@@ -338,12 +338,17 @@ def test_quality_classifier(spark):
         rows.append((i, " ".join(words), "en", "low" if bad == (rng.random() < 0.9) else "high", i))
         if i % 2 == 0:
             labels.append((i, int(not bad), 0))
-    rows += [(900, None, None, None, None), (None, "red blue", "en", "high", 1)]
+    rows += [(900, None, None, None, None), (None, "red blue", "en", "high", 1), (901, "red", "inf", "Infinity", 1), (902, "blue " * 30000, "1e999", "nan", 1)]
+    rows += [(2, "green!!", "en", "low", 2), (2, "green!!", "en", "low", 2)]  # a labelled id with other rows
     df, known = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([*labels, (None, 1, 0), (7777, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
-    got = {r.doc_id: r for r in cotraining.classify_quality(df, known).collect()}
-    assert len(got) == len(rows)
+    clashing = df.select("*", F.lit(1).alias("words"), F.lit(2).alias("h"), F.lit(3).alias("meta"), F.lit(4).alias("y"))
+    found = cotraining.classify_quality(clashing, known).collect()
+    got = {r.doc_id: r for r in found}
+    assert len(found) == len(rows) and len(got) == len(rows) - 2
     held = [i for i in range(400) if i % 2]
     assert np.mean([got[i].kept == (i % 4 != 0) for i in held]) > 0.97
+    again = cotraining.classify_quality(df.repartition(7), known).collect()
+    assert sorted((r.doc_id or -1, round(r.score, 6)) for r in again) == sorted((r.doc_id or -1, round(r.score, 6)) for r in found)
     one_kind = cotraining.classify_quality(df, known.where("quality = 1")).collect()
     assert all(r.score == 0.5 and r.kept for r in one_kind)
 
