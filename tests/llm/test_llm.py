@@ -588,6 +588,63 @@ def test_disguises_in_plain_words():
     assert [text[a:b] for x in pii.find(text) for own in x for a, b in own] == ["+49 30 1234567"]
 
 
+def test_more_disguises():
+    """Letters for digits, characters set apart, signs with space around, addresses that are only said, any last label."""
+    for text, want in {
+        "ask john at example dot xyz today": "email:john at example dot xyz",
+        "ask x at y dot museum today": "email:x at y dot museum",
+        "mail john at example.com today": "email:john at example.com",
+        "ask john_77 at example.com today": "email:john_77 at example.com",
+        "ask j o h n @ e x a m p l e . c o m now": "email:j o h n @ e x a m p l e . c o m",
+        "ask john @ example.com now": "email:john @ example.com",
+        "ask john@ example . com now": "email:john@ example . com",
+        "call +1 four one five 555 2671 now": "phone:+1 four one five 555 2671",
+        "call +49 3O l234567 now": "phone:+49 3O l234567",
+        "pay 4lll 1111 1111 111I now": "card:4lll 1111 1111 111I",
+        "host l92.168.O.1 down": "ip:l92.168.O.1",
+    }.items():
+        base, added = pii.find(text)
+        found = [f"{k}:{text[a:b]}" for k, own in zip(pii.KINDS, added, strict=True) for a, b in own]
+        assert want in found and not any(base), (text, found)
+    for text in ("we look at example.com a lot", "more at www.example.com", "see you @ home . Then we eat", "Il 1990 o 2000 Il", "10 I 20 o 30 l 40", "vitamin B12 lol 3D O2", "a b c @ d e f"):
+        assert pii.disguised(text) == [[], [], [], []], (text, pii.disguised(text))
+
+
+def test_personal_data_takes_linear_time():
+    import time
+
+    for make in (
+        lambda n: " " * n + "x(at)", lambda n: "(" + " " * n + "at", lambda n: "a " * n, lambda n: "1 " * n + "a", lambda n: "x at " * n, lambda n: "x at y" + " " * n + "dot",
+        lambda n: "+1" + " " * n, lambda n: "@ " * n, lambda n: "a @ " * n, lambda n: "1l " * n, lambda n: "one " * n, lambda n: "1." * n, lambda n: "a@" * n, lambda n: "[at] " * n, lambda n: "x dot " * n + "at y dot com",
+    ):
+        began = time.process_time()
+        pii.find(make(200_000))
+        assert time.process_time() - began < 10, make(3)
+
+
+def test_spans_against_a_plain_program(spark):
+    """spans and base_sha256 of each row, from texts made of known pieces."""
+    rng = random.Random(15)
+    pieces = [("email", "ann.b@ex-a.org", True), ("ip", "10.0.200.7", True), ("card", "4111-1111-1111-1111", True), ("phone", "+49 (30) 123-4567", True), ("email", "bob [at] ex [dot] de", False), ("email", "kim at ex dot com", False), ("phone", "plus four nine three zero one two three four five", False), ("ip", "one dot two dot three dot four", False), ("card", "4111 1111 1111 111l", False)]
+    rows, want = [], {}
+    for i in range(60):
+        text, base, every = "", [], []
+        for _ in range(rng.randint(0, 6)):
+            text += rng.choice(["word, ", "größe; ", "naïve\n", "汉字 text: "])
+            kind, piece, plain = rng.choice(pieces)
+            span = (pii.KINDS.index(kind), len(text), len(text) + len(piece))
+            every.append(span)
+            base += [span] * plain
+            text += piece + rng.choice([" ; ", "\nand "])
+        rows.append((i, text, "", "", 0))
+        say = lambda spans: ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in sorted(spans))
+        want[i] = (hashlib.sha256(say(base).encode()).hexdigest(), say(every))
+    rows.append((99, "x" * 300_000 + " a@b.de", "", "", 0))
+    want[99] = (hashlib.sha256(b"email:300001:300007").hexdigest(), "email:300001:300007")
+    got = pii.find_personal_data(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.doc_id: (r.base_sha256, r.spans) for r in got} == want
+
+
 def test_base_patterns():
     import re
 

@@ -84,8 +84,7 @@ def odd(text: str) -> bool:
 _any = lambda words: "|".join(sorted(map(re.escape, words), key=len, reverse=True))
 _digit = rf"(?:{_any(DIGIT_WORDS)})"
 _open, _close, _label = r"[\[({<]", r"[\])}>]", r"[A-Za-z0-9-]+"
-BRACKETED_AT = re.compile(rf"\s*{_open}\s*(?:{_any(AT_WORDS)}|@)\s*{_close}\s*", re.I)
-BRACKETED_DOT = re.compile(rf"\s*{_open}\s*(?:{_any(DOT_WORDS)}|\.)\s*{_close}\s*", re.I)
+BRACKETED = re.compile(rf"{_open}\s*(?:(?P<at>{_any(AT_WORDS)}|@)|{_any(DOT_WORDS)}|\.)\s*{_close}", re.I)
 _dot = rf"(?:\s+(?:{_any(DOT_WORDS)})\s+|\.)"
 #: "name at host dot tld", in plain words; _address() tells how far it goes, and whether it is one.
 PLAIN = re.compile(rf"(?<=[A-Za-z0-9._%+-])(?P<at>\s+(?P<word>{_any(AT_WORDS)})\s+|@){_label}(?:{_dot}{_label})+", re.I)
@@ -99,9 +98,20 @@ SPELLED_PART = re.compile(
     rf"(?P<digit>{_digit})|(?P<numeral>[0-9]+)|(?P<dot>[\s,-]*(?:{_any(DOT_WORDS)})[\s,-]*|\.)|(?P<plus>{_any(PLUS_WORDS)})|[\s,-]+", re.I
 )
 SPELLED_HINT = re.compile(rf"(?<!\w)(?:{_digit}|[0-9]++)(?:[\s,-]++(?:\w+[\s,-]+)?|\.){_digit}(?!\w)|(?<!\w){_digit}\.[0-9]", re.I)
+SAID_HINT = re.compile(rf"\s(?:{_any(AT_WORDS)})\s+[A-Za-z0-9-]+\.[A-Za-z]", re.I)
 PLAIN_HINT = re.compile(rf"\s(?:{_any(DOT_WORDS)})\s", re.I)
 BRACKET_HINT = re.compile(rf"{_open}\s*(?:{_any(AT_WORDS)}|@|{_any(DOT_WORDS)}|\.)\s*{_close}", re.I)
 
+#: A sign "@" with white space on one side at least; the host after it.
+SPACED_AT = re.compile(r"(?<=[A-Za-z0-9._%+-])(?:[ \t]++(?P<at>@)[ \t]*+|(?P<tight>@)[ \t]++)(?=[A-Za-z0-9])")
+HOST = re.compile(r"[A-Za-z0-9-]+(?:[ \t]*\.[ \t]*([A-Za-z0-9-]+))+")
+#: Numerals, each with a digit or alone after a dot, in which letters may stand for digits.
+_lettered = r"(?:(?=[OoIl]*[0-9])[0-9OoIl]++|(?<=[0-9OoIl]\.)[OoIl](?![A-Za-z0-9]))"
+LETTERED = re.compile(rf"(?<![A-Za-z0-9])\+?{_lettered}(?:[ ().-]{{1,2}}{_lettered})*+(?![A-Za-z0-9])")
+LETTERED_HINT = re.compile(r"[0-9][OoIl]|[OoIl][0-9]")
+#: Words before an address that is only said ("mail anna at example.com"); else it may be a place ("look at example.com").
+CUES = frozenset("mail e-mail email mailto contact write reach address correo courriel mél adresse schreib kontakt escribe contacto contacte écrivez".split())
+
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # A match can't start within a run of digits: what fails at its first digit fails at the others.
@@ -189,11 +199,55 @@ def _hidden(text: str) -> list[tuple[int, int, str]]:
 
 
 def _brackets(text: str) -> list[tuple[int, int, str]]:
-    found = [(*m.span(), "@") for m in BRACKETED_AT.finditer(text)] + [(*m.span(), ".") for m in BRACKETED_DOT.finditer(text)]
+    """A bracket with the white space around it; looked for from the bracket on, so in time proportional to the text."""
     out: list[tuple[int, int, str]] = []
-    for x in sorted(found):
-        if not out or x[0] >= out[-1][1]:
-            out.append(x)
+    for m in BRACKETED.finditer(text):
+        start, end = m.span()
+        floor = out[-1][1] if out else 0
+        while start > floor and text[start - 1].isspace():
+            start -= 1
+        while end < len(text) and text[end].isspace():
+            end += 1
+        out.append((start, end, "@" if m["at"] else "."))
+    return out
+
+
+def _spaced(text: str) -> list[tuple[int, int, str]]:
+    """The white space around a sign "@", and what parts single characters beside it ("a n n @ x . d e")."""
+    out, floor = [], 0
+    for m in SPACED_AT.finditer(text):
+        at = m.start("at") if m["at"] else m.start()
+        if m.start() < floor:
+            continue
+        single = text[at + 1].isspace() and m.end() < len(text) and (m.end() + 1 == len(text) or text[m.end() + 1].isspace())
+        left, right = m.start(), m.end()
+        if not single:
+            host = HOST.match(text, right)
+            if host and host[1].lower() in LAST_LABELS:
+                cuts = [(left, at)] + [(at + 1, right)] + [x.span() for x in re.finditer(r"\s+", text[: host.end()][right:])]
+                cuts = cuts[:2] + [(a + right, b + right) for a, b in cuts[2:]]
+                out += [(a, b, "") for a, b in cuts if a < b]
+                floor = host.end()
+            continue
+        alone = lambda i: (i == 0 or text[i - 1].isspace()) and (i + 1 == len(text) or text[i + 1].isspace())
+        start = left - 1
+        while start - 2 >= floor and text[start - 1].isspace() and text[start - 2] in LOCAL and alone(start - 2):
+            start -= 2
+        end = right
+        while end + 2 < len(text) and text[end + 1].isspace() and (text[end + 2].isalnum() or text[end + 2] in ".-") and alone(end + 2):
+            end += 2
+        if alone(left - 1) and DOMAIN.fullmatch(re.sub(r"\s", "", text[right : end + 1])):
+            out += [(i, i + 1, "") for i in range(start, end + 1) if text[i].isspace()]
+            floor = end + 1
+    return out
+
+
+def _letters(text: str) -> list[tuple[int, int, str]]:
+    """Letters that stand for a digit, within numerals that are long enough together."""
+    out = []
+    for m in LETTERED.finditer(text):
+        if sum(c.isalnum() for c in m[0]) >= 7 and sum(c.isdigit() for c in m[0]) * 2 >= sum(c.isalnum() for c in m[0]):
+            out += [(m.start() + i, m.start() + i + 1, "0" if c in "Oo" else "1") for i, c in enumerate(m[0]) if c in "OoIl"]
     return out
 
 
@@ -218,6 +272,15 @@ def _dots_before(text: str, at: int, floor: int) -> list[tuple[int, int, str]]:
         at = start
 
 
+def _said(text: str, at: int, floor: int) -> bool:
+    """Whether the word that ends at `at` is a local part: it has a sign or digit within, or a cue is near before it."""
+    start = at
+    while start > floor and text[start - 1] in LOCAL:
+        start -= 1
+    word = text[start:at].strip(".-")
+    return not word.isalpha() and len(word) > 2 or not CUES.isdisjoint(re.findall(r"[\w-]+", text[max(floor, start - 40) : start].lower())[-4:])
+
+
 def _address(text: str, m: re.Match, floor: int) -> tuple[int, list[tuple[int, int, str]]] | None:
     """The end and the edits of an address in plain words, or None if the match is none.
 
@@ -244,7 +307,8 @@ def _address(text: str, m: re.Match, floor: int) -> tuple[int, list[tuple[int, i
     while own < len(before) and before[own][2] == (used if worded else "dot"):
         own += 1
     if not steps or not (worded or own):
-        return None
+        if not steps or not m["word"] or steps[-1]["label"].lower() not in LAST_LABELS or not _said(text, m.start("at"), floor):
+            return None
     edits = [(a, b, ".") for a, b, _ in reversed(before[:own])]
     if m["word"]:
         edits.append((*m.span("at"), "@"))
@@ -299,11 +363,12 @@ def disguised(text: str) -> list[list[Span]]:
     """Spans of the source, per kind, that the detectors find once the disguises are undone."""
     strange = odd(text)
     brackets, plain, spelled = BRACKET_HINT.search, PLAIN_HINT.search, SPELLED_HINT.search
-    if not (strange or brackets(text) or plain(text) or spelled(text)):
+    hints = (brackets, plain, spelled, LETTERED_HINT.search, SPACED_AT.search, SAID_HINT.search)
+    if not (strange or any(hint(text) for hint in hints)):
         return [[] for _ in KINDS]
     now = text.translate(ONE_TO_ONE) if strange else text  # character by character: places stay
     layers = []
-    for rewrite in (_hidden, _brackets, _plain, _spelled, _numeral_dots):
+    for rewrite in (_hidden, _brackets, _spaced, _plain, _letters, _spelled, _numeral_dots):
         if edits := rewrite(now):
             layers.append(Rewritten(now, edits))
             now = layers[-1].text
