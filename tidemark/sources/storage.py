@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where it is unset (tests)."""
+    """spark.checkpoint.dir. Where it is unset, a temporary folder in local mode, as in tests; on a cluster an error."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("tidemark.shared.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("tidemark.shared.dir", at)
     return at
@@ -22,17 +24,40 @@ def fresh_path(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/tidemark-{uuid.uuid4().hex}"
 
 
+#: Tables of this process that written() made and nobody deleted yet, in order.
+_made: list[str] = []
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: it is computed once, and a lost executor takes nothing with it."""
     at = fresh_path(df.sparkSession)
+    _made.append(at)
     df.write.option("compression", "zstd").parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _made[:] = [x for x in _made if not at.endswith(x.rsplit("/", 1)[-1])]
+
+
 def forget(df: DataFrame) -> None:
     """Deletes a table that written() made."""
-    spark = df.sparkSession
     for at in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if re.search(r"/tidemark-[0-9a-f]{32}$", at):
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, at)
+
+
+def made() -> list[str]:
+    """The tables that exist now, for settled()."""
+    return list(_made)
+
+
+def settled(df: DataFrame, kept: list[str]) -> DataFrame:
+    """written(df), after which the other tables that written() made are deleted, but for those kept."""
+    out_of_use = [x for x in _made if x not in kept]
+    out = written(df)
+    for at in [x for x in out_of_use if x in _made]:
+        _delete(df.sparkSession, at)
+    return out
