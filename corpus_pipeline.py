@@ -68,8 +68,8 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written before the next one reads it."""
-    docs = common.table(spark, sf_dir, "documents")
+    """All stages over documents, each written before the next one reads it; what a stage wrote on its way is then deleted."""
+    docs, kept = common.table(spark, sf_dir, "documents"), common.made()
     for _, stage in STAGES[:-1]:
-        docs = common.written(stage(spark, docs, sf_dir))
+        docs = common.settled(stage(spark, docs, sf_dir), kept)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text, written
+from .common import forget, whole_text, written
 from .components import connected_components
 from .repeats import FACTORS, PART, Rolling, mixed, unpacked
 from .substring_dedup import WORDS
@@ -172,10 +172,11 @@ def _groups(columns: tuple[str, ...], batches: Iterator[pd.DataFrame]) -> Iterat
 def measured(reps: DataFrame, trees: int, depth: int, threshold: float) -> dict[float, float]:
     """reps: labels. Weight by similarity of links, as neighbours in the sorted trie of the first tree show it.
 
-    The similarity is the share of equal minima of the other trees. A pair has the same first minimum, and so lies near
+    The similarity is the share of equal minima of other trees (15 of them do). A pair has the same first minimum, and so lies near
     each other, as often as it is similar; it counts as often as that inverted. Pairs up to two standard deviations
     below the threshold count too, which errs towards shorter prefixes.
     """
+    trees = min(trees, 16)
     n = (trees - 1) * depth
     least = threshold - 2 * (threshold * (1 - threshold) / max(1, n)) ** 0.5
 
@@ -190,7 +191,7 @@ def measured(reps: DataFrame, trees: int, depth: int, threshold: float) -> dict[
             equal, often = np.unique(same, return_counts=True)
             yield pd.DataFrame({"equal": equal, "n": often})
 
-    trie = reps.select("labels", F.substring("labels", 1, 2 * depth).alias("label"))
+    trie = reps.select(F.substring("labels", 1, 2 * depth * trees).alias("labels"), F.substring("labels", 1, 2 * depth).alias("label"))
     trie = trie.repartitionByRange("label").sortWithinPartitions("label").select("labels")
     rows = trie.mapInPandas(compare, "equal int, n long").groupBy("equal").agg(F.sum("n").alias("n")).collect()
     return {r.equal / n: r.n * n / r.equal for r in rows if n and r.equal and r.equal / n >= least}
@@ -248,6 +249,8 @@ def near_duplicates(
     )
     # Written, so that a class keeps the number it gets here.
     copies = written(copies.withColumn("node", F.monotonically_increasing_id()))
+    ids = written(rows.select("doc_id", "same"))
+    forget(rows)
     reps = copies.where("size > 0")
     length = prefix_depth(measured(reps, trees, depth, num / den), trees, depth, num / den, recall, at_threshold)
 
@@ -293,23 +296,18 @@ def near_duplicates(
     schema = "tree int, key int, i int, j int, block int, node long, keys array<int>"
     chosen = pairs.repartition(*group).sortWithinPartitions(*group).mapInPandas(choose, schema)
 
-    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b["grams"] = [ngram_hashes(WORDS.numbers(unpacked(t)), n, part).tobytes() for t in b["packed"]]
-            yield b.drop(columns="packed")
-
     # A merge join at every size: the texts are dealt the same way whether there are few candidates or many.
     texts = reps.select("node", "copies", "packed").hint("merge").join(chosen, "node").select(*group, "block", "node", "copies", "keys", "packed")
-    dealt = texts.mapInPandas(grams, "tree int, key int, i int, j int, block int, node long, copies long, keys array<int>, grams binary")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in _batched(_groups((*group, "block", "node", "copies", "keys", "grams"), batches)):
+        for b in _batched(_groups((*group, "block", "node", "copies", "keys", "packed"), batches)):
             out = []
             for rows in b:
                 left, other, todo = sides(rows, 7)
                 if not todo.any():
                     continue
-                found = links_in_blocks([np.frombuffer(r[8], U) for r in rows], left, num, den) & todo
+                grams = [ngram_hashes(WORDS.numbers(unpacked(r[8])), n, part) for r in rows]
+                found = links_in_blocks(grams, left, num, den) & todo
                 nodes, copies = [r[5] for r in rows], np.array([r[6] for r in rows])
                 texts, linked = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
                 texts[:left], linked[:left] = found.sum(1), found @ copies[other]
@@ -320,7 +318,7 @@ def near_duplicates(
             yield pd.DataFrame(out, columns=["node", "other", "texts", "rows"]).astype("int64")
 
     found = written(
-        dealt.repartition(*group).sortWithinPartitions(*group).mapInPandas(verify, "node long, other long, texts long, rows long")
+        texts.repartition(*group).sortWithinPartitions(*group).mapInPandas(verify, "node long, other long, texts long, rows long")
     )
     links = found.groupBy("node").agg(F.sum("texts").alias("texts"), F.sum("rows").alias("linked"))
     classes = connected_components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
@@ -334,4 +332,4 @@ def near_duplicates(
         (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"),
         F.coalesce("texts", F.lit(0)).alias("n_linked_texts"),
     )
-    return rows.select("doc_id", "same").join(named, "same").drop("same")
+    return ids.join(named, "same").drop("same")
