@@ -9,11 +9,11 @@ from tidemark.functions import text as tx
 
 
 def bm25_index(chunks: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(postings: id, term, tf, dl; terms: term, df). One shuffle each, both with map-side combination."""
+    """(postings: id, term, tf, dl; terms: term, df). A chunk's words are counted in its own row; only df is an exchange."""
     words = chunks.select(F.col(id_col).alias("id"), tx.tokens(F.col(text_col)).alias("words"))
-    words = words.select("id", F.size("words").alias("dl"), F.explode("words").alias("term"))
-    postings = words.groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
-    return postings, postings.groupBy("term").agg(F.count("*").alias("df"))
+    postings = words.select("id", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
+    terms = words.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return postings, terms
 
 
 def bm25_idf(terms: DataFrame, n: int, floor: float = 0.25) -> DataFrame:
@@ -36,18 +36,26 @@ def bm25_search(
     k: int,
     k1: float = 1.5,
     b: float = 0.75,
+    filters: dict[str, object] | None = None,
 ) -> DataFrame:
     """query_id, id, score, rank: for each query the k chunks with the highest BM25 score above 0, ties to smaller ids.
 
-    Repeated query words count as often as they occur. Queries meet postings on the term, so that only chunks that share
-    a word with a query are scored; a frequent term's postings are what a skewed join may split.
+    Repeated query words count as often as they occur. Queries meet words on the term, so that only chunks that share a word
+    with a query are counted and scored; a frequent term's rows are what a skewed join may split. filters: column and value
+    that a hit must have; the statistics are those of all chunks.
     """
-    postings, terms = bm25_index(chunks, id_col, text_col)
+    _, terms = bm25_index(chunks, id_col, text_col)
     sizes = chunks.select(F.size(tx.tokens(F.col(text_col))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).first()
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tx.tokens(F.col(query_text))).alias("term"))
     asked = asked.groupBy("query_id", "term").agg(F.count("*").alias("qf")).join(bm25_idf(terms, sizes.n), "term")
     length = F.lit(1 - b) + F.lit(b) * F.col("dl") / F.lit(float(sizes.mean or 1.0))
     part = F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * length)
+    kept = chunks
+    for name, value in (filters or {}).items():
+        kept = kept.where(F.col(name).eqNullSafe(F.lit(value)))
+    words = kept.select(F.col(id_col).alias("id"), tx.tokens(F.col(text_col)).alias("words"))
+    words = words.select("id", F.size("words").alias("dl"), F.explode("words").alias("term"))
+    postings = words.join(asked.select("term").distinct(), "term", "left_semi").groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
     scored = asked.join(postings, "term").groupBy("query_id", "id").agg(F.sum(part).alias("score")).where("score > 0")
     return top_per_query(scored, k)
 
@@ -58,23 +66,6 @@ def top_per_query(scored: DataFrame, k: int, *, score: str = "score", tie: str =
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def cosine(a: Column, b: Column) -> Column:
-    """0 where either has no length."""
-    return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))
-
-
-def squared_distance(a: Column, b: Column) -> Column:
-    return F.aggregate(
-        F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))),
-        F.lit(0.0),
-        lambda s, x: s + x,
-    )
-
-
 def reciprocal_rank_fusion(hits: DataFrame, k: int = 60, key: str = "id") -> DataFrame:
     """hits: query_id, list, rank (from 1), key. query_id, key, score = sum of 1 / (k + rank), first (best list and rank)."""
     return hits.groupBy("query_id", key).agg(
@@ -90,6 +81,21 @@ def cap_per_group(scored: DataFrame, group: list[str], cap: int) -> DataFrame:
     return scored.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cap).drop("_n")
 
 
+def hybrid(keyword: DataFrame, vector: DataFrame, *, k: int = 60) -> DataFrame:
+    """query_id, id, score, first of both kinds of hits. Both: query_id, variant, id, rank. The hits of a query's variants
+    follow each other in one list, as many as there are."""
+    order = Window.partitionBy("query_id").orderBy("variant", "rank", "id")
+    lists = [x.withColumn("rank", F.row_number().over(order)).withColumn("list", F.lit(n)) for n, x in enumerate((vector, keyword))]
+    return reciprocal_rank_fusion(lists[0].select("query_id", "id", "list", "rank").unionByName(lists[1].select("query_id", "id", "list", "rank")), k)
+
+
+def rerank_threshold(hits: DataFrame, least: float) -> DataFrame:
+    """Hits that weren't reranked, or whose rerank_score reaches least; all, if least is 0. hits: reranked, rerank_score."""
+    if least <= 0:
+        return hits
+    return hits.where(~F.coalesce("reranked", F.lit(False)) | (F.coalesce("rerank_score", F.lit(0.0)) >= least))
+
+
 def gate(scored: DataFrame, least: float) -> DataFrame:
     """All of a query's rows, or none if its best score is below least."""
     best = Window.partitionBy("query_id")

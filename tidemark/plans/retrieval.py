@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
 from tidemark.operators import retrieval as rt
+from tidemark.operators.vectors import vector_search
 from tidemark.sources.tables import table
 
 #: SQL of the default tokenizer, for DuckDB.
@@ -42,22 +43,18 @@ def bm25_terms(spark: SparkSession, sf: str) -> DataFrame:
     return rt.bm25_idf(terms, docs.count()).select("term", F.round("idf", 6).alias("idf"))
 
 
-def _pairs(spark: SparkSession, sf: str, score, condition: Column | None = None) -> DataFrame:
-    v = table(spark, sf, "embeddings")
-    # A stated set of queries against all rows; the set is a fixed share of a small table, so Spark decides how to send it.
-    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("q_label"))
-    rows = v.select(F.col("vec_id").alias("id"), "embedding", "label")
-    on = F.col("query_id") != F.col("id")
-    return q.join(rows, on if condition is None else on & condition).select("query_id", "id", "label", score.alias("score"))
+def _search(spark: SparkSession, sf: str, kind: str, k: int, grouped: bool = False) -> DataFrame:
+    """Every row whose id is divisible by 20, against all rows."""
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.col("label").alias("grp"))
+    return vector_search(v, v.where("id % 20 = 0"), k=k, kind=kind, grouped=grouped)
 
 
 def vector_topk_cosine(spark: SparkSession, sf: str) -> DataFrame:
-    found = rt.top_per_query(_pairs(spark, sf, rt.cosine(F.col("q"), F.col("embedding"))), 10)
-    return found.select("query_id", F.col("id").alias("vec_id"), "rank", F.round("score", 6).alias("score"))
+    return _search(spark, sf, "cosine", 10).select("query_id", F.col("id").alias("vec_id"), "rank", F.round("score", 6).alias("score"))
 
 
 VECTORS = """
-WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q, label AS q_label FROM embeddings WHERE vec_id % 50 = 0),
+WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q, label AS q_label FROM embeddings WHERE vec_id % 20 = 0),
 v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings),
 x AS (SELECT query_id, vec_id, label, {score} AS score FROM q JOIN v ON query_id <> vec_id{more})
 SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS INTEGER) AS rank,
@@ -66,34 +63,30 @@ COSINE = "coalesce(list_dot_product(q, e) / nullif(sqrt(list_dot_product(q, q))
 
 
 def vector_topk_filtered(spark: SparkSession, sf: str) -> DataFrame:
-    same = F.col("q_label").eqNullSafe(F.col("label"))
-    found = rt.top_per_query(_pairs(spark, sf, rt.cosine(F.col("q"), F.col("embedding")), same), 10)
+    found = _search(spark, sf, "cosine", 10, grouped=True)
     return found.select("query_id", F.col("id").alias("vec_id"), "rank", F.round("score", 6).alias("score"))
 
 
 def memory_topk_l2(spark: SparkSession, sf: str) -> DataFrame:
-    score = F.lit(1.0) / (F.lit(1.0) + rt.squared_distance(F.col("q"), F.col("embedding")))
-    found = rt.top_per_query(_pairs(spark, sf, score), 10)
-    return found.select("query_id", F.col("id").alias("vec_id"), "rank", F.round("score", 6).alias("score"))
+    return _search(spark, sf, "l2", 10).select("query_id", F.col("id").alias("vec_id"), "rank", F.round("score", 6).alias("score"))
 
 
 def memory_suppression(spark: SparkSession, sf: str) -> DataFrame:
     """Memories whose nearest other one is too alike to be stored again."""
-    found = rt.top_per_query(_pairs(spark, sf, rt.cosine(F.col("q"), F.col("embedding"))), 1)
-    return found.select(F.col("query_id").alias("vec_id"), (F.col("score") > 0.9).alias("skipped"), F.round("score", 6).alias("score"))
+    return _search(spark, sf, "cosine", 1).select(F.col("query_id").alias("vec_id"), (F.col("score") > 0.9).alias("skipped"), F.round("score", 6).alias("score"))
 
 
 def _hits(spark: SparkSession, sf: str) -> DataFrame:
-    """Two ranked lists for each query: by cosine and by inner product."""
-    c, e = F.col("q"), F.col("embedding")
-    lists = [rt.top_per_query(_pairs(spark, sf, s), 20).withColumn("list", F.lit(n)) for n, s in ((0, rt.cosine(c, e)), (1, rt.dot(F.slice(c, 1, 32), F.slice(e, 1, 32))))]
-    return lists[0].unionByName(lists[1])
+    """Two ranked lists for each query: by cosine and by inner product, over whole vectors."""
+    lists = [_search(spark, sf, kind, 20).withColumn("list", F.lit(n)) for n, kind in enumerate(("cosine", "dot"))]
+    labels = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    return lists[0].unionByName(lists[1]).join(labels, "id")
 
 
 HITS = f"""
-WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0),
+WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 20 = 0),
 v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, label FROM embeddings),
-x AS (SELECT query_id, id, label, {COSINE} AS a, list_dot_product(q[1:32], e[1:32]) AS b FROM q JOIN v ON query_id <> id),
+x AS (SELECT query_id, id, label, {COSINE} AS a, list_dot_product(q, e) AS b FROM q JOIN v ON query_id <> id),
 h AS (SELECT query_id, id, label, row_number() OVER (PARTITION BY query_id ORDER BY round(a, 9) DESC, id) AS rank FROM x QUALIFY rank <= 20
   UNION ALL SELECT query_id, id, label, row_number() OVER (PARTITION BY query_id ORDER BY round(b, 9) DESC, id) AS rank FROM x QUALIFY rank <= 20),
 f AS (SELECT query_id, id, any_value(label) AS label, sum(1.0::DOUBLE / (60 + rank)) AS score FROM h GROUP BY query_id, id)
@@ -231,11 +224,11 @@ SELECT doc_id, md5(CASE WHEN length(text) <= 400 THEN text WHEN length(s) > 200
 
 def document_names(spark: SparkSession, sf: str) -> DataFrame:
     path = F.concat(F.lit("kb/"), F.col("lang"), F.lit("/"), F.upper("source"), F.lit("_"), F.col("doc_id").cast("string"), F.lit(".md"))
-    return table(spark, sf, "documents").select("doc_id", tx.document_name(path).alias("name"), tx.first_int(F.substring("text", 1, 5000)).cast("long").alias("first_int"))
+    return table(spark, sf, "documents").select("doc_id", tx.document_name(path).alias("name"), tx.first_int(F.col("text")).cast("long").alias("first_int"))
 
 
 NAMES_SQL = """
-SELECT doc_id, lower(upper(source) || '_' || doc_id) AS name, CAST(nullif(regexp_extract(substring(text, 1, 5000), '(\\d{1,9})', 1), '') AS BIGINT) AS first_int FROM documents"""
+SELECT doc_id, lower(upper(source) || '_' || doc_id) AS name, CAST(nullif(regexp_extract(text, '(\\d{1,9})', 1), '') AS BIGINT) AS first_int FROM documents"""
 
 
 def model_json(spark: SparkSession, sf: str) -> DataFrame:
@@ -273,8 +266,9 @@ SQL = {
     "bm25_topk": BM25_SQL,
     "bm25_terms": f"""
 WITH d AS (SELECT doc_id AS id, list_distinct({TOKENS.format("text")}) AS w FROM documents), s AS (SELECT count(*) AS n FROM documents),
-f AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM d, unnest(w) AS t(term), s GROUP BY term, n)
-SELECT term, round(CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM f) ELSE raw END, 6) AS idf FROM f""",
+f AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM d, unnest(w) AS t(term), s GROUP BY term, n),
+m AS (SELECT avg(raw) AS mean FROM f)
+SELECT term, round(CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END, 6) AS idf FROM f, m""",
     "vector_topk_cosine": VECTORS.format(score=COSINE, more=""),
     "vector_topk_filtered": VECTORS.format(score=COSINE, more=" AND q_label IS NOT DISTINCT FROM label"),
     "memory_topk_l2": VECTORS.format(score="1.0::DOUBLE / (1.0 + list_dot_product(list_transform(q, lambda x, i: x - e[i]), list_transform(q, lambda x, i: x - e[i])))", more=""),
