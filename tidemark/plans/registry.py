@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import compliance, corpus, evaluation, logs, retrieval, streams
+from tidemark.plans import compliance, corpus, evaluation, logs, relevance, retrieval, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (retrieval, evaluation, corpus, logs, compliance, streams)
+MODULES = (retrieval, evaluation, relevance, corpus, logs, compliance, streams)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
