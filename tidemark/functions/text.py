@@ -95,3 +95,59 @@ def permutation(answer: Column, n: Column) -> Column:
     said = F.transform(F.regexp_extract_all(answer, F.lit(r"\d{1,9}"), 0), lambda x: x.cast("int"))
     valid = F.array_distinct(F.filter(said, lambda x: (x >= 1) & (x <= n)))
     return F.concat(valid, F.array_except(F.sequence(F.lit(1), n), valid))
+
+
+def age_range(text: Column) -> Column:
+    """struct(low, high) of "0-60"; both the first whole number where there is no range; null without one."""
+    pattern = r"(\d{1,9})\s*[-~到]\s*(\d{1,9})"
+    part = lambda n: F.nullif(F.regexp_extract(text, pattern, n), F.lit("")).cast("int")
+    return F.struct(F.coalesce(part(1), first_int(text)).alias("low"), F.coalesce(part(2), first_int(text)).alias("high"))
+
+
+# Chinese numerals as an article's number reads them, one after the other.
+NUMERALS = dict(zip("一二三四五六七八九十百千", (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 100, 1000), strict=True))
+
+
+def article_key(number: Column) -> Column:
+    """struct(other, n, text), which sorts articles: numbered ones first, by their Arabic or Chinese number (each numeral adds
+    to ten times what came before), then the others by their text."""
+    said = F.regexp_extract(number, r"第([一二三四五六七八九十百千\d]+)[条项]", 1)
+    values = F.create_map(*(x for k, v in NUMERALS.items() for x in (F.lit(k), F.lit(v))))
+    digit = lambda c: F.coalesce(F.try_element_at(values, c), F.lit(0)).cast("long")
+    spoken = F.aggregate(F.split(said, ""), F.lit(0).cast("long"), lambda a, c: F.when(c == "", a).otherwise(a * 10 + digit(c)))
+    n = F.when(said.rlike(r"^\d+$"), said.try_cast("long")).otherwise(spoken)
+    numbered = said != ""
+    return F.struct((~numbered).cast("int").alias("other"), F.when(numbered, n).alias("n"), F.when(~numbered, number).alias("text"))
+
+
+# What a regulation's name holds besides its subject: numbers of issue, then the offices that issue it.
+ISSUES = (
+    r"[（(][^）)]*[发函公告号令][^）)]*[）)]",
+    r"(?:银保监|保监|金寿险|国金|金融|保险)?(?:办|会)?(?:发|函)\s*[〔\[]?\d+[\]〕]?\s*号",
+    r"\d{4}年第\d+号",
+    r"通知公告\d{4}[-/]\d{1,2}[-/]\d{1,2}",
+    r"中国(?:银行)?保险监督管理委员会(?:办公厅|人身险监管部)?",
+    r"中国(?:银行)?保监会(?:办公厅)?",
+    r"国家金融监督管理总局(?:人身险司)?",
+    r"中国银保监会(?:办公厅)?",
+    r"中国保监会(?:办公厅)?",
+    r"原中国(?:银行)?保监会(?:办公厅)?",
+    r"银保监会(?:办公厅)?",
+    r"保监会(?:办公厅)?",
+    r"\s+",
+)
+
+
+def regulation_name(name: Column, patterns: tuple[str, ...] = ISSUES) -> Column:
+    """The name without offices, numbers of issue and white space; as it is, where nothing else is left."""
+    bare = reduce(lambda c, p: F.regexp_replace(c, p, ""), patterns, name)
+    return F.coalesce(F.nullif(F.regexp_replace(bare, "^[_：: -]+|[_：: -]+$", ""), F.lit("")), name)
+
+
+def file_name(name: Column, most: int = 240) -> Column:
+    """The name as a file's: without signs, white space as _, at most `most` bytes of whole characters."""
+    bare = F.regexp_replace(name, "[<>:\"/\\\\|?*（）【】《》、，。！？；：'…—〔〕「」]", "")
+    bare = F.regexp_replace(F.regexp_replace(bare, r"\s*&\s*", "&"), r"\s+", "_")
+    cut = F.make_valid_utf8(F.substring(bare.cast("binary"), 1, most).cast("string"))
+    whole = F.when(F.octet_length(bare) <= most, bare).otherwise(F.regexp_replace(cut, "\ufffd+$", ""))
+    return F.regexp_replace(whole, "^_+|_+$", "")

@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HEADING = r"^#{1,6}\s+.+$"
-NUMBERED = r"^\d+(\.\d+)*[.、]?\s+\S.*$"
+# Lines that are headings. Markdown ones; if a document has none of them: clauses, numbers, brackets, numerals.
+HEADING = r"^(#{1,6})\s+(.+?)\s*$"
+CLAUSE_HEADING = r"^第([一二三四五六七八九十百零]+)条[：:\s]"
+NUMBERED = r"^(\d+(?:\.\d+)*)[.、\s]"
+BRACKET = r"^[（(]([一二三四五六七八九十\d]+)[）)]"
+NUMERAL = r"^([一二三四五六七八九十]+)[、.]"
+# How a chunk begins that was wrongly cut from the one before it.
+LIST_START = r"^[（(]\d+[）)]|^[①②③④⑤]|^[a-zA-Z]\."
+TURNS = ("但", "然而", "除外", "不包括", "另有规定", "但是")
 
 
 def front_matter(docs: DataFrame) -> DataFrame:
@@ -29,15 +36,18 @@ def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def headings(rows: DataFrame) -> DataFrame:
-    """Adds level: the number of # signs; without any such heading in a document, the depth of a leading number.
+    """Adds level: the number of # signs; without any such heading in a document, 1 for a clause, the depth of a leading
+    number, 2 for a number in brackets or a numeral.
 
     rows: id, line_no, line. Markdown headings win exclusively.
     """
-    is_md = F.col("line").rlike(HEADING)
+    # A number may also be all of a line, as the line's end is white space.
+    line = F.concat("line", F.lit("\n"))
+    is_md = line.rlike(HEADING)
     any_md = F.max(is_md.cast("int")).over(Window.partitionBy("id")) == 1
-    depth = F.size(F.split(F.regexp_extract("line", r"^(\d+(?:\.\d+)*)", 1), r"\."))
-    level = F.when(any_md, F.when(is_md, F.length(F.regexp_extract("line", "^(#+)", 1)))).otherwise(F.when(F.col("line").rlike(NUMBERED), depth))
-    return rows.withColumn("level", level)
+    depth = F.size(F.split(F.regexp_extract(line, NUMBERED, 1), r"\."))
+    other = F.when(line.rlike(CLAUSE_HEADING), 1).when(line.rlike(NUMBERED), depth).when(line.rlike(BRACKET) | line.rlike(NUMERAL), 2)
+    return rows.withColumn("level", F.when(any_md, F.when(is_md, F.length(F.regexp_extract(line, "^(#+)", 1)))).otherwise(other))
 
 
 def sections(marked: DataFrame) -> DataFrame:
@@ -98,3 +108,55 @@ def with_overlap(chunks: DataFrame, longest: int = 150, limit: int = 3000) -> Da
     cut = F.regexp_extract(last, r"(?s)^.*[.!?。！？\n](.*)$", 1)
     tail = F.trim(F.when(last.rlike(r"[.!?。！？\n]"), cut).otherwise(last))
     return chunks.withColumn("tail", F.when(F.length(tail) + F.length("content") <= limit, tail))
+
+
+def runs(lengths: Column, joined: Column, limit: float, glue: int) -> Column:
+    """A number, from 0, for each of some parts in order: that of the part before while they are joined and stay within
+    limit together, glue included, else the next one. Carries numbers only, never the parts themselves."""
+    start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(-1).alias("n"), F.lit(0).alias("size"))
+
+    def step(acc: Column, x: Column) -> Column:
+        stays = x.joined & (acc.n >= 0) & (acc.size + glue + x.size <= limit)
+        n = F.when(stays, acc.n).otherwise(acc.n + 1)
+        size = F.when(stays, acc.size + glue).otherwise(0) + x.size
+        return F.struct(F.concat(acc.out, F.array(n)).alias("out"), n.alias("n"), size.alias("size"))
+
+    both = F.zip_with(lengths, joined, lambda n, j: F.struct(n.alias("size"), j.alias("joined")))
+    return F.aggregate(both, start, step, lambda acc: acc.out)
+
+
+def sentence_chunks(docs: DataFrame, id_col: str, text_col: str, *, limit: int = 3000, overlap: int = 150, least: int = 20, force: int = 10_000) -> DataFrame:
+    """id, chunk (from 0), content: whole sentences joined while they fit limit; a longer one is a chunk of its own. Texts of
+    over `force` characters are cut in windows of `limit` instead, each `limit - overlap` on from the last, of `least` at least.
+    """
+    t = F.col(text_col)
+    short = docs.where(F.length(t) <= force).select(
+        F.col(id_col).alias("id"), F.regexp_extract_all(t, F.lit("[^。；！？.!?]*[。；！？.!?]|[^。；！？.!?]+"), 0).alias("parts")
+    )
+    numbered = short.withColumn("n", runs(F.transform("parts", F.length), F.transform("parts", lambda p: F.lit(True)), limit, 0))
+    each = numbered.select("id", F.posexplode(F.arrays_zip("parts", "n")).alias("pos", "x"))
+    packed = each.groupBy("id", F.col("x.n").alias("chunk")).agg(
+        F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x.parts"))), lambda r: r.parts), "")).alias("content")
+    )
+    long = windows(docs.where(F.length(t) > force), id_col, text_col, limit, overlap, least)
+    return packed.where("content <> ''").unionByName(long.select("id", "chunk", "content"))
+
+
+def belongs_together(before: Column, after: Column) -> Column:
+    """Whether two neighbouring chunks were wrongly cut: the first ends with a colon or semicolon, or the second begins as an
+    item of a list or with a word that turns against what came before."""
+    a, b = F.trim(before), F.trim(after)
+    return a.rlike("[:：;；]$") | b.rlike(LIST_START) | b.rlike("^(" + "|".join(TURNS) + ")")
+
+
+def merged_neighbours(chunks: DataFrame, *, limit: int = 3000, oversize: float = 1.5, glue: str = "\n\n") -> DataFrame:
+    """chunks: id, chunk, content. Wrongly cut neighbours as one, joined by glue, while that has at most oversize x limit."""
+    items = F.array_sort(F.collect_list(F.struct("chunk", "content")))
+    rows = chunks.groupBy("id").agg(items.alias("items"))
+    text = F.transform("items", lambda x: x.content)
+    joined = F.transform(text, lambda c, i: F.when(i == 0, F.lit(False)).otherwise(belongs_together(F.get(text, i - 1), c)))
+    rows = rows.withColumn("n", runs(F.transform(text, F.length), joined, limit * oversize, len(glue)))
+    each = rows.select("id", F.posexplode(F.arrays_zip("items", "n")).alias("pos", "x"))
+    return each.groupBy("id", F.col("x.n").alias("chunk")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x.items.content"))), lambda r: r.content), glue).alias("content")
+    )

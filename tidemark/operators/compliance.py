@@ -121,3 +121,59 @@ def column_gap(xs: DataFrame, by: str, x: str, bins: int = 20) -> DataFrame:
     mean = F.avg("n").over(Window.partitionBy(by))
     low = full.withColumn("mean", mean).where((F.col("bin") >= 0.3 * bins) & (F.col("bin") < 0.7 * bins) & (F.col("n") < F.col("mean") / 10))
     return low.groupBy(by).agg(F.min_by("bin", F.struct("n", "bin")).alias("gap"))
+
+
+# The marks that open the parts of a document under audit.
+CLAUSE_MARK = r"【(?:附加险)?条款\s+(\d+(?:\.\d+)*)】"
+PART_MARKS = {"has_notices": "【投保须知】", "has_health": "【健康告知】", "has_exclusions": "【责任免除】", "has_tables": r"【数据表 \d+】"}
+
+
+def document_parts(text: Column, fewest: int = 10, share: float = 0.3) -> Column:
+    """struct of all_clauses, definition_chapter, clauses (those to audit) and the flags of PART_MARKS.
+
+    The last chapter defines terms if it has `fewest` clauses and `share` of all; its clauses aren't audited.
+    """
+    numbers = F.regexp_extract_all(text, F.lit(CLAUSE_MARK), 1)
+    chapter = F.transform(numbers, lambda n: F.substring_index(n, ".", 1).cast("int"))
+    last = F.array_max(chapter)
+    many = F.size(F.filter(chapter, lambda c: c == last))
+    defines = F.when((many >= fewest) & (many >= F.size(numbers) * share), last.cast("string"))
+    audited = F.when(defines.isNull(), numbers).otherwise(F.filter(numbers, lambda n: ~F.startswith(n, F.concat(defines, F.lit(".")))))
+    flags = (text.rlike(p).alias(name) for name, p in PART_MARKS.items())
+    return F.struct(numbers.alias("all_clauses"), defines.alias("definition_chapter"), audited.alias("clauses"), *flags)
+
+
+def article_number(content: Column, fallback: Column) -> Column:
+    """The article that a regulation's text begins with, else the fallback."""
+    return F.coalesce(F.nullif(F.regexp_extract(content, "^(第[一二三四五六七八九十百零]+条)", 1), F.lit("")), fallback)
+
+
+def normal_violations(raw: DataFrame, refs: DataFrame, check_type: str) -> DataFrame:
+    """Violations with content, in one shape. raw: clause_number, clause_content, status, source_ref, suggestion, conclusion;
+    refs: source_ref, chunk_id. Without a number in it, a clause's is 未知; without a status, it is non_compliant."""
+    number = F.nullif(F.regexp_extract(F.coalesce("clause_number", F.lit("")), r"(\d+(?:\.\d+)*(?:\(\d+\))?)", 1), F.lit(""))
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    kept = raw.where(F.coalesce("clause_content", F.lit("")) != "").join(refs, "source_ref", "left")
+    others = [c for c in raw.columns if c not in ("clause_number", "clause_content", "status", "source_ref", "suggestion", "conclusion")]
+    return kept.select(
+        *others, F.coalesce(number, F.lit("未知")).alias("clause_number"), F.lit(check_type).alias("check_type"), "clause_content",
+        F.coalesce("status", F.lit("non_compliant")).alias("status"), "chunk_id", text("source_ref"), text("suggestion"), text("conclusion"),
+    )
+
+
+# The kinds of parts of a document in the order of its combined text, and their marks; {n} is a part's number,
+# of tables their place.
+COMBINED = (("clause", "【条款 {n}】"), ("table", "【数据表 {n}】"), ("notice", "【投保须知】"), ("health", "【健康告知】"), ("exclusion", "【责任免除】"), ("rider", "【附加险条款 {n}】"))
+
+
+def combined_text(parts: DataFrame, by: str, order: str) -> DataFrame:
+    """by, text: the parts of each document with their marks, by kind and order. parts: by, order, kind, number, title, text."""
+    kinds = [k for k, _ in COMBINED]
+    place = F.array_position(F.array(*map(F.lit, kinds)), F.col("kind"))
+    n = F.row_number().over(Window.partitionBy(by, "kind").orderBy(order)).cast("string")
+    n = F.when(F.col("kind") == "table", n).otherwise(F.coalesce("number", F.lit("")))
+    mark = F.get(F.array(*(F.lit(m) for _, m in COMBINED)), (place - 1).cast("int"))
+    head = F.concat(F.replace(mark, F.lit("{n}"), n), F.when(F.col("kind") == "table", "").otherwise(F.coalesce("title", F.lit(""))))
+    lines = parts.where(F.col("kind").isin(*kinds)).select(by, order, place.alias("_place"), F.concat(head, F.lit("\n"), F.coalesce("text", F.lit(""))).alias("_line"))
+    rows = F.array_sort(F.collect_list(F.struct("_place", order, "_line")))
+    return lines.groupBy(by).agg(F.array_join(F.transform(rows, lambda r: r["_line"]), "\n\n").alias("text"))

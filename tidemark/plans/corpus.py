@@ -44,7 +44,7 @@ def law_names(spark: SparkSession, sf: str) -> DataFrame:
     h1 = F.nullif(F.regexp_extract("body", r"(?m)^#\s+(.+)$", 1), F.lit(""))
     collection = ck.head_value(F.col("head"), "collection")
     name = F.coalesce(ck.head_value(F.col("head"), "regulation"), h1, collection, F.lit("unknown"))
-    category = F.substring_index(collection, "_", -1)
+    category = F.element_at(F.split(collection, "_", 2), -1)  # what follows the first sign
     return d.select("doc_id", name.alias("law_name"), category.alias("category"), F.concat_ws(" > ", category, name).alias("hierarchy_path"))
 
 
@@ -57,7 +57,8 @@ LINES = FRONT + """, l AS (SELECT doc_id, unnest(string_split(body, chr(10))) AS
 m AS (SELECT *, regexp_matches(line, '^#{1,6}\\s+.+$') AS md FROM l),
 a AS (SELECT *, max(CAST(md AS INTEGER)) OVER (PARTITION BY doc_id) = 1 AS any_md FROM m),
 v AS (SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, line, CASE WHEN any_md THEN CASE WHEN md THEN length(regexp_extract(line, '^(#+)', 1)) END
-  WHEN regexp_matches(line, '^\\d+(\\.\\d+)*[.、]?\\s+\\S.*$') THEN len(string_split(regexp_extract(line, '^(\\d+(?:\\.\\d+)*)', 1), '.')) END AS level FROM a)
+  WHEN regexp_matches(line, '^第[一二三四五六七八九十百零]+条([：:\\s]|$)') THEN 1 WHEN regexp_matches(line, '^\\d+(\\.\\d+)*([.、\\s]|$)') THEN len(string_split(regexp_extract(line, '^(\\d+(?:\\.\\d+)*)', 1), '.'))
+  WHEN regexp_matches(line, '^[（(][一二三四五六七八九十\\d]+[）)]') OR regexp_matches(line, '^[一二三四五六七八九十]+[、.]') THEN 2 END AS level FROM a)
 """
 
 
@@ -221,7 +222,7 @@ QUERIES = {f.__name__: f for f in (
 SQL = {
     "front_matter": FRONT + "SELECT doc_id, nullif(trim(regexp_extract(head, '(?m)^collection:[ \\t]*(.*)$', 1), ' '), '') AS collection, nullif(trim(regexp_extract(head, '(?m)^regulation:[ \\t]*(.*)$', 1), ' '), '') AS regulation, md5(body) AS body FROM f",
     "law_names": FRONT + """, n AS (SELECT doc_id, nullif(trim(regexp_extract(head, '(?m)^collection:[ \\t]*(.*)$', 1), ' '), '') AS c, nullif(trim(regexp_extract(head, '(?m)^regulation:[ \\t]*(.*)$', 1), ' '), '') AS r, nullif(regexp_extract(body, '(?m)^#\\s+(.+)$', 1), '') AS h FROM f),
-  x AS (SELECT doc_id, coalesce(r, h, c, 'unknown') AS law_name, string_split(c, '_')[-1] AS category FROM n) SELECT *, category || ' > ' || law_name AS hierarchy_path FROM x""",
+  x AS (SELECT doc_id, coalesce(r, h, c, 'unknown') AS law_name, CASE WHEN contains(c, '_') THEN substring(c, position('_' IN c) + 1) ELSE c END AS category FROM n) SELECT *, category || ' > ' || law_name AS hierarchy_path FROM x""",
     "headings": LINES + "SELECT doc_id, line_no, level FROM v WHERE level IS NOT NULL",
     "heading_sections": SECTIONS,
     "quote_metadata": QUOTE,
