@@ -332,7 +332,7 @@ def repeated_ranges(
 ) -> DataFrame:
     """docs: k1, k2, text. Gives k1, k2, packed, found for each text with repeated windows, once.
 
-    found: all ranges of units that these cover, as the start of a segment, and starts and ends within it.
+    found: all ranges of units that these cover, as start, end, start, end ...
     """
     both = written(find_segments(docs.select("k1", "k2", "text"), units, length, q, part))
     whole = both.where("anchor is null").select("k1", "k2", "packed")
@@ -341,6 +341,8 @@ def repeated_ranges(
     often = written(parts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
     # Copies of a text have the same segments; they are counted, and one of them is enough from now on.
     wanted = parts.join(often, "anchor").groupBy("k1", "k2").agg(F.collect_set(F.struct("anchor", "start", "windows")).alias("wanted"))
+    # Arrays of numbers, not of structs, which Python would hold as a dictionary each.
+    wanted = wanted.select("k1", "k2", "wanted.anchor", "wanted.start", "wanted.windows")
     texts = whole.groupBy("k1", "k2").agg(F.first("packed").alias("packed"), F.count("*").alias("n")).join(wanted, ["k1", "k2"])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -348,12 +350,13 @@ def repeated_ranges(
         names = ["k1", "k2", "packed", "anchor", "start", "digest", "part", "n"]
         for b in batches:
             out, strings = [], []
-            for k1, k2, data, n, wanted in zip(b["k1"].tolist(), b["k2"].tolist(), b["packed"], b["n"].tolist(), b["wanted"], strict=True):
+            rows = zip(*(b[c].tolist() for c in ("k1", "k2", "packed", "n", "anchor", "start", "windows")), strict=True)
+            for k1, k2, data, n, anchors, starts, windows in rows:
                 out.append((k1, k2, data, None, None, None, None, None))
-                ranges = [(w["start"], w["start"] + w["windows"] + length - 1) for w in wanted]
-                for w, p in zip(wanted, units.cut(unpacked(data), ranges), strict=True):
-                    strings.append((w["anchor"], hashlib.blake2b(p, digest_size=16).digest(), n, p))
-                    out.append((k1, k2, None, w["anchor"], w["start"], strings[-1][1], None, None))
+                anchors, starts, ends = anchors.tolist(), starts.tolist(), (starts + windows + length - 1).tolist()
+                for a, s, p in zip(anchors, starts, units.cut(unpacked(data), list(zip(starts, ends, strict=True))), strict=True):
+                    strings.append((a, hashlib.blake2b(p, digest_size=16).digest(), n, p))
+                    out.append((k1, k2, None, a, s, strings[-1][1], None, None))
             out += [(None, None, None, a, None, d, p, n) for a, d, p, n in zip(*_united(strings), strict=True)]
             # Nullable from the start: 64 bits don't fit the floats that pandas takes for numbers with gaps.
             columns = dict(zip(names, zip(*out, strict=True), strict=True)) if out else dict.fromkeys(names, ())
@@ -373,19 +376,18 @@ def repeated_ranges(
     ranges = written(cool.unionByName(spread))
     found = (
         placed.join(ranges, ["anchor", "digest"])
+        .select("k1", "k2", F.transform("ranges", lambda r: r + F.col("start")).alias("r"))
         .groupBy("k1", "k2")
-        .agg(F.collect_list(F.struct("start", "ranges")).alias("found"))
+        .agg(F.flatten(F.collect_list("r")).alias("found"))
     )
     return cuts.where("packed is not null").select("k1", "k2", "packed").join(found, ["k1", "k2"])
 
 
-def merged(found: list, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal covered ranges of a text of n units. found: rows of start and ranges."""
+def merged(found: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal covered ranges of a text of n units. found: start, end, start, end ..."""
     steps = np.zeros(n + 1, np.int32)
-    for x in found:
-        r = np.asarray(x["ranges"], np.int64) + x["start"]
-        np.add.at(steps, r[0::2], 1)
-        np.add.at(steps, r[1::2], -1)
+    np.add.at(steps, found[0::2], 1)
+    np.add.at(steps, found[1::2], -1)
     on = np.concatenate(([0], np.cumsum(steps[:-1]) > 0, [0])).astype(np.int8)
     change = np.diff(on)
     return np.flatnonzero(change == 1), np.flatnonzero(change == -1)
