@@ -88,6 +88,17 @@ def within_budget(rows: DataFrame, by: str, order: str, text: str, budget: int,
     return rows.withColumn("_t", total).withColumn("_n", F.row_number().over(w)).where((F.col("_t") <= budget) & (F.col("_n") <= most)).drop("_t", "_n")
 
 
+# The limits of a document's clauses: characters of one, of all, how many, and the share of control characters.
+SHORTEST, LONGEST, MOST_CLAUSES, MOST_CHARACTERS, MOST_CONTROL = 10, 10_000, 500, 500_000, 0.01
+
+
+def normal_clauses(rows: DataFrame, by: str, order: str, text: str) -> DataFrame:
+    """Clauses that are long enough and hold few control characters, cut, until their running total or number is reached."""
+    control = F.length(F.regexp_replace(text, r"[^\x00-\x08\x0b\x0c\x0e-\x1f]", ""))
+    kept = rows.where((F.length(text) >= SHORTEST) & (control <= MOST_CONTROL * F.length(text)))
+    return within_budget(kept.withColumn(text, F.substring(text, 1, LONGEST)), by, order, text, MOST_CHARACTERS, MOST_CLAUSES)
+
+
 def ndjson(fragments: DataFrame, by: str, order: str, fragment: str) -> DataFrame:
     """by, record: the JSON objects of a stream of fragments, joined in order; blanks, [], {} and broken lines are left out."""
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(fragment).alias("f")))), lambda x: x.f), "")

@@ -20,7 +20,13 @@ THRESHOLDS = [
     ("context_relevance", 0.70, 0.50, True),
     ("rejection_rate", 0.80, 0.60, True),
 ]
-FACTUAL = r"\d|percent|must|shall|at least|at most|according to"
+# How an answer names its sources, what states a fact, and what states a number.
+SOURCE_TAG = r"\[来源(\d+)\]"
+FACTS = "|".join((
+    r"\d+天", r"\d+年", r"\d+个月", r"\d+%", r"\d+元", r"\d+万元", r"\d+周岁", r"第[一二三四五六七八九十百千\d]+条", r"《[^》]+》",
+    r"(必须|应当|不得|禁止|严禁|不得以)", r"(有权|无权|免除|承担)", r"\d{4}年\d{1,2}月", r"\d{4}年", r"(赔偿|赔付|给付|退还|返还)\s*\d+",
+))
+VALUES = (r"(\d+(?:\.\d+)?)\s*[%％]", r"(\d+(?:\.\d+)?)\s*(?:倍|元|万元)", r"(\d+)\s*(?:天|年|个月|周岁)")
 
 
 def rank_metrics(hits: DataFrame, samples: DataFrame) -> DataFrame:
@@ -95,17 +101,27 @@ def faithfulness(answer: Column, context: Column) -> Column:
     return F.coalesce(share * 0.7 + whole * 0.3, whole)
 
 
-def cited(answer: Column) -> Column:
-    """Numbers in [source N] tags, repeats kept."""
-    return F.transform(F.regexp_extract_all(answer, F.lit(r"\[source (\d{1,6})\]"), 1), lambda x: x.cast("int"))
+def cited(answer: Column, tag: str = SOURCE_TAG) -> Column:
+    """Numbers in the tags of sources, repeats kept. tag: a pattern whose first group is the number."""
+    return F.transform(F.regexp_extract_all(answer, F.lit(tag), 1), lambda x: x.try_cast("int"))
 
 
-def unsupported(answer: Column) -> Column:
+def unsupported(answer: Column, tag: str = SOURCE_TAG, facts: str = FACTS) -> Column:
     """The whole answer if it states facts without any tag; else what follows the last tag, if that does."""
-    tail = F.trim(F.regexp_extract(answer, r"(?s)^.*\[source \d+\](.*)$", 1))
-    has = answer.rlike(r"\[source \d+\]")
-    after = F.when((F.length(tail) >= 5) & ~tail.rlike(r"\d$") & tail.rlike(FACTUAL), tail)
-    return F.when(has, after).otherwise(F.when(answer.rlike(FACTUAL), answer))
+    tail = F.trim(F.regexp_extract(answer, rf"(?s)^.*{tag}(.*)$", 2))
+    after = F.when((F.length(tail) >= 5) & ~tail.rlike(r"\d$") & tail.rlike(facts), tail)
+    return F.when(answer.rlike(tag), after).otherwise(F.when(answer.rlike(facts), answer))
+
+
+def values(text: Column, patterns: tuple[str, ...] = VALUES) -> Column:
+    """Distinct numbers that a text states with a unit."""
+    return F.array_distinct(F.concat(*(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(p), 1) for p in patterns)))
+
+
+def mismatches(answer: Column, sources: Column, patterns: tuple[str, ...] = VALUES) -> Column:
+    """Numbers that an answer states with a unit and none of its sources (array of texts) does; none without sources."""
+    held = F.flatten(F.transform(sources, lambda s: values(s, patterns)))
+    return F.when(F.size(sources) > 0, F.array_except(values(answer, patterns), held)).otherwise(F.array().cast("array<string>"))
 
 
 def overall_quality(faith: Column, relevance: Column, complete: Column) -> Column:

@@ -41,11 +41,16 @@ def ttl_hits(log: DataFrame, key: list[str], ts: str, ttl: int) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, keep_old: tuple[str, ...] = ()) -> DataFrame:
-    """Rows of either, new values winning but for the columns in keep_old."""
-    both = old.alias("o").join(new.alias("n"), key, "full")
+    """Rows of either. Where new has the row, its values win, null ones too, but for the columns in keep_old of a row that
+    old has. Keys are one row each in either."""
+    a, b = old.withColumn("_old", F.lit(True)).alias("o"), new.withColumn("_new", F.lit(True)).alias("n")
     cols = [c for c in old.columns if c != key]
-    first = lambda c: ("o", "n") if c in keep_old else ("n", "o")
-    return both.select(key, *(F.coalesce(*(F.col(f"{t}.{c}") for t in first(c))).alias(c) for c in cols))
+
+    def pick(c: str) -> Column:
+        mine, theirs = F.col(f"o.{c}"), F.col(f"n.{c}")
+        return F.when(F.col("_old").isNotNull(), mine).otherwise(theirs) if c in keep_old else F.when(F.col("_new").isNotNull(), theirs).otherwise(mine)
+
+    return a.join(b, key, "full").select(key, *(pick(c).alias(c) for c in cols))
 
 
 def insert_ignore(old: DataFrame, new: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -79,3 +84,10 @@ def breaker_states(log: DataFrame, by: str, order: str, failed: Column, limit: i
 
     folded = F.aggregate("calls", start, step, lambda acc: acc.out)
     return calls.select(by, F.explode(folded).alias("x")).select(by, F.col("x.t").alias(order), "x.state")
+
+
+def memory_state(created: Column, accessed: Column, accesses: Column, as_of: Column, *, ttl_days: int = 30, idle_days: int = 60) -> Column:
+    """expired: created more than ttl_days ago (0: never); unused: last touched more than idle_days ago without an access;
+    else live. as_of is a parameter, so that a run can be repeated."""
+    expired = F.datediff(as_of, created) > ttl_days if ttl_days else F.lit(False)
+    return F.when(expired, "expired").when((F.datediff(as_of, accessed) > idle_days) & (accesses == 0), "unused").otherwise("live")

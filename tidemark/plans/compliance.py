@@ -45,9 +45,8 @@ def clause_batches(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def clause_limits(spark: SparkSession, sf: str) -> DataFrame:
-    """Clauses of ten characters and more, cut at 200, within a budget."""
-    c = _numbered(spark, sf).where(F.length("line") >= 10).withColumn("line", F.substring("line", 1, 200))
-    kept = cp.within_budget(c, "doc_id", "pos", "line", 1000, 500)
+    """Clauses of ten characters and more, cut at 10,000, without those of many control characters, within the budget."""
+    kept = cp.normal_clauses(_numbered(spark, sf), "doc_id", "pos", "line")
     return kept.groupBy("doc_id").agg(F.count("*").alias("clauses"), F.sum(F.length("line")).cast("long").alias("chars"))
 
 
@@ -182,8 +181,8 @@ SQL = {
     "clause_extract": NUMBERED + "SELECT doc_id, string_agg(number, ';' ORDER BY pos) AS numbers FROM c GROUP BY doc_id",
     "definition_chapter": NUMBERED + ", p AS (SELECT doc_id, pos // 3 + 1 AS chapter, count(*) AS n FROM c GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS a FROM p) SELECT doc_id, CAST(max(chapter) AS BIGINT) AS chapter FROM t WHERE n >= 2 AND n >= 0.3 * a GROUP BY doc_id",
     "clause_batches": NUMBERED + "SELECT doc_id, CAST(pos // 10 AS BIGINT) AS batch, count(*) AS n, min(number) AS first FROM c GROUP BY ALL",
-    "clause_limits": NUMBERED + """, k AS (SELECT doc_id, pos, substring(line, 1, 200) AS line FROM c WHERE length(line) >= 10), r AS (SELECT *, sum(length(line)) OVER o AS t, row_number() OVER o AS n FROM k WINDOW o AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING))
-  SELECT doc_id, count(*) AS clauses, CAST(sum(length(line)) AS BIGINT) AS chars FROM r WHERE t <= 1000 AND n <= 500 GROUP BY doc_id""",
+    "clause_limits": NUMBERED + """, k AS (SELECT doc_id, pos, substring(line, 1, 10000) AS line FROM c WHERE length(line) >= 10 AND length(regexp_replace(line, '[^\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g')) <= 0.01::DOUBLE * length(line)), r AS (SELECT *, sum(length(line)) OVER o AS t, row_number() OVER o AS n FROM k WINDOW o AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING))
+  SELECT doc_id, count(*) AS clauses, CAST(sum(length(line)) AS BIGINT) AS chars FROM r WHERE t <= 500000 AND n <= 500 GROUP BY doc_id""",
     "clause_coverage": NUMBERED + "SELECT doc_id, count(DISTINCT number) AS total, count(DISTINCT CASE WHEN contains(line, '!!') THEN number END) AS flagged FROM c GROUP BY doc_id",
     "clause_groups": NUMBERED + """, s AS (SELECT doc_id, pos, CASE WHEN pos % 2 = 0 THEN number ELSE NULL END AS own FROM c), f AS (SELECT doc_id, last_value(own IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos) AS number FROM s)
   SELECT doc_id, number, count(*) AS n_lines FROM f WHERE number IS NOT NULL GROUP BY ALL""",

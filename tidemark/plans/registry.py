@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import compliance, corpus, evaluation, logs, pages, relevance, retrieval, streams
+from tidemark.plans import compliance, corpus, evaluation, logs, pages, relevance, retrieval, state, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (retrieval, evaluation, relevance, corpus, pages, logs, compliance, streams)
+MODULES = (retrieval, evaluation, relevance, corpus, pages, logs, state, compliance, streams)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

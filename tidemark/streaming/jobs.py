@@ -21,17 +21,21 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over all that is there, into a table in the shared folder, and reads that."""
+    """Runs a stream over all that is there, into a table in the shared folder, and reads that.
+
+    Every batch has a folder of its own, which it overwrites, so that a batch that is tried again leaves its rows once; in
+    complete mode each batch holds the whole result and takes the place of the last.
+    """
     spark = stream.sparkSession
     at = fresh_path(spark)
-    spark.createDataFrame([], stream.schema).write.parquet(at)  # a stream without rows leaves an empty table
+    spark.createDataFrame([], stream.schema).write.parquet(f"{at}/batch=-1")  # a stream without rows leaves an empty table
 
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(at)
+    def put(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/batch={0 if mode == 'complete' else n}")
 
     query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{at}-state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(at)
+    return spark.read.schema(stream.schema).option("basePath", at).parquet(at).select(*stream.columns)
 
 
 def counts_by_hour(events: DataFrame) -> DataFrame:
