@@ -78,10 +78,17 @@ def test_ndcg_and_zero_rows(spark):
 
 
 def test_attribution(spark):
-    assert one(spark, ev.cited(F.col("a")), a="x [source 2] y [source 2]") == [2, 2]
-    assert one(spark, ev.unsupported(F.col("a")), a="x must [source 1] then it must be") == "then it must be"
-    assert one(spark, ev.unsupported(F.col("a")), a="x [source 1] must be 90") is None
-    assert one(spark, ev.unsupported(F.col("a")), a="hello there") is None
+    english = (r"\[source (\d+)\]", r"\d|must")
+    assert one(spark, ev.cited(F.col("a"), english[0]), a="x [source 2] y [source 2]") == [2, 2]
+    assert one(spark, ev.unsupported(F.col("a"), *english), a="x must [source 1] then it must be") == "then it must be"
+    assert one(spark, ev.unsupported(F.col("a"), *english), a="x [source 1] must be 90") is None
+    assert one(spark, ev.unsupported(F.col("a"), *english), a="hello there") is None
+    assert one(spark, ev.cited(F.col("a")), a="等待期90天[来源2]，犹豫期[来源10]") == [2, 10]
+    assert one(spark, ev.unsupported(F.col("a")), a="等待期90天[来源1]保险人必须赔付损失") == "保险人必须赔付损失"
+    assert one(spark, ev.unsupported(F.col("a")), a="等待期为90天") == "等待期为90天"
+    assert one(spark, ev.unsupported(F.col("a")), a="您好") is None
+    got = spark.createDataFrame([("等待期90天，比例80%，保额5万元", ["等待期 90 天", "比例 70％"]), ("80%", [])], "a string, s array<string>").select(ev.mismatches(F.col("a"), F.col("s")).alias("x")).collect()
+    assert [sorted(r.x) for r in got] == [["5", "80"], []]
     same = one(spark, ev.faithfulness(F.col("a"), F.col("b")), a="the cat sat down. it was red.", b="the cat sat down. it was red.")
     assert same == pytest.approx(1.0)
 
@@ -104,6 +111,8 @@ def test_upsert_and_insert(spark):
     new = spark.createDataFrame([(2, "B", 9), (3, "c", 9)], "k int, v string, made int")
     got = {r.k: (r.v, r.made) for r in lg.upsert(old, new, "k", ("made",)).collect()}
     assert got == {1: ("a", 1), 2: ("B", 1), 3: ("c", 9)}
+    null = lg.upsert(old, spark.createDataFrame([(2, None, 9)], "k int, v string, made int"), "k", ("made",)).where("k = 2").first()
+    assert (null.v, null.made) == (None, 1)
     assert lg.insert_ignore(old, new.unionByName(new), "k", ["made"]).count() == 3
 
 

@@ -125,6 +125,15 @@ def runs(lengths: Column, joined: Column, limit: float, glue: int) -> Column:
     return F.aggregate(both, start, step, lambda acc: acc.out)
 
 
+def packed_parts(rows: DataFrame, limit: int, glue: str) -> DataFrame:
+    """rows: id, parts. id, chunk (from 0), content: parts in order, joined by glue while that fits limit."""
+    numbered = rows.withColumn("n", runs(F.transform("parts", F.length), F.transform("parts", lambda p: F.lit(True)), limit, len(glue)))
+    each = numbered.select("id", F.posexplode(F.arrays_zip("parts", "n")).alias("pos", "x"))
+    return each.groupBy("id", F.col("x.n").alias("chunk")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x.parts"))), lambda r: r.parts), glue).alias("content")
+    )
+
+
 def sentence_chunks(docs: DataFrame, id_col: str, text_col: str, *, limit: int = 3000, overlap: int = 150, least: int = 20, force: int = 10_000) -> DataFrame:
     """id, chunk (from 0), content: whole sentences joined while they fit limit; a longer one is a chunk of its own. Texts of
     over `force` characters are cut in windows of `limit` instead, each `limit - overlap` on from the last, of `least` at least.
@@ -133,13 +142,10 @@ def sentence_chunks(docs: DataFrame, id_col: str, text_col: str, *, limit: int =
     short = docs.where(F.length(t) <= force).select(
         F.col(id_col).alias("id"), F.regexp_extract_all(t, F.lit("[^。；！？.!?]*[。；！？.!?]|[^。；！？.!?]+"), 0).alias("parts")
     )
-    numbered = short.withColumn("n", runs(F.transform("parts", F.length), F.transform("parts", lambda p: F.lit(True)), limit, 0))
-    each = numbered.select("id", F.posexplode(F.arrays_zip("parts", "n")).alias("pos", "x"))
-    packed = each.groupBy("id", F.col("x.n").alias("chunk")).agg(
-        F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x.parts"))), lambda r: r.parts), "")).alias("content")
-    )
+    packed = packed_parts(short, limit, "")
     long = windows(docs.where(F.length(t) > force), id_col, text_col, limit, overlap, least)
-    return packed.where("content <> ''").unionByName(long.select("id", "chunk", "content"))
+    packed = packed.withColumn("content", F.trim("content")).where("content <> ''")
+    return packed.unionByName(long.select("id", "chunk", "content"))
 
 
 def belongs_together(before: Column, after: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,27 +66,33 @@ def breaker_states(log: DataFrame, by: str, order: str, failed: Column, limit: i
     """by, order, state after each call: closed, open or half_open.
 
     `limit` failures in a row open the breaker; `cool` seconds later one call is let through, which closes it again if
-    it succeeds. A fold over a key's calls in order, as an array; log: by, order (seconds).
+    it succeeds. Each call depends on the one before it, so a service's calls pass one task in order, which keeps two numbers;
+    nothing is collected. log: by, order (seconds).
     """
-    calls = log.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("t"), failed.alias("bad")))).alias("calls"))
-    start = F.struct(
-        F.array().cast("array<struct<t:bigint,state:string>>").alias("out"), F.lit(0).alias("n"), F.lit(None).cast("bigint").alias("since")
-    )
-
-    def step(acc: Column, call: Column) -> Column:
-        cooling = acc.since.isNotNull() & (call.t - acc.since < cool)
-        half = acc.since.isNotNull() & ~cooling
-        n = F.when(call.bad, acc.n + 1).otherwise(0)
-        trips = ~cooling & call.bad & (half | (n >= limit))
-        state = F.when(cooling, "open").when(trips, "open").when(half, "half_open").otherwise("closed")
-        return F.struct(
-            F.concat(acc.out, F.array(F.struct(call.t.alias("t"), state.alias("state")))).alias("out"),
-            F.when(cooling, acc.n).when(trips, 0).otherwise(n).alias("n"),
-            F.when(cooling, acc.since).when(trips, call.t).alias("since"),
-        )
-
-    folded = F.aggregate("calls", start, step, lambda acc: acc.out)
-    return calls.select(by, F.explode(folded).alias("x")).select(by, F.col("x.t").alias(order), "x.state")
+    rows = log.select(F.col(by).cast("string").alias("s"), F.col(order).cast("long").alias("t"), failed.alias("bad"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, n, since = None, 0, None
+        for b in batches:
+            states = []
+            for s, t, bad in zip(b["s"].tolist(), b["t"].tolist(), b["bad"].tolist(), strict=True):
+                if not states and now is None or s != now:
+                    now, n, since = s, 0, None
+                if since is not None and t - since < cool:
+                    states.append("open")
+                    continue
+                half = since is not None
+                n = n + 1 if bad else 0
+                if bad and (half or n >= limit):
+                    n, since = 0, t
+                    states.append("open")
+                else:
+                    since = None
+                    states.append("half_open" if half else "closed")
+            yield pd.DataFrame({"s": b["s"], "t": b["t"], "state": states})
+
+    dealt = rows.repartition("s").sortWithinPartitions("s", "t")
+    return dealt.mapInPandas(run, "s string, t long, state string").select(F.col("s").alias(by), F.col("t").alias(order), "state")
 
 
 def memory_state(created: Column, accessed: Column, accesses: Column, as_of: Column, *, ttl_days: int = 30, idle_days: int = 60) -> Column:

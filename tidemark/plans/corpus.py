@@ -115,8 +115,18 @@ SELECT doc_id, chunk, md5(CASE WHEN length(tail) + length(content) <= 3200 THEN
 def paragraph_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of documents packed greedily; the chunks of a document join up to its lines again."""
     parts = F.filter(F.transform(F.split("text", "\n"), lambda p: F.trim(p)), lambda p: p != "")
-    packed = table(spark, sf, "documents").select("doc_id", parts.alias("parts")).select("doc_id", F.posexplode(ck.greedy_pack(F.col("parts"), 1500, "\n")).alias("chunk", "content"))
-    return packed.select("doc_id", "chunk", F.length("content").cast("long").alias("n"), F.md5("content").alias("digest"))
+    packed = ck.packed_parts(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), parts.alias("parts")), 1500, "\n")
+    return packed.select(F.col("id").alias("doc_id"), "chunk", F.length("content").cast("long").alias("n"), F.md5("content").alias("digest"))
+
+
+PARAGRAPHS = """
+WITH RECURSIVE p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS l FROM documents),
+s AS (SELECT doc_id, unnest(l) AS part, generate_subscripts(l, 1) AS i FROM p),
+w AS (SELECT doc_id, i, length(part) AS size, 0 AS chunk FROM s WHERE i = 1
+  UNION ALL SELECT s.doc_id, s.i, CASE WHEN w.size + 1 + length(s.part) <= 1500 THEN w.size + 1 + length(s.part) ELSE length(s.part) END, CASE WHEN w.size + 1 + length(s.part) <= 1500 THEN w.chunk ELSE w.chunk + 1 END
+  FROM w JOIN s ON s.doc_id = w.doc_id AND s.i = w.i + 1),
+c AS (SELECT doc_id, chunk, string_agg(part, chr(10) ORDER BY i) AS content FROM w JOIN s USING (doc_id, i) GROUP BY doc_id, chunk)
+SELECT doc_id, chunk, CAST(length(content) AS BIGINT) AS n, md5(content) AS digest FROM c"""
 
 
 def chunk_guards(spark: SparkSession, sf: str) -> DataFrame:
@@ -220,6 +230,7 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 SQL = {
+    "paragraph_chunks": PARAGRAPHS,
     "front_matter": FRONT + "SELECT doc_id, nullif(trim(regexp_extract(head, '(?m)^collection:[ \\t]*(.*)$', 1), ' '), '') AS collection, nullif(trim(regexp_extract(head, '(?m)^regulation:[ \\t]*(.*)$', 1), ' '), '') AS regulation, md5(body) AS body FROM f",
     "law_names": FRONT + """, n AS (SELECT doc_id, nullif(trim(regexp_extract(head, '(?m)^collection:[ \\t]*(.*)$', 1), ' '), '') AS c, nullif(trim(regexp_extract(head, '(?m)^regulation:[ \\t]*(.*)$', 1), ' '), '') AS r, nullif(regexp_extract(body, '(?m)^#\\s+(.+)$', 1), '') AS h FROM f),
   x AS (SELECT doc_id, coalesce(r, h, c, 'unknown') AS law_name, CASE WHEN contains(c, '_') THEN substring(c, position('_' IN c) + 1) ELSE c END AS category FROM n) SELECT *, category || ' > ' || law_name AS hierarchy_path FROM x""",

@@ -156,7 +156,22 @@ BIGRAMS = "list_distinct(list_transform(({0})[1:greatest(len({0}) - 1, 0)], lamb
 
 
 def faithfulness(spark: SparkSession, sf: str) -> DataFrame:
-    return _turns(spark, sf).select("conv_id", "turn", F.round(ev.faithfulness(F.col("answer"), F.concat_ws(" ", "question", F.expr("left(text, 80)"))), 6).alias("faithfulness"))
+    """Of each answer to its context: the question, and the answer before it."""
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    t = _turns(spark, sf).withColumn("context", F.concat_ws(" ", "question", before))
+    return t.select("conv_id", "turn", F.round(ev.faithfulness(F.col("answer"), F.col("context")), 6).alias("faithfulness"))
+
+
+FAITHFUL_SQL = TURNS_SQL + f""", c AS (SELECT *, concat_ws(' ', question, lag(text) OVER (PARTITION BY conv_id ORDER BY turn)) AS context FROM a),
+w AS (SELECT conv_id, turn, {TOKENS.format("context")} AS cw, {TOKENS.format("answer")} AS aw,
+  list_filter(list_transform(regexp_extract_all(answer, '[^。！？.!?\\n]+[。！？.!?\\n]?'), lambda s: trim(s, ' ')), lambda s: length(s) > 3) AS sentences FROM c),
+b AS (SELECT conv_id, turn, {BIGRAMS.format("cw")} AS known, {BIGRAMS.format("aw")} AS own, sentences FROM w),
+s AS (SELECT conv_id, turn, known, unnest(sentences) AS sentence FROM b),
+u AS (SELECT conv_id, turn, known, {TOKENS.format("sentence")} AS sw FROM s),
+g AS (SELECT conv_id, turn, known, {BIGRAMS.format("sw")} AS part FROM u),
+n AS (SELECT conv_id, turn, avg(CASE WHEN coalesce(len(list_intersect(part, known))::DOUBLE / nullif(len(part), 0), 0) >= 0.4 THEN 1.0::DOUBLE ELSE 0 END) AS share FROM g GROUP BY ALL),
+x AS (SELECT b.conv_id, b.turn, share, coalesce(len(list_intersect(own, known))::DOUBLE / nullif(len(own), 0), 0) AS whole FROM b LEFT JOIN n ON n.conv_id = b.conv_id AND n.turn = b.turn)
+SELECT conv_id, turn, round(coalesce(share * 0.7::DOUBLE + whole * 0.3::DOUBLE, whole), 6) AS faithfulness FROM x"""
 
 
 def retrieval_relevance(spark: SparkSession, sf: str) -> DataFrame:
@@ -260,6 +275,7 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 SQL = {
+    "faithfulness": FAITHFUL_SQL,
     "retrieval_metrics": HITS_SQL + "SELECT query_id, round(precision, 6) AS precision, round(mrr, 6) AS mrr, round(ndcg, 6) AS ndcg, first_rank FROM m",
     "report_by_type": HITS_SQL + """SELECT coalesce(question_type, 'all') AS question_type, count(*) AS samples, round(avg(precision), 6) AS precision, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg,
   round(avg(CASE WHEN n_hits > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS rejection_rate_ref, round(avg(CASE WHEN n_hits = 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS true_rejection_rate FROM m GROUP BY GROUPING SETS ((), (question_type))""",

@@ -230,7 +230,17 @@ QUERIES = {f.__name__: f for f in (
 
 _topics = " ".join(f"WHEN contains(lower(text), '{k}') THEN '{k}'" for k in sorted(TOPICS, key=lambda k: (-len(k), k)))
 
+#: The states of a breaker, call after call.
+BREAKER_SQL = """
+WITH RECURSIVE c AS (SELECT {service} AS service, CAST(event_id AS BIGINT) AS t, {bad} AS bad, row_number() OVER (PARTITION BY {service} ORDER BY event_id) AS i FROM events),
+w AS (SELECT DISTINCT service, 0::BIGINT AS i, 0::BIGINT AS t, 0 AS n, NULL::BIGINT AS since, '' AS state FROM c
+  UNION ALL SELECT service, i, t, CASE WHEN cooling THEN n WHEN trips THEN 0 ELSE m END, CASE WHEN cooling THEN since WHEN trips THEN t END, CASE WHEN cooling OR trips THEN 'open' WHEN half THEN 'half_open' ELSE 'closed' END
+  FROM (SELECT *, NOT cooling AND bad AND (half OR m >= {limit}) AS trips FROM (SELECT c.*, w.n, w.since, coalesce(c.t - w.since < {cool}, false) AS cooling, w.since IS NOT NULL AND c.t - w.since >= {cool} AS half, CASE WHEN c.bad THEN w.n + 1 ELSE 0 END AS m
+    FROM w JOIN c ON c.service = w.service AND c.i = w.i + 1)))
+"""
+
 SQL = {
+    "breaker_replay": BREAKER_SQL.format(service="event_type", bad="user_id % 3 <> 0", limit=4, cool=50) + "SELECT service, t, state FROM w WHERE i > 0",
     "session_counts": "SELECT c_custkey AS session_id, c_name, count(turn) AS messages FROM customer LEFT JOIN conversations ON conv_id = c_custkey GROUP BY ALL",
     "session_search_page": "SELECT c_custkey, c_name, count(*) OVER () AS total FROM customer WHERE c_name ILIKE '%customer#%1%' ORDER BY c_name, c_custkey LIMIT 10 OFFSET 10",
     "prior_user_question": "SELECT a.conv_id, a.turn, md5(u.text) AS question FROM (FROM conversations WHERE role = 'assistant') a ASOF LEFT JOIN (FROM conversations WHERE role = 'user') u ON a.conv_id = u.conv_id AND a.turn > u.turn",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.plans.logs import BREAKER_SQL
 from tidemark.sources import html
 from tidemark.sources.tables import table
 from tidemark.streaming import jobs
@@ -54,5 +55,6 @@ SQL = {
   SELECT (h - k) * 43200 AS start, user_id, count(*) AS failures FROM e, (VALUES (0), (1)) t(k) GROUP BY ALL""",
     "stream_sessions": """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 DAY THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM g)
   SELECT CAST(floor(epoch(min(ts))) AS BIGINT) AS start, user_id, count(*) AS events FROM s GROUP BY user_id, n""",
+    "stream_breaker": BREAKER_SQL.format(service="'u' || user_id", bad="event_type = 'error'", limit=1, cool=500) + "SELECT service, CAST(t AS DOUBLE) AS t, state FROM w WHERE i > 0",
     "stream_records": "SELECT user_id AS stream_id, event_id FROM events",
 }
