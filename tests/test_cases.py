@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as tx
 from tidemark.operators import chunking as ck
 from tidemark.operators import compliance as cp
+from tidemark.operators import evaluation as ev
 from tidemark.operators import logs as lg
 from tidemark.operators import pages as pg
 from tidemark.operators import relevance as rl
 from tidemark.operators import retrieval as rt
 from tidemark.operators import state as st
 from tidemark.operators.vectors import vector_search
+from tidemark.sources import files
 
 HIT = "content string, source_file string, law_name string, docs array<string>, keywords array<string>, like double"
 
@@ -199,3 +201,33 @@ def test_small_ones(spark):
     assert {tuple(r) for r in st.contained(docs, hits).collect()} == {("a_b.md", 1), ("a_b.md", 2)}
     f = st.frequencies(spark.createDataFrame([("x", "b"), ("x", "a"), ("x", "b"), ("x", None)], "k string, v string"), "k", "v").first()
     assert f.counts == {"a": 1, "b": 2}
+
+
+def test_audit_and_near_questions(spark):
+    q = spark.createDataFrame([(i, list(w)) for i, w in enumerate(["abcdefghij", "abcdefghi", "abcdefgh", "xyz", "", "abcdefghijk"])], "id int, words array<string>")
+    assert {tuple(r) for r in ev.near_questions(q).collect()} == {(0, 1), (0, 5), (1, 2), (1, 5)}
+    rows = [(1, "what is it", "a", ["d"], ["word"], "t", "factual"), (2, " ", None, None, [], "", "factual"), (3, "what is it", "a", [], ["x", "保险"], "t", "unanswerable")]
+    df = spark.createDataFrame(rows, "id int, question string, answer string, docs array<string>, keywords array<string>, topic string, question_type string")
+    got = {(r.id, r.issue) for r in ev.audit(df, rl.GENERIC).collect()}
+    assert got == {(2, "empty_question"), (2, "empty_answer"), (2, "no_evidence_docs"), (2, "no_evidence_keywords"), (2, "missing_topic"), (3, "keyword_too_short"), (3, "generic_keyword"), (3, "duplicate_question")}
+
+
+def test_depths(spark):
+    chain = [(i, i - 1) for i in range(1, 41)] + [(0, None)]
+    rows = [*chain, (100, 100), (101, 100), (200, 201), (201, 200), (202, 201), (300, 999)]
+    got = {r.id: r.depth for r in lg.depths(spark.createDataFrame(rows, "i long, p long"), "i", "p").collect()}
+    assert got == {**{i: i for i in range(41)}, 100: 0, 101: 1, 300: 0}
+
+
+def test_datasets_and_deletes(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, question string")
+    files.save_samples(df, f"{tmp_path}/d")
+    assert {tuple(r) for r in spark.read.schema("id int, question string").json(f"{tmp_path}/d/samples").collect()} == {(1, "a"), (2, "b")}
+    assert spark.read.json(f"{tmp_path}/d/total").first().total == 2
+    for _ in range(2):
+        files.append_rows(df, f"{tmp_path}/t")
+    assert spark.read.parquet(f"{tmp_path}/t").count() == 4
+    left, (children,) = files.without_parents(df, [df.unionByName(df)], df.where("id = 1"), "id")
+    assert left.count() == 1 and children.count() == 2
+    (tmp_path / "one.md").write_text("# x", encoding="utf-8")
+    assert [r.text for r in files.read_markdown(spark, f"{tmp_path}/one.md").collect()] == ["# x"]

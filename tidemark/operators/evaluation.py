@@ -148,3 +148,41 @@ def fingerprint(ids: Column) -> Column:
     """Of a set of ids: the first 12 hexadecimal digits of the SHA-256 of the sorted ids; 'empty' without any."""
     joined = F.array_join(F.array_sort(F.collect_list(ids)), ",")
     return F.when(F.count(ids) == 0, "empty").otherwise(F.substring(F.sha2(joined, 256), 1, 12))
+
+
+def near_questions(questions: DataFrame, least: float = 0.8) -> DataFrame:
+    """a, b (a before b): questions whose sets of words have a Jaccard similarity over `least`. questions: id, words (distinct).
+
+    Words are put in order from the rarest on. Two such sets share one of the first n - ceil(least * n) + 1 words of each, so
+    only those meet, and no common word brings all questions together; the exact comparison follows.
+    """
+    each = questions.where(F.size("words") > 0).select("id", F.explode("words").alias("w"))
+    often = each.groupBy("w").agg(F.count("*").alias("n"))
+    n = F.size("order")
+    rare = each.join(often, "w").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("order"))
+    first = rare.select("id", F.explode(F.slice("order", 1, (n - F.ceil(n * least) + 1).cast("int"))).alias("x")).select("id", "x.w")
+    pairs = first.withColumnRenamed("id", "a").join(first.withColumnRenamed("id", "b"), "w").where("a < b").select("a", "b").distinct()
+    words = lambda i: questions.select(F.col("id").alias(i), F.col("words").alias(f"words_{i}"))
+    both = pairs.join(words("a"), "a").join(words("b"), "b")
+    return both.where(tx.jaccard(F.col("words_a"), F.col("words_b")) > least).select("a", "b")
+
+
+def audit(samples: DataFrame, generic: tuple[str, ...]) -> DataFrame:
+    """id, issue, severity: one row per finding. samples: id, question, answer, docs, keywords, topic, question_type.
+
+    Null counts as empty. A question that is like an earlier one (by id) is a duplicate once for each of these.
+    """
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    none = lambda c: F.size(F.coalesce(F.col(c), F.array().cast("array<string>"))) == 0
+    said = F.coalesce("keywords", F.array().cast("array<string>"))
+    rules = (
+        (blank("question"), "empty_question", "error"), (blank("answer"), "empty_answer", "warning"),
+        (none("docs") & (F.coalesce("question_type", F.lit("")) != "unanswerable"), "no_evidence_docs", "error"), (none("keywords"), "no_evidence_keywords", "warning"),
+        (F.exists(said, lambda k: F.length(k) < 2), "keyword_too_short", "warning"), (blank("topic"), "missing_topic", "warning"),
+        (F.exists(said, lambda k: k.isin(*generic)), "generic_keyword", "info"),
+    )
+    found = F.array_compact(F.array(*(F.when(test, F.struct(F.lit(i).alias("issue"), F.lit(s).alias("severity"))) for test, i, s in rules)))
+    own = samples.select("id", F.explode(found).alias("x")).select("id", "x.issue", "x.severity")
+    words = samples.select("id", F.array_distinct(tx.tokens(F.col("question"))).alias("words"))
+    twice = near_questions(words).select(F.col("b").alias("id"), F.lit("duplicate_question").alias("issue"), F.lit("warning").alias("severity"))
+    return own.unionByName(twice)

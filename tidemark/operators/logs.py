@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.storage import forget, written
+
 
 def last_before(value: Column, keep: Column, by: list[str], order: list[str]) -> Column:
     """Backward as-of: the latest value before this row where keep holds."""
@@ -100,3 +102,27 @@ def memory_state(created: Column, accessed: Column, accesses: Column, as_of: Col
     else live. as_of is a parameter, so that a run can be repeated."""
     expired = F.datediff(as_of, created) > ttl_days if ttl_days else F.lit(False)
     return F.when(expired, "expired").when((F.datediff(as_of, accessed) > idle_days) & (accesses == 0), "unused").otherwise("live")
+
+
+def depths(spans: DataFrame, id_col: str, parent_col: str) -> DataFrame:
+    """id, depth of each span below its root: a span without a parent among the ids, or its own.
+
+    Each round doubles how far a span looks up, so there are about log2 of the deepest chain; every round is written, where
+    the next one starts. Spans that lead into a cycle have no root and are left out.
+    """
+    rows = spans.select(F.col(id_col).alias("id"), F.col(parent_col).alias("up"))
+    known = rows.select(F.col("id").alias("up"), F.lit(True).alias("known"))
+    found = rows.join(known, "up", "left").select("id", F.when(F.col("known") & (F.col("up") != F.col("id")), F.col("up")).alias("up"))
+    now = written(found.select("id", "up", F.col("up").isNotNull().cast("long").alias("depth")))
+    left = None
+    while True:
+        open_ = now.agg(F.count("up").alias("n"), F.sum("depth").alias("d")).first()
+        # Done, or only cycles are left, which look further up for ever without an end.
+        if not open_.n or left is not None and open_.n == left:
+            return now.where("up is null").select("id", "depth")
+        left = open_.n
+        above = now.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
+        step = now.join(above, "up", "left").select("id", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
+        after = written(step)
+        forget(now)
+        now = after

@@ -106,14 +106,8 @@ def dataset_audit(spark: SparkSession, sf: str) -> DataFrame:
     q = table(spark, sf, "benchmark").withColumn("words", F.array_distinct(tx.tokens(F.col("text"))))
     rules = F.array_compact(F.array(F.when(F.length(F.trim("text")) == 0, "empty"), F.when(F.length("text") < 120, "short"), F.when(F.size("words") < 12, "few_words")))
     own = q.select("item_id", F.explode(rules).alias("issue"))
-    a, b = q.alias("a"), q.alias("b")
-    like = tx.jaccard(F.col("a.words"), F.col("b.words")) > 0.8
-    # Candidates share a word; the exact comparison follows.
-    words = q.select("item_id", F.explode("words").alias("w"))
-    near = words.alias("x").join(words.alias("y"), (F.col("x.w") == F.col("y.w")) & (F.col("x.item_id") < F.col("y.item_id")))
-    near = near.select(F.col("x.item_id").alias("i"), F.col("y.item_id").alias("j")).distinct()
-    twice = near.join(a, F.col("i") == F.col("a.item_id")).join(b, F.col("j") == F.col("b.item_id")).where(like)
-    return own.unionByName(twice.select(F.col("j").alias("item_id"), F.lit("duplicate").alias("issue")).distinct())
+    twice = ev.near_questions(q.select(F.col("item_id").alias("id"), "words"))
+    return own.unionByName(twice.select(F.col("b").alias("item_id"), F.lit("duplicate").alias("issue")).distinct())
 
 
 AUDIT_SQL = f"""

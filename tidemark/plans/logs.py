@@ -132,9 +132,11 @@ def lockout_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def latency_last_n(spark: SparkSession, sf: str) -> DataFrame:
+    """Of all calls; the mean of the last hundred, which Spark cuts in each task before they are sorted together."""
     last = Window.partitionBy("event_type").orderBy(F.desc("ts"), F.desc("event_id"))
-    e = table(spark, sf, "events").withColumn("n", F.row_number().over(last))
-    return e.groupBy("event_type").agg(F.count("*").alias("calls"), F.round(F.avg(F.when(F.col("n") <= 100, F.col("value"))), 6).alias("latency"), F.round(F.max("value"), 6).alias("slowest"))
+    e = table(spark, sf, "events")
+    recent = e.withColumn("n", F.row_number().over(last)).where("n <= 100").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("latency"))
+    return e.groupBy("event_type").agg(F.count("*").alias("calls"), F.round(F.max("value"), 6).alias("slowest")).join(recent, "event_type")
 
 
 def trace_search(spark: SparkSession, sf: str) -> DataFrame:
@@ -142,7 +144,8 @@ def trace_search(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     day = F.lit("2024-01-10").cast("timestamp_ntz")
     found = e.where((F.col("event_type") == "error") & (F.col("ts") >= day) & (F.col("ts") < day + F.expr("interval 6 days")))
-    return found.withColumn("total", F.count("*").over(Window.partitionBy("event_type"))).orderBy(F.desc("event_id")).offset(20).limit(20).select("event_id", "user_id", "total")
+    page = found.orderBy(F.desc("event_id")).offset(20).limit(20)
+    return page.select("event_id", "user_id", found.agg(F.count("*")).scalar().alias("total"))
 
 
 def trace_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -155,13 +158,8 @@ def trace_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 def span_tree_depth(spark: SparkSession, sf: str) -> DataFrame:
     """Depth of spans whose parent is a third of their number; those without a parent are roots."""
-    table(spark, sf, "events").select("event_id").createOrReplaceTempView("tidemark_spans")
-    return spark.sql("""
-      WITH RECURSIVE s AS (SELECT event_id AS id, event_id DIV 3 AS parent FROM tidemark_spans),
-      t(id, depth) MAX RECURSION LEVEL 60 AS (
-        SELECT s.id, 0 FROM s LEFT ANTI JOIN s p ON s.parent = p.id AND s.id <> s.parent
-        UNION ALL SELECT s.id, t.depth + 1 FROM s JOIN t ON s.parent = t.id AND s.id <> s.parent)
-      SELECT depth, count(*) AS spans FROM t GROUP BY depth""")
+    e = table(spark, sf, "events").select("event_id", F.expr("event_id DIV 3").alias("parent"))
+    return lg.depths(e, "event_id", "parent").groupBy(F.col("depth").cast("int").alias("depth")).agg(F.count("*").alias("spans"))
 
 
 def cleanup_preview(spark: SparkSession, sf: str) -> DataFrame:

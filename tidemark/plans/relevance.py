@@ -10,7 +10,7 @@ from tidemark.operators import relevance as rl
 from tidemark.operators import retrieval as rt
 from tidemark.operators.vectors import vector_search
 from tidemark.plans.inputs import given, plain
-from tidemark.plans.retrieval import BM25_SQL, COSINE
+from tidemark.plans.retrieval import BM25_SQL, COSINE, TOKENS
 from tidemark.sources.tables import table
 
 SYNONYMS = {"cold": ["hot", "small"], "widget": ["gear"]}
@@ -147,11 +147,36 @@ def sample_synthesis(spark: SparkSession, sf: str) -> DataFrame:
     return rl.new_samples(c, c.where("id % 11 = 0"), ["id"]).select("id", "question")
 
 
+#: Orders as samples with all kinds of faults; questions that come again are alike.
+FAULTY = """
+SELECT o_orderkey AS id, CASE WHEN o_orderkey % 13 = 0 THEN ' ' ELSE 'what of number ' || (o_orderkey % 400) || ' of customer ' || (o_custkey % 30) || ' with ' || o_orderpriority END AS question,
+  CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE 'answer' END AS answer, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'a.md' END AS docs, CASE o_orderkey % 6 WHEN 0 THEN '' WHEN 1 THEN 'x|word' WHEN 2 THEN '保险|word' ELSE 'word' END AS keywords,
+  CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE o_orderstatus END AS topic, CASE WHEN o_orderkey % 10 = 0 THEN 'unanswerable' ELSE 'factual' END AS question_type
+FROM {orders}"""
+
+
+def sample_audit(spark: SparkSession, sf: str) -> DataFrame:
+    s = given(spark, sf, FAULTY)
+    for c in ("docs", "keywords"):
+        s = s.withColumn(c, F.filter(F.split(c, r"\|"), lambda x: x != ""))
+    return ev.audit(s, rl.GENERIC).groupBy("id", "issue", "severity").agg(F.count("*").alias("n"))
+
+
+TOKENS_OF = TOKENS.format("question")
+AUDIT_SQL = f"""
+WITH s AS ({plain(FAULTY)}), w AS (SELECT id, list_distinct({TOKENS_OF}) AS w FROM s WHERE trim(question, ' ') <> ''),
+o AS (SELECT id, 'empty_question' AS issue, 'error' AS severity FROM s WHERE trim(question, ' ') = '' UNION ALL SELECT id, 'empty_answer', 'warning' FROM s WHERE answer = ''
+  UNION ALL SELECT id, 'no_evidence_docs', 'error' FROM s WHERE docs = '' AND question_type <> 'unanswerable' UNION ALL SELECT id, 'no_evidence_keywords', 'warning' FROM s WHERE keywords = ''
+  UNION ALL SELECT id, 'keyword_too_short', 'warning' FROM s WHERE keywords = 'x|word' UNION ALL SELECT id, 'generic_keyword', 'info' FROM s WHERE keywords = '保险|word' UNION ALL SELECT id, 'missing_topic', 'warning' FROM s WHERE topic = ''),
+p AS (SELECT b.id, len(list_intersect(a.w, b.w)) AS n, len(a.w) + len(b.w) AS m FROM w a JOIN w b ON a.id < b.id AND list_has_any(a.w, b.w))
+SELECT id, issue, severity, count(*) AS n FROM (SELECT * FROM o UNION ALL SELECT id, 'duplicate_question', 'warning' FROM p WHERE n::DOUBLE / (m - n) > 0.8) GROUP BY ALL"""
+
 QUERIES = {f.__name__: f for f in (
-    relevance_judgement, recall_by_evidence, recall_report, recall_failures, hybrid_search, rerank_threshold, judge_means, metric_summary, sample_synthesis,
+    relevance_judgement, sample_audit, recall_by_evidence, recall_report, recall_failures, hybrid_search, rerank_threshold, judge_means, metric_summary, sample_synthesis,
 )}
 
 SQL = {
+    "sample_audit": AUDIT_SQL,
     "relevance_judgement": JUDGED_SQL + "SELECT query_id, rank, rel FROM j",
     "recall_by_evidence": RECALL_SQL + "SELECT query_id, round(recall, 6) AS recall FROM r",
     "recall_report": MEASURED_SQL + """SELECT coalesce(question_type, 'all') AS question_type, count(*) AS samples, round(avg(precision), 6) AS precision,

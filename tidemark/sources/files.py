@@ -32,7 +32,7 @@ def decoded(content: pd.Series) -> pd.Series:
 
 
 def read_markdown(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFrame:
-    """file_name, text of all Markdown files below a folder; blank ones are left out."""
+    """file_name, text of all Markdown files below a folder, or of one file; blank ones are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
     rows = files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), decoded("content").alias("text"))
     return rows.where(F.trim("text") != "")
@@ -88,6 +88,25 @@ def read_samples(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return inner.unionByName(spark.read.schema(schema).json(path, multiLine=True).where(F.coalesce(*inner.columns[:1]).isNotNull()))
 
 
+def save_samples(df: DataFrame, path: str) -> None:
+    """A JSON dataset that read_samples() reads: a sample a line, in as many files as there are tasks, and beside it how many
+    there are in all."""
+    df.write.mode("overwrite").json(f"{path}/samples")
+    spark = df.sparkSession
+    spark.read.schema(df.schema).json(f"{path}/samples").agg(F.count("*").alias("total")).write.mode("overwrite").json(f"{path}/total")
+
+
+def append_rows(df: DataFrame, path: str) -> None:
+    """Adds rows to a table of files; a write that fails leaves nothing of its rows."""
+    df.write.mode("append").parquet(path)
+
+
+def without_parents(parents: DataFrame, children: list[DataFrame], gone: DataFrame, key: str) -> tuple[DataFrame, list[DataFrame]]:
+    """Parents and all their children without the rows whose key is in gone."""
+    keys = gone.select(key)
+    return parents.join(keys, key, "left_anti"), [c.join(keys, key, "left_anti") for c in children]
+
+
 def write_snapshot(df: DataFrame, root: str, id_col: str) -> int:
     """Writes df as the next snapshot below root, then its line of the manifest: a snapshot without one doesn't count."""
     spark = df.sparkSession
