@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
+from tidemark.sources.storage import written
 
 
 def bm25_index(chunks: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -44,17 +45,20 @@ def bm25_search(
     with a query are counted and scored; a frequent term's rows are what a skewed join may split. filters: column and value
     that a hit must have; the statistics are those of all chunks.
     """
-    _, terms = bm25_index(chunks, id_col, text_col)
-    sizes = chunks.select(F.size(tx.tokens(F.col(text_col))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).first()
+    kept = F.lit(True)
+    for name, value in (filters or {}).items():
+        kept = kept & F.col(name).eqNullSafe(F.lit(value))
+    # Splitting texts costs most, so the words are written once and read for the statistics and for the hits.
+    rows = written(chunks.select(F.col(id_col).alias("id"), tx.tokens(F.col(text_col)).alias("words"), kept.alias("kept")))
+    terms = rows.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    sizes = rows.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean")).first()
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tx.tokens(F.col(query_text))).alias("term"))
-    asked = asked.groupBy("query_id", "term").agg(F.count("*").alias("qf")).join(bm25_idf(terms, sizes.n), "term")
+    asked = asked.groupBy("query_id", "term").agg(F.count("*").alias("qf"))
+    # Only the words of the questions need their idf here, but its floor is a mean over all.
+    asked = asked.join(bm25_idf(terms, sizes.n), "term")
     length = F.lit(1 - b) + F.lit(b) * F.col("dl") / F.lit(float(sizes.mean or 1.0))
     part = F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * length)
-    kept = chunks
-    for name, value in (filters or {}).items():
-        kept = kept.where(F.col(name).eqNullSafe(F.lit(value)))
-    words = kept.select(F.col(id_col).alias("id"), tx.tokens(F.col(text_col)).alias("words"))
-    words = words.select("id", F.size("words").alias("dl"), F.explode("words").alias("term"))
+    words = rows.where("kept").select("id", F.size("words").alias("dl"), F.explode("words").alias("term"))
     postings = words.join(asked.select("term").distinct(), "term", "left_semi").groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
     scored = asked.join(postings, "term").groupBy("query_id", "id").agg(F.sum(part).alias("score")).where("score > 0")
     return top_per_query(scored, k)

@@ -168,8 +168,8 @@ FROM r WHERE length(text) <= 12000 - used OR 12000 - used - 50 > 100"""
 
 
 def token_stats(spark: SparkSession, sf: str) -> DataFrame:
-    words = tx.tokens(F.col("text"))
-    return table(spark, sf, "documents").select(
+    words = F.col("words")  # a column of its own, so that the text is split once
+    return table(spark, sf, "documents").select("doc_id", tx.tokens(F.col("text")).alias("words")).select(
         "doc_id", F.size(words).cast("long").alias("n_tokens"), F.size(F.array_distinct(words)).cast("long").alias("n_distinct"), F.size(tx.bigrams(words)).cast("long").alias("n_bigrams")
     )
 
