@@ -151,3 +151,8 @@ def file_name(name: Column, most: int = 240) -> Column:
     cut = F.make_valid_utf8(F.substring(bare.cast("binary"), 1, most).cast("string"))
     whole = F.when(F.octet_length(bare) <= most, bare).otherwise(F.regexp_replace(cut, "\ufffd+$", ""))
     return F.regexp_replace(whole, "^_+|_+$", "")
+
+
+def cache_key(scope: Column, text: Column) -> Column:
+    """scope:digest, of the scope and the text together."""
+    return F.concat(scope, F.lit(":"), F.sha2(F.concat(scope, F.lit(":"), text), 256))

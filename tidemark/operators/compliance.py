@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # What a violation costs, and the grades.
-WEIGHTS = {"high": 20, "medium": 10, "low": 5}
+WEIGHTS = {"critical": 40, "high": 20, "medium": 10, "low": 5}
+PRICING = 10
 GRADES = ((90, "A"), (75, "B"), (60, "C"))
 
 #: The largest part of a table of rules or keywords that is broadcast at once.
@@ -63,10 +64,13 @@ def rule_hits(texts: DataFrame, rules: DataFrame, most: int = BROADCAST_BYTES) -
     return found.select("id", "rule", "severity")
 
 
-def rule_score(hits: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, score (100 less the weights, at least 0), grade."""
+def rule_score(hits: DataFrame, ids: DataFrame, pricing: DataFrame | None = None) -> DataFrame:
+    """id, score (100 less the weights, and less PRICING for each row of pricing: id; at least 0), grade."""
     weight = F.coalesce(*(F.when(F.col("severity") == k, v) for k, v in WEIGHTS.items()), F.lit(0))
-    lost = hits.groupBy("id").agg(F.sum(weight).alias("lost"))
+    lost = hits.select("id", weight.alias("w"))
+    if pricing is not None:
+        lost = lost.unionByName(pricing.select("id", F.lit(PRICING).alias("w")))
+    lost = lost.groupBy("id").agg(F.sum("w").alias("lost"))
     score = F.greatest(F.lit(0), F.lit(100) - F.coalesce("lost", F.lit(0)))
     out = ids.join(lost, "id", "left").select("id", score.cast("long").alias("score"))
     grade = F.lit("D")
@@ -75,6 +79,12 @@ def rule_score(hits: DataFrame, ids: DataFrame) -> DataFrame:
     return out.withColumn("grade", grade)
 
 
+def by_severity(hits: DataFrame) -> DataFrame:
+    """id, and for each severity of WEIGHTS the rules that found something, sorted. hits: id, rule, severity."""
+    lists = (F.array_sort(F.collect_set(F.when(F.col("severity") == k, F.col("rule")))).alias(k) for k in WEIGHTS)
+    return hits.groupBy("id").agg(*lists)
+
+
 def batches(rows: DataFrame, by: str, order: str, size: int) -> DataFrame:
     """Adds batch: `size` rows each, in order."""
     n = F.row_number().over(Window.partitionBy(by).orderBy(order))

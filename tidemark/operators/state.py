@@ -170,3 +170,9 @@ def markdown_regulation(clauses: DataFrame, by: str, order: str, head: dict[str,
     done = rows.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "_part"))), lambda r: r["_part"]), "\n\n").alias("_body"), *first)
     front = F.concat(*(x for k, c in head.items() for x in (F.lit(f"{k}: "), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("\n"))))
     return done.select(by, F.concat(F.lit("---\n"), front, F.lit("---\n\n"), "_body", F.lit("\n")).alias("text"))
+
+
+def with_done(records: DataFrame, by: str, order: str, record: str) -> DataFrame:
+    """The records of each stream, and after the last one that it is done."""
+    last = records.groupBy(by).agg((F.max(order) + 1).alias(order)).withColumn(record, F.lit('{"type": "done"}'))
+    return records.select(by, order, record).unionByName(last)

@@ -114,6 +114,11 @@ def score_grade(spark: SparkSession, sf: str) -> DataFrame:
     return cp.rule_score(negative_rules(spark, sf), table(spark, sf, "documents").select(F.col("doc_id").alias("id")))
 
 
+def violations_by_severity(spark: SparkSession, sf: str) -> DataFrame:
+    v = cp.by_severity(negative_rules(spark, sf))
+    return v.select("id", *(F.array_join(k, ",").alias(k) for k in ("high", "medium", "low")))
+
+
 SCORE = f"""
 WITH h AS ({_r}), s AS (SELECT doc_id AS id, greatest(0, 100 - coalesce(sum(CASE severity WHEN 'high' THEN 20 WHEN 'medium' THEN 10 WHEN 'low' THEN 5 END), 0))::BIGINT AS score FROM documents LEFT JOIN h ON h.id = doc_id GROUP BY doc_id)
 SELECT id, score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 60 THEN 'C' ELSE 'D' END AS grade FROM s"""
@@ -174,10 +179,11 @@ def range_assignment(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     clause_extract, definition_chapter, clause_batches, clause_limits, clause_coverage, clause_groups, section_runs, column_gaps, product_classify, first_match_category,
-    negative_rules, score_grade, rule_outcome, regulation_lookup, ref_block, ndjson_parse, extraction_gate, range_assignment,
+    negative_rules, score_grade, violations_by_severity, rule_outcome, regulation_lookup, ref_block, ndjson_parse, extraction_gate, range_assignment,
 )}
 
 SQL = {
+    "violations_by_severity": f"SELECT id, {', '.join(f"coalesce(string_agg(rule, ',' ORDER BY rule) FILTER (severity = '{k}'), '') AS {k}" for k in ('high', 'medium', 'low'))} FROM (SELECT DISTINCT id, rule, severity FROM ({_r})) GROUP BY id",
     "clause_extract": NUMBERED + "SELECT doc_id, string_agg(number, ';' ORDER BY pos) AS numbers FROM c GROUP BY doc_id",
     "definition_chapter": NUMBERED + ", p AS (SELECT doc_id, pos // 3 + 1 AS chapter, count(*) AS n FROM c GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS a FROM p) SELECT doc_id, CAST(max(chapter) AS BIGINT) AS chapter FROM t WHERE n >= 2 AND n >= 0.3 * a GROUP BY doc_id",
     "clause_batches": NUMBERED + "SELECT doc_id, CAST(pos // 10 AS BIGINT) AS batch, count(*) AS n, min(number) AS first FROM c GROUP BY ALL",

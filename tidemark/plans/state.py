@@ -5,18 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import text as tx
 from tidemark.operators import logs as lg
 from tidemark.operators import retrieval as rt
 from tidemark.operators import state as st
 from tidemark.plans.inputs import given, plain
 from tidemark.sources.tables import table
 
-#: Ratings of messages, and the messages.
+#: Ratings of messages.
 FEEDBACK = """
 SELECT event_id AS feedback_id, CAST(user_id % 20 AS BIGINT) AS session_id, CAST(event_id % 60 AS BIGINT) AS message_id, CASE WHEN event_id % 3 = 0 THEN 'up' ELSE 'down' END AS rating,
   CASE WHEN event_id % 4 = 0 THEN 'rejected' ELSE 'pending' END AS status, CASE WHEN event_id % 5 = 0 THEN event_type END AS correction FROM {events}"""
-MESSAGES = """
-SELECT CAST(conv_id AS BIGINT) AS session_id, CAST(row_number() OVER (ORDER BY conv_id, turn) - 1 AS BIGINT) AS message_id, role, text AS content, 'a.md||b.md|a.md' AS sources FROM {conversations} WHERE conv_id < 1000"""
 
 
 def _triaged(spark: SparkSession, sf: str) -> DataFrame:
@@ -143,12 +142,24 @@ def rerank_apply(spark: SparkSession, sf: str) -> DataFrame:
     return rt.top_per_query(scored, 3).select("query_id", "id.l_linenumber", "id.l_partkey", "id.l_suppkey", "rank")
 
 
+def answer_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers of a conversation as records of a stream, and that it is done."""
+    c = table(spark, sf, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.md5("text").alias("record"))
+    return st.with_done(c, "conv_id", "turn", "record")
+
+
+def cache_keys(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "benchmark").select("item_id", tx.cache_key(F.lit("retrieval"), F.col("text")).alias("key"))
+
+
 QUERIES = {f.__name__: f for f in (
     feedback_triage, badcase_samples, entity_extraction, memory_trigger, version_changes, call_stats, cache_stats, cache_trend, trace_page, answer_tokens,
-    value_frequencies, metric_keys, json_fields, containment_join, regulation_markdown, rerank_apply,
+    value_frequencies, metric_keys, json_fields, containment_join, regulation_markdown, rerank_apply, answer_stream, cache_keys,
 )}
 
 SQL = {
+    "answer_stream": "SELECT conv_id, turn, md5(text) AS record FROM conversations WHERE role = 'assistant' UNION ALL SELECT conv_id, max(turn) + 1, '{\"type\": \"done\"}' FROM conversations WHERE role = 'assistant' GROUP BY conv_id",
+    "cache_keys": "SELECT item_id, 'retrieval:' || sha256('retrieval:' || text) AS key FROM benchmark",
     "feedback_triage": TRIAGE_SQL + "SELECT feedback_id, state, md5(question) AS question, md5(answer) AS answer FROM t",
     "badcase_samples": TRIAGE_SQL + "SELECT 'bc_' || feedback_id AS id, md5(question) AS question, coalesce(correction, '') AS ground_truth, 'a.md,b.md' AS docs, CASE WHEN feedback_id % 2 = 0 THEN 'hallucination' ELSE 'factual' END AS question_type FROM t WHERE state = 'to_classify' AND question <> ''",
     "entity_extraction": """SELECT event_id, array_to_string(list_sort(list_distinct(list_filter([CASE WHEN contains(event_type, 'error') THEN 'error' WHEN contains(event_type, 'err') THEN 'err' END, CASE WHEN contains(event_type, 'purch') THEN 'purch' WHEN contains(event_type, 'purchase') THEN 'purchase' END,

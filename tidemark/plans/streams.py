@@ -42,12 +42,20 @@ def stream_breaker(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.drained(jobs.breaker(calls, limit=1, cool=500.0), "append")
 
 
+def stream_session_state(spark: SparkSession, sf: str) -> DataFrame:
+    """Users as sessions that forget after a day; purchases and visits are topics."""
+    e = jobs.events_stream(spark, sf)
+    topic = F.when(F.col("event_type").isin("purchase", "view"), F.col("event_type"))
+    turns = e.select(F.col("user_id").cast("string").alias("session"), F.unix_micros("ts").cast("double").alias("t"), topic.alias("topic"))
+    return jobs.drained(jobs.session_state(turns, ttl=86_400e6), "append")
+
+
 def html_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
     p = html.paragraphs(table(spark, sf, "pages"))
     return p.select(F.col("id").alias("page_id"), "n", "path", F.md5("text").alias("digest"))
 
 
-QUERIES = {f.__name__: f for f in (stream_hour_counts, stream_sliding_failures, stream_sessions, stream_records, stream_breaker, html_paragraphs)}
+QUERIES = {f.__name__: f for f in (stream_hour_counts, stream_sliding_failures, stream_sessions, stream_records, stream_breaker, stream_session_state, html_paragraphs)}
 
 SQL = {
     "stream_hour_counts": "SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
@@ -55,6 +63,9 @@ SQL = {
   SELECT (h - k) * 43200 AS start, user_id, count(*) AS failures FROM e, (VALUES (0), (1)) t(k) GROUP BY ALL""",
     "stream_sessions": """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 DAY THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM g)
   SELECT CAST(floor(epoch(min(ts))) AS BIGINT) AS start, user_id, count(*) AS events FROM s GROUP BY user_id, n""",
+    "stream_session_state": """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS session, CAST(epoch_us(ts) AS DOUBLE) AS t, CASE WHEN event_type IN ('purchase', 'view') THEN event_type END AS topic FROM events),
+  g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY session ORDER BY t) <= 86400e6 THEN 0 ELSE 1 END AS new FROM e), r AS (SELECT *, sum(new) OVER (PARTITION BY session ORDER BY t) AS run FROM g)
+  SELECT session, t, CAST(row_number() OVER w AS INTEGER) AS n, last_value(topic IGNORE NULLS) OVER w AS topic FROM r WINDOW w AS (PARTITION BY session, run ORDER BY t)""",
     "stream_breaker": BREAKER_SQL.format(service="'u' || user_id", bad="event_type = 'error'", limit=1, cool=500) + "SELECT service, CAST(t AS DOUBLE) AS t, state FROM w WHERE i > 0",
     "stream_records": "SELECT user_id AS stream_id, event_id FROM events",
 }

@@ -16,7 +16,8 @@ from tidemark.sources.storage import fresh_path
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of files; ts as a timestamp, late by at most two days."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
+    # A bounded number of files at a time, and so bounded rows of a key.
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(f"{sf_dir}/event[s].parquet")
     return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "2 days")
 
 
@@ -109,3 +110,25 @@ def breaker(calls: DataFrame, limit: int = 5, cool: float = 60.0) -> DataFrame:
     return calls.groupBy("service").applyInPandasWithState(
         run, "service string, t double, state string", "n int, since double", "append", GroupStateTimeout.NoTimeout
     )
+
+
+def session_state(turns: DataFrame, ttl: float = 3600.0) -> DataFrame:
+    """session, t, n, topic from session, t (seconds), topic: how many turns a session has had and the topic it carries on, both
+    forgotten after `ttl` seconds without a turn. A turn without a topic carries on the last one."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, topic, last = state.get if state.exists else (0, None, None)
+        rows = pd.concat([b for b in batches if len(b)]).sort_values("t")
+        out = []
+        for t, said in zip(rows["t"].tolist(), rows["topic"].tolist(), strict=True):
+            if last is not None and t - last > ttl:
+                n, topic = 0, None
+            n, last = n + 1, t
+            topic = said if isinstance(said, str) else topic
+            out.append((key[0], t, n, topic))
+        state.update((n, topic, last))
+        yield pd.DataFrame(out, columns=["session", "t", "n", "topic"])
+
+    return turns.groupBy("session").applyInPandasWithState(
+        run, "session string, t double, n int, topic string", "n int, topic string, last double", "append", GroupStateTimeout.NoTimeout
+    )
