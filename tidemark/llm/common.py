@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.sources.storage import forget, made, settled, written
 from tidemark.sources.tables import table
 
-__all__ = ["SPACES", "forget", "made", "settled", "table", "text_keys", "tokenizer_path", "whole_text", "written"]
+__all__ = ["SPACES", "forget", "join_counted", "made", "settled", "table", "text_keys", "tokenizer_path", "whole_text", "written"]
 
 #: A word is a run of anything but these six ASCII characters.
 SPACES = " \t\n\x0b\x0c\r"
@@ -30,3 +30,15 @@ def text_keys(text: Column) -> list[Column]:
     """k1, k2: the first 128 bits of the text's SHA-256. Rows alike in both hold the same text."""
     sha = F.sha2(text, 256)
     return [F.conv(F.substring(sha, at, 16), 16, -10).cast("long").alias(name) for at, name in ((1, "k1"), (17, "k2"))]
+
+
+def join_counted(left: DataFrame, right: DataFrame, key: str, rows: str, parts: int = 4096) -> DataFrame:
+    """left joined with right on key. right: one row per key and, in column `rows`, how many rows of left have it.
+
+    Keys that hold more than 1 / parts of left's rows are fewer than `parts`, whatever the data: these are broadcast. No
+    other key sends more than that share to one task.
+    """
+    total = right.agg(F.sum(rows)).first()[0] or 0
+    hot = F.col(rows) * parts > total
+    found = left.join(F.broadcast(right.where(hot).drop(rows)), key)
+    return found.unionByName(left.join(right.where(~hot).drop(rows), key))

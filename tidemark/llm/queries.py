@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import prefix_trie as trie
+from .alignment import align
 from .bpe import encode_decode
 from .common import table, tokenizer_path
 from .cotraining import classify_quality
@@ -59,6 +61,14 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"), with_text=False).drop("redacted")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"), with_groups=False)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"), shared_heads=True).drop("digest")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_exact_top_k": op2_exact_top_k,
@@ -70,7 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_personal_data": op10_personal_data,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
-#: No operator here has a form in SQL that runs over whole tables; tests/llm holds each against brute force.
-ORACLE_SQL: dict[str, str] = {}
+#: The others have no form in SQL that runs over whole tables; tests/llm holds each against brute force.
+ORACLE_SQL: dict[str, str] = {"op12_prefix_trie": trie.SQL}
