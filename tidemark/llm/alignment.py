@@ -16,9 +16,11 @@ import hashlib
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
@@ -30,11 +32,15 @@ from .common import join_counted, whole_text, written
 #: A part of a text that is aligned at once, and a block of documents, in characters.
 SLICE = 1 << 21
 #: Runs that a task keeps at most; beyond this it starts anew after the block.
-KEPT_RUNS = 400_000
+KEPT_RUNS = 500_000
 #: A pair of ids is a << SHIFT | b.
 SHIFT = 32
 
 SPACE_MARK = "▁"
+#: Fixed value: how byte-level vocabularies split a text.
+SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Beyond these, Unicode versions differ in what a letter is; such runs are encoded by the slower library.
+RARE = re.compile("[^\0-\u024f]")
 CUT = re.compile(r"(?<=\S)(?= )")
 ODD = re.compile(r"\s(?= )")
 
@@ -47,6 +53,8 @@ class Vocabularies:
         self.a.encode_special_tokens = True
         self.a.no_truncation()
         self.a.no_padding()
+        if self.a.normalizer:
+            raise ValueError(f"{path_a}: tokens don't spell the text, as a normaliser changes it")
         self.b = SentencePieceProcessor(model_file=path_b)
         byte = {c: n for n, c in enumerate(byte_symbols())}
         special = {t.content for t in self.a.get_added_tokens_decoder().values()}
@@ -54,17 +62,22 @@ class Vocabularies:
         self.bytes_a = [b""] * (max(entries.values()) + 1)
         for token, i in entries.items():
             self.bytes_a[i] = token.encode() if token in special else bytes(byte[c] for c in token)
+        # In this kind of vocabulary ids ascend with the rank of their merge.
+        ranks = {bytes(byte[c] for c in t): i for t, i in entries.items() if t not in special}
+        self.quick = tiktoken.Encoding("a", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in pieces):
             raise ValueError(f"{path_b}: a piece holds a space after another character")
         self.bytes_b = [
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE_MARK, " ").encode() for i, p in enumerate(pieces)
         ]
+        self.size_a, self.size_b = ([len(x) for x in side] for side in (self.bytes_a, self.bytes_b))
         self.mark = self.b.piece_to_id(SPACE_MARK)
 
     def encode(self, runs: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """The ids of runs, each with a space before it, on both sides; B writes that space itself, unless the run is empty."""
-        a = [x.ids for x in self.a.encode_batch_fast([" " + r for r in runs], add_special_tokens=False)]
+        rare, quick = RARE.search, self.quick.encode_ordinary
+        a = [self.a.encode(" " + r, add_special_tokens=False).ids if rare(r) else quick(" " + r) for r in runs]
         return a, [ids or [self.mark] for ids in self.b.encode(runs, num_threads=1)]
 
 
@@ -126,18 +139,22 @@ class Runs:
         return np.fromiter(map(self.number.__getitem__, runs), np.int64, len(runs))
 
     def learn(self, runs: list[str]) -> None:
-        bytes_a, bytes_b = self.v.bytes_a, self.v.bytes_b
+        bytes_b, size_a, size_b = self.v.bytes_b.__getitem__, self.v.size_a.__getitem__, self.v.size_b.__getitem__
         for run, a, b in zip(runs, *self.v.encode(runs), strict=True):
             self.number[run] = len(self.groups)
-            raw, parts_a, parts_b = (" " + run).encode("utf-8", "surrogatepass"), [bytes_a[x] for x in a], [bytes_b[x] for x in b]
-            if b"".join(parts_a) != raw or b"".join(parts_b) != raw:
+            if b"".join(map(bytes_b, b)) != (" " + run).encode():
                 self.add("", 0, 0, (), False)
                 continue
-            ends, at_a, at_b, groups = merge(cumulated(parts_a), cumulated(parts_b)), 0, 0, []
-            for i, j in ends:
-                groups.append(",".join(map(str, a[at_a : i + 1])) + "|" + ",".join(map(str, b[at_b : j + 1])))
+            ends_a, ends_b = list(accumulate(map(size_a, a))), list(accumulate(map(size_b, b)))
+            if ends_a == ends_b:  # each step of both pointers would close a group
+                self.add(";".join([f"{x}|{y}" for x, y in zip(a, b, strict=True)]), len(a), len(b), [x << SHIFT | y for x, y in zip(a, b, strict=True)], True)
+                continue
+            links, groups, at_a, at_b = [], [], 0, 0
+            for i, j in merge(ends_a, ends_b):
+                links.append(a[i] << SHIFT | b[j])
+                groups.append(f"{a[i]}|{b[j]}" if i == at_a and j == at_b else ",".join(map(str, a[at_a : i + 1])) + "|" + ",".join(map(str, b[at_b : j + 1])))
                 at_a, at_b = i + 1, j + 1
-            self.add(";".join(groups), len(a), len(b), [a[i] << SHIFT | b[j] for i, j in ends], True)
+            self.add(";".join(groups), len(a), len(b), links, True)
 
     def add(self, groups: str, n_a: int, n_b: int, links: list[int] | tuple, alike: bool) -> None:
         self.groups.append(groups)
@@ -148,14 +165,6 @@ class Runs:
         self.alike.append(alike)
 
 
-def cumulated(parts: list[bytes]) -> list[int]:
-    out, n = [], 0
-    for p in parts:
-        n += len(p)
-        out.append(n)
-    return out
-
-
 class Block:
     """Documents that travel together; once full, one row with their counts and the pairs of ids that they link."""
 
