@@ -712,6 +712,55 @@ def test_pipeline(spark, texts, tokenizer, tmp_path):
     assert 1500 in {r.doc_id for r in got} and len(got) < len(rows)
 
 
+def test_pipeline_keeps_unlike_texts_under_one_id(spark):
+    import corpus_pipeline
+
+    rng = random.Random(2)
+    prose = lambda: " ".join(f"w{rng.randrange(10_000)}" for _ in range(60))
+    a, b, c, d = (prose() for _ in range(4))
+    near = d + " more"
+    rows = [(5, a), (5, b), (6, c), (7, a + " more"), (8, d), (8, a), (9, near), (9, near), (None, a), (None, None)]
+    docs = spark.createDataFrame([(i, t, "k", 1, "c") for i, t in rows], "doc_id long, text string, k1 string, n int, component string").repartition(3)
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+    assert got == Counter([(5, a), (5, b), (6, c), (8, d), (None, a), (None, None)])
+
+
+def test_stages_delete_only_their_own_tables(spark):
+    """A table that another thread writes while a stage runs stays."""
+    import os
+    import threading
+
+    from tidemark.sources import storage
+
+    other, inside, go, done = [], [], threading.Event(), threading.Event()
+
+    def beside():
+        go.wait(60)
+        other.append(storage.written(spark.range(7)))
+        done.set()
+
+    t = threading.Thread(target=beside)
+    t.start()
+    before = storage.written(spark.range(3))
+
+    def stage():
+        inside.append(storage.written(spark.range(5)))
+        go.set()
+        done.wait(60)
+        return inside[0].where("id > 2")
+
+    out = storage.staged(spark, stage)
+    t.join()
+    assert (before.count(), other[0].count(), out.count()) == (3, 7, 2)
+    with pytest.raises(Exception):
+        inside[0].count()
+    with storage.scope(spark):
+        here = storage.staged(spark, lambda: spark.range(4))
+        files = [f.removeprefix("file://") for f in here.inputFiles()]
+        assert all(map(os.path.exists, files))
+    assert not any(map(os.path.exists, files)) and out.count() == 2
+
+
 def test_empty_tables(spark, none):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     path = common.tokenizer_path()

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.sources.storage import forget, made, settled, written
+from tidemark.sources.storage import forget, staged, written
 from tidemark.sources.tables import table
 
-__all__ = ["SPACES", "forget", "join_counted", "made", "settled", "table", "text_keys", "tokenizer_path", "whole_text", "written"]
+__all__ = ["SPACES", "forget", "join_counted", "staged", "table", "text_keys", "tokenizer_path", "whole_text", "written"]
 
 #: A word is a run of anything but these six ASCII characters.
 SPACES = " \t\n\x0b\x0c\r"

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, whole_text, written
+from .common import forget, text_keys, whole_text, written
 from .components import connected_components
 from .repeats import FACTORS, PART, Rolling, mixed, unpacked
 from .substring_dedup import WORDS
@@ -210,14 +210,17 @@ def near_duplicates(
     text_col: str = "text",
     block_texts: int = 512,
     part: int = PART,
+    with_keys: bool = False,
 ) -> DataFrame:
-    """One row per row of docs: doc_id, class_id, copy_of, n_links, n_linked_texts.
+    """One row per row of docs: doc_id, class_id, copy_of, n_links, n_linked_texts; with_keys: k1, k2, component too.
 
     Two texts are linked if the Jaccard similarity of their sets of word n-grams is at least threshold (a fraction).
     class_id: the least doc_id reachable over links, the document's own if it has none. copy_of: the least doc_id with
     the same n-grams. n_links: other rows linked to this one, copies included; n_linked_texts: other classes of copies
     linked to it. Links are verified exactly; those of the data are proposed with at least the target recall, as
     measured() finds them, and a pair at the threshold itself with at_threshold.
+    k1, k2: text_keys() of the row's text; component: a number that the rows of a class share, and no others. Where several
+    texts have one id, ids don't tell their classes apart, but these do.
     block_texts: texts of a group that meet in one task; part: words that are looked at together. Neither changes the result.
 
     Words are runs without ASCII white space, unchanged. Texts of 1 to n - 1 words are one n-gram. Null texts and texts
@@ -227,7 +230,9 @@ def near_duplicates(
     gives no rows.
     """
     num, den = threshold
-    base = docs.select(docs[id_col].cast("long").alias("doc_id"), whole_text(docs, text_col).alias("text"))
+    text = whole_text(docs, text_col)
+    keys = ("k1", "k2") if with_keys else ()
+    base = docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text"), *(text_keys(text) if with_keys else ()))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         press = zstandard.ZstdCompressor(level=1)
@@ -241,15 +246,16 @@ def near_duplicates(
                 same = one.tobytes() + two.tobytes() + len(grams).to_bytes(4, "little")
                 out.append((same, len(grams), signature(grams, trees, depth).tobytes(), press.compress(raw)) if len(grams) else (same, 0, b"", b""))
             made = pd.DataFrame(out, columns=["same", "size", "labels", "packed"])
-            yield made.assign(doc_id=b["doc_id"].astype("Int64"))
+            yield made.assign(doc_id=b["doc_id"].astype("Int64"), **{k: b[k] for k in keys})
 
-    rows = written(base.mapInPandas(sign, "doc_id long, same binary, size int, labels binary, packed binary"))
+    schema = "doc_id long, same binary, size int, labels binary, packed binary" + "".join(f", {k} long" for k in keys)
+    rows = written(base.mapInPandas(sign, schema))
     copies = rows.groupBy("same").agg(
         F.min("doc_id").alias("copy_of"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("size", "labels", "packed"))
     )
     # Written, so that a class keeps the number it gets here.
     copies = written(copies.withColumn("node", F.monotonically_increasing_id()))
-    ids = written(rows.select("doc_id", "same"))
+    ids = written(rows.select("doc_id", "same", *keys))
     forget(rows)
     reps = copies.where("size > 0")
     length = prefix_depth(measured(reps, trees, depth, num / den), trees, depth, num / den, recall, at_threshold)
@@ -331,5 +337,6 @@ def near_duplicates(
         "copy_of",
         (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"),
         F.coalesce("texts", F.lit(0)).alias("n_linked_texts"),
+        *(["component"] if with_keys else []),
     )
     return ids.join(named, "same").drop("same")
