@@ -6,6 +6,8 @@ documents, but the last, which returns packed pieces.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,16 +31,19 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates, the one with the least id.
+    """One document of each class of near-duplicates: the one with the least id and, of several texts with it, the least key.
 
-    Of repeated rows one stays. Rows without an id can't stand for a class and stay as they are.
+    Classes are told apart by their texts, so that of unlike texts under one id each stays. Of rows alike in id and text
+    one stays. Rows without an id can't stand for a class and stay as they are.
     """
-    found = lsh_forest.near_duplicates(docs)
-    first = found.where("doc_id = class_id").select("doc_id").distinct()
-    named = docs.join(first, "doc_id", "left_semi")
-    again = Window.partitionBy("row.doc_id").orderBy(F.length("row.text").desc(), "row.text")
-    named = named.select(F.struct(*(named[c] for c in named.columns)).alias("row")).withColumn("n", F.row_number().over(again))
-    return named.where("n = 1").select("row.*").unionByName(docs.where("doc_id is null"))
+    found = lsh_forest.near_duplicates(docs, with_keys=True)
+    first = found.where("doc_id is not null").groupBy("component").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("f")).select("f.*")
+    text = common.whole_text(docs)
+    rows = docs.where("doc_id is not null").select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), *common.text_keys(text))
+    rows = rows.join(first, ["doc_id", "k1", "k2"], "left_semi")
+    again = Window.partitionBy("doc_id", "k1", "k2").orderBy(F.xxhash64("row"))
+    rows = rows.withColumn("n", F.row_number().over(again)).where("n = 1")
+    return rows.select("row.*").unionByName(docs.where("doc_id is null"))
 
 
 def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,8 +73,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written before the next one reads it; what a stage wrote on its way is then deleted."""
-    docs, kept = common.table(spark, sf_dir, "documents"), common.made()
+    """All stages over documents, each written before the next one reads it; what a stage read and wrote is then deleted."""
+    docs, last = common.table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = common.settled(stage(spark, docs, sf_dir), kept)
+        docs = common.staged(spark, functools.partial(stage, spark, docs, sf_dir))
+        if last is not None:
+            common.forget(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
