@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import math
 import zipfile
@@ -144,7 +145,7 @@ def test_docx(spark, tmp_path):
     assert [c.number for c in clauses] == [f"1.{i}" for i in range(6)] and clauses[0].title == "Title 0"
 
 
-def test_snapshots_and_index(spark, tmp_path):
+def test_snapshots(spark, tmp_path):
     root = str(tmp_path / "kb")
     df = spark.createDataFrame([("b",), ("a",)], "id string")
     assert [files.write_snapshot(df, root, "id"), files.write_snapshot(df.limit(0), root, "id")] == [1, 2]
@@ -153,8 +154,12 @@ def test_snapshots_and_index(spark, tmp_path):
     assert files.read_snapshot(spark, root, 1).count() == 2
     with pytest.raises(ValueError):
         files.read_snapshot(spark, root, 7)
-    files.save_index(df, df, root + "/i")
-    assert files.load_index(spark, root + "/i")[0].count() == 2
+    assert files.read_snapshot(spark, root).count() == 0
+    with pytest.raises(ValueError):
+        files.read_snapshot(spark, root + "/none")
+    rows = spark.createDataFrame([(None, i) for i in range(30)] + [("b", 10), ("b", 9), ("a", None), ("b", 100)], "k string, i int").repartition(4)
+    digest = lambda ids: hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest()[:12]
+    assert set(map(tuple, files.fingerprints(rows, "k", "i").collect())) == {(None, digest(range(30))), ("b", digest([10, 9, 100]))}
 
 
 def test_html_tables_and_paragraphs(spark):

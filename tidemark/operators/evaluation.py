@@ -144,12 +144,6 @@ def risk(kind: Column, answer: Column) -> Column:
     ).otherwise(0)
 
 
-def fingerprint(ids: Column) -> Column:
-    """Of a set of ids: the first 12 hexadecimal digits of the SHA-256 of the sorted ids; 'empty' without any."""
-    joined = F.array_join(F.array_sort(F.collect_list(ids)), ",")
-    return F.when(F.count(ids) == 0, "empty").otherwise(F.substring(F.sha2(joined, 256), 1, 12))
-
-
 def near_questions(questions: DataFrame, least: float = 0.8) -> DataFrame:
     """a, b (a before b): questions whose sets of words have a Jaccard similarity over `least`. questions: id, words (distinct).
 

@@ -9,6 +9,7 @@ from tidemark.functions import text as tx
 from tidemark.operators import evaluation as ev
 from tidemark.operators import retrieval as rt
 from tidemark.plans.retrieval import BM25_SQL, TOKENS
+from tidemark.sources import files
 from tidemark.sources.tables import table
 
 #: The driver's answers are English: their tags and what states a fact in them.
@@ -98,7 +99,7 @@ def coverage_blindspots(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dataset_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").groupBy("source").agg(ev.fingerprint(F.col("doc_id").cast("string")).alias("fingerprint"))
+    return files.fingerprints(table(spark, sf, "documents"), "source", "doc_id")
 
 
 def dataset_audit(spark: SparkSession, sf: str) -> DataFrame:

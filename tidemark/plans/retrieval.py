@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
+from tidemark.operators import lexical_index as li
 from tidemark.operators import retrieval as rt
 from tidemark.operators.vectors import vector_search
+from tidemark.sources.storage import fresh_path
 from tidemark.sources.tables import table
 
 #: SQL of the default tokenizer, for DuckDB.
@@ -22,6 +24,47 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("query_id", F.col("id").alias("doc_id"), "rank", F.round("score", 6).alias("score"))
 
 
+def _asked(spark: SparkSession, sf: str, root: str, **more: object) -> DataFrame:
+    found = li.index_search(spark, root, table(spark, sf, "benchmark"), query_id="item_id", query_text="text", k=20, **more)
+    return found.select("query_id", F.col("id").alias("doc_id"), "rank", F.round("score", 6).alias("score"))
+
+
+def index_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The questions against a stored index of all documents."""
+    root = fresh_path(spark)
+    li.build_index(table(spark, sf, "documents"), root, id_col="doc_id", text_col="text", file_col="source", buckets=16)
+    return _asked(spark, sf, root)
+
+
+def _changed_index(spark: SparkSession, sf: str) -> str:
+    """Each source is a file. Those on 3 go, those on 5 are modified (every text gets the first question's words before it), and
+    those on 7 only come with the change."""
+    docs, root = table(spark, sf, "documents"), fresh_path(spark)
+    ends = lambda n: F.col("source").endswith(n)
+    keys = {"id_col": "doc_id", "text_col": "text", "file_col": "source"}
+    li.build_index(docs.where(~ends("7")), root, columns=("lang",), buckets=16, **keys)
+    files = docs.select(F.col("source").alias("file")).distinct()
+    change = F.when(F.col("file").endswith("3"), "deleted").when(F.col("file").endswith("5"), "modified").when(F.col("file").endswith("7"), "added")
+    now = docs.withColumn("text", F.when(ends("5"), F.concat(F.lit("the and of changed "), "text")).otherwise(F.col("text")))
+    li.change_index(root, files.withColumn("change", change).where("change is not null"), now, **keys)
+    return root
+
+
+def index_after_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """The questions against an index that was built, and then changed: as if built from the documents as they are now."""
+    return _asked(spark, sf, _changed_index(spark, sf))
+
+
+def index_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Document frequencies and idf of the changed index, which sums differences."""
+    return li.index_terms(spark, _changed_index(spark, sf)).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+def index_search_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    """English documents only; the statistics are those of all."""
+    return _asked(spark, sf, _changed_index(spark, sf), filters={"lang": "en"})
+
+
 BM25_SQL = f"""
 WITH d AS (SELECT doc_id AS id, {TOKENS.format("text")} AS w FROM documents),
 l AS (SELECT id, len(w) AS dl FROM d),
@@ -37,6 +80,15 @@ SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY
 QUALIFY rank <= 20"""
 
 
+#: The documents as the change leaves them.
+CHANGED = "(SELECT doc_id, lang, CASE WHEN source LIKE '%5' THEN 'the and of changed ' || text ELSE text END AS text FROM documents WHERE source NOT LIKE '%3')"
+TERMS_SQL = f"""
+WITH d AS (SELECT doc_id AS id, list_distinct({TOKENS.format("text")}) AS w FROM DOCS),
+c AS (SELECT term, count(*) AS df FROM (SELECT unnest(w) AS term FROM d) GROUP BY term),
+f AS (SELECT term, df, ln((SELECT count(*) FROM d) - df + 0.5) - ln(df + 0.5) AS raw FROM c)
+SELECT term, DF_round(CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM f) ELSE raw END, 6) AS idf FROM f"""
+
+
 def bm25_terms(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     _, terms = rt.bm25_index(docs, "doc_id", "text")
@@ -242,6 +294,10 @@ MODEL_JSON_SQL = "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIG
 QUERIES = {
     "bm25_topk": bm25_topk,
     "bm25_terms": bm25_terms,
+    "index_search": index_search,
+    "index_after_changes": index_after_changes,
+    "index_search_filtered": index_search_filtered,
+    "index_terms": index_terms,
     "vector_topk_cosine": vector_topk_cosine,
     "vector_topk_filtered": vector_topk_filtered,
     "memory_topk_l2": memory_topk_l2,
@@ -264,11 +320,13 @@ QUERIES = {
 
 SQL = {
     "bm25_topk": BM25_SQL,
-    "bm25_terms": f"""
-WITH d AS (SELECT doc_id AS id, list_distinct({TOKENS.format("text")}) AS w FROM documents), s AS (SELECT count(*) AS n FROM documents),
-f AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM d, unnest(w) AS t(term), s GROUP BY term, n),
-m AS (SELECT avg(raw) AS mean FROM f)
-SELECT term, round(CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END, 6) AS idf FROM f, m""",
+    "bm25_terms": TERMS_SQL.replace("DOCS", "documents").replace("DF_", ""),
+    "index_search": BM25_SQL,
+    "index_after_changes": BM25_SQL.replace("FROM documents", f"FROM {CHANGED}"),
+    "index_search_filtered": BM25_SQL.replace("FROM documents", f"FROM {CHANGED}").replace(
+        "WHERE score > 0", "WHERE score > 0 AND doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')"
+    ),
+    "index_terms": TERMS_SQL.replace("DOCS", CHANGED).replace("DF_", "df, "),
     "vector_topk_cosine": VECTORS.format(score=COSINE, more=""),
     "vector_topk_filtered": VECTORS.format(score=COSINE, more=" AND q_label IS NOT DISTINCT FROM label"),
     "memory_topk_l2": VECTORS.format(score="1.0::DOUBLE / (1.0 + list_dot_product(list_transform(q, lambda x, i: x - e[i]), list_transform(q, lambda x, i: x - e[i])))", more=""),

@@ -1,7 +1,8 @@
-"""Files: Markdown folders, DOCX documents, JSON datasets, snapshots, indexes and reports."""
+"""Files: Markdown folders, DOCX documents, JSON datasets, snapshots and reports."""
 
 from __future__ import annotations
 
+import hashlib
 import io
 import zipfile
 from collections.abc import Iterator
@@ -10,10 +11,11 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructType
+
+from tidemark.sources import commits
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-INDEX_FORMAT = "1"
 
 
 @F.pandas_udf(StringType())
@@ -107,47 +109,62 @@ def without_parents(parents: DataFrame, children: list[DataFrame], gone: DataFra
     return parents.join(keys, key, "left_anti"), [c.join(keys, key, "left_anti") for c in children]
 
 
-def write_snapshot(df: DataFrame, root: str, id_col: str) -> int:
-    """Writes df as the next snapshot below root, then its line of the manifest: a snapshot without one doesn't count."""
-    spark = df.sparkSession
-    old = read_manifest(spark, root)
-    version = (old.agg(F.max("version")).first()[0] or 0) + 1
-    df.write.mode("overwrite").parquet(f"{root}/data/version={version}")
-    data = spark.read.parquet(f"{root}/data/version={version}")
-    line = data.agg(
-        F.lit(version).cast("long").alias("version"), F.count("*").alias("rows"),
-        F.when(F.count("*") == 0, "empty").otherwise(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list(F.col(id_col).cast("string"))), ","), 256), 1, 12)).alias("fingerprint"),
-    )
-    line.write.mode("append").json(f"{root}/manifest")
-    return version
+def fingerprints(rows: DataFrame, key: str, id_col: str) -> DataFrame:
+    """key, fingerprint: the first 12 hexadecimal digits of the SHA-256 of each key's ids, sorted as text and joined by commas.
 
+    A key's ids pass one task in order, which keeps the state of the hash and no ids.
+    """
+    ids = rows.where(F.col(id_col).isNotNull()).select(key, F.col(id_col).cast("string").alias("id"))
 
-def read_manifest(spark: SparkSession, root: str) -> DataFrame:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/manifest")
-    schema = "version long, rows long, fingerprint string"
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).json(f"{root}/manifest")
+    def rows_of(found: list[tuple]) -> pd.DataFrame:
+        keys, prints = zip(*found, strict=True) if found else ((), ())
+        return pd.DataFrame({key: pd.Series(keys, dtype=object), "fingerprint": pd.Series(prints, dtype=object)})
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, sha = None, None
+        for b in batches:
+            out = []
+            for k, one in zip(b[key], b["id"], strict=True):
+                k = None if pd.isna(k) else k
+                if sha is not None and k == now:
+                    sha.update(b",")
+                else:
+                    if sha is not None:
+                        out.append((now, sha.hexdigest()[:12]))
+                    now, sha = k, hashlib.sha256()
+                sha.update(one.encode())
+            yield rows_of(out)
+        if sha is not None:
+            yield rows_of([(now, sha.hexdigest()[:12])])
+
+    return ids.repartition(key).sortWithinPartitions(key, "id").mapInPandas(run, f"{key} {dict(ids.dtypes)[key]}, fingerprint string")
 
-def read_snapshot(spark: SparkSession, root: str, version: int) -> DataFrame:
-    if not read_manifest(spark, root).where(F.col("version") == version).count():
-        raise ValueError(f"no snapshot {version}")
-    return spark.read.parquet(f"{root}/data/version={version}")
 
+def write_snapshot(df: DataFrame, root: str, id_col: str) -> int:
+    """Writes df as the next snapshot below root. Of writers at one time each gets a version; one that fails leaves nothing."""
+    spark = df.sparkSession
+
+    def write(base: commits.Commit | None, folder: str) -> dict:
+        df.write.parquet(f"{folder}/rows")
+        data = spark.read.schema(df.schema).parquet(f"{folder}/rows")
+        found = fingerprints(data.select(F.lit(0).alias("all"), id_col), "all", id_col).first()
+        return {"rows": data.count(), "fingerprint": found.fingerprint if found else "empty", "data": folder.rsplit("/", 1)[1], "schema": df.schema.jsonValue()}
 
-def save_index(postings: DataFrame, terms: DataFrame, root: str) -> None:
-    """A lexical index as two tables with a format version."""
-    postings.withColumn("format", F.lit(INDEX_FORMAT)).write.mode("overwrite").parquet(f"{root}/postings")
-    terms.withColumn("format", F.lit(INDEX_FORMAT)).write.mode("overwrite").parquet(f"{root}/terms")
+    return commits.commit(spark, root, write).version
+
+
+def read_manifest(spark: SparkSession, root: str) -> DataFrame:
+    """version, rows, fingerprint of all snapshots."""
+    found = [commits.read_commit(spark, root, v) for v in commits.versions(spark, root)]
+    return spark.createDataFrame([(c.version, c.content["rows"], c.content["fingerprint"]) for c in found], "version long, rows long, fingerprint string")
 
 
-def load_index(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    found = tuple(spark.read.parquet(f"{root}/{n}") for n in ("postings", "terms"))
-    for df in found:
-        if df.where(F.col("format") != INDEX_FORMAT).limit(1).count():
-            raise ValueError("an index of another format")
-    return tuple(df.drop("format") for df in found)
+def read_snapshot(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    """A snapshot, the latest unless a version is given; ValueError if there is none."""
+    found = commits.read_commit(spark, root, version)
+    if found is None:
+        raise ValueError(f"no snapshot below {root}")
+    return spark.read.schema(StructType.fromJson(found.content["schema"])).parquet(f"{root}/data/{found.content['data']}/rows")
 
 
 def report_markdown(metrics: DataFrame) -> DataFrame:
