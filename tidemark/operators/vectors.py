@@ -1,4 +1,8 @@
-"""Vector search of a stated set of queries against all rows, block against block."""
+"""Vector search of a stated set of queries, block against block: exact against all rows, or against the nearest cells of an index.
+
+The index is an inverted file: centroids are fitted on a bounded sample, every row is stored with the cell of its nearest
+centroid, and a query looks into the cells whose centroids are nearest to it, where rows are scored exactly.
+"""
 
 from __future__ import annotations
 
@@ -6,66 +10,212 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.retrieval import top_per_query
+from tidemark.sources import commits
+from tidemark.sources.storage import written
+
+CLEAN = "v is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity'))"
 
 
 def _scores(q: np.ndarray, v: np.ndarray, kind: str) -> np.ndarray:
+    if kind == "l2":  # 1 / (1 + squared distance)
+        return 1 / (1 + np.array([((v - x) ** 2).sum(1) for x in q]))
     dots = q @ v.T
     if kind == "dot":
         return dots
-    qq, vv = (q * q).sum(1)[:, None], (v * v).sum(1)
-    if kind == "l2":  # 1 / (1 + squared distance)
-        return 1 / (1 + np.array([((v - x) ** 2).sum(1) for x in q]))
-    length = np.sqrt(qq) * np.sqrt(vv)
+    length = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((v * v).sum(1))
     return np.divide(dots, length, out=np.zeros_like(dots), where=length > 0)
 
 
-def _in_blocks(rows: DataFrame, size: int, block: str, prefix: str) -> tuple[DataFrame, int]:
-    """Rows in about equal blocks by hash, one row per block, and how many blocks there are."""
-    n = max(1, -(-rows.count() // size))
-    dealt = rows.withColumn(block, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    return dealt.groupBy(block).agg(F.collect_list(F.struct("id", "v", "grp")).alias(prefix)), n
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k highest scores, ties to smaller ids; only what can be among them is sorted."""
+    scores = np.round(scores, 9)
+    at = np.flatnonzero(scores >= np.partition(scores, -k)[-k]) if len(scores) > k else np.arange(len(scores))
+    return at[np.lexsort((ids[at], -scores[at]))[:k]]
 
 
-def vector_search(
-    rows: DataFrame, queries: DataFrame, *, k: int, kind: str = "cosine", grouped: bool = False, row_block: int = 4096, query_block: int = 1024
-) -> DataFrame:
-    """query_id, id, score, rank: of each query the k best other rows, ties to smaller ids. Both: id, v, and grp if grouped.
+def _in_blocks(rows: DataFrame, sizes: DataFrame, size: int, name: str) -> DataFrame:
+    """key, {name}_block, and of its rows {name}_ids, {name}_grp and {name}_v (all vectors in one array). sizes: key, n."""
+    n = F.ceil(F.col("n") / size)
+    dealt = rows.join(sizes, "key").withColumn(f"{name}_block", F.pmod(F.xxhash64("id"), n).cast("int"))
+    blocks = dealt.groupBy("key", f"{name}_block").agg(F.collect_list(F.struct("id", "grp", "v")).alias("x"))
+    return blocks.select("key", f"{name}_block", F.col("x.id").alias(f"{name}_ids"), F.col("x.grp").alias(f"{name}_grp"), F.flatten("x.v").alias(f"{name}_v"))
 
-    kind: cosine (0 where either vector has no length), dot, or l2. grouped: only rows whose grp is the query's (null equals
-    null). Each block of rows meets each block of queries once, and only the k best of every query leave it. Vectors that are
-    null, hold null or have another length than the first query's take no part.
+
+def _meet(rows: DataFrame, queries: DataFrame, *, k: int, kind: str, grouped: bool, row_block: int, query_block: int) -> DataFrame:
+    """query_id, id, score: of each query the k best rows of each block that has its key. Both: key, id, v, grp.
+
+    Vectors of one key have one length. Every pair of blocks is a row of its own, so that neither side waits for one task.
     """
-    if not grouped:
-        rows, queries = (x.select("id", "v", F.lit(None).cast("int").alias("grp")) for x in (rows, queries))
-    clean = "v is not null and not exists(v, x -> x is null)"
-    rows, queries = rows.where(clean), queries.where(clean)
-    left, _ = _in_blocks(rows, row_block, "row_block", "r")
-    right, n = _in_blocks(queries, query_block, "query_block", "q")
-    pairs = left.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(right, "query_block")
+    sizes = [x.groupBy("key").agg(F.count("*").alias("n")) for x in (rows, queries)]
+    counts = sizes[0].select("key", F.ceil(F.col("n") / row_block).alias("r")).join(sizes[1].select("key", F.ceil(F.col("n") / query_block).alias("q")), "key")
+    counts = written(counts)
+    places = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    left = _in_blocks(rows, sizes[0], row_block, "r").join(counts, "key").withColumn("q_block", places("q")).drop("r", "q")
+    right = _in_blocks(queries, sizes[1], query_block, "q").join(counts, "key").withColumn("r_block", places("r")).drop("r", "q")
+    pairs = left.join(right, ["key", "r_block", "q_block"])
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for r, q in zip(b["r"], b["q"], strict=True):
-                dim = len(q[0]["v"])
-                r, q = [x for x in r if len(x["v"]) == dim], [x for x in q if len(x["v"]) == dim]
-                if not r:
-                    continue
-                v, w = (np.array([x["v"] for x in s], np.float64) for s in (r, q))
-                ids = np.array([x["id"] for x in r], np.int64)
+            for x in b.itertuples():
+                ids, asked = np.asarray(x.r_ids, np.int64), np.asarray(x.q_ids, np.int64)
+                v, w = (np.asarray(y, np.float64).reshape(len(i), -1) for y, i in ((x.r_v, ids), (x.q_v, asked)))
                 found = _scores(w, v, kind)
-                for i, x in enumerate(q):
-                    other = ids != x["id"]
+                groups = np.array(list(x.r_grp), object) if grouped else None
+                out = []
+                for i, q in enumerate(asked.tolist()):
+                    other = ids != q
                     if grouped:
-                        other &= np.array([y["grp"] == x["grp"] for y in r])
+                        other &= groups == x.q_grp[i]
                     at = np.flatnonzero(other)
-                    at = at[np.lexsort((ids[at], -np.round(found[i, at], 9)))[:k]]
-                    out.append(pd.DataFrame({"query_id": x["id"], "id": ids[at], "score": found[i, at]}))
-            yield pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []})
+                    at = at[_best(found[i, at], ids[at], k)]
+                    out.append(pd.DataFrame({"query_id": q, "id": ids[at], "score": found[i, at]}))
+                yield pd.concat(out)
 
-    found = pairs.select("r", "q").mapInPandas(score, "query_id long, id long, score double")
+    return pairs.select("r_ids", "r_grp", "r_v", "q_ids", "q_grp", "q_v").mapInPandas(score, "query_id long, id long, score double")
+
+
+def _rows(df: DataFrame, grouped: bool) -> DataFrame:
+    """Groups as text, with a mark before it, so that null is a group like any other."""
+    grp = F.coalesce(F.concat(F.lit("="), df["grp"].cast("string")), F.lit("")) if grouped else F.lit("")
+    return df.select(df["id"].cast("long").alias("id"), df["v"].cast("array<double>").alias("v"), grp.alias("grp")).where(CLEAN)
+
+
+def vector_search(
+    rows: DataFrame, queries: DataFrame, *, k: int, kind: str = "cosine", grouped: bool = False, row_block: int = 4096, query_block: int = 1024
+) -> DataFrame:
+    """query_id, id, score, rank: of each query the k best other rows, ties to smaller ids. Both: id, v, and grp if grouped.
+
+    kind: cosine (0 where either vector has no length), dot, or l2. grouped: only rows whose grp is the query's (null equals
+    null). Each block of rows meets each block of queries once, and only the k best of every query leave it. Vectors meet
+    those of their own length; null or empty ones and those that hold null, NaN or infinity take no part.
+    """
+    rows, queries = (_rows(x, grouped).withColumn("key", F.size("v")) for x in (rows, queries))
+    found = _meet(rows, queries, k=k, kind=kind, grouped=grouped, row_block=row_block, query_block=query_block)
     return top_per_query(found, k)
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    length = np.sqrt((v * v).sum(1, keepdims=True))
+    return np.divide(v, length, out=np.zeros_like(v), where=length > 0)
+
+
+def _nearest(v: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """The number of each vector's nearest center, some thousand vectors at a time."""
+    parts = [(v[i : i + 4096] @ centers.T).argmax(1) for i in range(0, len(v), 4096)]
+    return np.concatenate([np.zeros(0, np.int64), *parts])
+
+
+def fit_centroids(sample: np.ndarray, cells: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
+    """Spherical k-means of unit vectors: starts far from each other, then rounds of assignment and means."""
+    rng = np.random.default_rng(seed)
+    centers = [sample[rng.integers(len(sample))]]
+    near = 1 - sample @ centers[0]
+    while len(centers) < cells:
+        p = np.maximum(near, 0)
+        centers.append(sample[rng.choice(len(sample), p=p / p.sum()) if p.sum() > 1e-12 else rng.integers(len(sample))])
+        near = np.minimum(near, 1 - sample @ centers[-1])
+    c = np.array(centers)
+    for _ in range(rounds):
+        own = _nearest(sample, c)
+        sums = np.zeros_like(c)
+        np.add.at(sums, own, sample)
+        filled = np.bincount(own, minlength=cells) > 0
+        c[filled] = _unit(sums[filled])
+    return c
+
+
+def recall_by_probes(sample: np.ndarray, centers: np.ndarray, k: int = 10, asked: int = 500) -> list[float]:
+    """The share of the k nearest that lie in the 1, 2, ... nearest cells, for the first `asked` vectors of the sample, within it.
+
+    The sample is thinner than the rows, so its neighbours are farther, and more often in another cell, than theirs.
+    """
+    own, found = _nearest(sample, centers), np.zeros(len(centers))
+    for i, q in enumerate(sample[:asked]):
+        near = sample @ q
+        near[i] = -np.inf
+        top = np.argpartition(-near, min(k, len(near) - 1))[:k]
+        place = np.empty(len(centers), np.int64)
+        place[np.argsort(-(centers @ q), kind="stable")] = np.arange(len(centers))
+        found += np.bincount(place[own[top[top != i]]], minlength=len(centers))
+    return [1.0] * len(centers) if not found.sum() else (np.cumsum(found) / found.sum()).tolist()
+
+
+def build_vector_index(
+    rows: DataFrame, root: str, *, rows_per_cell: int = 256, most_cells: int = 1024, sample_per_cell: int = 32, rounds: int = 12
+) -> commits.Commit:
+    """Stores rows (id, v, and grp if there) by cell, as a version of root, for search by cosine.
+
+    As many cells as rows_per_cell goes into the rows, one below that and most_cells at most. Centroids are fitted on
+    sample_per_cell rows a cell, those with the smallest hash of their id, which also tell how many cells a search should look
+    into; every row is stored. Rows are those of the most
+    frequent length (of equally frequent ones the shortest); null and non-finite vectors are left out, as are other lengths.
+    """
+    spark = rows.sparkSession
+    rows = written(_rows(rows, "grp" in rows.columns))
+    lengths = rows.groupBy(F.size("v").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").first()
+    dim, n = (lengths["size"], lengths["n"]) if lengths else (0, 0)
+    rows = rows.where(F.size("v") == dim)
+    cells = max(1, min(most_cells, n // rows_per_cell))
+    picked = rows.orderBy(F.xxhash64("id"), "id").limit(cells * sample_per_cell).select("v").collect()
+    sample = _unit(np.array([r.v for r in picked], np.float64).reshape(len(picked), dim))
+    centers = fit_centroids(sample, cells, rounds) if n else np.zeros((1, 0))
+    recall = recall_by_probes(sample, centers)
+    shared = spark.sparkContext.broadcast(centers)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            v = _unit(np.array(b["v"].tolist(), np.float64).reshape(len(b), dim))
+            yield b.assign(cell=_nearest(v, shared.value).astype(np.int32))
+
+    def write(base: commits.Commit | None, folder: str) -> dict:
+        placed = rows.mapInPandas(place, "id long, v array<double>, grp string, cell int")
+        # By range, so that a cell that holds a third of the rows is written by many tasks.
+        placed.repartitionByRange("cell", "id").sortWithinPartitions("cell", "id").write.partitionBy("cell").parquet(f"{folder}/rows")
+        table = spark.createDataFrame([(i, c.tolist(), recall[i]) for i, c in enumerate(centers)], "cell int, center array<double>, recall double")
+        table.coalesce(1).write.parquet(f"{folder}/centers")
+        return {"rows": n, "cells": cells, "dim": dim, "data": folder.rsplit("/", 1)[1]}
+
+    return commits.commit(spark, root, write)
+
+
+def nearest_cells(queries: DataFrame, centers: np.ndarray, probes: int) -> DataFrame:
+    """Each query once for each of its `probes` nearest cells. queries: id, v, grp; adds cell."""
+    shared = queries.sparkSession.sparkContext.broadcast(centers)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            near = _unit(np.array(b["v"].tolist(), np.float64).reshape(len(b), -1)) @ shared.value.T if len(b) else np.zeros((0, len(shared.value)))
+            cells = np.argsort(-near, 1, kind="stable")[:, :probes].astype(np.int32)
+            out = b.loc[b.index.repeat(cells.shape[1])]
+            yield out.assign(cell=cells.ravel())
+
+    return queries.mapInPandas(run, "id long, v array<double>, grp string, cell int")
+
+
+def search_vector_index(
+    spark: SparkSession, root: str, queries: DataFrame, *, k: int, recall: float = 0.95, probes: int | None = None, grouped: bool = False, version: int | None = None, row_block: int = 4096, query_block: int = 1024
+) -> DataFrame:
+    """query_id, id, score, rank: as vector_search() by cosine, but only of the rows in each query's `probes` nearest cells.
+
+    Unless given, probes is the least number that found this recall in the index's sample: few where the vectors lie in
+    clusters, most cells where they don't. With as many probes as cells the result is exact. Cells that no query looks into aren't read: the driver gets the numbers
+    of those that are. Queries of another length than the index's have no hits.
+    """
+    found = commits.read_commit(spark, root, version)
+    if found is None:
+        raise ValueError(f"no index below {root}")
+    at, dim = f"{root}/data/{found.content['data']}", found.content["dim"]
+    stored = spark.read.parquet(f"{at}/centers").orderBy("cell").collect()  # most_cells rows
+    centers = np.array([r.center for r in stored], np.float64)
+    if probes is None:  # in the order of cells, the i-th row says what i + 1 probes find
+        probes = 1 + next((i for i, r in enumerate(stored) if r.recall >= recall), len(stored) - 1)
+    asked = _rows(queries, grouped).where(F.size("v") == dim)
+    asked = written(nearest_cells(asked, centers.reshape(len(stored), dim), min(probes, len(centers))))
+    cells = [r.cell for r in asked.select("cell").distinct().collect()]
+    rows = spark.read.schema("id long, v array<double>, grp string, cell int").parquet(f"{at}/rows").where(F.col("cell").isin(cells))
+    rows, asked = (x.withColumn("grp", F.col("grp") if grouped else F.lit("")).withColumnRenamed("cell", "key") for x in (rows, asked))
+    return top_per_query(_meet(rows, asked, k=k, kind="cosine", grouped=grouped, row_block=row_block, query_block=query_block), k)

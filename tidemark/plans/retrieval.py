@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as tx
 from tidemark.operators import lexical_index as li
 from tidemark.operators import retrieval as rt
-from tidemark.operators.vectors import vector_search
+from tidemark.operators.vectors import build_vector_index, search_vector_index, vector_search
 from tidemark.sources.storage import fresh_path
 from tidemark.sources.tables import table
 
@@ -105,6 +105,14 @@ def vector_topk_cosine(spark: SparkSession, sf: str) -> DataFrame:
     return _search(spark, sf, "cosine", 10).select("query_id", F.col("id").alias("vec_id"), "rank", F.round("score", 6).alias("score"))
 
 
+def vector_index_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by an inverted file, of about 64 rows a cell; a query looks into as many cells as the index's sample asks for."""
+    v, root = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), fresh_path(spark)
+    build_vector_index(v, root, rows_per_cell=64)
+    found = search_vector_index(spark, root, v.where("id % 20 = 0"), k=10)
+    return found.select("query_id", F.col("id").alias("vec_id"), "rank", F.round("score", 6).alias("score"))
+
+
 VECTORS = """
 WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q, label AS q_label FROM embeddings WHERE vec_id % 20 = 0),
 v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings),
@@ -299,6 +307,7 @@ QUERIES = {
     "index_search_filtered": index_search_filtered,
     "index_terms": index_terms,
     "vector_topk_cosine": vector_topk_cosine,
+    "vector_index_topk": vector_index_topk,
     "vector_topk_filtered": vector_topk_filtered,
     "memory_topk_l2": memory_topk_l2,
     "memory_suppression": memory_suppression,
