@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.sources.storage import fresh_path
+from tidemark.streaming.stateful import is_record, state_store
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,8 +34,9 @@ def drained(stream: DataFrame, mode: str) -> DataFrame:
     def put(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/batch={0 if mode == 'complete' else n}")
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{at}-state").trigger(availableNow=True).start()
-    query.awaitTermination()
+    with state_store(spark):
+        query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{at}-state").trigger(availableNow=True).start()
+        query.awaitTermination()
     return spark.read.schema(stream.schema).option("basePath", at).parquet(at).select(*stream.columns)
 
 
@@ -69,14 +70,7 @@ def records(fragments: DataFrame) -> DataFrame:
             *whole, buffer = (buffer + text).split("\n")
             if last:
                 whole, buffer = [*whole, buffer], ""
-            for line in map(str.strip, whole):
-                if line in ("", "[]", "{}"):
-                    continue
-                try:
-                    json.loads(line)
-                except ValueError:
-                    continue
-                out.append((key[0], line))
+            out += [(key[0], line) for line in map(str.strip, whole) if is_record(line)]
         state.update((buffer,))
         yield pd.DataFrame(out, columns=["stream_id", "record"])
 
@@ -110,25 +104,3 @@ def breaker(calls: DataFrame, limit: int = 5, cool: float = 60.0) -> DataFrame:
     return calls.groupBy("service").applyInPandasWithState(
         run, "service string, t double, state string", "n int, since double", "append", GroupStateTimeout.NoTimeout
     )
-
-
-def session_state(turns: DataFrame, ttl: float = 3600.0) -> DataFrame:
-    """session, t, n, topic from session, t (seconds), topic: how many turns a session has had and the topic it carries on, both
-    forgotten after `ttl` seconds without a turn. A turn without a topic carries on the last one."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, topic, last = state.get if state.exists else (0, None, None)
-        rows = pd.concat([b for b in batches if len(b)]).sort_values("t")
-        out = []
-        for t, said in zip(rows["t"].tolist(), rows["topic"].tolist(), strict=True):
-            if last is not None and t - last > ttl:
-                n, topic = 0, None
-            n, last = n + 1, t
-            topic = said if isinstance(said, str) else topic
-            out.append((key[0], t, n, topic))
-        state.update((n, topic, last))
-        yield pd.DataFrame(out, columns=["session", "t", "n", "topic"])
-
-    return turns.groupBy("session").applyInPandasWithState(
-        run, "session string, t double, n int, topic string", "n int, topic string, last double", "append", GroupStateTimeout.NoTimeout
-    )
