@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import ahocorasick
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 # What a violation costs, and the grades.
 WEIGHTS = {"critical": 40, "high": 20, "medium": 10, "low": 5}
@@ -42,6 +46,43 @@ def broadcast_blocks(rows: DataFrame, most: int = BROADCAST_BYTES) -> list[DataF
     raise ValueError(f"4096 blocks of {most} bytes don't hold the rows")
 
 
+def keyword_blocks(rows: DataFrame, most: int) -> list[list[Row]]:
+    """rows (n, keyword, and what else is wanted), cut into blocks of `most` bytes at most, each of which may go to the driver."""
+    return [block.collect() for block in broadcast_blocks(rows.where("keyword is not null"), most)]
+
+
+def keywords_in(texts: DataFrame, columns: tuple[str, ...], keywords: list[Row]) -> DataFrame:
+    """texts with, for each of columns, the array `in_{column}` of the numbers n of all keywords that it holds.
+
+    keywords: n, keyword; a block of bounded size. An automaton over all of them passes each text once, however many there
+    are. The empty keyword is in every text; null texts hold none.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast([(r.n, r.keyword) for r in keywords])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        numbers: dict[str, list[int]] = {}
+        for n, keyword in shared.value:
+            numbers.setdefault(keyword, []).append(n)
+        everywhere = numbers.pop("", [])
+        automaton = ahocorasick.Automaton()
+        for keyword, ns in numbers.items():
+            automaton.add_word(keyword, ns)
+        if numbers:
+            automaton.make_automaton()
+
+        def find(text: str | None) -> list[int]:
+            if not isinstance(text, str):
+                return []
+            found = {id(ns): ns for _, ns in automaton.iter(text)} if numbers else {}
+            return sorted([*everywhere, *(n for ns in found.values() for n in ns)])
+
+        for b in batches:
+            yield b.assign(**{f"in_{c}": b[c].map(find) for c in columns})
+
+    schema = StructType([*texts.schema, *(StructField(f"in_{c}", ArrayType(IntegerType())) for c in columns)])
+    return texts.mapInPandas(run, schema)
+
+
 def classify(docs: DataFrame, keywords: DataFrame, id_col: str, name: str, body: str, head: int = 2000, most: int = BROADCAST_BYTES) -> DataFrame:
     """id, category, score: half a keyword's length, five times in the name, once in the first characters of the body.
 
@@ -49,19 +90,34 @@ def classify(docs: DataFrame, keywords: DataFrame, id_col: str, name: str, body:
     the first category.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.lower(name).alias("n"), F.lower(F.substring(body, 1, head)).alias("b"))
-    found = F.contains("n", "keyword") | F.contains("b", "keyword")
-    hit = reduce(DataFrame.unionByName, [texts.join(k, found) for k in broadcast_blocks(keywords, most)])
-    part = F.length("keyword") / 2 * (F.when(F.contains("n", "keyword"), 5).otherwise(0) + F.when(F.contains("b", "keyword"), 1).otherwise(0))
-    scored = hit.groupBy("id", "category", "cat_pos").agg(F.sum(part).alias("score"))
+    numbered = keywords.select("category", "cat_pos", "keyword", F.lit(0).alias("n"))
+    parts = []
+    for block in keyword_blocks(numbered, most):
+        rows = [Row(n=i, keyword=r.keyword, category=r.category, cat_pos=r.cat_pos) for i, r in enumerate(block)]
+        found = keywords_in(texts, ("n", "b"), rows)
+        hits = [found.select("id", F.explode(f"in_{c}").alias("k"), F.lit(weight).alias("weight")) for c, weight in (("n", 5), ("b", 1))]
+        known = docs.sparkSession.createDataFrame([(r.n, r.category, r.cat_pos, len(r.keyword)) for r in rows], "k int, category string, cat_pos int, size int")
+        parts.append(hits[0].unionByName(hits[1]).join(F.broadcast(known), "k"))  # no larger than the block
+    scored = reduce(DataFrame.unionByName, parts).groupBy("id", "category", "cat_pos").agg(F.sum(F.col("size") / 2 * F.col("weight")).alias("score"))
     best = Window.partitionBy("id").orderBy(F.desc("score"), "cat_pos")
     return scored.withColumn("_n", F.row_number().over(best)).where("_n = 1").select("id", "category", "score")
 
 
 def rule_hits(texts: DataFrame, rules: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
-    """Rows of texts (id, text) that a rule (rule, severity, keyword, pattern) matches; rules come in blocks of `most` bytes."""
-    hit = F.contains(F.col("text"), F.col("keyword")) | F.expr("text rlike pattern")
-    found = reduce(DataFrame.unionByName, [texts.join(r, hit) for r in broadcast_blocks(rules, most)])
-    return found.select("id", "rule", "severity")
+    """Rows of texts (id, text) that a rule (rule, severity, keyword, pattern) matches; rules come in blocks of `most` bytes.
+
+    All keywords are looked for in one pass of a text. Only rules with a pattern are tried one by one.
+    """
+    parts = []
+    for block in broadcast_blocks(rules.select("rule", "severity", "keyword", "pattern"), most):
+        rows = block.collect()
+        known = [Row(n=i, keyword=r.keyword) for i, r in enumerate(rows) if r.keyword is not None]
+        found = keywords_in(texts.select("id", "text"), ("text",), known)
+        table = F.broadcast(texts.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(rows)], "n int, rule string, severity string, keyword string, pattern string"))
+        plain = found.select("id", F.explode("in_text").alias("n")).join(table.where("pattern is null"), "n")
+        either = F.array_contains("in_text", F.col("n")) | F.coalesce(F.expr("text rlike pattern"), F.lit(False))
+        parts += [plain.select("id", "rule", "severity"), found.join(table.where("pattern is not null"), either).select("id", "rule", "severity")]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def rule_score(hits: DataFrame, ids: DataFrame, pricing: DataFrame | None = None) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
@@ -38,6 +40,7 @@ def bm25_search(
     k1: float = 1.5,
     b: float = 0.75,
     filters: dict[str, object] | None = None,
+    tokenize: Callable[[Column], Column] = tx.tokens,
 ) -> DataFrame:
     """query_id, id, score, rank: for each query the k chunks with the highest BM25 score above 0, ties to smaller ids.
 
@@ -49,10 +52,10 @@ def bm25_search(
     for name, value in (filters or {}).items():
         kept = kept & F.col(name).eqNullSafe(F.lit(value))
     # Splitting texts costs most, so the words are written once and read for the statistics and for the hits.
-    rows = written(chunks.select(F.col(id_col).alias("id"), tx.tokens(F.col(text_col)).alias("words"), kept.alias("kept")))
+    rows = written(chunks.select(F.col(id_col).alias("id"), tokenize(F.col(text_col)).alias("words"), kept.alias("kept")))
     terms = rows.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     sizes = rows.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean")).first()
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tx.tokens(F.col(query_text))).alias("term"))
+    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokenize(F.col(query_text))).alias("term"))
     asked = asked.groupBy("query_id", "term").agg(F.count("*").alias("qf"))
     # Only the words of the questions need their idf here, but its floor is a mean over all.
     asked = asked.join(bm25_idf(terms, sizes.n), "term")

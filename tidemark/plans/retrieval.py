@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import segment as sg
 from tidemark.functions import text as tx
 from tidemark.operators import lexical_index as li
 from tidemark.operators import retrieval as rt
@@ -299,7 +300,23 @@ def model_json(spark: SparkSession, sf: str) -> DataFrame:
 
 MODEL_JSON_SQL = "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events"
 
+def segmented_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of each text with two terms of the field before it, unspaced, chosen by its id."""
+    terms = F.array(*map(F.lit, sg.TERMS))
+    pick = lambda step: F.element_at(terms, (F.col("doc_id") * step % len(sg.TERMS) + 1).cast("int"))
+    docs = table(spark, sf, "documents").withColumn("text", F.concat(pick(1), F.lit("的"), pick(7), F.lit(" "), "text"))
+    words = docs.select("doc_id", sg.segmenter(spark)(F.col("text")).alias("w"))
+    return words.select("doc_id", F.size("w").cast("long").alias("n"), F.array_join(F.slice("w", 1, 2), ",").alias("terms"), F.md5(F.array_join("w", " ")).alias("digest"))
+
+
+_terms = "[" + ", ".join(f"'{t}'" for t in sg.TERMS) + "]"
+SEGMENT_SQL = f"""
+WITH t AS (SELECT doc_id, text, list_value({_terms[1:-1]}) AS terms FROM documents),
+w AS (SELECT doc_id, [terms[doc_id % 46 + 1], terms[doc_id * 7 % 46 + 1]] AS two, list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+'), lambda x: length(x) > 1) AS rest FROM t)
+SELECT doc_id, len(two) + len(rest) AS n, two[1] || ',' || two[2] AS terms, md5(array_to_string(two || rest, ' ')) AS digest FROM w"""
+
 QUERIES = {
+    "segmented_terms": segmented_terms,
     "bm25_topk": bm25_topk,
     "bm25_terms": bm25_terms,
     "index_search": index_search,
@@ -328,6 +345,7 @@ QUERIES = {
 }
 
 SQL = {
+    "segmented_terms": SEGMENT_SQL,
     "bm25_topk": BM25_SQL,
     "bm25_terms": TERMS_SQL.replace("DOCS", "documents").replace("DF_", ""),
     "index_search": BM25_SQL,
