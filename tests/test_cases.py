@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from tidemark.operators import compliance as cp
 from tidemark.operators import evaluation as ev
 from tidemark.operators import logs as lg
 from tidemark.operators import pages as pg
+from tidemark.operators import quality as ql
 from tidemark.operators import relevance as rl
 from tidemark.operators import retrieval as rt
 from tidemark.operators import state as st
@@ -231,3 +234,35 @@ def test_datasets_and_deletes(spark, tmp_path):
     assert left.count() == 1 and children.count() == 2
     (tmp_path / "one.md").write_text("# x", encoding="utf-8")
     assert [r.text for r in files.read_markdown(spark, f"{tmp_path}/one.md").collect()] == ["# x"]
+
+
+def test_section_paths(spark):
+    """Against a stack that is folded over the headings."""
+    rng = random.Random(12)
+    rows = [(d, n, f"h{d}.{n}", rng.choice([None, 1, 1, 2, 2, 3, 4, 40])) for d in range(12) for n in range(rng.randint(0, 30))]
+    want = {}
+    for d in range(12):
+        stack, n = [], 0
+        for _, _, line, level in (r for r in rows if r[0] == d):
+            if level is None:
+                continue
+            level = min(level, 6)
+            while stack and stack[-1][0] >= level:
+                stack.pop()
+            stack.append((level, line))
+            n += 1
+            want[d, n] = [x for _, x in stack]
+    marked = spark.createDataFrame(rows, "id int, line_no int, line string, level int").repartition(4)
+    assert {(r.id, r.section): r.path for r in ck.section_paths(marked, deepest=6).collect()} == want
+
+
+def test_build_figures(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", True), (2, "b", False), (3, "c", True), (4, "d", None)], "id int, text string, ok boolean").repartition(3)
+    whole = lambda d: d
+    got = ql.build_figures(rows, f"{tmp_path}/a", "ok", "id", {"vector": whole, "words": lambda d: d.select("id")}).first()
+    assert got.asDict() == {"parsed": 4, "passed": 2, "vector": 2, "words": 2, "consistent": True}
+    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/a/words").collect()) == [1, 3]
+    for other in (lambda d: d.where("id < 3"), lambda d: d.withColumn("id", F.col("id") + 1)):
+        assert not ql.build_figures(rows, f"{tmp_path}/b", "ok", "id", {"vector": whole, "words": other}).first().consistent
+    none = ql.build_figures(rows.limit(0), f"{tmp_path}/c", "ok", "id", {"vector": whole}).first()
+    assert (none.parsed, none.passed, none.vector, none.consistent) == (0, 0, 0, True)

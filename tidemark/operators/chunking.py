@@ -66,6 +66,27 @@ def sections(marked: DataFrame) -> DataFrame:
     )
 
 
+def section_paths(marked: DataFrame, deepest: int = 32) -> DataFrame:
+    """id, section (from 1), level, path: the headings above each section, from the outermost on, and its own.
+
+    A heading lies below the last one before it with a smaller level; those of its own level or a greater one end there. Of
+    every level the last heading so far is known to a line; it still holds if no smaller level came after it. marked: as
+    headings() gives it; levels beyond `deepest` count as that.
+    """
+    level = F.least("level", F.lit(deepest))
+    so_far = Window.partitionBy("id").orderBy("line_no")
+    last = [F.last(F.when(level == n, F.struct("line_no", "line")), ignorenulls=True).over(so_far).alias(f"h{n}") for n in range(1, deepest + 1)]
+    section = F.sum(F.when(F.col("level").isNotNull(), 1).otherwise(0)).over(so_far).cast("long")
+    seen = marked.where("level is not null").select("id", section.alias("section"), level.alias("level"), *last)
+    none = F.lit(None).cast("string")
+    path, latest = [], F.lit(-1).cast("int")
+    for n in range(1, deepest + 1):
+        at = F.col(f"h{n}.line_no").cast("int")
+        path.append(F.when((F.col("level") >= n) & (at > latest), F.col(f"h{n}.line")).otherwise(none))
+        latest = F.greatest(latest, at)
+    return seen.select("id", "section", "level", F.array_compact(F.array(*path)).alias("path"))
+
+
 def greedy_pack(parts: Column, limit: int, glue: str = "\n\n") -> Column:
     """Joins parts in order while the joined length plus one stays within limit, then starts anew; as an array."""
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))

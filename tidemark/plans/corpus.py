@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import chunking as ck
 from tidemark.operators import quality as ql
+from tidemark.sources.storage import fresh_path
 from tidemark.sources.tables import table
 
 # A regulation made of a document: front matter, headings, a metadata quote.
@@ -68,6 +69,19 @@ def heading_sections(spark: SparkSession, sf: str) -> DataFrame:
     return s.select(F.col("id").alias("doc_id"), F.col("section").cast("long").alias("section"), "heading", F.length("content").cast("long").alias("n"), F.md5("content").alias("digest"))
 
 
+def section_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Each section with the headings above it."""
+    d = ck.front_matter(_regulations(spark, sf))
+    s = ck.section_paths(ck.headings(ck.lines(d, "doc_id", "body")))
+    return s.select(F.col("id").alias("doc_id"), "section", F.size("path").cast("long").alias("depth"), F.md5(F.array_join("path", " > ")).alias("path"))
+
+
+PATHS = LINES.replace("WITH", "WITH RECURSIVE", 1) + """, head AS (SELECT doc_id, line_no, line, level, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS section FROM v WHERE level IS NOT NULL),
+above AS (SELECT x.doc_id, x.section, x.line, max(o.section) AS up FROM head x LEFT JOIN head o ON o.doc_id = x.doc_id AND o.section < x.section AND o.level < x.level GROUP BY ALL),
+way AS (SELECT doc_id, section, 1 AS depth, line AS path FROM above WHERE up IS NULL UNION ALL SELECT x.doc_id, x.section, depth + 1, path || ' > ' || x.line FROM above x JOIN way ON way.doc_id = x.doc_id AND way.section = x.up)
+SELECT doc_id, section, CAST(depth AS BIGINT) AS depth, md5(path) AS path FROM way"""
+
+
 SECTIONS = LINES + """, s AS (SELECT *, sum(CASE WHEN level IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS section FROM v),
 g AS (SELECT doc_id, CAST(section AS BIGINT) AS section, max(CASE WHEN level IS NOT NULL THEN line END) AS heading, coalesce(trim(string_agg(CASE WHEN level IS NULL THEN line END, chr(10) ORDER BY line_no), ' '), '') AS content FROM s WHERE section > 0 GROUP BY ALL)
 SELECT doc_id, section, heading, CAST(length(content) AS BIGINT) AS n, md5(content) AS digest FROM g"""
@@ -202,6 +216,16 @@ def build_stats(spark: SparkSession, sf: str) -> DataFrame:
     return d.groupBy("source").agg(F.count("*").alias("parsed"), F.count_if(ok).alias("passed"), F.countDistinct(F.md5("text")).alias("unique_texts"))
 
 
+def build_observed(spark: SparkSession, sf: str) -> DataFrame:
+    """The figures of a build, counted while its two stores are written: chunks that pass, for vectors and for words."""
+    docs, at = table(spark, sf, "documents"), fresh_path(spark)
+    ok = ~F.exists(ql.content_issues(F.col("text")), lambda x: x.startswith("error"))
+    parsed = docs.withColumn("ok", ok)
+    return ql.build_figures(
+        parsed, at, "ok", "doc_id", {"vector": lambda d: d.select("doc_id", "text"), "words": lambda d: d.select("doc_id", F.split("text", " ").alias("words"))}
+    )
+
+
 def incremental_build(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal")
     changed = c.where("c_custkey % 10 = 0").withColumn("c_name", F.concat("c_name", F.lit("*")))
@@ -224,7 +248,7 @@ def scan_filtered(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    front_matter, law_names, headings, heading_sections, quote_metadata, fixed_windows, chunk_links, overlap_tail, paragraph_chunks, chunk_guards, table_split,
+    front_matter, law_names, headings, heading_sections, section_paths, build_observed, quote_metadata, fixed_windows, chunk_links, overlap_tail, paragraph_chunks, chunk_guards, table_split,
     table_markdown, sheet_groups, front_matter_issues, content_issues, quality_gate, exact_dedup_first, low_quality_filter, build_stats, incremental_build,
     file_counts, scan_filtered,
 )}
@@ -236,6 +260,8 @@ SQL = {
   x AS (SELECT doc_id, coalesce(r, h, c, 'unknown') AS law_name, CASE WHEN contains(c, '_') THEN substring(c, position('_' IN c) + 1) ELSE c END AS category FROM n) SELECT *, category || ' > ' || law_name AS hierarchy_path FROM x""",
     "headings": LINES + "SELECT doc_id, line_no, level FROM v WHERE level IS NOT NULL",
     "heading_sections": SECTIONS,
+    "section_paths": PATHS,
+    "build_observed": "WITH d AS (SELECT length(trim(text, ' ')) >= 50 AND NOT regexp_matches(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]|\\x{FEFF}|\\x{FFFD}') AS ok FROM documents) SELECT count(*) AS parsed, count(*) FILTER (ok) AS passed, count(*) FILTER (ok) AS vector, count(*) FILTER (ok) AS words, true AS consistent FROM d",
     "quote_metadata": QUOTE,
     "fixed_windows": WINDOWS + "SELECT doc_id, chunk, CAST(length(content) AS BIGINT) AS n, md5(content) AS digest FROM w WHERE length(content) >= 20",
     "chunk_links": WINDOWS + "SELECT doc_id, chunk, lag(chunk) OVER o AS prev_chunk, lead(chunk) OVER o AS next_chunk FROM w WHERE length(content) >= 20 WINDOW o AS (PARTITION BY doc_id ORDER BY chunk)",
