@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import chunking as ck
 from tidemark.operators import quality as ql
+from tidemark.operators import sheets as sh
+from tidemark.plans.inputs import given, plain
 from tidemark.sources.storage import fresh_path
 from tidemark.sources.tables import table
 
@@ -175,6 +177,31 @@ def sheet_groups(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: Each conversation is a checklist; every second has a line of owners. Some turns begin a sub-regulation, the others are clauses.
+SHEETS = """
+SELECT conv_id, 1 AS row_no, 'Sheet ' || conv_id AS a, CAST(NULL AS STRING) AS b, CAST(NULL AS STRING) AS d FROM (SELECT DISTINCT conv_id FROM {conversations}) x
+UNION ALL SELECT conv_id, 2, '序号', CASE WHEN conv_id % 2 = 1 THEN '产品开发责任人：x' END, '全部' FROM (SELECT DISTINCT conv_id FROM {conversations}) x
+UNION ALL SELECT conv_id, 3, '序号', NULL, NULL FROM (SELECT DISTINCT conv_id FROM {conversations}) x WHERE conv_id % 2 = 1
+UNION ALL SELECT conv_id, 3 + conv_id % 2, CASE WHEN conv_id % 3 = 0 THEN '' ELSE 'Law ' || conv_id || chr(10) || '（2020）' END, NULL, NULL FROM (SELECT DISTINCT conv_id FROM {conversations}) x
+UNION ALL SELECT conv_id, 4 + conv_id % 2 + turn, CASE WHEN turn % 3 = 1 AND conv_id % 5 > 0 THEN 'Part ' || turn || chr(10) || '(old)' ELSE CAST(turn AS STRING) END, text, CASE WHEN turn % 2 = 0 THEN '全部' ELSE role END FROM {conversations}"""
+
+
+def sheet_clauses(spark: SparkSession, sf: str) -> DataFrame:
+    """Clauses of both layouts, with their regulation and sub-regulation."""
+    rows = given(spark, sf, SHEETS)
+    nothing = F.lit(None).cast("string")
+    found = sh.sheet_clauses(rows.select(F.col("conv_id").alias("sheet"), F.col("row_no").cast("int").alias("row_no"), F.array("a", "b", nothing, "d").alias("cells")))
+    return found.select("sheet", "layout", "regulation_name", "sub_regulation", F.col("row_no").cast("long").alias("row_no"), "sequence", F.md5("content").alias("content"), F.element_at("applies", "险种大类").alias("kind"))
+
+
+SHEET_SQL = "WITH r AS (" + plain(SHEETS).replace("AS STRING", "AS VARCHAR") + """),
+l AS (SELECT conv_id, conv_id % 2 = 1 AS o, CASE WHEN conv_id % 3 = 0 THEN 'Sheet ' || conv_id ELSE 'Law ' || conv_id END AS law FROM (SELECT DISTINCT conv_id FROM conversations)),
+d AS (SELECT r.*, o, law, CASE WHEN a LIKE 'Part %' THEN regexp_replace(a, '\\n.*', '') END AS part FROM r JOIN l USING (conv_id) WHERE row_no >= 4 + conv_id % 2),
+g AS (SELECT *, coalesce(last_value(part IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY row_no), law) AS sub, bool_or(part IS NOT NULL) OVER (PARTITION BY conv_id) AS parts FROM d)
+SELECT conv_id AS sheet, CASE WHEN o THEN 'with_owner' ELSE 'standard' END AS layout, law AS regulation_name, CASE WHEN parts THEN sub END AS sub_regulation, CAST(row_no AS BIGINT) AS row_no,
+  CAST(a AS BIGINT) AS sequence, md5(trim(b, ' ')) AS content, nullif(trim(d), '全部') AS kind FROM g WHERE part IS NULL AND trim(b, ' ') <> ''"""
+
+
 def front_matter_issues(spark: SparkSession, sf: str) -> DataFrame:
     r = _regulations(spark, sf).withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.substring("text", 1, 30)).otherwise(F.col("text")))
     return r.select("doc_id", F.explode(ql.front_matter_issues(F.col("text"), ("regulation", "collection", "issuer"))).alias("issue"))
@@ -249,7 +276,7 @@ def scan_filtered(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     front_matter, law_names, headings, heading_sections, section_paths, build_observed, quote_metadata, fixed_windows, chunk_links, overlap_tail, paragraph_chunks, chunk_guards, table_split,
-    table_markdown, sheet_groups, front_matter_issues, content_issues, quality_gate, exact_dedup_first, low_quality_filter, build_stats, incremental_build,
+    table_markdown, sheet_groups, sheet_clauses, front_matter_issues, content_issues, quality_gate, exact_dedup_first, low_quality_filter, build_stats, incremental_build,
     file_counts, scan_filtered,
 )}
 
@@ -269,6 +296,7 @@ SQL = {
     "chunk_guards": "SELECT doc_id, CAST(least(10000, ceil(length(substring(text, 1, 10000000)) / 500.0)) AS BIGINT) AS chunks FROM documents WHERE length(text) > 0",
     "table_split": "WITH r AS (SELECT l_returnflag AS t, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS i FROM lineitem) SELECT t, (i - 1) // 49 AS part, count(*) + 1 AS rows, max(i) AS last FROM r GROUP BY ALL",
     "table_markdown": "SELECT n_regionkey, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS markdown FROM nation GROUP BY n_regionkey",
+    "sheet_clauses": SHEET_SQL,
     "sheet_groups": "SELECT conv_id, turn, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER o AS BIGINT) AS group_no, md5(last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER o) AS name FROM conversations WINDOW o AS (PARTITION BY conv_id ORDER BY turn)",
     "front_matter_issues": ISSUES,
     "content_issues": CONTENT,
