@@ -46,8 +46,11 @@ def test_lengths_mix(spark, vectors, parts, grouped):
 
 
 def test_best_of_ties():
-    scores, ids = np.array([1.0, 0.5, 0.5, 0.5, 2.0]), np.array([9, 8, 3, 5, 1])
-    assert ids[vs._best(scores, ids, 3)].tolist() == [1, 9, 3] and ids[vs._best(scores, ids, 9)].tolist() == [1, 9, 3, 5, 8]
+    scores, ids = np.array([[1.0, 0.5, 0.5, 0.5, 2.0], [0.0, 0.0, 0.0, 0.0, 0.0]]), np.array([9, 8, 3, 5, 1])
+    every = np.ones((2, 5), bool)
+    top = lambda allowed, k: [ids[r[q == n]].tolist() for q, r in [vs._best(scores, ids, allowed, k)] for n in (0, 1)]
+    assert top(every, 3) == [[1, 9, 3], [1, 3, 5]] and top(every, 9) == [[1, 9, 3, 5, 8], [1, 3, 5, 8, 9]]
+    assert top(every & (ids != 1), 2) == [[9, 3], [3, 5]] and top(~every, 2) == [[], []]
 
 
 def test_index_with_all_cells_is_exact(spark, vectors, tmp_path):

@@ -30,11 +30,18 @@ def _scores(q: np.ndarray, v: np.ndarray, kind: str) -> np.ndarray:
     return np.divide(dots, length, out=np.zeros_like(dots), where=length > 0)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k highest scores, ties to smaller ids; only what can be among them is sorted."""
-    scores = np.round(scores, 9)
-    at = np.flatnonzero(scores >= np.partition(scores, -k)[-k]) if len(scores) > k else np.arange(len(scores))
-    return at[np.lexsort((ids[at], -scores[at]))[:k]]
+def _best(scores: np.ndarray, ids: np.ndarray, allowed: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of scores its k highest that are allowed, ties to smaller ids: rows and columns. Only what can be among them
+    is sorted."""
+    scores = np.where(allowed, np.round(scores, 9), -np.inf)
+    n = scores.shape[1]
+    kept = allowed & (scores >= np.partition(scores, n - k, 1)[:, n - k, None]) if n > k else allowed
+    q, r = np.nonzero(kept)
+    order = np.lexsort((ids[r], -scores[q, r], q))
+    q, r = q[order], r[order]
+    starts = np.searchsorted(q, q)  # where each one's row begins
+    first = np.arange(len(q)) - starts < k
+    return q[first], r[first]
 
 
 def _in_blocks(rows: DataFrame, sizes: DataFrame, size: int, name: str) -> DataFrame:
@@ -64,16 +71,11 @@ def _meet(rows: DataFrame, queries: DataFrame, *, k: int, kind: str, grouped: bo
                 ids, asked = np.asarray(x.r_ids, np.int64), np.asarray(x.q_ids, np.int64)
                 v, w = (np.asarray(y, np.float64).reshape(len(i), -1) for y, i in ((x.r_v, ids), (x.q_v, asked)))
                 found = _scores(w, v, kind)
-                groups = np.array(list(x.r_grp), object) if grouped else None
-                out = []
-                for i, q in enumerate(asked.tolist()):
-                    other = ids != q
-                    if grouped:
-                        other &= groups == x.q_grp[i]
-                    at = np.flatnonzero(other)
-                    at = at[_best(found[i, at], ids[at], k)]
-                    out.append(pd.DataFrame({"query_id": q, "id": ids[at], "score": found[i, at]}))
-                yield pd.concat(out)
+                allowed = asked[:, None] != ids
+                if grouped:
+                    allowed &= np.array(list(x.q_grp), object)[:, None] == np.array(list(x.r_grp), object)
+                q, r = _best(found, ids, allowed, k)
+                yield pd.DataFrame({"query_id": asked[q], "id": ids[r], "score": found[q, r]})
 
     return pairs.select("r_ids", "r_grp", "r_v", "q_ids", "q_grp", "q_v").mapInPandas(score, "query_id long, id long, score double")
 

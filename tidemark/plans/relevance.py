@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from tidemark.operators import evaluation as ev
 from tidemark.operators import relevance as rl
 from tidemark.operators import retrieval as rt
+from tidemark.operators import seams as sm
 from tidemark.operators.vectors import vector_search
 from tidemark.plans.inputs import given, plain
 from tidemark.plans.retrieval import BM25_SQL, COSINE, TOKENS
+from tidemark.sources.storage import fresh_path
 from tidemark.sources.tables import table
 
 SYNONYMS = {"cold": ["hot", "small"], "widget": ["gear"]}
@@ -49,6 +51,18 @@ def relevance_judgement(spark: SparkSession, sf: str) -> DataFrame:
     return _judged(spark, sf).select("query_id", "rank", F.col("rel").cast("int").alias("rel"))
 
 
+def relevance_with_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    """The same, where a hit whose content is like the sample's keywords, by the default embedder, counts too."""
+    root, hashing = fresh_path(spark), sm.HashingEmbedder()
+    samples = _samples(spark, sf).withColumn("said", F.array_join("keywords", " "))
+    hits = sm.embedded(given(spark, sf, HITS), hashing, root, text_col="content").withColumnRenamed("v", "content_v")
+    hits = hits.join(sm.embedded(samples, hashing, root, text_col="said").withColumnRenamed("v", "said_v"), "query_id")
+    # Both are of unit length, or zero.
+    like = F.aggregate(F.zip_with("content_v", "said_v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    rel = rl.relevant(F.col("content"), F.col("source_file"), F.col("law_name"), F.col("docs"), F.col("keywords"), synonyms=SYNONYMS, similarity=like)
+    return hits.select("query_id", "rank", rel.cast("int").alias("rel"), F.round(like, 6).alias("similarity"))
+
+
 def recall_by_evidence(spark: SparkSession, sf: str) -> DataFrame:
     return rl.recall(_judged(spark, sf), _samples(spark, sf)).select("query_id", F.round("recall", 6).alias("recall"))
 
@@ -172,7 +186,7 @@ p AS (SELECT b.id, len(list_intersect(a.w, b.w)) AS n, len(a.w) + len(b.w) AS m
 SELECT id, issue, severity, count(*) AS n FROM (SELECT * FROM o UNION ALL SELECT id, 'duplicate_question', 'warning' FROM p WHERE n::DOUBLE / (m - n) > 0.8) GROUP BY ALL"""
 
 QUERIES = {f.__name__: f for f in (
-    relevance_judgement, sample_audit, recall_by_evidence, recall_report, recall_failures, hybrid_search, rerank_threshold, judge_means, metric_summary, sample_synthesis,
+    relevance_judgement, relevance_with_embeddings, sample_audit, recall_by_evidence, recall_report, recall_failures, hybrid_search, rerank_threshold, judge_means, metric_summary, sample_synthesis,
 )}
 
 SQL = {

@@ -107,9 +107,9 @@ def vector_topk_cosine(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def vector_index_topk(spark: SparkSession, sf: str) -> DataFrame:
-    """The same by an inverted file, of about 64 rows a cell; a query looks into as many cells as the index's sample asks for."""
+    """The same by an inverted file, of about 128 rows a cell; a query looks into as many cells as the index's sample asks for."""
     v, root = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), fresh_path(spark)
-    build_vector_index(v, root, rows_per_cell=64)
+    build_vector_index(v, root, rows_per_cell=128)
     found = search_vector_index(spark, root, v.where("id % 20 = 0"), k=10)
     return found.select("query_id", F.col("id").alias("vec_id"), "rank", F.round("score", 6).alias("score"))
 
