@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import random
 import threading
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,3 +171,19 @@ def test_another_tokenizer(spark, tmp_path):
     li.build_index(spark.createDataFrame([("1", "甲乙", "f", None), ("2", "丙乙", "f", None), ("3", "丁", "f", None), ("4", "丁", "f", None)], SCHEMA), root, tokenize=letters, **KEYS)
     asked = spark.createDataFrame([(1, "甲")], "q int, t string")
     assert [r.id for r in li.index_search(spark, root, asked, query_id="q", query_text="t", k=3, tokenize=letters).collect()] == ["1"]
+
+
+def test_words_are_counted_in_their_row_and_dealt_in_blocks():
+    rng = random.Random(9)
+    texts = [[], ["all"], []] + [["all", *rng.choices([f"w{i}" for i in range(400)], k=rng.randint(0, 60))] for _ in range(700)] + [["z"] * 1000, []]
+    words = pa.RecordBatch.from_pydict({"id": pa.array(range(len(texts)), pa.int64()), "words": pa.array(texts, pa.list_(pa.string())), "more": pa.array(["x"] * len(texts))})
+    none = words.slice(0, 0)
+    counted = list(li._count_words(iter([none, words])))
+    assert [b.num_rows for b in counted] == [0, len(texts)]
+    assert all(dict(zip(r["terms"], r["tfs"])) == Counter(t) and r["dl"] == len(t) and r["more"] == "x" for r, t in zip(counted[1].to_pylist(), texts))
+    blocks = [r for b in li._blocks(b.select(["id", "dl", "terms", "tfs"]) for b in counted) for r in b.to_pylist()]
+    found = [(r["term"], *p) for r in blocks for p in zip(r["ids"], r["tfs"], r["dls"])]
+    assert sorted(found) == sorted((t, i, n, len(text)) for i, text in enumerate(texts) for t, n in Counter(text).items())
+    sizes = [len(r["ids"]) for r in blocks if r["term"] == "all"]
+    assert max(sizes) == li.BLOCK and len(sizes) == 3
+    assert len(blocks) == sum(-(-n // li.BLOCK) for n in Counter(t for t, *_ in found).values())

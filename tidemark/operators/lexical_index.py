@@ -6,15 +6,21 @@ and by how much the document frequencies of terms change. A search puts the part
 and compaction is one commit: a search sees all of it or nothing.
 
 Parts of a version, below their folder: postings (bucket, term, id, tf, dl), terms (bucket, term, df: a difference), chunks
-(file_bucket, file, id, dl, words, and the columns to filter by), gone (id), and frequencies (df, n: how many terms more or
-less have this document frequency), from which the mean idf follows without reading the terms.
+(file_bucket, file, id, dl, terms, tfs, and the columns to filter by), gone (id), and frequencies (df, n: how many terms more
+or less have this document frequency), from which the mean idf follows without reading the terms.
+
+Texts are split once, and each chunk's words counted in its own row, as it is written to its part; postings are made from that
+table. They travel once, in blocks: of one term, the chunks of a batch.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -24,7 +30,9 @@ from tidemark.operators.retrieval import top_per_query
 from tidemark.sources import commits
 from tidemark.sources.storage import written
 
-FORMAT = "2"
+FORMAT = "3"
+#: Most chunks of a block of postings.
+BLOCK = 256
 #: Columns of the tables whose columns are always the same; {id} is the type of ids.
 SCHEMAS = {
     "postings": "id {id}, term string, dl int, tf int, bucket int",
@@ -37,11 +45,55 @@ def _bucket(term: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(n)).cast("int")
 
 
-def _split(chunks: DataFrame, id_col: str, text_col: str, file_col: str, columns: tuple[str, ...], tokenize: Callable[[Column], Column]) -> DataFrame:
-    """id, file, words and the columns to filter by, as a table: texts are split once."""
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, file, words and more columns; of words there become dl, terms (distinct, in any order) and tfs."""
+    for batch in batches:
+        words = batch.column("words")
+        dl = pc.list_value_length(words)
+        row = np.repeat(np.arange(batch.num_rows), dl.to_numpy())
+        pairs = pa.table({"row": row, "term": pc.list_flatten(words)}).group_by(["row", "term"]).aggregate([([], "count_all")])
+        pairs = pairs.sort_by("row").combine_chunks().to_batches() or [pa.RecordBatch.from_pylist([], pairs.schema)]
+        sizes = np.bincount(pairs[0]["row"].to_numpy(), minlength=batch.num_rows)
+        ends = pa.array(np.r_[0, np.cumsum(sizes)], pa.int32())
+        lists = {"terms": pa.ListArray.from_arrays(ends, pairs[0]["term"]), "tfs": pa.ListArray.from_arrays(ends, pairs[0]["count_all"].cast(pa.int32()))}
+        kept = {name: batch.column(name) for name in batch.schema.names if name != "words"}
+        yield pa.RecordBatch.from_pydict(kept | {"dl": dl.cast(pa.int32())} | lists)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """term, ids, tfs, dls: the chunks of a batch that hold a term, BLOCK at most in a row. batches: id, dl, terms, tfs."""
+    for batch in batches:
+        row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column("terms")).to_numpy())
+        if not len(row):
+            continue
+        coded = pc.list_flatten(batch.column("terms")).dictionary_encode(null_encoding="encode")
+        order = np.argsort(coded.indices.to_numpy(), kind="stable")
+        code = coded.indices.to_numpy()[order]
+        first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        at = np.arange(len(code)) - np.repeat(first, np.diff(np.r_[first, len(code)]))
+        starts = np.flatnonzero(at % BLOCK == 0)
+        ends = pa.array(np.r_[starts, len(code)], pa.int32())
+        row = row[order]
+        columns = [batch.column("id").take(pa.array(row)), pc.list_flatten(batch.column("tfs")).take(pa.array(order)), batch.column("dl").take(pa.array(row))]
+        lists = [pa.ListArray.from_arrays(ends, c) for c in columns]
+        yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(code[starts])), *lists], ["term", "ids", "tfs", "dls"])
+
+
+def _counted(chunks: DataFrame, id_col: str, text_col: str, file_col: str, columns: tuple[str, ...], tokenize: Callable[[Column], Column]) -> DataFrame:
+    """id, file, the columns to filter by, dl, terms and tfs."""
     kept = [chunks[c].alias(f"c_{c}") for c in columns]
-    rows = chunks.select(chunks[id_col].alias("id"), chunks[file_col].cast("string").alias("file"), tokenize(chunks[text_col]).alias("words"), *kept)
-    return written(rows)
+    words = F.coalesce(tokenize(chunks[text_col]), F.array().cast("array<string>"))
+    rows = chunks.select(chunks[id_col].alias("id"), chunks[file_col].cast("string").alias("file"), *kept, words.alias("words"))
+    same = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "words")
+    return rows.mapInArrow(_count_words, f"{same}, dl int, terms array<string>, tfs array<int>")
+
+
+def _write_chunks(rows: DataFrame, folder: str, buckets: int) -> DataFrame:
+    """The chunks of a part, as of _counted(), where their task has them: none travels, whatever a file holds. Small row groups in
+    the order of file_bucket, so that those of few files are read alone."""
+    rows = rows.withColumn("file_bucket", _bucket(F.col("file"), buckets)).sortWithinPartitions("file_bucket", "file")
+    rows.write.option("compression", "zstd").option("parquet.block.size", 8 << 20).parquet(f"{folder}/chunks")
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/chunks")
 
 
 def _frequencies(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -51,16 +103,16 @@ def _frequencies(before: DataFrame, after: DataFrame) -> DataFrame:
     return counts.where("n <> 0")
 
 
-def _write_part(rows: DataFrame, gone: DataFrame, lost: DataFrame, before: DataFrame, folder: str, buckets: int) -> dict:
-    """rows: as of _split(); gone: id; lost: term, df of chunks that are gone; before: term, df as they were, of the terms that
-    change. Gives what a commit says of the part's columns."""
-    spark = rows.sparkSession
-    chunks = rows.withColumn("dl", F.size("words")).withColumn("file_bucket", _bucket(F.col("file"), buckets))
-    chunks.repartition("file_bucket").write.partitionBy("file_bucket").option("compression", "zstd").parquet(f"{folder}/chunks")
-    words = rows.select("id", F.size("words").alias("dl"), F.explode("words").alias("term"))
-    postings = words.groupBy("id", "term", "dl").agg(F.count("*").cast("int").alias("tf")).withColumn("bucket", _bucket(F.col("term"), buckets))
+def _write_postings(chunks: DataFrame, gone: DataFrame, lost: DataFrame, before: DataFrame, folder: str, buckets: int) -> dict:
+    """chunks: as of _write_chunks(); gone: id; lost: term, df of chunks that are gone; before: term, df as they were, of the
+    terms that change. Gives what a commit says of the part's columns."""
+    spark, id_type = chunks.sparkSession, dict(chunks.dtypes)["id"]
+    blocks = chunks.select("id", "dl", "terms", "tfs").mapInArrow(_blocks, f"term string, ids array<{id_type}>, tfs array<int>, dls array<int>")
     # By range of term and chunk: a term that every chunk holds is cut into as many tasks as its size asks for.
-    sorted_ = postings.repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id")
+    dealt = blocks.withColumn("bucket", _bucket(F.col("term"), buckets)).repartitionByRange("bucket", "term", F.col("ids")[0])
+    postings = dealt.select("term", "bucket", F.inline(F.arrays_zip("ids", "tfs", "dls")).alias("id", "tf", "dl"))
+    postings = postings.select("id", "term", "dl", "tf", "bucket")
+    sorted_ = postings.sortWithinPartitions("bucket", "term", "id")
     sorted_.write.partitionBy("bucket").option("compression", "zstd").parquet(f"{folder}/postings")
     found = spark.read.schema(postings.schema).parquet(f"{folder}/postings").groupBy("bucket", "term").agg(F.count("*").alias("df"))
     minus = lost.select(_bucket(F.col("term"), buckets).alias("bucket"), "term", (-F.col("df")).alias("df"))
@@ -71,7 +123,7 @@ def _write_part(rows: DataFrame, gone: DataFrame, lost: DataFrame, before: DataF
     after = terms.select("term", "df").unionByName(before).groupBy("term").agg(F.sum("df").alias("df"))
     _frequencies(before, after).write.parquet(f"{folder}/frequencies")
     gone.select("id").distinct().write.parquet(f"{folder}/gone")
-    return {"chunks": chunks.schema.jsonValue(), "id_type": dict(rows.dtypes)["id"], "buckets": buckets, "format": FORMAT}
+    return {"chunks": chunks.schema.jsonValue(), "id_type": id_type, "buckets": buckets, "format": FORMAT}
 
 
 def _content(spark: SparkSession, base: commits.Commit | None, folder: str, made: dict, n_gone: int = 0, dl_gone: int = 0) -> dict:
@@ -99,12 +151,13 @@ def build_index(
     """Builds the index of chunks as a version of root that holds nothing else. file_col: what a change names chunks by; columns:
     what a search may filter by. Null text: a chunk without words, which counts in the statistics. Ids should be distinct."""
     spark = chunks.sparkSession
-    rows = _split(chunks, id_col, text_col, file_col, columns, tokenize)
+    rows = _counted(chunks, id_col, text_col, file_col, columns, tokenize)
     id_type = dict(rows.dtypes)["id"]
 
     def write(base: commits.Commit | None, folder: str) -> dict:
         none = _none(spark, "term string, df long")
-        return _content(spark, None, folder, _write_part(rows, _none(spark, f"id {id_type}"), none, none, folder, buckets))
+        part = _write_chunks(rows, folder, buckets)
+        return _content(spark, None, folder, _write_postings(part, _none(spark, f"id {id_type}"), none, none, folder, buckets))
 
     return commits.commit(spark, root, write)
 
@@ -223,19 +276,20 @@ def change_index(
     wanted = written(ranked.where("r > 0").groupBy("file").agg(F.min("r").alias("r")))
     first = Index(spark, root)
     coming = chunks.join(wanted.where("r > 1").select(F.col("file").alias("_file")), F.col(file_col).cast("string") == F.col("_file"), "left_semi")
-    rows = _split(coming, id_col, text_col, file_col, tuple(first.columns), tokenize)
+    rows = _counted(coming, id_col, text_col, file_col, tuple(first.columns), tokenize)
     leaving = wanted.where("r < 3").select("file")
     file_buckets = [r[0] for r in leaving.select(_bucket(F.col("file"), first.buckets)).distinct().collect()]
 
     def write(base: commits.Commit | None, folder: str) -> dict:
         index = Index(spark, root, base.version)
         old = index.table("chunks").where(F.col("file_bucket").isin(file_buckets)).join(leaving, "file", "left_semi")
-        old = written(index.alive(old.select("id", "dl", "words", "part")))
-        lost = old.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-        touched = lost.select("term").unionByName(rows.select(F.explode("words").alias("term"))).distinct()
+        old = written(index.alive(old.select("id", "dl", "terms", "part")))
+        part = _write_chunks(rows, folder, index.buckets)
+        lost = old.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        touched = lost.select("term").unionByName(part.select(F.explode("terms").alias("term"))).distinct()
         before = written(index.frequencies_of(written(touched)))
         sums = old.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl")).first()
-        return _content(spark, base, folder, _write_part(rows, old, lost, before, folder, index.buckets), sums.n, sums.dl)
+        return _content(spark, base, folder, _write_postings(part, old, lost, before, folder, index.buckets), sums.n, sums.dl)
 
     return commits.commit(spark, root, write, rests_on_base=True)
 
@@ -245,8 +299,8 @@ def compact_index(spark: SparkSession, root: str) -> commits.Commit:
 
     def write(base: commits.Commit | None, folder: str) -> dict:
         index = Index(spark, root, base.version)
-        rows = written(index.alive(index.table("chunks").drop("dl", "file_bucket")))
+        part = _write_chunks(index.alive(index.table("chunks").drop("file_bucket")), folder, index.buckets)
         none = _none(spark, "term string, df long")
-        return _content(spark, None, folder, _write_part(rows, _none(spark, f"id {index.id_type}"), none, none, folder, index.buckets))
+        return _content(spark, None, folder, _write_postings(part, _none(spark, f"id {index.id_type}"), none, none, folder, index.buckets))
 
     return commits.commit(spark, root, write, rests_on_base=True)
