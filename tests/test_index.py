@@ -35,6 +35,8 @@ def same_as_fresh(spark, root, rows, filters=None):
     how = {"query_id": "q", "query_text": "t", "k": 5, "filters": filters}
     want = answers(rt.bm25_search(docs, asked, id_col="id", text_col="text", **how))
     assert answers(li.index_search(spark, root, asked, **how)) == want
+    if filters is None:
+        assert answers(li.index_search(spark, root, asked, **how, broadcast_bytes=0)) == want
     if not filters:
         _, terms = rt.bm25_index(docs, "id", "text")
         fresh = {(r.term, round(r.idf, 6)) for r in rt.bm25_idf(terms, len(rows)).collect()}

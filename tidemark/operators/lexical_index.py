@@ -33,6 +33,8 @@ from tidemark.sources.storage import written
 FORMAT = "3"
 #: Most chunks of a block of postings.
 BLOCK = 256
+#: Pairs of a query and one of its words in a chunk that a task of a search scores, about.
+PAIRS_PER_TASK = 500_000
 #: Columns of the tables whose columns are always the same; {id} is the type of ids.
 SCHEMAS = {
     "postings": "id {id}, term string, dl int, tf int, bucket int",
@@ -230,17 +232,25 @@ def index_search(
     b: float = 0.75,
     filters: dict[str, object] | None = None,
     version: int | None = None,
+    broadcast_bytes: int = 8 << 20,
     tokenize: Callable[[Column], Column] = tx.tokens,
 ) -> DataFrame:
     """query_id, id, score, rank: as bm25_search() over the chunks that the index holds now, without reading a text.
 
     Only the buckets of the queries' terms are read. filters: values of the index's columns, null for null.
+
+    The postings of these terms are dealt by chunk, in as many tasks as their document frequencies ask for, and meet the words of
+    all queries there: pairs of query and chunk don't travel, only the best of each task do. That takes a copy of the queries'
+    words in each; over `broadcast_bytes` of them, postings and queries are joined by term, and scores summed after a shuffle.
     """
     index = Index(spark, root, version)
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokenize(F.col(query_text))).alias("term"))
     asked = written(asked.groupBy("query_id", "term").agg(F.count("*").alias("qf")))
     terms = asked.select("term").distinct()
-    weighted = asked.join(index.idf_of(index.frequencies_of(terms)), "term")
+    weighted = written(asked.join(index.idf_of(index.frequencies_of(terms)), "term"))
+    # As a row of a broadcast: the strings, and about 64 bytes for the numbers and pointers.
+    size = F.sum(F.octet_length("term") + F.coalesce(F.octet_length(F.col("query_id").cast("string")), F.lit(0)) + 64)
+    sums = weighted.agg(F.coalesce(size, F.lit(0)).alias("bytes"), F.coalesce(F.sum("df"), F.lit(0)).alias("pairs")).first()
     postings = index.alive(index.in_buckets("postings", terms).join(terms, "term", "left_semi").select("id", "term", "tf", "dl", "part"))
     if filters:
         if unknown := set(filters) - set(index.columns):
@@ -250,7 +260,11 @@ def index_search(
     mean = index.dl / index.n if index.n and index.dl else 1.0
     length = F.lit(1 - b) + F.lit(b) * F.col("dl") / F.lit(float(mean))
     part = F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * length)
-    scored = weighted.join(postings, "term").groupBy("query_id", "id").agg(F.sum(part).alias("score")).where("score > 0")
+    if sums.bytes <= broadcast_bytes:
+        met = postings.repartition(min(-(-sums.pairs // PAIRS_PER_TASK), 100_000) or 1, "id").join(F.broadcast(weighted), "term")
+    else:
+        met = weighted.join(postings, "term")
+    scored = met.groupBy("query_id", "id").agg(F.sum(part).alias("score")).where("score > 0")
     return top_per_query(scored, k)
 
 
