@@ -63,6 +63,22 @@ def test_likeness_by_embedding_counts(spark, tmp_path):
     assert {(r.question, r.plain, r.like) for r in got} == {("waiting period is ninety days", False, True), ("waiting period", False, False)}
 
 
+def test_many_embeddings_are_not_broadcast(spark, tmp_path):
+    # Their files are small, as most numbers are 0; the vectors take 16 MB.
+    rows = spark.range(1000).select(F.concat(F.lit("text "), "id").alias("text"))
+    found = sm.embedded(rows, sm.HashingEmbedder(2048), f"{tmp_path}/s")
+    assert found.where("size(v) = 2048").count() == 1000
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_similarity_of_two_columns(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "red fox", "red fox"), (2, "red fox", "red fox"), (3, "red fox", "blue"), (4, None, "blue"), (5, "", "red fox")], "i int, a string, b string")
+    got = {r.i: r.similarity for r in sm.with_similarity(rows, sm.HashingEmbedder(), f"{tmp_path}/s", a="a", b="b").collect()}
+    assert got[1] == got[2] == pytest.approx(1) and got[4] is None and got[5] == 0
+    x, y = sm.HashingEmbedder().embed(["red fox", "blue"], "document")
+    assert got[3] == pytest.approx(x @ y)
+
+
 def test_rerankers(spark):
     rows = [(1, "a", "cold risk", "cold", 1), (1, "b", "cold risk", "cold risk", 2), (1, "c", "cold risk", "", 3), (2, "d", "x", "none", 1), (2, "e", "x", "none", 2)]
     candidates = spark.createDataFrame(rows, "query_id int, id string, query string, text string, rank int")

@@ -21,6 +21,8 @@ from tidemark.functions import text as tx
 from tidemark.sources import commits
 from tidemark.sources.storage import written
 
+BROADCAST_BYTES = 8 << 20
+
 
 class Embedder(Protocol):
     """A model by name; embed() runs on executors. kind: what the text is for, such as query or document."""
@@ -96,8 +98,34 @@ def embedded(rows: DataFrame, embedder: Embedder, root: str, *, text_col: str =
             return {}
 
         _append(spark, root, write)
-    known = stored_embeddings(spark, root).groupBy(F.col("key").alias("_key")).agg(F.first("v").alias("v"))
-    return keyed.join(known, "_key", "left").drop("_key")
+    return keyed.join(_known(spark, root, "_key", "v"), "_key", "left").drop("_key")
+
+
+def _known(spark: SparkSession, root: str, key: str, v: str) -> DataFrame:
+    """The store below root with one row a key, and how joins should take it.
+
+    Vectors with many zeros take little room in files, so that files don't tell whether the rows fit a broadcast.
+    """
+    stored = stored_embeddings(spark, root)
+    first = stored.select(F.size("v").alias("n")).first()
+    known = stored.groupBy(F.col("key").alias(key)).agg(F.first("v").alias(v))
+    return F.broadcast(known) if stored.count() * (8 * max(1, first.n if first else 0) + 64) <= BROADCAST_BYTES else known.hint("merge")
+
+
+def with_similarity(rows: DataFrame, embedder: Embedder, root: str, *, a: str, b: str, kind: str = "document") -> DataFrame:
+    """rows with similarity, the inner product of the embeddings of two of their columns; null where either is null.
+
+    It is worked out once for each two texts that meet, so that no vector travels with a row.
+    """
+    keyed = rows.withColumns({f"_{c}": _key(rows[c].cast("string"), embedder.name, kind) for c in (a, b)})
+    texts = rows.select(F.explode(F.array(*(rows[c].cast("string") for c in (a, b)))).alias("text")).distinct()
+    embedded(texts, embedder, root, kind=kind)
+    met = keyed.select(f"_{a}", f"_{b}").distinct()
+    for c in (a, b):
+        met = met.join(_known(rows.sparkSession, root, f"_{c}", f"_v_{c}"), f"_{c}")
+    like = F.aggregate(F.zip_with(f"_v_{a}", f"_v_{b}", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    met = met.select(f"_{a}", f"_{b}", like.alias("similarity"))
+    return keyed.join(met, [f"_{a}", f"_{b}"], "left").drop(f"_{a}", f"_{b}")
 
 
 def _append(spark: SparkSession, root: str, write: Callable[[commits.Commit | None, str], dict]) -> None:

@@ -36,8 +36,13 @@ def _samples(spark: SparkSession, sf: str) -> DataFrame:
     return s.withColumn("docs", F.split("docs", r"\|")).withColumn("keywords", F.split("keywords", r"\|"))
 
 
+def _with_samples(hits: DataFrame, samples: DataFrame) -> DataFrame:
+    """Samples grow with their hits, and take many times the room of the files that they are made from: no broadcast."""
+    return hits.join(samples.hint("merge"), "query_id")
+
+
 def _judged(spark: SparkSession, sf: str) -> DataFrame:
-    hits = given(spark, sf, HITS).join(_samples(spark, sf), "query_id")
+    hits = _with_samples(given(spark, sf, HITS), _samples(spark, sf))
     rel = rl.relevant(F.col("content"), F.col("source_file"), F.col("law_name"), F.col("docs"), F.col("keywords"), synonyms=SYNONYMS)
     return hits.select("query_id", "rank", "source_file", "law_name", rel.cast("double").alias("rel"))
 
@@ -53,12 +58,11 @@ def relevance_judgement(spark: SparkSession, sf: str) -> DataFrame:
 
 def relevance_with_embeddings(spark: SparkSession, sf: str) -> DataFrame:
     """The same, where a hit whose content is like the sample's keywords, by the default embedder, counts too."""
-    root, hashing = fresh_path(spark), sm.HashingEmbedder()
     samples = _samples(spark, sf).withColumn("said", F.array_join("keywords", " "))
-    hits = sm.embedded(given(spark, sf, HITS), hashing, root, text_col="content").withColumnRenamed("v", "content_v")
-    hits = hits.join(sm.embedded(samples, hashing, root, text_col="said").withColumnRenamed("v", "said_v"), "query_id")
-    # Both are of unit length, or zero.
-    like = F.aggregate(F.zip_with("content_v", "said_v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    hits = _with_samples(given(spark, sf, HITS), samples)
+    # Embeddings are of unit length, or zero.
+    hits = sm.with_similarity(hits, sm.HashingEmbedder(), fresh_path(spark), a="content", b="said")
+    like = F.col("similarity")
     rel = rl.relevant(F.col("content"), F.col("source_file"), F.col("law_name"), F.col("docs"), F.col("keywords"), synonyms=SYNONYMS, similarity=like)
     return hits.select("query_id", "rank", rel.cast("int").alias("rel"), F.round(like, 6).alias("similarity"))
 
