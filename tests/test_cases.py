@@ -215,6 +215,17 @@ def test_audit_and_near_questions(spark):
     assert got == {(2, "empty_question"), (2, "empty_answer"), (2, "no_evidence_docs"), (2, "no_evidence_keywords"), (2, "missing_topic"), (3, "keyword_too_short"), (3, "generic_keyword"), (3, "duplicate_question")}
 
 
+def test_copies_of_questions_are_counted_without_their_pairs(spark):
+    # 20,000 questions with one of two sets that are alike: 200 million pairs.
+    words = F.when(F.col("id") % 2 == 0, F.split(F.lit("a b c d e f g h i j"), " ")).otherwise(F.split(F.lit("a b c d e f g h i"), " "))
+    got = {r.id: r.n for r in ev.earlier_questions(spark.range(20000).select("id", words.alias("words"))).collect()}
+    assert got == {i: i for i in range(1, 20000)}
+    rows = [(i, list(w)) for i, w in ((1, "abcdefghij"), (2, "abcdefghi"), (2, "abcdefghi"), (3, "abcdefgh"), (4, "xyz"), (5, ""), (5, "abcdefghijk"))]
+    q = spark.createDataFrame(rows, "id int, words array<string>")
+    pairs = [r.b for r in ev.near_questions(q).collect()]
+    assert {r.id: r.n for r in ev.earlier_questions(q).collect()} == {i: pairs.count(i) for i in set(pairs)} == {2: 2, 3: 2, 5: 3}
+
+
 def test_depths(spark):
     chain = [(i, i - 1) for i in range(1, 41)] + [(0, None)]
     rows = [*chain, (100, 100), (101, 100), (200, 201), (201, 200), (202, 201), (300, 999)]
