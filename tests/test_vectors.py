@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.operators import vectors as vs
@@ -94,3 +95,25 @@ def test_clusters_ask_for_few_probes(spark, tmp_path):
     recall = [r.recall for r in spark.read.parquet(f"{root}/data/*/centers").orderBy("cell").collect()]
     assert recall[1] > 0.95 and recall == sorted(recall) and recall[-1] == 1
     assert spark.read.parquet(f"{root}/data/*/rows").select("cell").distinct().count() == 16
+
+
+def test_blocks_hold_few_scores_at_once(monkeypatch):
+    rng = np.random.default_rng(1)
+    v, ids = rng.normal(size=(60, 4)), np.arange(60)
+    held = []
+    real = vs._scores
+    monkeypatch.setattr(vs, "SCORES", 600)
+    monkeypatch.setattr(vs, "_scores", lambda q, v, kind: held.append(len(q) * len(v)) or real(q, v, kind))
+    rows = pa.table({"id": ids, "v": pa.array(list(v)), "grp": [""] * 60, "cell": pa.array(ids % 3, pa.int32())})
+    queries = rows.slice(0, 25).drop_columns("cell").append_column("cells", pa.array([[0, 2, 9]] * 25, pa.list_(pa.int32())))
+    got = vs._score_blocks(5, "dot", False)(rows, queries).to_pylist()
+    assert max(held) == 600
+    dots = v @ v.T
+    want = {(q, r) for q in range(25) for r in sorted((i for i in ids if i != q and i % 3 != 1), key=lambda i: -dots[q, i])[:5]}
+    assert {(x["query_id"], x["id"]) for x in got} == want
+
+
+def test_a_query_carries_its_cells_in_one_row(spark):
+    queries = spark.createDataFrame([(1, [1.0, 0.0], ""), (2, [0.0, 1.0], "")], "id long, v array<double>, grp string")
+    got = {r.id: r.cells for r in vs.nearest_cells(queries, np.array([[1.0, 0.0], [0.0, 1.0], [0.6, 0.8]]), 2).collect()}
+    assert got == {1: [0, 2], 2: [1, 2]}
