@@ -189,3 +189,17 @@ def test_words_are_counted_in_their_row_and_dealt_in_blocks():
     sizes = [len(r["ids"]) for r in blocks if r["term"] == "all"]
     assert max(sizes) == li.BLOCK and len(sizes) == 3
     assert len(blocks) == sum(-(-n // li.BLOCK) for n in Counter(t for t, *_ in found).values())
+
+
+def test_large_batches_are_cut(monkeypatch):
+    monkeypatch.setattr(li, "AT_ONCE", 100)
+    texts = [[f"w{(i * j) % 50}" for j in range(i % 60)] for i in range(300)] + [["z"] * 1000, []]
+    words = pa.RecordBatch.from_pydict({"id": pa.array(range(len(texts)), pa.int64()), "words": pa.array(texts, pa.list_(pa.string()))})
+    counted = list(li._count_words(iter([words])))
+    assert max(sum(b["dl"].to_pylist()) for b in counted if b.num_rows > 1) <= 100
+    rows = [r for b in counted for r in b.to_pylist()]
+    assert [r["id"] for r in rows] == list(range(len(texts))) and all(dict(zip(r["terms"], r["tfs"])) == Counter(t) for r, t in zip(rows, texts))
+    made = list(li._blocks(iter([pa.Table.from_batches(counted).select(["id", "dl", "terms", "tfs"]).combine_chunks().to_batches()[0]])))
+    assert max(sum(map(len, b["ids"].to_pylist())) for b in made) <= 100
+    found = [(r["term"], *p) for b in made for r in b.to_pylist() for p in zip(r["ids"], r["tfs"])]
+    assert sorted(found) == sorted((t, i, n) for i, text in enumerate(texts) for t, n in Counter(text).items())

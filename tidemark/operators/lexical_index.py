@@ -33,6 +33,8 @@ from tidemark.sources.storage import written
 FORMAT = "3"
 #: Most chunks of a block of postings.
 BLOCK = 256
+#: Words, or pairs of a chunk and one of its terms, that a task works on at once, about; a chunk with more alone.
+AT_ONCE = 1 << 20
 #: Pairs of a query and one of its words in a chunk that a task of a search scores, about.
 PAIRS_PER_TASK = 500_000
 #: Columns of the tables whose columns are always the same; {id} is the type of ids.
@@ -47,9 +49,24 @@ def _bucket(term: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(n)).cast("int")
 
 
+def _slices(batches: Iterator[pa.RecordBatch], column: str, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that the lists of a column hold at most `most` values in each, but for single rows with more."""
+    most = most or AT_ONCE
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+            yield batch.slice(start, end - start)
+            start = end
+        if not batch.num_rows:
+            yield batch
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """id, file, words and more columns; of words there become dl, terms (distinct, in any order) and tfs."""
-    for batch in batches:
+    for batch in _slices(batches, "words"):
         words = batch.column("words")
         dl = pc.list_value_length(words)
         row = np.repeat(np.arange(batch.num_rows), dl.to_numpy())
@@ -64,7 +81,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """term, ids, tfs, dls: the chunks of a batch that hold a term, BLOCK at most in a row. batches: id, dl, terms, tfs."""
-    for batch in batches:
+    for batch in _slices(batches, "terms"):
         row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column("terms")).to_numpy())
         if not len(row):
             continue
