@@ -129,6 +129,27 @@ def test_quality_ratios(spark):
 # 2
 
 
+def test_every_trusted_document_counts(spark):
+    # 21,000 trusted documents; each has a word of its own for its bucket, so a list cut anywhere changes the weights.
+    docs = spark.range(21000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    known, real = [], quality_rules.ratio_weights
+    try:
+        quality_rules.ratio_weights = lambda d, t, *a, **b: known.append(t.count()) or real(d, t, *a, **b)
+        assert quality_rules.quality_rules(docs, labels, min_words=1).where("kept").count() == 21000
+    finally:
+        quality_rules.ratio_weights = real
+    assert known == [21000]
+
+
+def test_quantiles_are_exact(spark):
+    values = [((i * 7919) % 1000) ** 3 / 7 for i in range(997)] + [5.0] * 300
+    rows = spark.createDataFrame([(float(v),) for v in values], "x double")
+    shares = (0.0, 0.001, 0.31, 0.5, 1.0)
+    assert quality_rules.quantiles(rows, "x", shares, most=20, bins=8) == pytest.approx([float(np.quantile(values, q)) for q in shares])
+    assert quality_rules.quantiles(rows.limit(0), "x", (0.5,)) == [0.0]
+
+
 def test_exact_top_k(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(700, 8)).astype(np.float32)

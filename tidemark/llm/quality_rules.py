@@ -1,7 +1,7 @@
 """Quality rules: base counts, then hashed n-gram log-likelihood ratios of a trusted target against the raw corpus.
 
-Everything is DataFrame operations. Each text becomes arrays inside its own row, so no text is shuffled; the only
-exchange carries the counts of `buckets` hashed n-grams. Two passes over the documents: counts, then scores.
+Everything is DataFrame operations. Each text becomes arrays inside its own row. Exchanges carry the counts of `buckets` hashed
+n-grams, and texts once, to find those of the trusted target by id. Two passes over the documents: counts, then scores.
 """
 
 from __future__ import annotations
@@ -99,23 +99,24 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def ratio_weights(
-    docs: DataFrame, trusted: DataFrame, buckets: int, prior: float, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, known: DataFrame, buckets: int, prior: float, id_col: str = "doc_id", text_col: str = "text"
 ) -> tuple[list[float], list[list[float]]]:
     """The log-likelihood ratio of each bucket, by all of the target and by each half of it.
 
-    trusted: a bounded table of doc_id and half (0 or 1). All documents are counted, in one pass; the driver gets at
-    most `buckets` rows. The target's multinomial is smoothed towards the raw one with `prior` times its own mass.
+    known: the documents of the target, all of them, with row.half (0 or 1). All documents are counted, in one pass; the driver gets
+    at most 2 * `buckets` rows. The target's multinomial is smoothed towards the raw one with `prior` times its own mass.
     """
-    grams = _hashed(_split(docs, id_col, text_col).drop("text", "row"))
-    grams = grams.join(F.broadcast(trusted), "doc_id", "left").select("half", "hashes", "n_words")
-    rows = (
-        grams.select("half", F.explode(_ngrams(F.col("hashes"), F.col("n_words"), buckets)).alias("bucket"))
-        .groupBy("bucket")
-        .agg(F.count("*").alias("raw"), F.count("half").alias("target"), F.coalesce(F.sum("half"), F.lit(0)).alias("second"))
-    )
+
+    def counts(rows: DataFrame, half: Column) -> DataFrame:
+        grams = _hashed(_split(rows, id_col, text_col).withColumn("half", half).drop("text", "row")).select("half", "hashes", "n_words")
+        exploded = grams.select("half", F.explode(_ngrams(F.col("hashes"), F.col("n_words"), buckets)).alias("bucket"))
+        return exploded.groupBy("bucket").agg(F.count("*").alias("n"), F.coalesce(F.sum("half"), F.lit(0)).alias("second"))
+
     raw, whole, second = [0] * buckets, [0] * buckets, [0] * buckets
-    for r in rows.collect():
-        raw[r.bucket], whole[r.bucket], second[r.bucket] = r.raw, r.target, r.second
+    for r in counts(docs, F.lit(0)).collect():
+        raw[r.bucket] = r.n
+    for r in counts(known, F.col("row.half")).collect():
+        whole[r.bucket], second[r.bucket] = r.n, r.second
 
     n_raw = sum(raw)
 
@@ -150,6 +151,37 @@ def _scored(docs: DataFrame, w: Column, buckets: int, min_words: int, max_repeat
     )
 
 
+def quantiles(rows: DataFrame, col: str, shares: tuple[float, ...], most: int = 10_000, bins: int = 1 << 12) -> list[float]:
+    """Exact quantiles of a column of finite doubles, between neighbours in proportion; 0 of no rows. rows: a written table.
+
+    The range that holds a rank is cut into bins, and the bin that holds it again, until it has at most `most` values or one; only
+    these, and the counts of bins, come to the driver.
+    """
+    ends = rows.agg(F.count(col).alias("n"), F.min(col).alias("low"), F.max(col).alias("high")).first()
+
+    def at(rank: int) -> float:
+        low, high, n = ends.low, ends.high, ends.n
+        while low < high:
+            inside = rows.where(F.col(col).between(low, high))
+            if n <= most:
+                return sorted(r[0] for r in inside.select(col).collect())[rank]
+            place = F.least(F.floor((F.col(col) - low) / (high - low) * bins), F.lit(bins - 1))
+            counted = inside.groupBy(place.alias("bin")).agg(F.count("*").alias("n"), F.min(col).alias("low"), F.max(col).alias("high"))
+            for r in sorted(counted.collect(), key=lambda r: r.bin):
+                if rank < r.n:
+                    break
+                rank -= r.n
+            low, high, n = r.low, r.high, r.n
+        return low
+
+    out = []
+    for share in shares:
+        place = share * (ends.n - 1)
+        below = math.floor(place)
+        out.append(0.0 if not ends.n else at(below) if below == place else at(below) + (place - below) * (at(below + 1) - at(below)))
+    return out
+
+
 def quality_rules(
     docs: DataFrame,
     labels: DataFrame,
@@ -161,16 +193,14 @@ def quality_rules(
     quantile: float = 0.001,
     stretch: float = 1.5,
     threshold: float | None = None,
-    max_trusted: int = 20_000,
     min_words: int = 50,
     max_repeat_percent: int = 50,
     with_row: bool = False,
 ) -> DataFrame:
     """One row per row of docs: doc_id, the base counts, base_failed, kept, llr; row, the row itself, if with_row.
 
-    The trusted target is the documents labelled quality = 1; of those at most max_trusted labelled rows are used,
-    those with the smallest hash of their id, so that the broadcast list of ids stays within 12 bytes times that.
-    Counts cover every document. llr is the mean over a document's n-grams (words and pairs of neighbours) of
+    The trusted target is all documents labelled quality = 1: their texts are joined by id and written once. Counts cover every
+    document. llr is the mean over a document's n-grams (words and pairs of neighbours) of
     log p_target / p_raw; kept is true where the base rules hold and llr >= threshold.
 
     Unless given, the threshold follows from how the target scores when it isn't counted: each half is scored by the
@@ -180,16 +210,10 @@ def quality_rules(
     No labels: all ratios are 0 and only the base rules decide. No documents: no rows. Other columns are ignored.
     """
     spark, cols = docs.sparkSession, {"id_col": id_col, "text_col": text_col}
-    first = (
-        labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull())
-        .select("doc_id")
-        .distinct()
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(max_trusted)
-    )
-    # A written table of two narrow columns: the halves stay the same wherever they are read.
-    trusted = written(first.select("doc_id", F.pmod(F.hash("doc_id"), F.lit(2)).alias("half")))
-    whole, halves = ratio_weights(docs, trusted, buckets, prior, **cols)
+    first = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(id_col)).distinct()
+    half = F.pmod(F.hash(id_col), F.lit(2)).alias("half")
+    known = written(docs.select(id_col, text_col).join(first, id_col).select(id_col, text_col, half))
+    whole, halves = ratio_weights(docs, known, buckets, prior, **cols)
 
     def value(weights: list[float]) -> Column:
         """One value with `buckets` numbers: its size does not depend on the data."""
@@ -197,13 +221,10 @@ def quality_rules(
 
     rules = {"buckets": buckets, "min_words": min_words, "max_repeat_percent": max_repeat_percent} | cols
     if threshold is None:
-        known = docs.select(id_col, text_col).join(F.broadcast(trusted.withColumnRenamed("doc_id", id_col)), id_col)
         crossed = F.when(F.col("row.half") == 0, value(halves[1])).otherwise(value(halves[0]))
         llr = F.when(~F.col("base_failed"), F.col("llr"))
-        low, middle = (
-            _scored(known, crossed, **rules).agg(F.percentile(llr, F.array(F.lit(quantile), F.lit(0.5))).alias("q")).first().q
-            or (0.0, 0.0)
-        )
+        scores = written(_scored(known, crossed, **rules).select(llr.alias("llr")))  # no filter, into which all would be copied
+        low, middle = quantiles(scores, "llr", (quantile, 0.5))
         threshold = middle - stretch * (middle - low)
     scored = _scored(docs, value(whole), **rules)
     # The last term is always true. It isn't deterministic to the optimiser, which so leaves a later filter on kept
