@@ -6,6 +6,7 @@ import math
 import random
 import time
 
+import pyarrow as pa
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -106,3 +107,11 @@ def test_time_does_not_follow_the_number_of_keywords(spark):
 
     seconds(10)
     assert seconds(10_000) < 20 * seconds(10) + 2
+
+
+def test_tokens_are_made_in_pieces(monkeypatch):
+    texts = [None, "", *(f"a{i} 等待期" for i in range(700))]
+    sizes, real = [], pa.array
+    monkeypatch.setattr(sg.pa, "array", lambda x, kind: sizes.append(len(x)) or real(x, kind))
+    seen = sg._in_pieces(real(texts), sg.Segmenter(sg.TERMS).tokens)
+    assert max(sizes) == 256 and seen.to_pylist() == [[], [], *([f"a{i}", "等待期"] for i in range(700))]
