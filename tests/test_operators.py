@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import io
 import math
+import re
 import zipfile
 
 import pytest
@@ -33,6 +34,20 @@ def test_bm25_by_hand(spark):
     assert got == {1: pytest.approx(idf["red"] * 2 * 2.5 / (2 + length) + idf["fox"] * 2.5 / (1 + length))}
 
 
+def test_search_deals_chunks_and_not_words(spark, monkeypatch):
+    """Words meet the queries where their chunk is, in as many tasks as there are words; over the bytes of a broadcast, by term."""
+    monkeypatch.setattr(rt, "WORDS_PER_TASK", 2)
+    docs = spark.createDataFrame([(1, "red red fox"), (1, "red fox red"), (1, "red"), (2, "red dog"), (3, "blue cat sat"), (4, ""), (None, "fox")], "id int, t string")
+    q = spark.createDataFrame([(9, "red fox fox"), (8, "sat blue none"), (7, None)], "q int, t string")
+    how = {"id_col": "id", "text_col": "t", "query_id": "q", "query_text": "t", "k": 5}
+    found = rt.bm25_search(docs, q, **how)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and re.search(r"hashpartitioning\(id#\d+, 7\)", plan)
+    rows = sorted(map(tuple, found.select("query_id", "rank", "id", F.round("score", 9)).collect()))
+    assert [r[:3] for r in rows][-1] == (9, 3, 2) and {r[2] for r in rows} == {None, 1, 2, 3}
+    assert rows == sorted(map(tuple, rt.bm25_search(docs, q, broadcast_bytes=0, **how).select("query_id", "rank", "id", F.round("score", 9)).collect()))
+
+
 def test_fusion_cap_and_gate(spark):
     hits = spark.createDataFrame([(1, 0, 1, "a"), (1, 0, 2, "b"), (1, 1, 1, "b"), (2, 0, 1, "c")], "query_id int, list int, rank int, id string")
     fused = rt.reciprocal_rank_fusion(hits)

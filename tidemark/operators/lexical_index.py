@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidemark.functions import text as tx
-from tidemark.operators.retrieval import top_per_query
+from tidemark.operators.retrieval import PAIRS_PER_TASK, top_per_query
 from tidemark.sources import commits
 from tidemark.sources.storage import written
 
@@ -35,8 +35,6 @@ FORMAT = "3"
 BLOCK = 256
 #: Words, or pairs of a chunk and one of its terms, that a task works on at once, about; a chunk with more alone.
 AT_ONCE = 1 << 20
-#: Pairs of a query and one of its words in a chunk that a task of a search scores, about.
-PAIRS_PER_TASK = 500_000
 #: Columns of the tables whose columns are always the same; {id} is the type of ids.
 SCHEMAS = {
     "postings": "id {id}, term string, dl int, tf int, bucket int",

@@ -10,6 +10,7 @@ from tidemark.operators import evaluation as ev
 from tidemark.operators import retrieval as rt
 from tidemark.plans.retrieval import BM25_SQL, TOKENS
 from tidemark.sources import files
+from tidemark.sources.storage import written
 from tidemark.sources.tables import table
 
 #: The driver's answers are English: their tags and what states a fact in them.
@@ -88,6 +89,7 @@ def redundancy_rate(spark: SparkSession, sf: str) -> DataFrame:
     """Of the ten best hits of each question, by BM25."""
     docs = table(spark, sf, "documents")
     found = rt.bm25_search(docs, table(spark, sf, "benchmark"), id_col="doc_id", text_col="text", query_id="item_id", query_text="text", k=10)
+    found = written(found)  # few rows, which meet the documents where they lie
     words = docs.select(F.col("doc_id").alias("id"), F.array_distinct(tx.tokens(F.col("text"))).alias("words"))
     return ev.redundancy(found.join(words, "id").select("query_id", "rank", "words"), 0.3).select("query_id", F.round("redundancy", 6).alias("redundancy"))
 

@@ -12,7 +12,7 @@ from tidemark.operators import seams as sm
 from tidemark.operators.vectors import vector_search
 from tidemark.plans.inputs import given, plain
 from tidemark.plans.retrieval import BM25_SQL, COSINE, TOKENS
-from tidemark.sources.storage import fresh_path
+from tidemark.sources.storage import fresh_path, written
 from tidemark.sources.tables import table
 
 SYNONYMS = {"cold": ["hot", "small"], "widget": ["gear"]}
@@ -113,8 +113,10 @@ def _fused(spark: SparkSession, sf: str) -> DataFrame:
     asked = v.join(table(spark, sf, "benchmark").select(F.col("item_id").alias("id")), "id", "left_semi")
     near = vector_search(v, asked, k=20)
     hits = [x.select("query_id", "id", "rank", F.lit(0).alias("variant")) for x in (_keyword(spark, sf), near)]
+    # The hits are few and are written, so that documents meet them where they lie, and only those that were found travel.
+    found = written(rt.hybrid(hits[0], hits[1]))
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source", "lang")
-    return rt.hybrid(hits[0], hits[1]).join(docs, "id", "left")
+    return found.join(docs.join(found.select("id").distinct(), "id", "left_semi"), "id", "left")
 
 
 def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
