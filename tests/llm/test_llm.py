@@ -350,6 +350,27 @@ def test_links_measured_in_the_trie(spark):
 # 6
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_quality_target_is_found_past_bits(spark, kind):
+    """No trusted id is lost, however full the table of bits is; few others pass it, where it has room."""
+    docs = spark.range(20_000).selectExpr(f"cast(id * 7919 - 1000 as {kind}) doc_id", "'a' text").unionByName(spark.createDataFrame([(None, "b")], f"doc_id {kind}, text string"))
+    ids = docs.where("doc_id % 10 = 0").select("doc_id")
+    n = ids.count()
+    for most, share in ((1 << 26, 0.12), (1 << 10, 1.0), (1, 1.0)):
+        rows = quality_rules._likely(docs, ids, "doc_id", most=most)
+        assert rows.columns == docs.columns and rows.join(ids, "doc_id", "left_semi").count() == n
+        assert rows.count() <= n + share * (docs.count() - n)
+    assert quality_rules._likely(docs, ids.limit(0), "doc_id").count() == 0
+    labels = ids.selectExpr("doc_id", "1 quality", "0 toxic")
+    known, real = [], quality_rules.ratio_weights
+    try:
+        quality_rules.ratio_weights = lambda d, t, *a, **b: known.append(t.count()) or real(d, t, *a, **b)
+        assert quality_rules.quality_rules(docs, labels).count() == docs.count()
+    finally:
+        quality_rules.ratio_weights = real
+    assert known == [n]
+
+
 def test_quality_classifier(spark):
     rng = random.Random(6)
     rows, labels = [], []

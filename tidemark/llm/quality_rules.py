@@ -1,7 +1,8 @@
 """Quality rules: base counts, then hashed n-gram log-likelihood ratios of a trusted target against the raw corpus.
 
 Everything is DataFrame operations. Each text becomes arrays inside its own row. Exchanges carry the counts of `buckets` hashed
-n-grams, and texts once, to find those of the trusted target by id. Two passes over the documents: counts, then scores.
+n-grams, and once the texts whose ids may be trusted, to find those of the trusted target. Passes over the documents: for these, then
+counts, then scores.
 """
 
 from __future__ import annotations
@@ -182,6 +183,24 @@ def quantiles(rows: DataFrame, col: str, shares: tuple[float, ...], most: int =
     return out
 
 
+def _likely(docs: DataFrame, ids: DataFrame, id_col: str, per_id: int = 16, most: int = 1 << 26) -> DataFrame:
+    """Rows of docs whose id is among ids, and few others: those whose hash meets that of an id in a table of bits.
+
+    The table has about `per_id` bits for each id, `most` (8 MB) at most; a fuller one lets more rows through. ids: a written table.
+    """
+    bits = min(most, 1 << max(0, per_id * ids.count() - 1).bit_length())
+
+    def place(col: str) -> tuple[Column, Column]:
+        at = F.pmod(F.xxhash64(col), F.lit(bits))
+        return F.shiftright(at, 15), at.bitwiseAND(F.lit((1 << 15) - 1))
+
+    block, at = place(id_col)
+    marked = ids.groupBy(block.alias("_block")).agg(F.bitmap_construct_agg(at).alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.getbit(byte, at.bitwiseAND(F.lit(7)).cast("int")) == 1
+    return docs.join(F.broadcast(marked), block == F.col("_block")).where(hit).drop("_block", "_bits")
+
+
 def quality_rules(
     docs: DataFrame,
     labels: DataFrame,
@@ -199,7 +218,8 @@ def quality_rules(
 ) -> DataFrame:
     """One row per row of docs: doc_id, the base counts, base_failed, kept, llr; row, the row itself, if with_row.
 
-    The trusted target is all documents labelled quality = 1: their texts are joined by id and written once. Counts cover every
+    The trusted target is all documents labelled quality = 1: their texts are joined by id, past a table of bits that stops
+    nearly all others, and written once. Counts cover every
     document. llr is the mean over a document's n-grams (words and pairs of neighbours) of
     log p_target / p_raw; kept is true where the base rules hold and llr >= threshold.
 
@@ -210,9 +230,12 @@ def quality_rules(
     No labels: all ratios are 0 and only the base rules decide. No documents: no rows. Other columns are ignored.
     """
     spark, cols = docs.sparkSession, {"id_col": id_col, "text_col": text_col}
-    first = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(id_col)).distinct()
+    first = written(labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(id_col)).distinct())
     half = F.pmod(F.hash(id_col), F.lit(2)).alias("half")
-    known = written(docs.select(id_col, text_col).join(first, id_col).select(id_col, text_col, half))
+    rows = docs.select(id_col, text_col)
+    if rows.schema[id_col].dataType == first.schema[id_col].dataType:  # else equal ids may differ in their hashes
+        rows = _likely(rows, first, id_col)
+    known = written(rows.join(first.hint("merge"), id_col).select(id_col, text_col, half))
     whole, halves = ratio_weights(docs, known, buckets, prior, **cols)
 
     def value(weights: list[float]) -> Column:
