@@ -197,3 +197,14 @@ def test_rules_in_blocks(spark):
     assert scored() == scored(most=80) == [(1, "b", 12.0), (4, "a", 12.0)]
     with pytest.raises(ValueError, match="blocks"):
         cp.broadcast_blocks(rules, 10)
+
+
+def test_rows_of_few_keys_are_numbered_in_ranges(spark, monkeypatch):
+    """As a window over each key would, but no task sorts a whole key."""
+    monkeypatch.setattr(ck, "ROWS_PER_TASK", 50)
+    rows = spark.range(1000).selectExpr("case when id % 5 < 3 then 'a' when id % 5 = 3 then 'b' end k", "id * 7919 % 1000 x", "id % 3 y", "id").repartition(6)
+    got = ck.numbered(rows, "k", ["x", "y"], keep=("id",))
+    assert got.select(F.col("id")).distinct().count() == 1000 and len(got.inputFiles()) >= 15
+    plain = rows.selectExpr("k", "id", "row_number() over (partition by k order by x, y) i")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+    assert ck.numbered(rows.limit(0), "k", ["x"]).count() == 0

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.storage import written
+
 # Lines that are headings. Markdown ones; if a document has none of them: clauses, numbers, brackets, numerals.
 HEADING = r"^(#{1,6})\s+(.+?)\s*$"
 CLAUSE_HEADING = r"^第([一二三四五六七八九十百零]+)条[：:\s]"
@@ -187,3 +189,23 @@ def merged_neighbours(chunks: DataFrame, *, limit: int = 3000, oversize: float =
     return each.groupBy("id", F.col("x.n").alias("chunk")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x.items.content"))), lambda r: r.content), glue).alias("content")
     )
+
+
+#: Rows that a task sorts, about.
+ROWS_PER_TASK = 1 << 19
+
+
+def numbered(rows: DataFrame, by: str, order: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """by, keep, i: the number of each row, from 1, among those with its `by`, in order. However few values `by` has, rows are dealt
+    by ranges of by and order; what comes before a range is summed from counts of ranges, which are as few as tasks."""
+    tasks = max(1, -(-rows.count() // ROWS_PER_TASK))
+    cols = [by, *order]
+    ranges = rows.repartitionByRange(tasks, *cols).sortWithinPartitions(*cols)
+    # The place of a row is the number of its range, and below 33 bits that within the range.
+    placed = written(ranges.select(by, *keep, F.monotonically_increasing_id().alias("_at")))
+    span = F.shiftright("_at", 33).alias("_span")
+    counts = placed.groupBy(F.col(by).alias("_by"), span).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy("_by").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("_by", "_span", (F.coalesce(before, F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    same = placed[by].eqNullSafe(F.col("_by")) & (F.shiftright("_at", 33) == F.col("_span"))
+    return placed.join(F.broadcast(starts), same).select(by, *keep, (F.col("_at") + F.col("_shift")).alias("i"))

@@ -153,8 +153,8 @@ def chunk_guards(spark: SparkSession, sf: str) -> DataFrame:
 
 def table_split(spark: SparkSession, sf: str) -> DataFrame:
     """Order lines as table rows below a header: parts of 50 rows, the header in each."""
-    order = Window.partitionBy("l_returnflag").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    rows = table(spark, sf, "lineitem").withColumn("i", F.row_number().over(order))
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    rows = ck.numbered(table(spark, sf, "lineitem"), "l_returnflag", order)
     part = F.floor((F.col("i") - 1) / 49)
     return rows.groupBy(F.col("l_returnflag").alias("t"), part.cast("long").alias("part")).agg((F.count("*") + 1).alias("rows"), F.max("i").cast("long").alias("last"))
 
