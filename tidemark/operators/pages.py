@@ -98,7 +98,7 @@ def section_type(line: Column, sections: tuple = SECTIONS, longest: int = 40) ->
             pure = F.startswith(title, k) | (F.endswith(title, k) & (F.length(title) < 2 * len(w)))
             by_word = F.coalesce(F.startswith(word, k) | F.endswith(word, k), F.lit(False))
             alone = (F.length(bare) < longest) & (F.startswith(bare, k) | F.endswith(bare, k))
-            return F.when(numbered, pure | by_word).otherwise(alone)
+            return F.contains(bare, k) & F.when(numbered, pure | by_word).otherwise(alone)  # patterns only where the words are
 
         found = F.when(_any(words, fits), kind).otherwise(found)
     return found
