@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from tidemark.operators import relevance as rl
 from tidemark.operators import retrieval as rt
 from tidemark.operators import state as st
 from tidemark.operators.vectors import vector_search
+from tidemark.plans import inputs
+from tidemark.plans import pages as plans_pages
 from tidemark.sources import files
 
 HIT = "content string, source_file string, law_name string, docs array<string>, keywords array<string>, like double"
@@ -277,3 +280,24 @@ def test_build_figures(spark, tmp_path):
         assert not ql.build_figures(rows, f"{tmp_path}/b", "ok", "id", {"vector": whole, "words": other}).first().consistent
     none = ql.build_figures(rows.limit(0), f"{tmp_path}/c", "ok", "id", {"vector": whole}).first()
     assert (none.parsed, none.passed, none.vector, none.consistent) == (0, 0, 0, True)
+
+
+def test_lines_are_dealt_by_their_number(spark, sf_dir, monkeypatch):
+    """One sort holds a bounded number of lines: the statement's rows are dealt in tasks of that size, and only once."""
+    monkeypatch.setattr(inputs, "ROWS_PER_TASK", 200)
+    n = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    found = plans_pages.without_contents(spark, sf_dir)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"hashpartitioning\((\w+)#\d+L?, (\d+)\)", plan) == [("l_orderkey", str(-(-n // 200)))]
+    monkeypatch.undo()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plans_pages.without_contents(spark, sf_dir).collect()))
+
+
+def test_section_words_are_looked_for_before_patterns(spark):
+    lines = ["2.6 责任免除", "责任免除条款说明", "1.1 投保范围", "x 健康告知", "3.1 附加险条款 说明", "3.2 说明 附加险条款", None, "", " 健康告知 "]
+    kind = pg.section_type(F.col("t"))
+    got = [r.kind for r in spark.createDataFrame([(x,) for x in lines], "t string").coalesce(1).select(kind.alias("kind")).collect()]
+    assert got == ["exclusion", "exclusion", None, "health_disclosure", "rider", None, None, None, "health_disclosure"]
+    words = {w for _, ws in pg.SECTIONS for w in ws}
+    plan = spark.createDataFrame([("",)], "t string").select(kind)._jdf.queryExecution().analyzed().toString()
+    assert all(re.search(rf"Contains\(trim\(t#\d+, None\), {w}\)|contains\(trim\(t#\d+\), {w}\)", plan, re.I) for w in words)

@@ -25,17 +25,21 @@ LINES_SQL = f"WITH l AS (SELECT *, trim(text, ' ') AS bare FROM ({plain(LINES)})
 NUMBERS_SQL = " OR ".join(f"regexp_matches(bare, '{p}')" for p in pg.PAGE_NUMBERS)
 
 
+def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    return given(spark, sf, LINES, lineitem="l_orderkey")
+
+
 def clean_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return pg.clean_lines(given(spark, sf, LINES)).select("doc", "line_no")
+    return pg.clean_lines(_lines(spark, sf)).select("doc", "line_no")
 
 
 def titles_and_bodies(spark: SparkSession, sf: str) -> DataFrame:
-    x = given(spark, sf, LINES).select("doc", "line_no", pg.title_and_body(F.col("text")).alias("x"))
+    x = _lines(spark, sf).select("doc", "line_no", pg.title_and_body(F.col("text")).alias("x"))
     return x.select("doc", "line_no", "x.title", "x.body")
 
 
 def section_types(spark: SparkSession, sf: str) -> DataFrame:
-    return given(spark, sf, LINES).select("doc", "line_no", pg.section_type(F.col("text")).alias("kind")).where("kind is not null")
+    return _lines(spark, sf).select("doc", "line_no", pg.section_type(F.col("text")).alias("kind")).where("kind is not null")
 
 
 def _kinds_sql() -> str:
@@ -51,7 +55,7 @@ def _kinds_sql() -> str:
 
 
 def without_contents(spark: SparkSession, sf: str) -> DataFrame:
-    return pg.without_contents(given(spark, sf, LINES), ["doc"], "line_no", "page").select("doc", "line_no")
+    return pg.without_contents(_lines(spark, sf), ["doc"], "line_no", "page").select("doc", "line_no")
 
 
 CONTENTS_SQL = LINES_SQL + """, o AS (SELECT *, min(CASE WHEN page < 3 AND (contains(bare, '目录') OR contains(bare, '目 录') OR contains(bare, 'CONTENTS') OR contains(bare, 'Content')) THEN line_no END) OVER (PARTITION BY doc, page) AS opened,
@@ -62,7 +66,7 @@ SELECT doc, line_no FROM q WHERE coalesce(line_no <> opened, true) AND NOT (insi
 
 
 def without_margins(spark: SparkSession, sf: str) -> DataFrame:
-    return pg.without_margins(given(spark, sf, LINES)).select("doc", "line_no")
+    return pg.without_margins(_lines(spark, sf)).select("doc", "line_no")
 
 
 #: Characters of event types, set apart by what the events say.
