@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.plans.inputs import ROWS_PER_TASK
 from tidemark.plans.logs import BREAKER_SQL
 from tidemark.sources import html
 from tidemark.sources.storage import fresh_path, written
@@ -61,9 +62,10 @@ def stream_ordered_records(spark: SparkSession, sf: str) -> DataFrame:
     lines = e.select("user_id", "event_id", n.alias("n"))  # numbered before a line becomes three rows
     rows = lines.select("user_id", "n", parts.alias("x")).select(F.col("user_id").alias("stream_id"), (F.col("n") * 3 + F.col("x.i")).cast("long").alias("seq"), "x.fragment")
     rows = written(rows.withColumn("last", F.lit(False)))
+    files = max(2, -(-rows.count() // (3 * ROWS_PER_TASK)))  # of the second fragments, and as many of the others: a batch each
     for second in (True, False):
-        rows.where((F.col("seq") % 3 == 1) == second).repartition(2).write.mode("append").parquet(at)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(at)
+        rows.where((F.col("seq") % 3 == 1) == second).repartition(files).write.mode("append").parquet(at)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(at)
     out = jobs.drained(stateful.ordered_records(stream), "append")
     return out.select("stream_id", "n", F.get_json_object("record", "$.id").cast("long").alias("event_id"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from contextlib import contextmanager
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +42,12 @@ def is_record(line: str) -> bool:
     return True
 
 
+#: Fragments that wait are kept by blocks of this many numbers, one entry of the state each.
+BLOCK = 256
+#: One of more characters has an entry of its own, so that a block stays small.
+LONG = 256
+
+
 class Fragments(StatefulProcessor):
     """Lines of a stream whose fragments are numbered from 0. One that comes early is held until those before it are there."""
 
@@ -48,40 +55,77 @@ class Fragments(StatefulProcessor):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getMapState("held", "seq long", "fragment string, last boolean", self.ttl_ms)
+        # since: when it came. Other fragments of its block, written later, don't keep it longer.
+        self.held = handle.getMapState("held", "block long", "seqs array<long>, fragments array<string>, lasts array<boolean>, since array<long>", self.ttl_ms)
+        self.long = handle.getMapState("long", "seq long", "fragment string", self.ttl_ms)
         self.place = handle.getValueState("place", "seq long, n long, buffer string, waiting long", self.ttl_ms)
 
+    def waiting_in(self, block: int, seq: int, now: int) -> dict[int, tuple]:
+        """Of a block's fragments from seq on that are still kept, by number: fragment (null if long), last, since. It is the one block in memory."""
+        if block != self.block:
+            self.keep()
+            found = self.held.getValue((block,))
+            rows = zip(*found, strict=True) if found else ()
+            self.block, self.there = block, {at: (*row, since) for at, *row, since in rows if at >= seq and (self.ttl_ms <= 0 or since + self.ttl_ms > now)}
+        return self.there
+
+    def keep(self) -> None:
+        """Writes the block that is in memory, if fragments came to it. Of one they only left, those below the stream's place are passed over when it is read."""
+        if self.came:
+            self.held.updateValue((self.block,), tuple(map(list, zip(*((at, *row) for at, row in self.there.items()), strict=True))))
+        self.block, self.there, self.came = None, {}, False
+
+    def hold(self, at: int, text: str | None, last: bool, seq: int, now: int) -> bool:
+        """Whether a fragment is held: of two with one number the first is."""
+        there = self.waiting_in(at // BLOCK, seq, now)
+        if at in there:
+            return False
+        text = text or ""
+        if len(text) > LONG:
+            self.long.updateValue((at,), (text,))
+            text = None
+        there[at], self.came = (text, last, now), True
+        return True
+
+    def taken(self, seq: int, now: int) -> tuple | None:
+        """Fragment and last of the number seq, if it is held. A block goes with the last that waits in it."""
+        there = self.waiting_in(seq // BLOCK, seq, now)
+        if seq not in there:
+            return None
+        text, last, _ = there.pop(seq)
+        if text is None:
+            text = self.long.getValue((seq,))[0]
+            self.long.removeKey((seq,))
+        if not there:
+            self.held.removeKey((self.block,))
+            self.came = False
+        return text, last
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        seq, n, buffer, waiting = self.place.get() if self.place.exists() else (0, 0, "", 0)
+        now = timerValues.getCurrentProcessingTimeInMs()
+        seq, n, buffer, waiting = self.place.get() or (0, 0, "", 0)
+        self.block, self.there, self.came = None, {}, False
         for b in rows:  # a part of the key's rows; no more of them are in memory
             found = []
-            b = b.sort_values("seq", kind="stable")
-            coming = iter(zip(b["seq"].tolist(), b["fragment"].tolist(), b["last"].tolist(), strict=True))
-            now = next(coming, None)
-            while True:
-                if waiting and self.held.containsKey((seq,)):
-                    text, last = self.held.getValue((seq,))
-                    self.held.removeKey((seq,))
-                    waiting -= 1
-                elif now is None:
-                    break
-                else:
-                    at, text, last = now
-                    now = next(coming, None)
-                    if at > seq and not self.held.containsKey((at,)):
-                        self.held.updateValue((at,), (text, last))
-                        waiting += 1
-                    if at != seq:  # it waits, or came before
-                        continue
-                seq += 1
-                *whole, buffer = (buffer + (text or "")).split("\n")
-                if last:
-                    whole, buffer = [*whole, buffer], ""
-                for line in map(str.strip, whole):
-                    if is_record(line):
-                        found.append((key[0], n, line))
-                        n += 1
-            yield pd.DataFrame(found, columns=["stream_id", "n", "record"])
+            for at, text, last in sorted(zip(b["seq"].tolist(), b["fragment"].tolist(), b["last"].tolist(), strict=True), key=itemgetter(0)):
+                if at > seq:
+                    waiting += self.hold(at, text, last, seq, now)
+                coming = (text, last) if at == seq else None  # if not, it waits, or came before
+                while coming:
+                    text, last = coming
+                    seq += 1
+                    *whole, buffer = (buffer + (text or "")).split("\n")
+                    if last:
+                        whole, buffer = [*whole, buffer], ""
+                    for line in map(str.strip, whole):
+                        if is_record(line):
+                            found.append((key[0], n, line))
+                            n += 1
+                    coming = self.taken(seq, now) if waiting else None
+                    waiting -= coming is not None
+            self.keep()
+            if found:
+                yield pd.DataFrame(found, columns=["stream_id", "n", "record"])
         self.place.update((seq, n, buffer, waiting))
 
     def close(self) -> None:
@@ -92,10 +136,10 @@ def ordered_records(fragments: DataFrame, ttl_seconds: float = 86_400) -> DataFr
     """stream_id, n (from 0), record: the JSON lines of each stream, in the order of its fragments, however they arrive.
 
     fragments: stream_id, seq (0, 1, 2, ...), fragment, last (nothing follows: what is left is a line). A number that comes
-    again is passed over; null text is empty; blank, empty and broken lines are left out. What a stream has kept, its place
-    and the fragments that wait for one before them, is forgotten ttl_seconds after it was last written.
+    again is passed over, as is a null one; null text is empty; blank, empty and broken lines are left out. What a stream has
+    kept, its place and the fragments that wait for one before them, is forgotten ttl_seconds after it was last written.
     """
-    rows = fragments.select(*(fragments[c].cast(t).alias(c) for c, t in (("stream_id", "long"), ("seq", "long"), ("fragment", "string"), ("last", "boolean"))))
+    rows = fragments.select(*(fragments[c].cast(t).alias(c) for c, t in (("stream_id", "long"), ("seq", "long"), ("fragment", "string"), ("last", "boolean")))).where("seq IS NOT NULL")
     how = {"outputMode": "append", "timeMode": "ProcessingTime"}
     return rows.groupBy("stream_id").transformWithStateInPandas(Fragments(int(ttl_seconds * 1000)), "stream_id long, n long, record string", **how)
 
